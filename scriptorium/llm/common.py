@@ -14,8 +14,14 @@ PACKAGE_ROOT = Path(__file__).resolve().parents[2]
 LOCAL_DEFAULT = "/tmp/checkpoints/scriptorium"
 
 
+#: Rows in an Arrow batch, where the session keeps Spark's default of 10,000: texts are long, and a worker holds whole batches.
+BATCH_ROWS = 1000
+
+
 def ship_package(spark: SparkSession) -> None:
-    """Let Python workers import this package, unless their PYTHONPATH already has it."""
+    """Let Python workers import this package, unless their PYTHONPATH already has it; keep their batches small."""
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     if str(PACKAGE_ROOT) in os.environ.get("PYTHONPATH", "").split(os.pathsep):
         return
     sc = spark.sparkContext

@@ -35,7 +35,7 @@ LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 WIDTH, SHARE, BASE, K = 3, 90, 100, 2
 #: Tokens in more documents than this count as frequent; of them at most MAX_FREQUENT are told apart in the order.
 FREQUENT, MAX_FREQUENT = 16, 1_000_000
-FLUSH, BLOCK, BROADCAST_IDS = 4_000_000, 1024, 2_000_000
+FLUSH, SLICE, BLOCK, BROADCAST_IDS = 1_000_000, 256, 1024, 2_000_000
 MIX = tuple(np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
 _WORDS: dict[bytes, int] = {}
 
@@ -49,7 +49,7 @@ def shingle_set(text: str | None, width: int = WIDTH) -> np.ndarray:
         return np.array([xxhash.xxh3_64_intdigest(b" ".join(words), seed=len(words))], dtype=np.uint64)
     fresh = set(words).difference(_WORDS)
     if fresh:
-        if len(_WORDS) > 400_000:
+        if len(_WORDS) > 100_000:
             _WORDS.clear()
             fresh = set(words)
         _WORDS.update(zip(fresh, map(xxhash.xxh3_64_intdigest, fresh), strict=True))
@@ -61,7 +61,16 @@ def shingle_set(text: str | None, width: int = WIDTH) -> np.ndarray:
         x ^= x >> np.uint64(29)
     x = (x ^ (x >> np.uint64(30))) * MIX[3]
     x = (x ^ (x >> np.uint64(27))) * MIX[4]
-    return np.unique(x ^ (x >> np.uint64(31)))
+    x ^= x >> np.uint64(31)
+    x.sort()
+    return x[np.concatenate(([True], x[1:] != x[:-1]))]
+
+
+def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A few texts at a time: long ones must not pile up in a worker."""
+    for batch in batches:
+        for begin in range(0, batch.num_rows, SLICE):
+            yield batch.slice(begin, SLICE)
 
 
 def needed(n: int) -> int:
@@ -99,7 +108,7 @@ def describe(docs: DataFrame, bits: int) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
 
         size = 0
-        for batch in batches:
+        for batch in slices(batches):
             sizes, nodes = [], []
             for text in batch.column(1).to_pylist():
                 tokens = shingle_set(text)
@@ -149,7 +158,7 @@ def prefixes(docs: DataFrame, shared, bits: int) -> DataFrame:
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hot, classes = shared.value
-        for batch in batches:
+        for batch in slices(batches):
             ids, sizes, nodes, firsts = [], [], [], []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 tokens = shingle_set(text)
@@ -182,7 +191,7 @@ def sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     joined = docs.join(F.broadcast(ids) if few else ids, F.col("doc_id").eqNullSafe(F.col("_rep")))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             nodes, sets = [], []
             for text, node in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 tokens = shingle_set(text)
