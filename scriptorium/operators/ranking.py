@@ -4,24 +4,28 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
+from pyspark.sql import WindowSpec
 from pyspark.sql import functions as F
 
 from scriptorium.functions.text import hash_index
 
 EPSILON = 1e-12
-GROUP = W.partitionBy("id")
+
+
+def group() -> WindowSpec:
+    return W.partitionBy("id")
 
 
 def ranked(scores: DataFrame) -> DataFrame:
     """Rank by score, ties by candidate_id, and whether a candidate ties for the best label."""
-    return scores.withColumn("rank", F.row_number().over(GROUP.orderBy(F.desc("score"), "candidate_id"))).withColumn(
-        "oracle", F.col("label") >= F.max("label").over(GROUP) - F.lit(EPSILON)
+    return scores.withColumn("rank", F.row_number().over(group().orderBy(F.desc("score"), "candidate_id"))).withColumn(
+        "oracle", F.col("label") >= F.max("label").over(group()) - F.lit(EPSILON)
     )
 
 
 def hit_mrr_ndcg(scores: DataFrame, cutoffs: tuple[int, ...] = (1, 3, 5, 10)) -> DataFrame:
     """Per id the first oracle rank, hits, reciprocal rank and NDCG (gain 2^label - 1; 0 where the ideal is 0)."""
-    rows = ranked(scores).withColumn("ideal_rank", F.row_number().over(GROUP.orderBy(F.desc("label"), "candidate_id")))
+    rows = ranked(scores).withColumn("ideal_rank", F.row_number().over(group().orderBy(F.desc("label"), "candidate_id")))
     gain = F.pow(F.lit(2.0), F.col("label")) - 1
 
     def dcg(rank: str, k: int) -> Column:
@@ -74,7 +78,7 @@ def pair_accuracy(scores: DataFrame, margin: float = 0.02) -> DataFrame:
 
 
 def average_rank(x: str) -> Column:
-    by = GROUP.orderBy(x)
+    by = group().orderBy(x)
     return F.rank().over(by) + (F.count("*").over(W.partitionBy("id", x)) - 1) / F.lit(2.0)
 
 
@@ -100,8 +104,8 @@ def rank_correlations(scores: DataFrame) -> DataFrame:
 
 
 def softmax(x: str, temperature: float) -> Column:
-    z = F.exp((F.col(x) - F.max(x).over(GROUP)) / F.lit(temperature))
-    return z / F.sum(z).over(GROUP)
+    z = F.exp((F.col(x) - F.max(x).over(group())) / F.lit(temperature))
+    return z / F.sum(z).over(group())
 
 
 def listwise_kl(scores: DataFrame, label_temperature: float = 0.1) -> DataFrame:
@@ -121,8 +125,8 @@ def losses(scores: DataFrame, tie: float = 1e-8) -> DataFrame:
     listmle (by tiers of equal labels), pointwise (smooth L1 of the sigmoid),
     expected_regret, oracle_set, top1_lambda.
     """
-    e = F.exp(F.col("score") - F.max("score").over(GROUP))
-    rows = scores.withColumn("e", e).withColumn("best", F.max("label").over(GROUP)).withColumn("tier", F.round("label", 8))
+    e = F.exp(F.col("score") - F.max("score").over(group()))
+    rows = scores.withColumn("e", e).withColumn("best", F.max("label").over(group())).withColumn("tier", F.round("label", 8))
     tiers = rows.groupBy("id", "tier").agg(F.sum("e").alias("own"))
     below = F.sum("own").over(W.partitionBy("id").orderBy("tier"))
     listmle = tiers.withColumn("rest", below).groupBy("id").agg(F.round(F.avg(F.log("rest") - F.log("own")), 6).alias("listmle"))
@@ -143,8 +147,8 @@ def losses(scores: DataFrame, tie: float = 1e-8) -> DataFrame:
 
 def standardized(x: str) -> Column:
     """Within-group z-score by the population deviation; a zero deviation counts as 1."""
-    scale = F.stddev_pop(x).over(GROUP)
-    return (F.col(x) - F.avg(x).over(GROUP)) / F.when(scale <= EPSILON, F.lit(1.0)).otherwise(scale)
+    scale = F.stddev_pop(x).over(group())
+    return (F.col(x) - F.avg(x).over(group())) / F.when(scale <= EPSILON, F.lit(1.0)).otherwise(scale)
 
 
 def blend(first: DataFrame, second: DataFrame, alpha: float) -> DataFrame:
@@ -154,7 +158,7 @@ def blend(first: DataFrame, second: DataFrame, alpha: float) -> DataFrame:
     mixed = a.join(b, ["id", "candidate_id"]).select(
         "id", "candidate_id", F.round(F.lit(alpha) * F.col("a") + F.lit(1 - alpha) * F.col("b"), 6).alias("score")
     )
-    return mixed.withColumn("rank", F.row_number().over(GROUP.orderBy(F.desc("score"), "candidate_id")))
+    return mixed.withColumn("rank", F.row_number().over(group().orderBy(F.desc("score"), "candidate_id")))
 
 
 def select_alpha(first: DataFrame, second: DataFrame, labels: DataFrame, grid: tuple[float, ...]) -> DataFrame:

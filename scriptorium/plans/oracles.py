@@ -110,8 +110,10 @@ CTE = {
         FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY pos) AS n FROM pool WHERE parent_a IS NULL) p JOIN samp USING (id) WHERE n <= 4 AND target <> '')""",
     "sftc": """(SELECT p.id, p.id || ':' || a_candidate_id || ':' || b_candidate_id AS example_id,
         CASE WHEN a_text = target THEN 'keep_a' WHEN b_text = target THEN 'keep_b' ELSE 'merge' END AS action, target AS output FROM cpairs p JOIN samp USING (id) WHERE target <> '')""",
+    "tf": "(SELECT DISTINCT user_id AS id, pos AS item, n, unnest(list_transform(words[1:8], lambda x: left(x, 1))) AS factor FROM (SELECT *, len(words[1:8]) AS n FROM hist))",
 }
 USES = {
+    "tf": "hist",
     "samp": "asked said", "lens": "hist", "stats": "lens", "post": "hist", "df": "post", "qterm": "samp",
     "matched": "qterm df post lens stats", "retr": "samp lens matched", "seeds": "samp retr hist", "cpairs": "seeds",
     "pool": "seeds samp cpairs", "scored": "pool samp", "deltas": "scored", "sc": "scored samp", "sc2": "sc pool",
@@ -412,6 +414,23 @@ def oracle_sql() -> dict[str, str]:
             "hist",
             """SELECT user_id, count(*) AS titles, round(quantile_cont(len(words[1:8]), 0.5), 6) AS median_words, round(avg(CASE WHEN regexp_matches(abstract, '[0-9]') THEN 1e0 ELSE 0e0 END), 6) AS digit_share FROM hist GROUP BY user_id""",
         ),
+        "factor_statistics": sql(
+            "tf",
+            """SELECT id, factor, support, round(support / items::DOUBLE, 6) AS share, mean_tokens, examples FROM (
+            SELECT id, factor, count(*) AS support, round(avg(n), 6) AS mean_tokens, array_to_string(list(item ORDER BY item)[1:3], ',') AS examples FROM tf GROUP BY id, factor)
+            JOIN (SELECT id, count(DISTINCT item) AS items FROM tf GROUP BY id) USING (id)""",
+        ),
+        "factor_pruning": sql(
+            "tf",
+            """SELECT id, factor, support FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY support DESC, factor) AS k, max(CASE WHEN share BETWEEN 5e-2 AND 5e-1 THEN 1 ELSE 0 END) OVER (PARTITION BY id) AS anyin FROM (
+            SELECT id, factor, support, round(support / items::DOUBLE, 6) AS share FROM (SELECT id, factor, count(*) AS support FROM tf GROUP BY id, factor)
+            JOIN (SELECT id, count(DISTINCT item) AS items FROM tf GROUP BY id) USING (id))) WHERE share BETWEEN 5e-2 AND 5e-1 OR (anyin = 0 AND k <= 4)""",
+        ),
+        "completed_rankings": sql(
+            "pool",
+            """SELECT id, candidate_id, CAST(rank AS INT) AS rank, (n - rank + 1)::DOUBLE AS ranker_score FROM (SELECT *, count(*) OVER (PARTITION BY id) AS n,
+            row_number() OVER (PARTITION BY id ORDER BY CASE WHEN parent_a IS NULL THEN -pos END NULLS LAST, pos) AS rank FROM pool)""",
+        ),
         "head_soup": "SELECT CAST(place - 1 AS INT) AS place, round(avg(w), 6) AS weight FROM (SELECT unnest(range(1, len(embedding) + 1)) AS place, unnest(embedding)::DOUBLE AS w FROM embeddings) GROUP BY place",
     }
     return {name: text.replace("  ", " ") for name, text in out.items()}

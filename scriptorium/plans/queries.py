@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scriptorium.functions import rouge, text
-from scriptorium.operators import datasets, pools, preferences, profiles, ranking, retrieval
+from scriptorium.functions import rouge, similarity, text
+from scriptorium.operators import datasets, factors, heads, pools, preferences, profiles, ranking, retrieval, validate
 from scriptorium.plans import fixtures
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -183,6 +183,39 @@ def multitask_rows(f: Frames) -> DataFrame:
     return datasets.multitask(examples, datasets.history_titles(f.visible).withColumnRenamed("history", "rationale"))
 
 
+def title_factors(f: Frames) -> DataFrame:
+    """A factor of an item is the first letter of each title token: a small matrix of each user."""
+    rows = f.items.select("user_id", "pos", F.slice("words", 1, fixtures.TITLE_TOKENS).alias("w"))
+    return rows.select(
+        F.col("user_id").alias("id"), F.col("pos").alias("item"), F.explode(F.array_distinct(F.transform("w", lambda t: F.left(t, F.lit(1))))).alias("factor"),
+        F.size("w").alias("title_tokens"),
+    )
+
+
+def rewrite_categories(f: Frames) -> DataFrame:
+    rows = f.deltas.select(F.col("parent_text").alias("p"), F.col("text").alias("t"), "type")
+    return rows.withColumn("category", similarity.rewrite_category(F.col("p"), F.col("t"))).groupBy("type", "category").agg(F.count("*").alias("n"))
+
+
+def linear_heads(f: Frames) -> DataFrame:
+    """A head for each label, from the difference of each of its vectors and the mean vector of all others."""
+    rows = f.embeddings.select(F.col("label").cast("string").alias("user_id"), "vec_id", F.posexplode("embedding").alias("i", "v"))
+    sums = rows.groupBy("i").agg(F.sum(F.col("v").cast("double")).alias("s"), F.count("*").alias("n"))
+    own = rows.groupBy("user_id", "i").agg(F.sum(F.col("v").cast("double")).alias("os"), F.count("*").alias("on"))
+    others = own.join(F.broadcast(sums), "i").select("user_id", "i", ((F.col("s") - F.col("os")) / F.greatest(F.col("n") - F.col("on"), F.lit(1))).alias("m"))
+    gaps = rows.join(others, ["user_id", "i"]).groupBy("user_id", "vec_id").agg(
+        F.sort_array(F.collect_list(F.struct("i", (F.col("v") - F.col("m")).alias("d")))).alias("x")
+    )
+    fitted = heads.fit_linear_heads(gaps.select("user_id", F.transform("x", lambda x: x["d"]).alias("difference")))
+    return fitted.select("user_id", "pairs", "accuracy")
+
+
+def completed_rankings(f: Frames) -> DataFrame:
+    """A partial ranking that names only the seeds, completed by the other candidates."""
+    named = f.pool.filter("parent_a IS NULL").select("id", (-F.col("pos")).alias("place"), "candidate_id")
+    return validate.complete_ranking(named, f.pool.select("id", "pos", "candidate_id")).select("id", "candidate_id", "rank", "ranker_score")
+
+
 GRID = (0.0, 0.25, 0.5, 0.75, 1.0)
 
 QUERIES: dict[str, Callable[[Frames], DataFrame]] = {
@@ -266,6 +299,15 @@ QUERIES: dict[str, Callable[[Frames], DataFrame]] = {
     ),
     "corpus_bleu": corpus_bleu,
     "style_summary": style_summary,
+    "factor_statistics": lambda f: factors.factor_statistics(title_factors(f)),
+    "factor_pruning": lambda f: factors.prune(factors.factor_statistics(title_factors(f)), 0.05, 0.5).select("id", "factor", "support"),
+    "factor_cover": lambda f: factors.greedy_cover(
+        title_factors(f).select("id", F.col("item").cast("string").alias("feature"), "factor")
+    ),
+    "rewrite_categories": rewrite_categories,
+    "linear_heads": linear_heads,
+    "completed_rankings": completed_rankings,
+    "clean_titles": lambda f: f.documents.select("doc_id", F.md5(text.clean_title("text")).alias("title")),
     "head_soup": lambda f: ranking.average_heads(f.embeddings.select(F.transform("embedding", lambda x: x.cast("double")).alias("weights"))),
 }
 
