@@ -26,8 +26,13 @@ from pyspark.sql import functions as F
 from .common import discard, materialize, ship_package, text_or_empty
 from .tokens import public_path, tokenizer
 
-#: A sequence's tokens, rounds of the program (each covers a length, so twice the lengths suffice), lengths priced in one.
+#: A sequence's tokens, the most rounds of the program, lengths priced in one.
 CAPACITY, ROUNDS, PRICED = 4096, 8192, 64
+#: How strongly prices fall with coverage, and the share of a length that a round covers.
+RATE, STEP = 0.1, 1.0
+#: Prices grow a little faster than sizes, so that of equally full patterns the one with larger pieces wins; a pattern
+#: must fill this share of a sequence; after so many worse ones in a row the rest is left to best fit.
+POWER, FILL, MISSES = 1.2, 0.99, 20
 Pattern = tuple[dict[int, int], int]
 
 
@@ -62,38 +67,50 @@ def price_pattern(lengths: np.ndarray, counts: np.ndarray, values: np.ndarray, c
 
 
 def solve_program(
-    histogram: dict[int, int], capacity: int = CAPACITY, rounds: int = ROUNDS, rate: float = 1.5, spread: int = PRICED
+    histogram: dict[int, int],
+    capacity: int = CAPACITY,
+    rounds: int = ROUNDS,
+    rate: float = RATE,
+    step: float = STEP,
+    spread: int = PRICED,
 ) -> list[tuple[dict[int, int], float]]:
-    """A fractional cover by multiplicative weights: patterns and how often each is used.
+    """A cover by multiplicative weights: patterns and how often each is used.
 
-    Every round saturates at least one length. It prices ``spread`` of the
-    uncovered lengths, evenly spaced over all of them from a shifting start,
-    and ends when even the best pattern leaves more than 1 % of a sequence.
+    A length's price is a power of its size times exp(-rate * covered share), so
+    lengths that lag behind grow dear and steer the patterns. Every round prices
+    ``spread`` of the uncovered lengths, evenly spaced over all of them from a
+    shifting start, and uses the best pattern as often as covers the share
+    ``step`` of its scarcest length, once at least.
     """
     lengths = np.array(sorted(histogram), dtype=np.int64)
-    counts = np.array([histogram[x] for x in lengths.tolist()], dtype=np.int64)
-    covered = np.zeros(len(lengths))
+    counts = np.array([histogram[x] for x in lengths.tolist()], dtype=np.float64)
+    used = np.zeros(len(lengths))
     place = {x: i for i, x in enumerate(lengths.tolist())}
     rng = np.random.default_rng(8)
-    out: list[tuple[dict[int, int], float]] = []
+    out: dict[tuple[tuple[int, int], ...], float] = {}
     misses = 0
     for _ in range(rounds):
-        use = np.flatnonzero(covered < 1 - 1e-9)
-        if not len(use) or misses > 20:
+        use = np.flatnonzero(used < counts - 1e-9)
+        if not len(use):
             break
         if len(use) > spread:
             use = use[np.unique((rng.random() + np.arange(spread)) * len(use) / spread).astype(int) % len(use)]
-        prices = lengths[use] / capacity * np.exp(-rate * covered[use])
-        left = np.maximum(1, np.floor(counts[use] * (1 - covered[use]) + 1e-6)).astype(np.int64)
-        pattern = price_pattern(lengths[use], left, prices, capacity)
-        if sum(x * k for x, k in pattern.items()) < 0.99 * capacity:
+        left = counts[use] - used[use]
+        prices = (lengths[use] / capacity) ** POWER * np.exp(-rate * used[use] / counts[use])
+        pattern = price_pattern(lengths[use], np.ceil(left - 1e-9).astype(np.int64), prices, capacity)
+        if sum(x * k for x, k in pattern.items()) < FILL * capacity:
             misses += 1
+            if misses > MISSES:
+                break
             continue
-        amount = min(counts[place[x]] * (1 - covered[place[x]]) / k for x, k in pattern.items())
-        out.append((pattern, float(amount)))
+        misses = 0
+        most = min((counts[place[x]] - used[place[x]]) / k for x, k in pattern.items())
+        amount = min(most, max(1.0, step * min(counts[place[x]] / k for x, k in pattern.items())))
+        key = tuple(sorted(pattern.items()))
+        out[key] = out.get(key, 0.0) + amount
         for x, k in pattern.items():
-            covered[place[x]] = min(1.0, covered[place[x]] + amount * k / counts[place[x]])
-    return out
+            used[place[x]] += amount * k
+    return [(dict(key), amount) for key, amount in out.items()]
 
 
 def round_down(solution: list[tuple[dict[int, int], float]], histogram: dict[int, int]) -> tuple[list[Pattern], dict[int, int]]:
