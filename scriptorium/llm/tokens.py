@@ -9,6 +9,7 @@ call. Any other text goes to the library whole.
 
 from __future__ import annotations
 
+import codecs
 import os
 import re
 
@@ -23,8 +24,23 @@ BYTE_CUT = re.compile(
 )
 #: Pre-tokens of the lower-case word vocabulary; white space falls away.
 WORD_CUT = re.compile(rf"'(?:s|t|re|ve|m|ll|d)|[{LETTERS}]+|[0-9]|[^\s0-9{LETTERS}]+")
-SEPARATOR = "\x01"
-CACHE_SIZE = 400_000
+SEPARATOR, BREAK = "\x01", " "
+CACHE_SIZE = 800_000
+
+
+def byte_alphabet() -> str:
+    """The byte-level vocabularies' letter of each byte: printable ones stand for themselves, the rest follow from U+0100."""
+    shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    hidden = iter(range(0x100, 0x200))
+    return "".join(chr(b if b in shown else next(hidden)) for b in range(256))
+
+
+#: As the alphabet, but byte 2 becomes the break between pre-tokens; no letter of the alphabet is a blank.
+LETTER = byte_alphabet()[:2] + BREAK + byte_alphabet()[3:]
+
+
+def byte_level(text: str) -> str:
+    return codecs.charmap_decode(text.encode(), "strict", LETTER)[0]
 
 
 class FastTokenizer:
@@ -42,14 +58,9 @@ class FastTokenizer:
         self.words = self.pieces.normalizer is not None
         if self.words:
             self.pieces.normalizer = None  # given lower-case plain text only; nothing is left to normalise
-        self.pieces.pre_tokenizer = pre_tokenizers.Sequence(
-            [
-                pre_tokenizers.Split("\x02", "removed"),
-                pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False),
-            ]
-        )
+        self.pieces.pre_tokenizer = pre_tokenizers.Split(BREAK, "removed")  # bytes are mapped before
         self.cut = (WORD_CUT if self.words else BYTE_CUT).findall
-        ids = self.pieces.encode(SEPARATOR, add_special_tokens=False).ids
+        ids = self.pieces.encode(byte_level(SEPARATOR), add_special_tokens=False).ids
         self.mark = ids[0] if len(ids) == 1 else None
         self.cache: dict[str, bytes] = {}
 
@@ -70,7 +81,7 @@ class FastTokenizer:
         return out
 
     def _learn(self, parts: list[str]) -> None:
-        joined = f"\x02{SEPARATOR}\x02".join(parts)
+        joined = byte_level(f"\x02{SEPARATOR}\x02".join(parts))
         ids = np.array(self.pieces.encode_batch_fast([joined], add_special_tokens=False)[0].ids, dtype="<u4")
         ends = np.flatnonzero(ids == self.mark)
         starts = [0, *((ends + 1) * 4).tolist()]
