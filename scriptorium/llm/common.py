@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import uuid
 import zipfile
 from pathlib import Path
@@ -39,8 +41,11 @@ def ship_package(spark: SparkSession) -> None:
 
 def shared_dir(spark: SparkSession) -> str:
     """A fresh folder under spark.checkpoint.dir; a default of our own only where the setting is missing."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or LOCAL_DEFAULT
-    return f"{base.rstrip('/')}/scriptorium-{uuid.uuid4().hex}"
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    path = f"{(base or LOCAL_DEFAULT).rstrip('/')}/scriptorium-{uuid.uuid4().hex}"
+    if not base:  # a single machine, as in tests: nobody else cleans up
+        atexit.register(shutil.rmtree, path, ignore_errors=True)
+    return path
 
 
 def materialize(df: DataFrame, name: str, by: str | None = None) -> DataFrame:

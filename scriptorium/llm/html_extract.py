@@ -40,12 +40,17 @@ SCOPES = frozenset("article main section div ul ol dl table body nav aside heade
 #: Fixed classifier weights: of ancestors by element, and of words in their class and id.
 ELEMENTS = {"article": 3.0, "main": 3.0, "nav": -6.0, "footer": -6.0, "aside": -6.0, "form": -6.0, "header": -4.0, "menu": -6.0, "button": -6.0, "dialog": -6.0, "figcaption": -0.5, "address": -2.0, "title": -6.0}
 BAD = re.compile(
-    r"(?:^|[-_ ])(?:ads?|advert\w*|banner|breadcrumbs?|comments?|respond|cookies?|consent|notices?|alert|footer|header|masthead|menu|nav\w*|newsletter|popup|modal|promo\w*|related|recommend\w*|share|sharing|sidebar|social|sponsor\w*|subscribe|subscription|toolbar|widget|login|signup|search|disqus|replies|reply|legal|copyright|hidden)(?:$|[-_ ])",
+    r"(?:^|[-_ ])(?:ad(?:s|vert\w*|box|slot|unit|\d+)?|banner|breadcrumbs?|comment\w*|respond|cookies?|consent|gdpr|notices?|alert|disclaimer"
+    r"|footer|header|masthead|menu\w*|nav\w*|topbar|newsletter|popup|modal|dialog|overlay|promo\w*|related|recommend\w*|share|sharing|sidebar|side"
+    r"|complementary|contentinfo|social|sponsor\w*|subscribe|subscription|toolbar|widget|login|signup|register|search|form|disqus|replies|reply"
+    r"|discussion|pagination|pager|skip|legal|copyright|hidden)(?:$|[-_ ])",
     re.I,
 )
 GOOD = re.compile(r"(?:^|[-_ ])(?:article|content|entry|main|post|story|text|body)(?:$|[-_ ])", re.I)
 NAMES = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 ENDS = re.compile(r"[.!?,;:…](?:\s|$)")
+CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
+INVISIBLE = re.compile(r"display\s*:\s*none|(?:^|\s)hidden(?:\s|=|$)|aria-hidden\s*=\s*[\"']?true", re.I)
 SMOOTH, NEAR = 0.4, 1.2
 
 
@@ -66,7 +71,10 @@ def own_weight(tag: str, attributes: str, inside: float) -> float:
         weight = -0.5  # an article's own header holds its title
     if attributes:
         names = " ".join(a or b or c for _, a, b, c in NAMES.findall(attributes))
+        if INVISIBLE.search(attributes):
+            weight -= 6.0
         if names:
+            names = CAMEL.sub("-", names)
             if BAD.search(names):
                 weight -= 6.0
             elif GOOD.search(names):

@@ -19,6 +19,23 @@ def test_article_without_the_rest():
     assert H.main_text(PAGE).split("\n") == ["Title é A", "Some long body text here, with words. And more", "Second <p> paragraph, 1 & 2 < 3.", "item one", "item two"]
 
 
+P1 = "The first paragraph of the story goes on for a while, with commas, and then it ends."
+P2 = "A second one follows. It is also of some length, so that nobody doubts it is text."
+LAYOUTS = {
+    "classes": (f'<div class="topNav"><a href=/>Home</a> <a href=/a>About</a></div><div id="sideBar"><p>{P2} More.</p></div><div class="post-content"><h2>Story</h2><p>{P1}</p><p>Yes.</p><p>{P2}</p></div><div class="userComments"><p>{P1}</p></div><div class="ad-slot">{P1}</div>', ["Story", P1, "Yes.", P2]),
+    "bare": (f'<ul class=menu><li><a href=x>One</a><li><a href=y>Two</a></ul><p>{P1}<p>{P2}<div id=cookieNotice>We use cookies. {P1}</div><div id="footer">Imprint</div>', [P1, P2]),
+    "sections": (f'<main><section><h1>Head</h1><p>{P1}</p><table><tr><td>cell one</td><td>cell two</td></tr></table><pre>a  b\n c</pre></section><section id="comments"><h3>3 comments</h3><p>{P1}</p><form><textarea>x</textarea><button>Send</button></form></section></main><aside><p>{P2}</p></aside>', ["Head", P1, "cell one", "cell two", "a b c"]),
+    "inside": (f'<article><header><h1>Title</h1></header><p>{P1}</p><nav><a href=a>prev</a></nav><div class="notice">Subscribe. {P2}</div><p>See <a href=z>this page</a> too.</p><footer>By me</footer></article><article class="comment"><p>{P1}</p></article>', ["Title", P1, "See this page too."]),
+    "hidden": (f'<article><p>{P1}</p><div style="display: none">{P2}</div><p hidden>{P2}</p><p data-x="hidden-y">{P2}</p></article>', [P1, P2]),
+}
+
+
+@pytest.mark.parametrize("name", LAYOUTS)
+def test_layouts(name):
+    page, blocks = LAYOUTS[name]
+    assert H.main_text(page).split("\n") == blocks
+
+
 @pytest.mark.parametrize("page", [None, "", " ", "<", "<p", "<p>", "</", "<!--", "<script>x", "<nav><a href=x>y</a></nav>", "&am"])
 def test_broken_pages(page):
     assert isinstance(H.main_text(page), str)
