@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from scriptorium.functions.text import MISSING_ABSTRACTS, compact_key, hash_split, spaced_key
+from scriptorium.sources.tables import materialize, number_parts
 
 
 def clean(items: DataFrame, drop_missing_abstracts: bool = True) -> DataFrame:
@@ -21,33 +25,31 @@ def clean(items: DataFrame, drop_missing_abstracts: bool = True) -> DataFrame:
 def greedy_dedup(items: DataFrame) -> DataFrame:
     """First items whose abstract key and title key are both new among the kept ones of their user.
 
-    An item whose keys nobody of its user shares is kept and bears on no other.
-    Among the rest the order decides, so those of a user are folded in one task
-    by a grouped map, which gets and holds only 64-bit hashes of the keys.
+    The order decides, yet not all at once: an item that is the first
+    undecided one of both its keys is kept, and all others of these keys are
+    dropped; so it goes in rounds until none is undecided. Most items share no
+    key and are decided in the first round. Keys travel as 64-bit hashes.
     """
-    keyed = items.select(
-        "user_id", "pos", F.xxhash64(compact_key("abstract")).alias("a"), F.xxhash64(compact_key("title")).alias("t")
+    left = materialize(
+        items.select("user_id", "pos", F.xxhash64(compact_key("abstract")).alias("a"), F.xxhash64(compact_key("title")).alias("t")),
+        "undecided",
     )
-    abstracts = keyed.groupBy("user_id", "a").agg(F.count("*").alias("na"))
-    titles = keyed.groupBy("user_id", "t").agg(F.count("*").alias("nt"))
-    counted = keyed.join(abstracts, ["user_id", "a"]).join(titles, ["user_id", "t"])
-    alone = (F.col("na") == 1) & (F.col("nt") == 1)
-
-    def fold(frame):
-        frame = frame.sort_values("pos", kind="stable")
-        abstracts: set[int] = set()
-        titles: set[int] = set()
-        keep = []
-        for a, t in zip(frame["a"], frame["t"], strict=True):
-            new = a not in abstracts and t not in titles
-            keep.append(new)
-            if new:
-                abstracts.add(a)
-                titles.add(t)
-        return frame.loc[keep, ["user_id", "pos"]]
-
-    folded = counted.filter(~alone).select("user_id", "pos", "a", "t").groupBy("user_id").applyInPandas(fold, "user_id string, pos long")
-    return counted.filter(alone).select("user_id", "pos").unionByName(folded)
+    kept: DataFrame | None = None
+    while kept is None or not left.isEmpty():
+        first_a = left.groupBy("user_id", "a").agg(F.min("pos").alias("fa"))
+        first_t = left.groupBy("user_id", "t").agg(F.min("pos").alias("ft"))
+        marked = materialize(
+            left.join(first_a, ["user_id", "a"]).join(first_t, ["user_id", "t"]).withColumn(
+                "now", (F.col("pos") == F.col("fa")) & (F.col("pos") == F.col("ft"))
+            ),
+            "marked",
+        )
+        chosen = marked.filter("now")
+        kept = chosen.select("user_id", "pos") if kept is None else kept.unionByName(chosen.select("user_id", "pos"))
+        rest = marked.filter("NOT now").select("user_id", "pos", "a", "t")
+        rest = rest.join(chosen.select("user_id", "a"), ["user_id", "a"], "left_anti")
+        left = materialize(rest.join(chosen.select("user_id", "t"), ["user_id", "t"], "left_anti").select("user_id", "pos", "a", "t"), "undecided")
+    return kept.distinct()
 
 
 def greedy_dedup_array(items: Column, abstract: str = "abstract", title: str = "title") -> Column:
@@ -111,3 +113,44 @@ def disjoint_splits(rows: DataFrame, identifier: str, share: float) -> DataFrame
     split = rows.select(identifier, hash_split(identifier, share).alias("split"))
     shared = split.groupBy(identifier).agg(F.countDistinct("split").alias("k")).filter("k > 1").agg(F.count("*").alias("shared"))
     return split.groupBy("split").agg(F.count("*").alias("rows")).crossJoin(shared)
+
+
+def contrast_rows(rows: DataFrame, user: str, order: str) -> DataFrame:
+    """For each row the ``order`` of the nearest following row, cyclically, of another user; null if there is none.
+
+    Rows are read in ranges of a unique ``order``. Of each range only its first
+    row and the first row of another user than that one's go to the driver;
+    they say where a range's last run of one user continues.
+    """
+    placed = number_parts(rows.select(F.col(user).alias("user"), F.col(order).cast("long").alias("order")), "order")
+    heads = placed.filter("_place = 0").select("_part", F.col("user").alias("head"), F.col("order").alias("at"))
+    other = (
+        placed.join(F.broadcast(heads), "_part")
+        .filter(~F.col("user").eqNullSafe(F.col("head")))
+        .groupBy("_part")
+        .agg(F.min(F.struct("order", "user")).alias("o"))
+    )
+    parts = sorted(heads.join(other, "_part", "left").collect(), key=lambda r: r["_part"])
+    starts = [(r["_part"], [(r["at"], r["head"])] + ([(r["o"]["order"], r["o"]["user"])] if r["o"] else [])) for r in parts]
+
+    def follow(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            frame = frame.sort_values("_place", ascending=False)
+            part = int(frame["_part"].iloc[0])
+            at = next(i for i, (p, _) in enumerate(starts) if p == part)
+            later = [x for _, two in starts[at + 1 :] + starts[: at + 1] for x in two]
+            users, orders, out = frame["user"].tolist(), frame["order"].tolist(), []
+            run_next = None
+            for k, (u, o) in enumerate(zip(users, orders, strict=True)):
+                if k and u == users[k - 1]:
+                    pass
+                elif k:
+                    run_next = orders[k - 1]
+                else:
+                    run_next = next((o2 for o2, u2 in later if u2 != u), None)
+                out.append(run_next)
+            yield pd.DataFrame({"order": orders, "user": users, "contrast": pd.array(out, dtype="Int64")})
+
+    kind = rows.schema[user].dataType.simpleString()
+    found = placed.groupBy("_part").applyInPandas(lambda f: next(follow(iter([f]))), f"order long, user {kind}, contrast long")
+    return found.select(F.col("order").alias(order), F.col("user").alias(user), "contrast")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from scriptorium.functions import rouge, similarity, text
 from scriptorium.operators import datasets, factors, heads, pools, preferences, profiles, ranking, retrieval, validate
+from scriptorium.sources.tables import number_rows
 
 
 def lcs(a, b):
@@ -227,3 +228,18 @@ def test_no_target_in_model_visible_columns(spark):
     retrieved = spark.createDataFrame([("q", "u", 1, 1, 1.0)], "id string, user_id string, pos long, rank int, score double")
     pool = pools.candidate_pool(queries, retrieved, items)
     assert "secretword" not in str(pool.collect()) and "target" not in pool.columns
+
+
+@settings(max_examples=12, deadline=None)
+@given(st.lists(st.sampled_from("abc"), max_size=14))
+def test_contrast_is_the_next_row_of_another_user(spark, users):
+    n = len(users)
+    want = {i: next((j % n for j in range(i + 1, i + n) if users[j % n] != users[i]), None) for i in range(n)}
+    rows = spark.createDataFrame(list(enumerate(users)), "k long, u string")
+    assert {r["k"]: r["contrast"] for r in profiles.contrast_rows(rows, "u", "k").collect()} == want
+
+
+def test_row_numbers(spark):
+    rows = spark.range(0, 200, 3).repartition(7)
+    assert sorted((r["id"], r["number"]) for r in number_rows(rows, "id").collect()) == [(i, k) for k, i in enumerate(range(0, 200, 3))]
+    assert number_rows(rows.limit(0), "id").count() == 0
