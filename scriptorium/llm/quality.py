@@ -209,7 +209,6 @@ def judge_quality(
     stats = statistics(docs, carry).withColumn("base_failed", base_failed()).withColumns(vector())
     stats = materialize(stats, "statistics")
     grouped, small = groups(stats, least_group)
-    grouped = materialize(grouped, "grouped")
     sound = grouped.filter(~F.col("base_failed")).select("group", *FEATURES)
     center = sound.groupBy("group").agg(*(F.percentile_approx(x, 0.5, 2000).alias(f"med_{x}") for x in FEATURES))
     near = with_model(sound, center, small)
