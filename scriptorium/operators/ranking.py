@@ -8,7 +8,7 @@ from pyspark.sql import WindowSpec
 from pyspark.sql import functions as F
 
 from scriptorium.functions.text import hash_index
-from scriptorium.sources.tables import number_rows
+from scriptorium.sources.tables import materialize, number_rows
 
 EPSILON = 1e-12
 
@@ -220,6 +220,7 @@ def paired_bootstrap(rows: DataFrame, delta: str, order: str, draws: int, seed:
     any engine can repeat. Only the deltas and their numbers are resampled.
     """
     spark = rows.sparkSession
+    rows = materialize(rows.select(order, delta), "deltas")
     numbered = number_rows(rows.select(order, F.col(delta).cast("double").alias("d")), order).select("d", F.col("number").alias("k"))
     n = rows.agg(F.count("*").alias("n"))
     drawn = (

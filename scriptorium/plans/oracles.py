@@ -110,10 +110,16 @@ CTE = {
         FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY pos) AS n FROM pool WHERE parent_a IS NULL) p JOIN samp USING (id) WHERE n <= 4 AND target <> '')""",
     "sftc": """(SELECT p.id, p.id || ':' || a_candidate_id || ':' || b_candidate_id AS example_id,
         CASE WHEN a_text = target THEN 'keep_a' WHEN b_text = target THEN 'keep_b' ELSE 'merge' END AS action, target AS output FROM cpairs p JOIN samp USING (id) WHERE target <> '')""",
+    "cp": f"""(SELECT id, a_id, candidate_id AS b_id, fresh, value FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY value DESC, pos) AS n FROM (
+        SELECT id, a_id, candidate_id, pos, fresh, round(5e-1 * CASE WHEN n BETWEEN 2 AND 40 THEN 1e0 ELSE 0e0 END + 25e-2 * least(1e0, fresh / 3e0) + 15e-2 * CASE WHEN len(w) > 0 THEN len(list_intersect(w, q)) / len(w)::DOUBLE ELSE 0e0 END
+          + 1e-1 * (1 - {jac('w', 'aw', '0e0')}), 6) AS value FROM (
+        SELECT *, len(list_filter(list_intersect(w, q), lambda x: NOT list_contains(aw, x))) AS fresh FROM (SELECT s.id, s.pos, s.candidate_id, {TITLE_TOK.format('s.text')} AS w, len({tok('s.text')}) AS n, {TITLE_TOK.format('source_text')} AS q,
+          f.candidate_id AS a_id, f.pos AS apos, {TITLE_TOK.format('f.text')} AS aw FROM seeds s JOIN samp ON samp.id = s.id
+          JOIN (SELECT id, arg_min(candidate_id, pos) AS candidate_id, min(pos) AS pos, arg_min(text, pos) AS text FROM seeds GROUP BY id) f ON f.id = s.id) WHERE pos <> apos))) WHERE n = 1)""",
     "tf": "(SELECT DISTINCT user_id AS id, pos AS item, n, unnest(list_transform(words[1:8], lambda x: left(x, 1))) AS factor FROM (SELECT *, len(words[1:8]) AS n FROM hist))",
 }
 USES = {
-    "tf": "hist",
+    "tf": "hist", "cp": "seeds samp",
     "samp": "asked said", "lens": "hist", "stats": "lens", "post": "hist", "df": "post", "qterm": "samp",
     "matched": "qterm df post lens stats", "retr": "samp lens matched", "seeds": "samp retr hist", "cpairs": "seeds",
     "pool": "seeds samp cpairs", "scored": "pool samp", "deltas": "scored", "sc": "scored samp", "sc2": "sc pool",
@@ -431,6 +437,43 @@ def oracle_sql() -> dict[str, str]:
             """SELECT id, candidate_id, CAST(rank AS INT) AS rank, (n - rank + 1)::DOUBLE AS ranker_score FROM (SELECT *, count(*) OVER (PARTITION BY id) AS n,
             row_number() OVER (PARTITION BY id ORDER BY CASE WHEN parent_a IS NULL THEN -pos END NULLS LAST, pos) AS rank FROM pool)""",
         ),
+        "contrast_rows": sql(
+            "hist",
+            """, o AS (SELECT user_id, pos, row_number() OVER (ORDER BY pos) - 1 AS k, count(*) OVER () AS n FROM hist),
+            twice AS (SELECT user_id, pos, k FROM o UNION ALL SELECT user_id, pos, k + n FROM o),
+            starts AS (SELECT *, coalesce(lag(user_id) OVER (ORDER BY k) <> user_id, true) AS s FROM twice),
+            runs AS (SELECT *, sum(CASE WHEN s THEN 1 ELSE 0 END) OVER (ORDER BY k) AS r FROM starts),
+            heads AS (SELECT r - 1 AS r, arg_min(pos, k) AS contrast FROM runs GROUP BY r)
+            SELECT user_id, pos, contrast FROM runs LEFT JOIN heads USING (r) WHERE k < (SELECT count(*) FROM hist)""",
+        ),
+        "hash_sample": sql("hist", "SELECT id FROM hist ORDER BY sha256('5:' || id), id LIMIT 100"),
+        "calibration_split": sql(
+            "samp", "SELECT user_id, id, CASE WHEN row_number() OVER (PARTITION BY user_id ORDER BY id DESC) <= 1 THEN 'calibration' ELSE 'train' END AS part FROM samp"
+        ),
+        "changed_coverage": sql(
+            "deltas pool",
+            f"""SELECT id, candidate_id, round(CASE WHEN len(ch) = 0 THEN 1e0 ELSE len(list_intersect(ch, b)) / len(ch)::DOUBLE END, 6) AS coverage FROM (
+            SELECT id, candidate_id, b, list_filter(list_distinct(list_concat(a, b)), lambda x: NOT (list_contains(a, x) AND list_contains(b, x))) AS ch FROM (
+            SELECT d.id, d.candidate_id, {tok('p.text')} AS a, {tok('c.text')} AS b FROM deltas d JOIN pool c ON c.id = d.id AND c.candidate_id = d.candidate_id JOIN pool p ON p.id = d.id AND p.candidate_id = d.parent_id))""",
+        ),
+        "slate": sql(
+            "pool",
+            f"""SELECT id, type, CAST(pos AS INT) AS pos, text, CAST(place AS INT) AS place FROM (SELECT *, row_number() OVER (PARTITION BY id, type ORDER BY pos) AS place FROM (
+            SELECT *, row_number() OVER (PARTITION BY id, k ORDER BY p, pos) AS n FROM (SELECT *, list_position(['profile_seed', 'task_seed', 'crossover', 'mutation'], type) AS p, array_to_string({tok('text')}, ' ') AS k FROM pool)
+            WHERE p > 0 AND k <> '') WHERE n = 1) WHERE place <= CASE type WHEN 'profile_seed' THEN 2 WHEN 'mutation' THEN 3 ELSE 1 END""",
+        ),
+        "complementary_pair": sql("cp", "SELECT id, a_id, b_id, fresh, value FROM cp"),
+        "pair_gate": sql(
+            "cp",
+            """SELECT id, a_id, b_id, array_to_string(list_filter([CASE WHEN value < 6e-1 THEN 'value' END, CASE WHEN fresh < 1 THEN 'fresh' END, CASE WHEN a_id = b_id THEN 'same' END], lambda x: x IS NOT NULL), ',') AS reasons FROM cp""",
+        ),
+        "corpus_rouge_ci": sql(
+            "retr samp hist",
+            f""", r AS (SELECT row_number() OVER (ORDER BY id) - 1 AS k, round({rouge_1('a', 'b')}, 8) AS r1, round({rouge_l('a', 'b')}, 8) AS rl FROM (SELECT s.id, {tok('h.title')} AS a, {tok('s.target')} AS b FROM samp s
+            LEFT JOIN (SELECT * FROM retr WHERE rank = 1) t ON t.id = s.id LEFT JOIN hist h ON h.user_id = t.user_id AND h.pos = t.pos)), n AS (SELECT count(*) AS n FROM r),
+            m AS (SELECT b, round(avg(r1), 9) AS r1, round(avg(rl), 9) AS rl FROM (SELECT b, ('0x' || substr(md5('13:' || b || ':' || j), 1, 8))::BIGINT % n AS k FROM range(100) t(b), n, range((SELECT n FROM n)) u(j)) JOIN r USING (k) GROUP BY b)
+            SELECT {', '.join(f"round(quantile_cont({c}, {q}), 6) AS {c}_{name}" for c in ('r1', 'rl') for name, q in (('low', 0.025), ('mid', 0.5), ('high', 0.975)))} FROM m""",
+        ),
         "head_soup": "SELECT CAST(place - 1 AS INT) AS place, round(avg(w), 6) AS weight FROM (SELECT unnest(range(1, len(embedding) + 1)) AS place, unnest(embedding)::DOUBLE AS w FROM embeddings) GROUP BY place",
     }
     return {name: text.replace("  ", " ") for name, text in out.items()}

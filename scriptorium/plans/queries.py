@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scriptorium.functions import rouge, similarity, text
-from scriptorium.operators import datasets, factors, heads, pools, preferences, profiles, ranking, retrieval, validate
+from scriptorium.operators import datasets, factors, heads, pools, preferences, profiles, ranking, retrieval, selection, validate
 from scriptorium.plans import fixtures
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -308,6 +308,16 @@ QUERIES: dict[str, Callable[[Frames], DataFrame]] = {
     "linear_heads": linear_heads,
     "completed_rankings": completed_rankings,
     "clean_titles": lambda f: f.documents.select("doc_id", F.md5(text.clean_title("text")).alias("title")),
+    "contrast_rows": lambda f: profiles.contrast_rows(f.items, "user_id", "pos").select("user_id", "pos", "contrast"),
+    "hash_sample": lambda f: selection.hash_sample(f.items, "id", 100, "5").select("id"),
+    "calibration_split": lambda f: selection.calibration_split(f.samples, "user_id", "id", 1).select("user_id", "id", "part"),
+    "changed_coverage": lambda f: f.deltas.select(
+        "id", "candidate_id", F.round(selection.changed_coverage(F.col("parent_text"), F.col("text"), F.col("text")), 6).alias("coverage")
+    ),
+    "slate": lambda f: selection.slate(f.pool, {"profile_seed": 2, "task_seed": 1, "crossover": 1, "mutation": 3}),
+    "complementary_pair": lambda f: selection.complementary_pair(f.seeds, f.samples),
+    "pair_gate": lambda f: selection.pair_gate(selection.complementary_pair(f.seeds, f.samples)),
+    "corpus_rouge_ci": lambda f: selection.corpus_rouge(f.top_titles, "title", "target", 100, "13"),
     "head_soup": lambda f: ranking.average_heads(f.embeddings.select(F.transform("embedding", lambda x: x.cast("double")).alias("weights"))),
 }
 

@@ -8,7 +8,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from scriptorium.functions import rouge, similarity, text
-from scriptorium.operators import datasets, factors, heads, pools, preferences, profiles, ranking, retrieval, validate
+from scriptorium.operators import datasets, factors, heads, pools, preferences, profiles, ranking, retrieval, selection, validate
 from scriptorium.sources.tables import number_rows
 
 
@@ -243,3 +243,21 @@ def test_row_numbers(spark):
     rows = spark.range(0, 200, 3).repartition(7)
     assert sorted((r["id"], r["number"]) for r in number_rows(rows, "id").collect()) == [(i, k) for k, i in enumerate(range(0, 200, 3))]
     assert number_rows(rows.limit(0), "id").count() == 0
+
+
+def test_coverage_slates_and_pairs(spark):
+    rows = [("a b", "a c", "b and c", 1.0), ("a b", "a c", "b", 0.5), ("a", "A", "", 1.0), ("a", "b", "", 0.0)]
+    frame = spark.createDataFrame(rows, "p string, g string, t string, e double")
+    assert all(r[0] == r[1] for r in frame.select(selection.changed_coverage(F.col("p"), F.col("g"), F.col("t")), "e").collect())
+    pool = spark.createDataFrame([("q", "x", 0, "One"), ("q", "y", 1, "one!"), ("q", "y", 2, "two"), ("q", "x", 3, "three"), ("q", "z", 4, "four")], "id string, type string, pos int, text string")
+    assert {r["text"] for r in selection.slate(pool, {"y": 1, "x": 5}).collect()} == {"one!", "three"}
+    candidates = spark.createDataFrame([("q", 0, "a", "deep trees"), ("q", 1, "b", "deep trees grow"), ("q", 2, "c", "deep forests grow fast")], "id string, pos int, candidate_id string, text string")
+    queries = spark.createDataFrame([("q", "forests of deep trees grow fast")], "id string, source_text string")
+    pair = selection.complementary_pair(candidates, queries).first()
+    assert (pair["a_id"], pair["b_id"], pair["fresh"]) == ("a", "c", 3)
+    gate = selection.pair_gate(spark.createDataFrame([("q", "a", "a", 0, 0.1)], "id string, a_id string, b_id string, fresh long, value double"))
+    assert gate.first()["reasons"] == "value,fresh,same"
+    context = spark.range(1).select(selection.context_text("provenance_aware", F.lit("s"), F.lit("t"), F.lit("f")), selection.context_text("candidate_only", F.lit("s"), F.lit("t"), F.lit("f"))).first()
+    assert tuple(context) == ("s\nt\nf", "")
+    with pytest.raises(ValueError):
+        selection.context_text("other", F.lit(""), F.lit(""), F.lit(""))
