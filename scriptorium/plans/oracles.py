@@ -339,6 +339,8 @@ def oracle_sql() -> dict[str, str]:
         "length_diagnostics": f"""SELECT count(*) AS examples, round(avg(n), 6) AS mean_tokens, round(avg(CASE WHEN n > 512 THEN 1e0 ELSE 0e0 END), 6) AS truncated_share
             FROM (SELECT len({tok('text')}) AS n FROM documents)""",
         "text_keys": f"SELECT doc_id, md5({key('text')}) AS compact_key, md5(array_to_string({tok('text')}, ' ')) AS spaced_key, len({TITLE_TOK.format('text')}) AS title_tokens FROM documents",
+        "clean_titles": r"""SELECT doc_id, md5(coalesce(left(list_filter(list_transform(string_split(t, chr(10)), lambda x: trim(regexp_replace(trim(x), '^"+|"+$', '', 'g'))), lambda x: len(x) > 0)[1], 300), '')) AS title
+            FROM (SELECT doc_id, trim(regexp_replace(trim(regexp_replace(trim(coalesce(text, '')), '(?i)^```(?:text|title)?\s*|\s*```$', '', 'g')), '(?i)^(?:title|output)\s*:\s*', '')) AS t FROM documents)""",
         "leak_flags": r"""SELECT doc_id, regexp_matches(coalesce(text, ''), '(?i)\b(?:gold|ground[ -]?truth|rouge|reference answer|target title)\b') AS forbidden FROM documents""",
         "hit_mrr_ndcg": sql(
             "ranked",
