@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from scriptorium.llm import decontam, jaccard_join, packing, quality, toxicity
 from scriptorium.llm.common import documents, materialize
@@ -10,9 +11,9 @@ from scriptorium.llm.common import documents, materialize
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop the rows that the base rules or the outlier test reject."""
-    rest = [c for c in docs.columns if c not in ("doc_id", "lang", "source")]
-    judged = quality.judge_quality(docs, carry=("lang", "source", *rest))
-    return judged.filter("kept").select(*docs.columns)
+    whole = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row")  # as one value no column can clash
+    judged = quality.judge_quality(docs.select("doc_id", "text", "lang", "source", whole), carry=("_row",))
+    return judged.filter("kept").select("_row.*")
 
 
 def toxic_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,7 +34,8 @@ def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def packed_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the kept texts with their places in sequences of 4096 tokens."""
-    packed = packing.pack_pieces(packing.tokenise_pieces(docs))
+    # workers still hold what earlier stages left them, so they remember fewer pre-tokens here
+    packed = packing.pack_pieces(packing.tokenise_pieces(docs, cache_size=150_000))
     return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ship_package
+from .common import ship_package, tidy
 
 #: Bytes to words: A-Z lowered, ASCII other than 0-9 and a-z becomes a blank, all other bytes stay.
 TABLE = bytes(
@@ -206,6 +206,7 @@ def remove_contaminated(
         for batch in batches:
             clean = [not hit.any() for _, hit, _ in probes(blocks, width, batch.column(at).to_pylist())]
             yield batch.filter(pa.array(clean, pa.bool_()))
+        tidy()
 
     return docs.mapInArrow(keep, docs.schema)
 

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import discard, materialize, ship_package
+from .common import discard, materialize, ship_package, tidy
 
 #: A-Z lowered; bytes.split() then cuts at exactly space and \x09 to \x0d.
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -66,6 +66,12 @@ def shingle_set(text: str | None, width: int = WIDTH) -> np.ndarray:
     return x[np.concatenate(([True], x[1:] != x[:-1]))]
 
 
+def forget_words() -> None:
+    """At the end of a task: the words of the next one are hashed anew in no time."""
+    _WORDS.clear()
+    tidy()
+
+
 def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A few texts at a time: long ones must not pile up in a worker."""
     for batch in batches:
@@ -126,6 +132,8 @@ def describe(docs: DataFrame, bits: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays(columns, names)
         if held:
             yield flush()
+        held.clear()
+        forget_words()
 
     return docs.mapInArrow(scan, "doc_id long, n_shingles long, node long, range int, blob binary")
 
@@ -180,6 +188,7 @@ def prefixes(docs: DataFrame, shared, bits: int) -> DataFrame:
                 [pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()), pa.array(firsts, pa.list_(pa.int64()))],
                 ["doc_id", "n", "node", "prefix"],
             )
+        forget_words()
 
     return docs.mapInArrow(scan, "doc_id long, n long, node long, prefix array<long>")
 
@@ -199,6 +208,7 @@ def sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                     nodes.append(node)
                     sets.append(tokens.view(np.int64))
             yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], ["node", "tokens"])
+        forget_words()
 
     return joined.select("text", "_node").mapInArrow(scan, "node long, tokens array<long>").dropDuplicates(["node"])
 
@@ -275,6 +285,8 @@ def candidates_of_lists(members: DataFrame) -> DataFrame:
         ok &= node[x][:, None] != node[y][None, :]
         i, j = np.nonzero(ok)
         a, b = node[x[i]], node[y[j]]
+        del whole, pairs, before, common, least, most, total, overlap, ok
+        tidy()
         return pa.table({"a": pa.array(np.minimum(a, b), pa.int64()), "b": pa.array(np.maximum(a, b), pa.int64())})
 
     return members.groupBy("tok", "part").applyInArrow(match, "a long, b long").distinct()

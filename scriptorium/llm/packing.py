@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import discard, materialize, ship_package, text_or_empty
-from .tokens import public_path, tokenizer
+from .tokens import CACHE_SIZE, public_path, tokenizer
 
 #: A sequence's tokens, the most rounds of the program, lengths priced in one.
 CAPACITY, ROUNDS, PRICED = 4096, 8192, 64
@@ -187,9 +187,12 @@ class Slots:
         return first[at] + inside // copies[at], offset[at] + (inside % copies[at]) * size
 
 
-def tokenise_pieces(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str | None = None, end_id: int = 1) -> DataFrame:
+def tokenise_pieces(
+    docs: DataFrame, capacity: int = CAPACITY, vocabulary: str | None = None, end_id: int = 1, cache_size: int = CACHE_SIZE
+) -> DataFrame:
     """Pieces of ``docs(doc_id, text)``: doc_id, piece, start, length, ids_crc32; only texts over ``capacity`` are cut.
 
+    ``cache_size`` bounds the pre-tokens that a worker remembers.
     A null or empty text has only the end id; repeated rows give pieces each.
     """
     ship_package(docs.sparkSession)
@@ -197,7 +200,7 @@ def tokenise_pieces(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str |
     end = np.array([end_id], dtype="<u4").tobytes()
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = tokenizer(vocabulary)
+        encoder = tokenizer(vocabulary, cache_size)
         for batch in batches:
             for begin in range(0, batch.num_rows, 256):
                 part = batch.slice(begin, 256)

@@ -12,6 +12,7 @@ from __future__ import annotations
 import codecs
 import os
 import re
+from functools import cached_property
 
 import numpy as np
 
@@ -25,7 +26,7 @@ BYTE_CUT = re.compile(
 #: Pre-tokens of the lower-case word vocabulary; white space falls away.
 WORD_CUT = re.compile(rf"'(?:s|t|re|ve|m|ll|d)|[{LETTERS}]+|[0-9]|[^\s0-9{LETTERS}]+")
 SEPARATOR, BREAK = "\x01", " "
-CACHE_SIZE = 800_000
+CACHE_SIZE = 700_000
 
 
 def byte_alphabet() -> str:
@@ -46,13 +47,12 @@ def byte_level(text: str) -> str:
 class FastTokenizer:
     """Ids of whole texts as little-endian unsigned 32-bit bytes, equal to the library's own."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, cache_size: int = CACHE_SIZE):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         os.environ.setdefault("RAYON_NUM_THREADS", "1")
         from tokenizers import Tokenizer, pre_tokenizers
 
-        self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True
+        self.path, self.cache_size = path, cache_size
         self.pieces = Tokenizer.from_file(path)
         self.pieces.encode_special_tokens = True
         self.words = self.pieces.normalizer is not None
@@ -64,6 +64,15 @@ class FastTokenizer:
         self.mark = ids[0] if len(ids) == 1 else None
         self.cache: dict[str, bytes] = {}
 
+    @cached_property
+    def library(self):
+        """The library's own tokenizer, for texts that are not plain."""
+        from tokenizers import Tokenizer
+
+        tokenizer = Tokenizer.from_file(self.path)
+        tokenizer.encode_special_tokens = True
+        return tokenizer
+
     def encode(self, texts: list[str]) -> list[bytes]:
         out: list[bytes] = []
         for text in texts:
@@ -76,10 +85,16 @@ class FastTokenizer:
             if missing:
                 self._learn(list(missing))
             out.append(b"".join(map(self.cache.__getitem__, parts)))
-            if len(self.cache) > CACHE_SIZE:
-                self.cache.clear()
+            if len(self.cache) > self.cache_size:
+                self._forget()
         return out
 
+    def _forget(self) -> None:
+        """Drop the longest pre-tokens, down to half the cache: short ones come again sooner."""
+        lengths = sorted(map(len, self.cache))
+        most = lengths[self.cache_size // 2] - 1
+        self.cache = {part: ids for part, ids in self.cache.items() if len(part) <= most}
+
     def _learn(self, parts: list[str]) -> None:
         joined = byte_level(f"\x02{SEPARATOR}\x02".join(parts))
         ids = np.array(self.pieces.encode_batch_fast([joined], add_special_tokens=False)[0].ids, dtype="<u4")
@@ -90,14 +105,15 @@ class FastTokenizer:
         self.cache.update(zip(parts, (raw[a:b] for a, b in zip(starts, stops, strict=True)), strict=True))
 
 
-_LOADED: dict[str, FastTokenizer] = {}
+_LOADED: dict[tuple[str, int], FastTokenizer] = {}
 
 
-def tokenizer(path: str) -> FastTokenizer:
+def tokenizer(path: str, cache_size: int = CACHE_SIZE) -> FastTokenizer:
     """The tokenizer of a file, loaded once per worker."""
-    if path not in _LOADED:
-        _LOADED[path] = FastTokenizer(path)
-    return _LOADED[path]
+    key = (path, cache_size)
+    if key not in _LOADED:
+        _LOADED[key] = FastTokenizer(path, cache_size)
+    return _LOADED[key]
 
 
 def public_path(name: str) -> str:

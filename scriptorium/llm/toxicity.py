@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_of_id, discard, materialize, ship_package
+from .common import crc_of_id, discard, materialize, ship_package, tidy
 
 WORD = re.compile(r"[^\W\d_]+")
 PARTS, HELD_OUT, THRESHOLD = 4, 2, 0.3
@@ -219,6 +219,7 @@ def learn_toxicity(
                 if len(seen[0]) + len(seen[1]) > 600_000:
                     yield flush()
         yield flush()
+        tidy()
 
     counts = (
         rows.mapInArrow(count, "feature string, clean long, toxic long")
@@ -332,6 +333,8 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, threshold: float = THR
                 ],
                 ["doc_id", "score", "predicted", "passages"],
             )
+        m.known = {}
+        tidy()
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "text").mapInArrow(
@@ -353,5 +356,7 @@ def remove_toxic(docs: DataFrame, model: ToxicityModel, threshold: float = THRES
             features = [m.evidence(n, w, [s.score for s in x]) for n, w, x in found]
             p = m.probability(np.array(features))
             yield batch.filter(pa.array(p < threshold))
+        m.known = {}
+        tidy()
 
     return docs.mapInArrow(keep, docs.schema)

@@ -19,8 +19,8 @@ def make(spark, folder):
     texts[12] = None
     texts[13] = "too few"
     texts[14] += " " + leak
-    rows = [(i, t, "en", "s", len(t or "")) for i, t in enumerate(texts)] + [(None, texts[20], None, None, None)]
-    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{folder}/documents.parquet")
+    rows = [(i, t, "en", "s", len(t or ""), 1, "x") for i, t in enumerate(texts)] + [(None, texts[20], None, None, None, None, None)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_words long, group int, kept string").write.parquet(f"{folder}/documents.parquet")
     spark.createDataFrame([(i, 1, int(i % 6 == 0)) for i in range(300)], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
     spark.createDataFrame([(1, leak)], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
     return rows, leak
