@@ -25,14 +25,14 @@ BLANKS = " \t\n\x0b\x0c\r"
 FEATURES = {
     "x_length": 0.5,
     "x_word": 0.25,
-    "x_symbols": 0.15,
+    "x_symbols": 0.05,
     "x_lines": 0.08,
     "x_repeats": 0.08,
     "x_capitals": 0.08,
     "x_marks": 0.15,
     "x_echoes": 0.08,
 }
-SHARE, STEPS, LEAST_GROUP, TAIL = 0.75, 3, 200, 1e-6
+SHARE, STEPS, LEAST_GROUP, TAIL = 0.75, 3, 200, 1e-4
 #: The largest model that is broadcast: rows, of some 40 numbers each.
 BROADCAST_GROUPS = 20_000
 

@@ -44,6 +44,16 @@ def test_outliers_go_and_clean_texts_stay(spark, none):
     assert Q.judge_quality(none).count() == 0
 
 
+def test_symbol_junk_goes(spark):
+    r = random.Random(2)
+    word = lambda: "".join(r.choice("abcdefghijklm") for _ in range(r.randint(2, 8)))
+    rows = [(i, " ".join(word() for _ in range(r.randint(30, 400))) + ".", "en", "s") for i in range(500)]
+    rows += [(1000 + i, " | ".join(word() for _ in range(r.randint(40, 100))), "en", "s") for i in range(20)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    got = {r["doc_id"]: r["kept"] for r in Q.judge_quality(frame).collect()}
+    assert all(got[i] for i in range(500)) and not any(got[1000 + i] for i in range(20))
+
+
 def test_estimate_inverts_the_covariance(spark):
     names = list(Q.FEATURES)
     x = np.random.default_rng(0).normal(size=(400, len(names))) @ np.random.default_rng(1).normal(size=(len(names), len(names)))
