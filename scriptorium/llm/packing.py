@@ -2,11 +2,15 @@
 
 Pieces are at most ``capacity`` long, so their histogram has at most
 ``capacity`` bins however many pieces there are; only it comes to the driver.
-The covering program (patterns of lengths that fit a sequence; use as few as
-possible so that every length is covered) is solved by multiplicative weights:
-each round prices a spread of the uncovered lengths, a knapsack dynamic program
-finds their best pattern, and the prices of covered lengths fall. The solution is rounded down
-to whole patterns and the rest of the histogram is packed best fit first, many
+A greedy fill of whole patterns and best fit give a first plan. Unless a lower
+bound shows it to be within ``GAP`` (and less than one sequence more), the
+covering program (patterns of lengths that fit a sequence; use as few as
+possible so that every length is covered) is solved over all lengths by column
+generation: the simplex method's dual weights price the lengths, an exact
+knapsack finds the best new pattern, and its value bounds the optimum from
+below. The solution is rounded down to whole patterns, the rest of the
+histogram is packed like the first plan, and the shorter plan holds. Best fit
+packs the longest first, many
 equal sequences at a time. Pieces then take the plan's slots by their rank
 among all pieces of their length, found by one range exchange over (length,
 id), so no length, however common, meets in one task.
@@ -14,6 +18,7 @@ id), so no length, however common, meets in one task.
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections.abc import Iterator
 
@@ -28,6 +33,8 @@ from .tokens import CACHE_SIZE, public_path, tokenizer
 
 #: A sequence's tokens, the most rounds of the program, lengths priced in one.
 CAPACITY, ROUNDS, PRICED = 4096, 8192, 64
+#: How far above the lower bound, as a share of it, a plan or the program's value may lie to be final.
+GAP = 0.002
 #: How strongly prices fall with coverage, and the share of a length that a round covers.
 RATE, STEP = 0.1, 1.0
 #: Prices grow a little faster than sizes, so that of equally full patterns the one with larger pieces wins; a pattern
@@ -74,7 +81,7 @@ def solve_program(
     step: float = STEP,
     spread: int = PRICED,
 ) -> list[tuple[dict[int, int], float]]:
-    """A cover by multiplicative weights: patterns and how often each is used.
+    """A first cover by a greedy fill: full patterns and how often each is used, until few are left.
 
     A length's price is a power of its size times exp(-rate * covered share), so
     lengths that lag behind grow dear and steer the patterns. Every round prices
@@ -113,6 +120,70 @@ def solve_program(
     return [(dict(key), amount) for key, amount in out.items()]
 
 
+def solve_configurations(
+    histogram: dict[int, int], pool: list[dict[int, int]], capacity: int = CAPACITY, gap: float = GAP
+) -> tuple[list[tuple[dict[int, int], float]], float]:
+    """The covering program over all lengths: patterns with their amounts, and a lower bound on any plan's sequences.
+
+    A revised simplex method starts from patterns of one length each and takes
+    columns from ``pool`` and from the knapsack. It ends when no pattern is worth
+    more than 1 at the dual weights, or the value is within ``gap`` of the bound.
+    """
+    lengths = np.array(sorted(histogram), dtype=np.int64)
+    counts = np.array([histogram[x] for x in lengths.tolist()], dtype=np.int64)
+    m, place = len(lengths), {x: i for i, x in enumerate(lengths.tolist())}
+    bound = float(lengths @ counts) / capacity
+
+    def column(pattern: dict[int, int]) -> np.ndarray:
+        out = np.zeros(m)
+        for x, k in pattern.items():
+            out[place[x]] = k
+        return out
+
+    single = np.minimum(capacity // lengths, counts).astype(np.float64)
+    basis, cost, inverse = np.diag(single), np.ones(m), np.diag(1 / single)
+    columns = np.array([column(p) for p in pool]).reshape(len(pool), m)
+    # a slightly larger demand, another for each length, so that no step stands still
+    demand = counts * (1 + 1e-7 * np.random.default_rng(8).random(m))
+    amounts, pivots = inverse @ demand, 0
+    while True:
+        weights = cost @ inverse
+        low = int(np.argmin(weights))
+        if weights[low] < -1e-9:
+            entering, price = -np.eye(1, m, low)[0], 0.0  # cover this length more than asked
+        else:
+            weights = np.maximum(weights, 0.0)
+            worth = columns @ weights
+            at = int(np.argmax(worth)) if len(worth) else -1
+            if at >= 0 and worth[at] > 1 + 1e-7:
+                entering, price = columns[at], 1.0
+            else:
+                entering, price = column(price_pattern(lengths, counts, weights, capacity)), 1.0
+                value = float(entering @ weights)
+                bound = max(bound, float(weights @ counts) / max(value, 1.0))
+                if value <= 1 + 1e-7 or cost @ amounts <= bound * (1 + gap):
+                    break
+                columns = np.vstack((columns, entering))
+        step = inverse @ entering
+        grows = np.flatnonzero(step > 1e-9)
+        leaving = int(grows[np.argmin(amounts[grows] / step[grows])])
+        basis[:, leaving], cost[leaving] = entering, price
+        pivots += 1
+        if pivots % 200:
+            row = inverse[leaving] / step[leaving]
+            inverse -= np.outer(step, row)
+            inverse[leaving] = row
+        else:
+            inverse = np.linalg.inv(basis)
+        amounts = np.maximum(inverse @ demand, 0.0)
+    found = np.maximum(inverse @ counts, 0.0)
+    patterns = [
+        ({int(lengths[i]): int(basis[i, j]) for i in np.flatnonzero(basis[:, j])}, float(found[j]))
+        for j in np.flatnonzero((cost > 0) & (found > 1e-9))
+    ]
+    return patterns, bound
+
+
 def round_down(solution: list[tuple[dict[int, int], float]], histogram: dict[int, int]) -> tuple[list[Pattern], dict[int, int]]:
     """Whole uses of the patterns that the histogram allows, and what is left of it."""
     left = dict(histogram)
@@ -158,8 +229,23 @@ def best_fit(histogram: dict[int, int], capacity: int = CAPACITY) -> list[Patter
 
 def plan_sequences(histogram: dict[int, int], capacity: int = CAPACITY, rounds: int = ROUNDS) -> list[Pattern]:
     """Patterns with whole multiplicities that use every piece exactly once."""
-    whole, left = round_down(solve_program(histogram, capacity, rounds), histogram)
-    return whole + best_fit(left, capacity)
+
+    def fill(rest: dict[int, int]) -> list[Pattern]:
+        whole, left = round_down(solve_program(rest, capacity, rounds), rest)
+        return min(whole + best_fit(left, capacity), best_fit(rest, capacity), key=sequences)
+
+    if not histogram:
+        return []
+    plan = fill(histogram)
+    if sequences(plan) <= math.ceil(sum(x * n for x, n in histogram.items()) / capacity * (1 + GAP) - 1e-9):
+        return plan
+    solution, _ = solve_configurations(histogram, [p for p, _ in plan], capacity)
+    whole, left = round_down(solution, histogram)
+    return min(plan, whole + fill(left), key=sequences)
+
+
+def sequences(plan: list[Pattern]) -> int:
+    return sum(times for _, times in plan)
 
 
 class Slots:

@@ -91,6 +91,18 @@ def test_plans_use_every_piece_once(histogram):
     assert used == histogram
 
 
+def test_plans_reach_the_program_where_no_pattern_is_full():
+    histogram = {2080: 600, 1070: 600, 1130: 600, 890: 1200}
+    plan = P.plan_sequences(histogram)
+    used = {}
+    for pattern, times in plan:
+        assert sum(x * k for x, k in pattern.items()) <= 4096
+        for x, k in pattern.items():
+            used[x] = used.get(x, 0) + k * times
+    assert used == histogram
+    assert sum(times for _, times in plan) <= 904  # no pattern holds more than 4040, so 900 are needed
+
+
 def test_knapsack_is_exact():
     rng = np.random.default_rng(3)
     for _ in range(30):
