@@ -109,6 +109,22 @@ def test_preferences_compare_ids_as_strings(spark):
     assert got["b"]["status"] == "accepted" and got["c"]["status"] == "insufficient_responses"
 
 
+def test_rewards_read_whole_texts(spark):
+    r = random.Random(6)
+    draw = lambda n: [r.choice("abcdef") for _ in range(n)]
+    target = draw(90)
+    texts = {"r0": target[:32] + ["x"] * 50, "r1": target, "r2": [], **{f"r{k}": draw(r.randint(1, 150)) for k in range(3, 20)}}
+    rows = [("a", k, " ".join(v), " ".join(target)) for k, v in texts.items()] + [("b", "r0", "x", None), ("b", "r1", None, "x")]
+    frame = spark.createDataFrame(rows, "rollout_id string, response_id string, output string, target string")
+    rewards = preferences.reward_rollouts(frame)
+    got = {(x["rollout_id"], x["response_id"]): x["reward"] for x in rewards.collect()}
+    assert got["b", "r0"] == got["b", "r1"] == 0
+    for k, v in texts.items():
+        assert got["a", k] == pytest.approx(2 * lcs(v, target) / (len(v) + len(target)), abs=1e-8)
+    first = {x["rollout_id"]: x for x in preferences.gold_preferences(rewards).collect()}["a"]
+    assert first["chosen_id"] == "r1" and first["chosen_reward"] == 1
+
+
 def test_dpo_loss_is_ln_2_where_policy_is_reference(spark):
     x = F.lit(-3.0)
     assert spark.range(1).select(preferences.dpo_loss(x, x, x, x)).first()[0] == pytest.approx(math.log(2))
