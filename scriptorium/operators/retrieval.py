@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from scriptorium.functions.text import jaccard, title_tokens
+from scriptorium.sources.tables import materialize
 
 TOP_K, K1, B = 8, 1.5, 0.75
 
@@ -69,33 +70,42 @@ def leave_one_out(items: DataFrame, query: Column, top_k: int = TOP_K, k1: float
     Statistics leave out the held-out item in closed form: one item less, its
     words off the total length, and one off the document frequency of its own
     terms. ``items`` must be free of repeated keys. Items that match none of
-    the query's terms are not ranked.
+    the query's terms score 0 and fill the ranks; ties go to the lower pos.
     """
     lengths = items.select("user_id", "pos", F.size("words").cast("double").alias("len"))
     stats = lengths.groupBy("user_id").agg(F.count("*").cast("double").alias("n"), F.sum("len").alias("total"))
     posted = postings(items)
     df = posted.groupBy("user_id", "term").agg(F.count("*").cast("double").alias("df"))
+    # the query's terms come from the held-out item itself, so each of them loses one document
+    n = F.col("n") - 1
+    average = (F.col("total") - F.col("len")) / F.greatest(n, F.lit(1.0))
     asked = (
-        items.select("user_id", F.col("pos").alias("held"), F.explode(query).alias("term"))
-        .groupBy("user_id", "held", "term")
+        items.select("user_id", "pos", F.explode(query).alias("term"))
+        .groupBy("user_id", "pos", "term")
         .agg(F.count("*").cast("double").alias("qtf"))
         .join(df, ["user_id", "term"])
-    )
-    own = lengths.select("user_id", F.col("pos").alias("held"), F.col("len").alias("held_len"))
-    matched = (
-        asked.join(posted, ["user_id", "term"])
-        .filter("held <> pos")
         .join(lengths, ["user_id", "pos"])
-        .join(own, ["user_id", "held"])
         .join(stats, "user_id")
+        .select(
+            "user_id",
+            F.col("pos").alias("held"),
+            "term",
+            (F.col("qtf") * _idf(n, F.col("df") - 1)).alias("worth"),
+            F.when(average == 0, F.lit(1.0)).otherwise(average).alias("average"),
+        )
     )
-    # the query's terms come from the held-out item itself, so each of them loses one document
-    n, d = F.col("n") - 1, F.col("df") - 1
-    average = (F.col("total") - F.col("held_len")) / n
-    average = F.when(average == 0, F.lit(1.0)).otherwise(average)
-    part = F.col("qtf") * _idf(n, d) * _weight(F.col("tf"), F.col("len"), average, k1, b)
+    matched = asked.join(posted.join(lengths, ["user_id", "pos"]), ["user_id", "term"]).filter("held <> pos")
+    part = F.col("worth") * _weight(F.col("tf"), F.col("len"), F.col("average"), k1, b)
     scored = matched.groupBy("user_id", "held", "pos").agg(F.round(F.sum(part), 6).alias("score"))
-    return best(scored.withColumn("id", F.col("held")), top_k).select("user_id", "held", "pos", "rank", "score")
+    own = F.struct("user_id", "held").alias("id")
+    found = materialize(best(scored.select(own, "user_id", "held", "pos", "score"), top_k).drop("rank"), "leave-one-out")
+    # only items with fewer than top_k matches, all of which are found, are filled
+    matches = found.groupBy("user_id", "held").agg(F.count("*").alias("matches"))
+    every = lengths.select("user_id", F.col("pos").alias("held"))
+    few = every.join(matches, ["user_id", "held"], "left").filter(F.coalesce("matches", F.lit(0)) < top_k)
+    zeros = few.join(lengths, "user_id").filter("held <> pos").join(found, ["user_id", "held", "pos"], "left_anti")
+    filled = found.unionByName(zeros.select(own, "user_id", "held", "pos", F.lit(0.0).alias("score")))
+    return best(filled, top_k).select("user_id", "held", "pos", "rank", "score")
 
 
 def jaccard_rank(queries: DataFrame, items: DataFrame, top_k: int = TOP_K) -> DataFrame:

@@ -216,6 +216,17 @@ def completed_rankings(f: Frames) -> DataFrame:
     return validate.complete_ranking(named, f.pool.select("id", "pos", "candidate_id")).select("id", "candidate_id", "rank", "ranker_score")
 
 
+def loo_bm25(f: Frames) -> DataFrame:
+    """Every item of a deduplicated history, searched with its whole abstract among the others of its user."""
+    keyed = f.items.filter((text.compact_key("abstract") != "") & (text.compact_key("title") != ""))
+    kept = profiles.greedy_dedup(keyed).select("user_id", "pos")
+    large = kept.groupBy("user_id").agg(F.count("*").alias("n")).filter(F.col("n") >= LEAST_HISTORY).select("user_id")
+    items = keyed.join(kept, ["user_id", "pos"], "left_semi").join(large, "user_id", "left_semi")
+    return retrieval.leave_one_out(items, F.slice("words", fixtures.TITLE_TOKENS + 1, 2147483647))
+
+
+#: Smaller histories are not searched.
+LEAST_HISTORY = 10
 GRID = (0.0, 0.25, 0.5, 0.75, 1.0)
 
 QUERIES: dict[str, Callable[[Frames], DataFrame]] = {
@@ -227,7 +238,7 @@ QUERIES: dict[str, Callable[[Frames], DataFrame]] = {
     "first_occurrence_dedup": lambda f: profiles.first_by_key(f.items, "user_id", "title", "pos").select("user_id", "pos", "title", "place"),
     "visible_history": lambda f: f.visible,
     "target_denylist": lambda f: profiles.deny_targets(f.items, f.samples).select("user_id", "pos"),
-    "loo_bm25": lambda f: retrieval.leave_one_out(f.items, F.slice("words", 1, fixtures.TITLE_TOKENS)),
+    "loo_bm25": loo_bm25,
     "jaccard_profile_rank": lambda f: retrieval.jaccard_rank(f.samples, f.items),
     "content_negatives": lambda f: retrieval.content_negatives(f.samples, f.items).select("id", "pos", "rank", "score"),
     "dense_topk": lambda f: retrieval.dense_top(

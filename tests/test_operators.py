@@ -1,6 +1,7 @@
 import difflib
 import math
 import random
+from types import SimpleNamespace
 
 import pytest
 from hypothesis import given, settings
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 
 from scriptorium.functions import rouge, similarity, text
 from scriptorium.operators import datasets, factors, heads, pools, preferences, profiles, ranking, retrieval, selection, validate
+from scriptorium.plans import queries
 from scriptorium.sources.tables import number_rows
 
 
@@ -95,6 +97,34 @@ def test_leave_one_out_equals_recomputed_statistics(spark):
             assert got.get((held, p), 0.0) == pytest.approx(round(total, 6), abs=2e-6)
 
 
+def test_loo_query_searches_whole_abstracts_of_unique_items(spark):
+    r = random.Random(8)
+    texts = [[r.choice("abcdefghij") + str(r.randint(0, 3)) for _ in range(r.randint(10, 30))] for _ in range(11)]
+    texts += [texts[0], texts[1][:8] + ["other"] * 4, ["z1"] * 8 + ["z2"], ["short"] * 8, []]
+    rows = [("u", i, str(i), " ".join(w[:8]), " ".join(w[8:]), w) for i, w in enumerate(texts)]
+    rows += [("small", 100 + i, str(i), f"t{i}", f"a{i}", [f"t{i}", f"a{i}"]) for i in range(9)]
+    items = spark.createDataFrame(rows, "user_id string, pos long, id string, title string, abstract string, words array<string>")
+    got = {}
+    for x in queries.loo_bm25(SimpleNamespace(items=items)).collect():
+        got.setdefault(x["held"], []).append((x["rank"], x["pos"], x["score"]))
+    kept = {i: texts[i] for i in (*range(11), 13)}
+    assert set(got) == set(kept)
+    for held, words in kept.items():
+        rest = {p: w for p, w in kept.items() if p != held}
+        average = sum(map(len, rest.values())) / len(rest)
+        want = []
+        for p, w in rest.items():
+            total = 0.0
+            for t in words[8:]:
+                df, tf = sum(t in x for x in rest.values()), w.count(t)
+                if tf:
+                    total += math.log(1 + (len(rest) - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * len(w) / average))
+            want.append((-round(total, 6), p))
+        for (rank, p, score), (k, (s, q)) in zip(sorted(got[held]), enumerate(sorted(want)[:8], 1), strict=True):
+            assert (rank, p) == (k, q) and score == pytest.approx(-s, abs=2e-6)
+    assert [x[1:] for x in sorted(got[13])] == [(i, 0.0) for i in range(8)]
+
+
 def test_visible_history_slices_before_it_drops(spark):
     retrieved = spark.createDataFrame([("q", "u", i, i, 1.0) for i in (1, 2, 3)], "id string, user_id string, pos long, rank int, score double")
     queries = spark.createDataFrame([("q", "u", "The Target")], "id string, user_id string, target string")
