@@ -4,7 +4,8 @@ Both supported vocabularies cut a text into pre-tokens that are encoded
 independently, so a text's ids are the ids of its pre-tokens in order. For
 texts of ASCII and Latin letters the cut is done by one regular expression
 here, and ids come from a bounded cache whose misses go to the library in one
-call. Any other text goes to the library whole.
+call. Any other text goes to the library whole, as does one that spells out an
+added token of the vocabulary, which the library reads as that token.
 """
 
 from __future__ import annotations
@@ -54,7 +55,7 @@ class FastTokenizer:
 
         self.path, self.cache_size = path, cache_size
         self.pieces = Tokenizer.from_file(path)
-        self.pieces.encode_special_tokens = True
+        self.added = [t.content for t in self.pieces.get_added_tokens_decoder().values()]
         self.words = self.pieces.normalizer is not None
         if self.words:
             self.pieces.normalizer = None  # given lower-case plain text only; nothing is left to normalise
@@ -66,17 +67,15 @@ class FastTokenizer:
 
     @cached_property
     def library(self):
-        """The library's own tokenizer, for texts that are not plain."""
+        """The library's own tokenizer, unchanged, for texts that are not plain."""
         from tokenizers import Tokenizer
 
-        tokenizer = Tokenizer.from_file(self.path)
-        tokenizer.encode_special_tokens = True
-        return tokenizer
+        return Tokenizer.from_file(self.path)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         out: list[bytes] = []
         for text in texts:
-            if self.mark is None or not PLAIN.fullmatch(text):
+            if self.mark is None or not PLAIN.fullmatch(text) or any(t in text for t in self.added):
                 ids = self.library.encode(text, add_special_tokens=False).ids
                 out.append(np.array(ids, dtype="<u4").tobytes())
                 continue

@@ -1,23 +1,48 @@
+import json
 import zlib
+from pathlib import Path
 
 import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from tokenizers import Tokenizer
 
 from scriptorium.llm import packing as P
 from scriptorium.llm import token_output as T
 from scriptorium.llm.tokens import public_path, tokenizer
 
 NAMES = ("byte_bpe_50k.json", "word_bpe_49k.json")
+LIBRARY = {n: Tokenizer.from_file(public_path(n)) for n in NAMES}
+
+
+def plain_ids(name, text):
+    """The library by itself, loaded from the file and not touched."""
+    return LIBRARY[name].encode(text, add_special_tokens=False).ids
 
 
 @pytest.mark.parametrize("name", NAMES)
 @settings(max_examples=150, deadline=None)
-@given(st.text(alphabet=st.sampled_from("aBé'sSt  \n\t01,.!ñß<|endoftext|>\x01\x02\x0b日²½İ"), max_size=60))
+@given(
+    st.lists(
+        st.one_of(
+            st.sampled_from(["<|endoftext|>", "<|startoftext|>", "<|EndOfText|>", "<|endoftext|", "|>", " ", "a<|endoftext|>b"]),
+            st.text(alphabet=st.sampled_from("aBé'sSt  \n\t01,.!ñß<|endoftext|>\x01\x02\x0b日²½İ"), max_size=20),
+        ),
+        max_size=5,
+    ).map("".join)
+)
 def test_same_ids_as_the_library(name, text):
-    t = tokenizer(public_path(name))
-    assert t.encode([text])[0] == np.array(t.library.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+    assert np.frombuffer(tokenizer(public_path(name)).encode([text])[0], dtype="<u4").tolist() == plain_ids(name, text)
+
+
+@pytest.mark.parametrize("name", NAMES)
+def test_every_added_token_is_read_as_the_library_reads_it(name):
+    for token in json.loads(Path(public_path(name)).read_text())["added_tokens"]:
+        for text in (token["content"], f"hello {token['content']} x", f"a{token['content']}b{token['content']}", token["content"].upper()):
+            got = np.frombuffer(tokenizer(public_path(name)).encode([text])[0], dtype="<u4").tolist()
+            assert got == plain_ids(name, text)
+            assert (token["id"] in got) == (token["content"] in text)
 
 
 @pytest.mark.parametrize("kind", ["byte", "bit"])
@@ -30,7 +55,7 @@ def test_segment_round_trip(kind, size):
 
 
 def expected(rows, name, end):
-    library = tokenizer(public_path(name)).library
+    library = Tokenizer.from_file(public_path(name))
     out = []
     for doc, text, *_ in rows:
         out.append((doc, np.array([*library.encode(text or "", add_special_tokens=False).ids, end], dtype="<u4")))
