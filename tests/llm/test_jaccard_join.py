@@ -45,6 +45,7 @@ def test_awkward_rows(docs, rows, none):
 def test_groups_of_near_copies_with_common_passages(spark, seed, monkeypatch):
     monkeypatch.setattr(J, "FREQUENT", 4)
     monkeypatch.setattr(J, "BLOCK", 16)
+    monkeypatch.setattr(J, "MAX_FREQUENT", 10_000 if seed < 3 else 50)
     r = random.Random(seed)
     word = lambda: "".join(r.choice("abcdefgh") for _ in range(5))
     passage = [word() for _ in range(30)]
@@ -66,6 +67,65 @@ def test_long_chain_is_one_component(spark):
     assert got == {i: 0 for i in range(41)} | {100: 100, 101: 100}
 
 
+def near_group(seed, size, words, edits):
+    """Near copies of one text, with so many edits each that their similarity lies on both sides of 0.9."""
+    r = random.Random(seed)
+    base = [f"w{r.randrange(10**6)}" for _ in range(words)]
+    out = []
+    for i in range(size):
+        copy = list(base)
+        for _ in range(r.choice(edits)):
+            copy[r.randrange(words)] = f"x{i}y{r.randrange(10**6)}"
+        out.append(" ".join(copy))
+    return out
+
+
+def test_a_large_group_on_both_sides_of_the_threshold(spark):
+    texts = near_group(5, 700, 120, [1, 2, 2, 3]) + near_group(6, 300, 40, [0, 1, 1])
+    rows = list(enumerate(texts))
+    want = brute(rows)
+    assert 2 < len({c for _, _, c in want}) < 900
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    assert linked(frame) == want
+
+
+@pytest.mark.parametrize("block", [8, 50])
+def test_bundles_of_many_blocks(spark, block, monkeypatch):
+    monkeypatch.setattr(J, "BLOCK", block)
+    monkeypatch.setattr(J, "COLUMNS", 37)
+    rows = list(enumerate(near_group(7, 150, 120, [1, 2, 2, 3]) + near_group(8, 60, 200, [3, 5, 6])))
+    assert linked(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)) == brute(rows)
+
+
+def test_edges_of_a_block_are_fewer_than_its_members():
+    sets = [set(range(100)) - {i, i + 1} for i in range(0, 60, 2)] + [set(range(200, 260))]
+    n = np.array([len(s) for s in sets])
+    flat = np.concatenate([np.array(sorted(s)) for s in sets])
+    node, side = np.arange(len(sets)), np.zeros(len(sets), dtype=int)
+    a, b = J.spanning_edges(node, node, side, n, flat)
+    assert len(a) == 29 and set(a) | set(b) == set(range(30))
+    root = np.where(node < 10, 0, node)
+    a, _ = J.spanning_edges(node, root, side, n, flat)
+    assert len(a) == 20
+
+
+def test_prefixes_share_a_key_of_every_similar_pair():
+    r = np.random.default_rng(4)
+    for _ in range(400):
+        n = int(r.integers(9, 90))
+        common = r.integers(0, 2**62, n, dtype=np.uint64)
+        dx = int(r.integers(0, n // 10 + 2))
+        dy = int(r.integers(0, n // 9 + 2))
+        x = np.unique(np.concatenate((common[dx:], r.integers(0, 2**62, int(r.integers(0, n // 10 + 1)), dtype=np.uint64))))
+        y = np.unique(np.concatenate((common[: len(common) - dy], r.integers(0, 2**62, int(r.integers(0, n // 10 + 1)), dtype=np.uint64))))
+        both = len(set(x.tolist()) & set(y.tolist()))
+        if both < len(x) and 100 * both >= 90 * (len(x) + len(y) - both):
+            rare = int(r.integers(0, 3))  # a class that depends on the token alone
+            ranks = [np.where(t % np.uint64(7) < rare, 0, (t % np.uint64(5) + np.uint64(1))).astype(np.int8) for t in (x, y)]
+            kx, ky = J.index_keys(x, ranks[0])[0], J.index_keys(y, ranks[1])[0]
+            assert set(kx.tolist()) & set(ky.tolist())
+
+
 def test_one_of_each_group_stays(docs, rows):
     kept = J.keep_first(docs)
     assert kept.columns == docs.columns
@@ -74,6 +134,15 @@ def test_one_of_each_group_stays(docs, rows):
     assert sorted(x for x in ids if x is not None) == sorted(x for x in components if x is not None)
 
 
+def test_rows_stay_by_their_own_text(spark, none):
+    a, b, c = (near_group(k, 1, 30, [0])[0] for k in (1, 2, 3))
+    rows = [(3, a), (5, a), (5, b), (None, b), (None, c), (None, c.upper()), (6, None), (6, None), (7, a), (8, c + " more"), (9, "z " + c + " more")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("doc_id", "text", "1 as _node", "map('k', doc_id) as _row")
+    got = sorted(((r["doc_id"], r["text"]) for r in J.keep_first(frame).collect()), key=str)
+    assert got == sorted([(3, a), (5, b), (6, None), (6, None), (8, c + " more")], key=str)
+    assert J.keep_first(none).count() == 0
+
+
 def test_packed_tokens_come_back():
     keys = np.sort(np.random.default_rng(0).integers(0, 2**32, 1000, dtype=np.uint64))
     assert (J.unpack_sorted(J.pack_sorted(np.concatenate((keys, keys[-1:])))) == np.concatenate((keys, keys[-1:]))).all()
