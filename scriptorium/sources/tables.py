@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
+import os
+import tempfile
 import uuid
+import zipfile
 from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -14,17 +16,45 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 LOCAL_DEFAULT = "/tmp/checkpoints/scriptorium"
+PACKAGE_ROOT = Path(__file__).resolve().parents[2]
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Let Python workers import this package, unless their PYTHONPATH already has it."""
+    if str(PACKAGE_ROOT) in os.environ.get("PYTHONPATH", "").split(os.pathsep):
+        return
+    sc = spark.sparkContext
+    if getattr(sc, "_scriptorium_shipped", False):
+        return
+    path = Path(tempfile.mkdtemp(prefix="scriptorium-")) / "scriptorium_pkg.zip"  # Spark sends the file to the executors
+    with zipfile.ZipFile(path, "w") as z:
+        for p in (PACKAGE_ROOT / "scriptorium").rglob("*.py"):
+            z.write(p, p.relative_to(PACKAGE_ROOT))
+    sc.addPyFile(str(path))
+    sc._scriptorium_shipped = True
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A fresh folder under spark.checkpoint.dir; a default of our own only where the setting is missing."""
+    """A fresh folder under spark.checkpoint.dir, deleted when the driver ends.
+
+    Where the setting is missing a local master gets a default of our own; a
+    cluster has no folder that all executors share, which is an error.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     path = f"{(base or LOCAL_DEFAULT).rstrip('/')}/scriptorium-{uuid.uuid4().hex}"
-    if not base:  # a single machine, as in tests: nobody else cleans up
-        atexit.register(shutil.rmtree, path, ignore_errors=True)
+    file_system, folder = _hadoop(spark, path)
+    file_system.mkdirs(folder)
+    file_system.deleteOnExit(folder)
     return path
 
 
+def _hadoop(spark: SparkSession, path: str):
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return folder.getFileSystem(spark._jsc.hadoopConfiguration()), folder
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write to the shared folder and read again: lineage ends in files that survive lost executors."""
     path = f"{shared_dir(df.sparkSession)}/{name}"
@@ -34,13 +64,13 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
-def discard(df: DataFrame) -> None:
-    """Delete a table of materialize() that no later plan reads."""
-    path = getattr(df, "_scriptorium_path", None)
-    if path:
-        spark = df.sparkSession
-        p = spark._jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+def discard(*tables: DataFrame) -> None:
+    """Delete tables of materialize() that no later plan reads."""
+    for df in tables:
+        path = getattr(df, "_scriptorium_path", None)
+        if path:
+            file_system, folder = _hadoop(df.sparkSession, path)
+            file_system.delete(folder.getParent(), True)
 
 
 def number_parts(rows: DataFrame, *order: str) -> DataFrame:
