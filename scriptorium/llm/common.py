@@ -2,71 +2,25 @@
 
 from __future__ import annotations
 
-import atexit
 import contextlib
-import os
-import shutil
-import uuid
-import zipfile
-from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-PACKAGE_ROOT = Path(__file__).resolve().parents[2]
-LOCAL_DEFAULT = "/tmp/checkpoints/scriptorium"
+from scriptorium.sources import tables
+from scriptorium.sources.tables import discard, materialize, shared_dir
 
+__all__ = ["crc_of_id", "discard", "documents", "materialize", "shared_dir", "ship_package", "text_or_empty", "tidy"]
 
-#: Rows in an Arrow batch, where the session keeps Spark's default of 10,000: texts are long, and a worker holds whole batches.
+#: Rows in an Arrow batch where the session leaves that unset: texts are long, and a worker holds whole batches.
 BATCH_ROWS = 1000
 
 
 def ship_package(spark: SparkSession) -> None:
-    """Let Python workers import this package, unless their PYTHONPATH already has it; keep their batches small."""
-    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+    """Let Python workers import this package; keep their batches small unless the session has its own size."""
+    if not spark._jsparkSession.sessionState().conf().contains("spark.sql.execution.arrow.maxRecordsPerBatch"):
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    if str(PACKAGE_ROOT) in os.environ.get("PYTHONPATH", "").split(os.pathsep):
-        return
-    sc = spark.sparkContext
-    if getattr(sc, "_scriptorium_shipped", False):
-        return
-    import tempfile
-
-    path = Path(tempfile.mkdtemp(prefix="scriptorium-")) / "scriptorium_pkg.zip"
-    with zipfile.ZipFile(path, "w") as z:
-        for p in (PACKAGE_ROOT / "scriptorium").rglob("*.py"):
-            z.write(p, p.relative_to(PACKAGE_ROOT))
-    sc.addPyFile(str(path))
-    sc._scriptorium_shipped = True
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """A fresh folder under spark.checkpoint.dir; a default of our own only where the setting is missing."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    path = f"{(base or LOCAL_DEFAULT).rstrip('/')}/scriptorium-{uuid.uuid4().hex}"
-    if not base:  # a single machine, as in tests: nobody else cleans up
-        atexit.register(shutil.rmtree, path, ignore_errors=True)
-    return path
-
-
-def materialize(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
-    """Write to the shared folder and read again: lineage ends in files that survive lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}"
-    writer = df.write.mode("overwrite")
-    (writer.partitionBy(by) if by else writer).parquet(path)
-    out = spark.read.schema(df.schema).parquet(path) if by is None else spark.read.parquet(path)
-    out._scriptorium_path = path
-    return out
-
-
-def discard(df: DataFrame) -> None:
-    """Delete a table of materialize() that no later plan reads."""
-    path = getattr(df, "_scriptorium_path", None)
-    if path:
-        spark = df.sparkSession
-        p = spark._jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+    tables.ship_package(spark)
 
 
 def text_or_empty(column: str = "text") -> Column:
