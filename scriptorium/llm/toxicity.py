@@ -15,9 +15,8 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -51,24 +50,27 @@ def maximal_segments(scores: list[tuple[int, float]], drift: float) -> list[Segm
     ``scores`` has place and score of the positive tokens; every other token
     scores ``drift`` (below 0). For each candidate the sums before its left end
     and up to its right end are kept, and a new candidate is joined to the last
-    one that starts lower for as long as that one ends lower.
+    one that starts lower for as long as that one ends lower. Each candidate
+    links to the last one before it that starts lower, so a search goes from
+    link to link, and what it passes is not passed again.
     """
-    kept: list[tuple[float, float, int, int]] = []  # sum before, sum at end, start, end
+    kept: list[tuple[float, float, int, int, int]] = []  # sum before, sum at end, start, end, link
     total, at = 0.0, 0
     for place, score in scores:
         total += drift * (place - at)
         low, high, start = total, total + score, place
         total, at = high, place + 1
+        k = len(kept) - 1
         while True:
-            k = len(kept) - 1
             while k >= 0 and kept[k][0] >= low:
-                k -= 1
+                k = kept[k][4]
             if k < 0 or kept[k][1] >= high:
                 break
-            low, start = kept[k][0], kept[k][2]
+            low, start, link = kept[k][0], kept[k][2], kept[k][4]
             del kept[k:]
-        kept.append((low, high, start, at))
-    return [Segment(start, end, high - low) for low, high, start, end in kept]
+            k = link
+        kept.append((low, high, start, at, k))
+    return [Segment(start, end, high - low) for low, high, start, end, _ in kept]
 
 
 STEMS = range(3, 9)
@@ -111,15 +113,15 @@ class ToxicityModel:
         found = [(i, s, w) for i, w in near if (s := self.score(w)) > 0]
         return len(tokens), len({w for _, _, w in found}), maximal_segments([x[:2] for x in found], self.drift)
 
-    def evidence(self, length: int, words: int, scores: list[float]) -> tuple[float, ...]:
-        """Features: -log10 of the least E-value over sums of the r best segments, best score, segments, words, length."""
-        if not scores:
+    def evidence(self, length: int, words: int, scores: Sequence[float]) -> tuple[float, ...]:
+        """Features: -log10 of the least E-value over sums of the r best segments for every r, best score, segments, words, length."""
+        if not len(scores):
             return 0.0, 0.0, 0.0, 0.0, math.log1p(length)
-        space, total, top = self.room + math.log(length + 1), 0.0, -math.inf
-        for r, score in enumerate(sorted(scores, reverse=True)[:50], 1):
-            total += self.rate * score - space
-            top = max(top, total + math.lgamma(r + 1))
-        return top / math.log(10), max(scores), float(len(scores)), float(words), math.log1p(length)
+        space = self.room + math.log(length + 1)
+        best = np.sort(np.asarray(scores, dtype=float))[::-1]
+        ways = np.cumsum(np.log(np.arange(1, len(best) + 1)))  # log of r!
+        top = float((np.cumsum(self.rate * best - space) + ways).max())
+        return top / math.log(10), float(best[0]), float(len(best)), float(words), math.log1p(length)
 
     def probability(self, features: np.ndarray) -> np.ndarray:
         z = shape(features) @ np.array(self.curve)
@@ -154,8 +156,8 @@ def training_rows(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS)
 
     Labels of one id that disagree are left out, as are null ids and labels.
     Near copies would make the chance words of one text look telling, so of
-    the texts of one label that share the least hash of their three-word
-    shingles only one is used.
+    the texts of one label that share the least hashes of their three-word
+    shingles, by two hash functions, only one is used.
     """
     wanted = (
         labels.select(F.col("doc_id").cast("long").alias("_id"), F.col("toxic").cast("int").alias("_toxic"))
@@ -169,9 +171,9 @@ def training_rows(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS)
     )
     labelled = docs.select("doc_id", "text").join(F.broadcast(wanted), F.col("doc_id") == F.col("_id"))
     shingle = F.transform("_words", lambda w, i: F.xxhash64(w, F.get("_words", i + 1), F.get("_words", i + 2)))
-    signed = labelled.select("_id", "_toxic", F.split("text", r"\s+").alias("_words")).select(
-        "_id", "_toxic", F.array_min(shingle).alias("_sign")
-    )
+    hashed = labelled.select("_id", "_toxic", F.split("text", r"\s+").alias("_words")).select("_id", "_toxic", shingle.alias("_hashes"))
+    other = F.transform("_hashes", lambda h: F.xxhash64(h))
+    signed = hashed.select("_id", "_toxic", F.struct(F.array_min("_hashes").alias("a"), F.array_min(other).alias("b")).alias("_sign"))
     firsts = materialize(signed.groupBy("_sign", "_toxic").agg(F.min("_id").alias("_id")).select("_id", "_toxic"), "labels")
     return docs.select("doc_id", "text").join(F.broadcast(firsts), F.col("doc_id") == F.col("_id")).select("text", "_toxic")
 
@@ -247,18 +249,12 @@ def learn_toxicity(
     )
     significant = (F.col("z") >= least_z) & (F.col("delta") >= least_odds)
     telling = scored.filter(significant).orderBy(F.desc("z"), "feature").limit(max_tokens).collect()
-    stems = {r["feature"] for r in telling if not r["feature"].endswith("$")}
-    within = reduce(
-        lambda a, b: a | b,
-        (F.substring("feature", 1, k).isin(sorted(x for x in stems if len(x) == k)) for k in {len(x) for x in stems}),
-        F.lit(False),
-    )
-    harmless = (
-        scored.filter(within & ~significant & (F.col("clean") >= HARMLESS) & (F.col("delta") < least_odds))
-        .orderBy(F.desc("clean"), "feature")
-        .limit(max_tokens)
-        .collect()
-    )
+    stems = [(r["feature"],) for r in telling if not r["feature"].endswith("$")]  # at most max_tokens
+    known = F.broadcast(spark.createDataFrame(stems, "stem string"))
+    clean = scored.filter(~significant & (F.col("clean") >= HARMLESS) & (F.col("delta") < least_odds))
+    beginnings = F.array_distinct(F.transform(F.array(*map(F.lit, STEMS)), lambda k: F.substring("feature", F.lit(1), k)))
+    within = clean.withColumn("stem", F.explode(beginnings)).join(known, "stem", "left_semi").select("feature", "clean").distinct()
+    harmless = within.orderBy(F.desc("clean"), "feature").limit(max_tokens).collect()
     discard(counts)
     if not telling:
         return model
@@ -269,23 +265,32 @@ def learn_toxicity(
     def extremes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [shared.value.segments(t) for t in batch.column(0).to_pylist()]
-            tops = [[s.score for s in sorted(x, key=lambda s: -s.score)[:50]] for _, _, x in found]
             columns = [
                 batch.column(1),
                 pa.array([n for n, _, _ in found], pa.int64()),
                 pa.array([w for _, w, _ in found], pa.int64()),
-                pa.array(tops, pa.list_(pa.float64())),
+                pa.array([[s.score for s in x] for _, _, x in found], pa.list_(pa.float64())),
             ]
-            yield pa.RecordBatch.from_arrays(columns, ["toxic", "length", "words", "tops"])
-
-    seen = rows.mapInArrow(extremes, "toxic int, length long, words long, tops array<double>").toPandas()  # max_rows at most
-    toxic = seen["toxic"].to_numpy() > 0
-    best = np.array([max(t, default=0.0) for t in seen["tops"]])
-    model.rate, model.room = fit_extremes(best[~toxic], seen["length"].to_numpy()[~toxic])
-    features = np.array(
-        [model.evidence(n, w, list(t)) for n, w, t in zip(seen["length"], seen["words"], seen["tops"], strict=True)]
-    )
-    model.curve = tuple(fit_logistic(shape(features), toxic.astype(float)).tolist())
+            yield pa.RecordBatch.from_arrays(columns, ["toxic", "length", "words", "scores"])
+
+    seen = materialize(rows.mapInArrow(extremes, "toxic int, length long, words long, scores array<double>"), "segments")
+    # what reaches the driver is a few numbers for each of at most max_rows labels
+    best = F.coalesce(F.array_max("scores"), F.lit(0.0))
+    tops = seen.filter("toxic = 0").select(best.alias("best"), "length").toPandas()
+    model.rate, model.room = fit_extremes(tops["best"].to_numpy(), tops["length"].to_numpy())
+    fitted = spark.sparkContext.broadcast(model)
+
+    def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lengths, words, scores = (batch.column(k).to_pylist() for k in (1, 2, 3))
+            found = np.array([fitted.value.evidence(*x) for x in zip(lengths, words, scores, strict=True)]).reshape(-1, 5)
+            columns = [batch.column(0), *(pa.array(found[:, k]) for k in range(5))]
+            yield pa.RecordBatch.from_arrays(columns, ["toxic", *"abcde"])
+
+    weighed = seen.mapInArrow(weigh, "toxic int, a double, b double, c double, d double, e double").toPandas()
+    discard(seen)
+    y = (weighed["toxic"].to_numpy() > 0).astype(float)
+    model.curve = tuple(fit_logistic(shape(weighed[list("abcde")].to_numpy()), y).tolist())
     model.known = {}
     return model
 
@@ -306,7 +311,9 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, threshold: float = THR
     """The rows of ``docs`` with ``doc_id``, score, predicted and the significant passages as token ranges.
 
     A null or empty text has no passage and the score that stands for none;
-    repeated rows are scored row by row; an empty table gives an empty result.
+    a very long text is scored whole in one task, in time that grows with its
+    length; repeated rows are scored row by row; an empty table gives an empty
+    result.
     Only doc_id and text are read.
     """
     spark = docs.sparkSession
@@ -343,7 +350,13 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, threshold: float = THR
 
 
 def remove_toxic(docs: DataFrame, model: ToxicityModel, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of ``docs`` that score below the threshold, with all their columns."""
+    """The rows of ``docs`` that score below the threshold, with all their columns, whatever their names.
+
+    A null or empty text has no passage and stays wherever that scores below
+    the threshold, as it does unless most labels are toxic; a very long text is
+    scored whole in one task; repeated rows are judged row by row; an empty
+    table gives an empty result.
+    """
     spark = docs.sparkSession
     ship_package(spark)
     shared = spark.sparkContext.broadcast(model)
