@@ -3,13 +3,15 @@
 Each training language gets a character trigram model. A document is a mixture
 of languages: expectation-maximisation over its words finds the proportions,
 and the language set is chosen by penalised likelihood, growing it in the
-order of the proportions for as long as another language pays for itself.
+order of the proportions for as long as another language pays for itself, up
+to all learned ones.
 """
 
 from __future__ import annotations
 
-import math
 import re
+import sys
+import unicodedata
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -20,12 +22,28 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import crc_of_id, ship_package
+from .common import crc_of_id, discard, materialize, ship_package
 
-WORD = re.compile(r"[^\W\d_]+")
+
+def _numbers_in_words() -> str:
+    """The numbers that regular expressions take for word characters beside digits, such as fractions, as ranges of a class."""
+    found = [c for c in range(sys.maxunicode + 1) if unicodedata.category(chr(c)) in ("No", "Nl")]
+    ranges: list[list[int]] = []
+    for c in found:
+        if ranges and ranges[-1][1] == c - 1:
+            ranges[-1][1] = c
+        else:
+            ranges.append([c, c])
+    return "".join(f"{chr(a)}-{chr(b)}" for a, b in ranges)
+
+
+#: Runs of letters (Unicode's letter categories).
+WORD = re.compile(rf"[^\W\d_{_numbers_in_words()}]+")
 PARTS, HELD_OUT = 5, 0
-#: Bounds of the fit: training rows (by the hash of their id), and trigrams kept for each language.
-MAX_ROWS, MAX_GRAMS, MAX_LANGUAGES = 60_000, 50_000, 500
+#: Bounds of the fit: training rows (by the hash of their id), trigrams kept for each language, and for all together
+#: (many languages keep fewer each). No language is left out.
+MAX_ROWS, MAX_GRAMS, ALL_GRAMS = 60_000, 50_000, 5_000_000
+SALTS = 16
 ROUNDS = 8
 
 
@@ -36,32 +54,50 @@ def trigrams(word: str) -> list[str]:
 
 @dataclass
 class LanguageModel:
-    """Log-probabilities of trigrams by language; ``unseen`` stands for all others."""
+    """Log-probabilities of trigrams by language, as differences from those of an unseen trigram, for the languages that have one.
+
+    ``grams`` gives a trigram's number g; its languages and differences lie at
+    ``ends[g]`` to ``ends[g + 1]`` of ``where`` and ``gain``.
+    """
 
     languages: list[str]
-    grams: dict[str, np.ndarray]
+    grams: dict[str, int]
+    ends: np.ndarray
+    where: np.ndarray
+    gain: np.ndarray
     unseen: np.ndarray
     known: dict[str, int] = field(default_factory=dict)
     table: np.ndarray | None = None
 
+    def likelihoods(self, words: list[str]) -> np.ndarray:
+        """Likelihoods of words by language, each scaled to 1 for its best one."""
+        parts = [trigrams(w) for w in words]
+        sizes = np.array([len(p) for p in parts])
+        get = self.grams.get
+        found = np.array([get(g, -1) for p in parts for g in p], dtype=np.int64)
+        owner = np.repeat(np.arange(len(words)), sizes)[found >= 0]
+        found = found[found >= 0]
+        each = self.ends[found + 1] - self.ends[found]
+        begin = np.repeat(self.ends[found] - np.cumsum(each) + each, each)
+        at = begin + np.arange(len(begin))
+        n = len(self.languages)
+        cell = np.repeat(owner, each) * n + self.where[at]
+        score = np.bincount(cell, self.gain[at], minlength=len(words) * n).reshape(len(words), n)
+        score += sizes[:, None] * self.unseen
+        return np.exp(np.maximum(score - score.max(axis=1, keepdims=True), -30))
+
     def rows_of(self, words: list[str]) -> np.ndarray:
-        """Row numbers of words in the table of likelihoods (each scaled to 1 for its best language)."""
+        """Row numbers of words in the table of likelihoods."""
         known = self.known
         fresh = [w for w in dict.fromkeys(words) if w not in known]
         if fresh:
-            if self.table is None or len(known) + len(fresh) > 300_000:
+            if self.table is None or (len(known) + len(fresh)) * len(self.languages) > 1_200_000:
                 known.clear()
                 self.table = np.empty((0, len(self.languages)))
                 fresh = list(dict.fromkeys(words))
-            get, unseen = self.grams.get, self.unseen
-            parts = [trigrams(w) for w in fresh]
-            flat = np.array([get(g, unseen) for p in parts for g in p])
-            ends = np.cumsum([len(p) for p in parts])
-            score = np.add.reduceat(flat, np.concatenate(([0], ends[:-1])), axis=0)
-            score = np.exp(np.maximum(score - score.max(axis=1, keepdims=True), -30))
             start = len(known)
             known.update(zip(fresh, range(start, start + len(fresh)), strict=True))
-            self.table = np.concatenate((self.table, score))
+            self.table = np.concatenate((self.table, self.likelihoods(fresh)))
         return np.fromiter(map(known.__getitem__, words), dtype=np.int64, count=len(words))
 
     def infer(self, texts: list[str | None], penalty: float = 2.0) -> list[tuple[str, float, dict[str, float]]]:
@@ -86,31 +122,34 @@ class LanguageModel:
         total = np.add.reduceat(n, first)
         k = len(self.languages)
 
-        def em(allowed: np.ndarray, rounds: int) -> tuple[np.ndarray, np.ndarray]:
+        def em(some: np.ndarray, allowed: np.ndarray, rounds: int) -> tuple[np.ndarray, np.ndarray]:
+            """Proportions and log-likelihood of the documents ``some``, with the languages ``allowed`` to each."""
+            mine = np.isin(doc, some)
+            x, c, owner = like[mine], n[mine], np.searchsorted(some, doc[mine])
+            begin = np.searchsorted(owner, np.arange(len(some)))
             share = allowed / allowed.sum(axis=1, keepdims=True)
             for _ in range(rounds):
-                joint = like * share[doc]
-                joint *= (n / joint.sum(axis=1))[:, None]
-                share = np.add.reduceat(joint, first, axis=0) / total[:, None]
+                joint = x * share[owner]
+                joint *= (c / joint.sum(axis=1))[:, None]
+                share = np.add.reduceat(joint, begin, axis=0) / total[some][:, None]
                 share = np.where(allowed > 0, np.maximum(share, 1e-9), 0.0)
                 share /= share.sum(axis=1, keepdims=True)
-            fit = np.add.reduceat(n * np.log((like * share[doc]).sum(axis=1)), first)
-            return share, fit
+            return share, np.add.reduceat(c * np.log((x * share[owner]).sum(axis=1)), begin)
 
-        share, _ = em(np.ones((len(ids), k)), ROUNDS)
+        every = np.arange(len(ids))
+        share, _ = em(every, np.ones((len(ids), k)), ROUNDS)
         order = np.argsort(-share, axis=1, kind="stable")
         rank = np.argsort(order, axis=1, kind="stable")
-        best, best_value = None, None
-        for size in range(1, min(k, 4) + 1):
-            allowed = (rank < size).astype(float)
-            chosen, fit = em(allowed, ROUNDS // 2) if size > 1 else (allowed, np.add.reduceat(n * np.log((like * allowed[doc]).sum(axis=1)), first))
-            value = fit - penalty * size * np.log(total + 1)
-            if best is None:
-                best, best_value = chosen, value
-            else:
-                better = value > best_value
-                best = np.where(better[:, None], chosen, best)
-                best_value = np.where(better, value, best_value)
+        best, fit = em(every, (rank < 1).astype(float), 0)
+        worth = fit - penalty * np.log(total + 1)
+        growing, size = every, 2
+        while len(growing) and size <= k:  # those for which the last language paid
+            chosen, fit = em(growing, (rank[growing] < size).astype(float), ROUNDS // 2)
+            value = fit - penalty * size * np.log(total[growing] + 1)
+            better = value > worth[growing]
+            growing, chosen, value = growing[better], chosen[better], value[better]
+            best[growing], worth[growing] = chosen, value
+            size += 1
         main = best.argmax(axis=1)
         for j, i in enumerate(ids):
             shares = {self.languages[x]: float(best[j, x]) for x in np.flatnonzero(best[j] > 1e-6)}
@@ -129,8 +168,14 @@ def training_rows(docs: DataFrame, max_rows: int = MAX_ROWS) -> DataFrame:
     return fit.select("text", "lang")
 
 
-def learn_languages(docs: DataFrame, max_rows: int = MAX_ROWS, max_grams: int = MAX_GRAMS) -> LanguageModel:
-    """Count trigrams of different words by language; with no labelled text the model knows no language."""
+def learn_languages(
+    docs: DataFrame, max_rows: int = MAX_ROWS, max_grams: int = MAX_GRAMS, all_grams: int = ALL_GRAMS
+) -> LanguageModel:
+    """Count the trigrams of words by language; with no labelled text the model knows no language.
+
+    Learns from about ``max_rows`` rows and keeps the ``max_grams`` most frequent
+    trigrams of each language, fewer where all would be more than ``all_grams``.
+    """
     spark = docs.sparkSession
     ship_package(spark)
 
@@ -153,29 +198,35 @@ def learn_languages(docs: DataFrame, max_rows: int = MAX_ROWS, max_grams: int =
         )
 
     counted = training_rows(docs, max_rows).mapInArrow(count, "lang string, gram string, n long")
-    summed = counted.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    # one row for each language and trigram: at most MAX_LANGUAGES times max_grams rows reach the driver
+    summed = materialize(counted.groupBy("lang", "gram").agg(F.sum("n").alias("n")), "grams")
+    sizes = summed.groupBy("lang").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "lang").collect()  # a row for each language
+    languages = sorted(r["lang"] for r in sizes)
+    most = min(max_grams, max(1, all_grams // max(1, len(languages))))
+    # the most frequent trigrams of each language: first those of each part of its trigrams, so that no task sorts all
+    part = F.pmod(F.xxhash64("gram"), F.lit(SALTS))
+    first = F.row_number().over(W.partitionBy("lang", part).orderBy(F.desc("n"), "gram"))
     top = F.row_number().over(W.partitionBy("lang").orderBy(F.desc("n"), "gram"))
-    rows = summed.withColumn("at", top).filter(F.col("at") <= max_grams).select("lang", "gram", "n").toPandas()
-    sizes = rows.groupby("lang")["n"].sum().sort_values(ascending=False, kind="stable")
-    languages = sorted(sizes.index[:MAX_LANGUAGES])
+    few = summed.withColumn("at", first).filter(F.col("at") <= most).withColumn("at", top).filter(F.col("at") <= most)
+    rows = few.select("lang", "gram", "n").toPandas()  # at most all_grams, or one for each language
+    discard(summed)
     place = {x: i for i, x in enumerate(languages)}
-    rows = rows[rows["lang"].isin(place)]
     grams = {g: i for i, g in enumerate(rows["gram"].unique())}
-    table = np.full((len(grams) + 1, len(languages)), 0.2)
-    table[rows["gram"].map(grams).to_numpy(dtype=int), rows["lang"].map(place).to_numpy(dtype=int)] += rows["n"].to_numpy()
-    if len(languages):
-        table = np.log(table / table.sum(axis=0))
-    return LanguageModel(languages, {g: table[i] for g, i in grams.items()}, table[-1])
+    gram, where = rows["gram"].map(grams).to_numpy(dtype=np.int64), rows["lang"].map(place).to_numpy(dtype=np.int64)
+    order = np.lexsort((where, gram))
+    gram, where, seen = gram[order], where[order], rows["n"].to_numpy(dtype=float)[order]
+    mass = 0.2 * (len(grams) + 1) + np.bincount(where, seen, minlength=len(languages))
+    ends = np.searchsorted(gram, np.arange(len(grams) + 1))
+    return LanguageModel(languages, grams, ends, where, np.log((seen + 0.2) / 0.2), np.log(0.2 / mass))
 
 
 def identify_languages(docs: DataFrame, model: LanguageModel) -> DataFrame:
     """The rows of ``docs`` with doc_id, lang_pred, score (the share of that language) and all shares.
 
     ``und`` with score 0 where the text is null, has no letter, or nothing was
-    learned. Equal shares go to the language that sorts first. Repeated rows
-    are judged row by row; an empty table gives an empty result; only doc_id
-    and text are read.
+    learned. Equal shares go to the language that sorts first. A very long text
+    is read whole, as its different words with their counts. Repeated rows are
+    judged row by row; an empty table gives an empty result; only doc_id and
+    text are read.
     """
     spark = docs.sparkSession
     ship_package(spark)
