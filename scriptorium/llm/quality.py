@@ -2,10 +2,17 @@
 
 Statistics of each whole text give a transformed vector. For every language
 and source a minimum-covariance-determinant estimate is found by concentration
-steps: start from medians and median absolute deviations, keep the 75 % of the
-group that lie nearest, take their mean and covariance, and repeat. A document
-is rejected when its squared Mahalanobis distance, rescaled so that the
-group's median is that of the chi-square law, is beyond a far quantile.
+steps: keep the 75 % of the group that lie nearest, take their mean and
+covariance, and repeat. Vectors standardised by medians and median absolute
+deviations give four starts (their length, the length of their bounded values,
+their largest entry, and the length by fixed deviations); after two steps each
+group goes on from the start of the least determinant, until no determinant
+falls any more. A document is rejected when its squared Mahalanobis distance,
+rescaled so that the group's median is that of the chi-square law, is beyond a
+far quantile.
+
+Quantiles of a group are read from counts in narrow bins, which are combined
+before they are shuffled, so no task sees all rows of a large group.
 """
 
 from __future__ import annotations
@@ -14,9 +21,10 @@ import math
 from statistics import NormalDist
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import discard, materialize
 
 BLANK = r"[\x20\x09-\x0D]+"
 BLANKS = " \t\n\x0b\x0c\r"
@@ -32,7 +40,13 @@ FEATURES = {
     "x_marks": 0.15,
     "x_echoes": 0.08,
 }
-SHARE, STEPS, LEAST_GROUP, TAIL = 0.75, 3, 200, 1e-4
+SHARE, LEAST_GROUP, TAIL = 0.75, 200, 1e-6
+#: Starts of the estimate, the steps of each, the most steps in all, and a fall of the determinant's logarithm that counts.
+STARTS, FIRST_STEPS, MOST_STEPS, FALL = 4, 2, 30, 1e-3
+#: Bins of a quantile: of a feature's least deviation, and of a factor e in distances.
+FINE, FINE_LOG = 50, 500
+#: From a median absolute deviation to a standard deviation, for the normal law.
+NORMAL = 1.4826
 #: The largest model that is broadcast: rows, of some 40 numbers each.
 BROADCAST_GROUPS = 20_000
 
@@ -145,19 +159,48 @@ def groups(stats: DataFrame, least: int) -> tuple[DataFrame, bool]:
     return stats.withColumn("fine", fine).join(F.broadcast(named) if small else named, "fine", "left").drop("fine"), small
 
 
+def quantile(rows: DataFrame, by: list[str], bin_of: Column, share: float) -> DataFrame:
+    """``by`` and the least ``bin`` that has ``share`` of the rows of its group at or below it."""
+    counts = rows.select(*by, bin_of.cast("long").alias("bin")).groupBy(*by, "bin").agg(F.count("*").alias("n"))
+    group = W.partitionBy(*by)  # a row for each bin
+    reached = counts.withColumns({"_sum": F.sum("n").over(group.orderBy("bin")), "_all": F.sum("n").over(group)})
+    return reached.filter(F.col("_sum") >= F.lit(share) * F.col("_all")).groupBy(*by).agg(F.min("bin").alias("bin"))
+
+
+def medians(points: DataFrame, name: str) -> DataFrame:
+    """For each group the array ``name`` of the medians of the array ``v``, in bins of a share of the least deviations."""
+    width = F.array(*(F.lit(x / FINE) for x in FEATURES.values()))
+    long = points.select("group", F.posexplode("v").alias("i", "x"))
+    found = quantile(long, ["group", "i"], F.round(F.col("x") / F.get(width, F.col("i"))), 0.5)
+    value = F.struct("i", (F.col("bin") * F.get(width, F.col("i"))).alias("x"))
+    return found.groupBy("group").agg(F.transform(F.sort_array(F.collect_list(value)), lambda t: t["x"]).alias(name))
+
+
+def edges(points: DataFrame, by: list[str], share: float) -> DataFrame:
+    """For each group the distance within which ``share`` of its points lie."""
+    found = quantile(points, by, F.floor(F.log(F.greatest(F.col("d"), F.lit(1e-9))) * FINE_LOG), share)
+    return found.select(*by, F.exp((F.col("bin") + 1) / F.lit(float(FINE_LOG))).alias("edge"))
+
+
 def estimate(points: DataFrame) -> DataFrame:
-    """Mean (array ``center``) and inverse covariance (array ``precision``, row by row) of each group."""
+    """Of each group and start the mean (array ``center``), inverse covariance (array ``precision``, row by row) and its log determinant.
+
+    A variance counts for no less than that of the feature's least deviation.
+    """
     names, d = list(FEATURES), len(FEATURES)
     floors = list(FEATURES.values())
-    sums = points.groupBy("group").agg(
+    sums = points.groupBy("group", "start").agg(
         *(F.avg(x).alias(f"m{i}") for i, x in enumerate(names)),
         *(F.covar_pop(x, names[j]).alias(f"c{i}_{j}") for i, x in enumerate(names) for j in range(i + 1)),
     )
 
     def entry(i: int, j: int) -> Column:
-        return F.col(f"c{max(i, j)}_{min(i, j)}") + F.lit(floors[i] ** 2 if i == j else 0.0)
+        c = F.col(f"c{max(i, j)}_{min(i, j)}")
+        # a little more on the diagonal, so that features that go together leave an inverse
+        return F.greatest(c, F.lit(floors[i] ** 2)) * 1.001 if i == j else c
 
-    def sweep(m: Column, k: Column) -> Column:
+    def sweep(state: Column, k: Column) -> Column:
+        m = state["m"]
         pivot = F.get(m, k * d + k)
 
         def swept(v: Column, t: Column) -> Column:
@@ -168,17 +211,55 @@ def estimate(points: DataFrame) -> DataFrame:
                 .otherwise(v - F.get(m, i * d + k) * F.get(m, k * d + j) / pivot)
             )
 
-        return F.transform(m, swept)
+        return F.struct(F.transform(m, swept).alias("m"), (state["logdet"] + F.log(pivot)).alias("logdet"))
 
     matrix = F.array(*(entry(i, j) for i in range(d) for j in range(d)))
-    swept = F.aggregate(F.sequence(F.lit(0), F.lit(d - 1)), matrix, sweep)
-    return sums.select(
-        "group",
-        F.array(*(F.col(f"m{i}") for i in range(d))).alias("center"),
-        F.transform(swept, lambda v: -v).alias("precision"),
+    begin = F.struct(matrix.alias("m"), F.lit(0.0).alias("logdet"))
+    swept = F.aggregate(F.sequence(F.lit(0), F.lit(d - 1)), begin, sweep)
+    return sums.select("group", "start", F.array(*(F.col(f"m{i}") for i in range(d))).alias("center"), swept.alias("_s")).select(
+        "group", "start", "center", F.transform("_s.m", lambda v: -v).alias("precision"), F.col("_s.logdet").alias("logdet")
     )
 
 
+def starts(sound: DataFrame, small: bool) -> DataFrame:
+    """group, start, the features and the distances of the four starts."""
+    points = sound.select("group", F.array(*FEATURES).alias("v"))
+    center = materialize(medians(points, "med"), "medians")
+    away = with_model(points, center, small).select("group", F.zip_with("v", "med", lambda x, m: F.abs(x - m)).alias("v"))
+    spread = medians(away, "mad")
+    model = materialize(center.join(spread, "group"), "spreads")
+    least = F.array(*(F.lit(x) for x in FEATURES.values()))
+    scale = F.zip_with("mad", least, lambda m, f: F.greatest(m * NORMAL, f))
+    off = F.zip_with(F.array(*FEATURES), "med", lambda x, m: x - m)
+    rows = with_model(sound, model, small).withColumns({"_off": off, "_scale": scale})
+    z = F.zip_with("_off", "_scale", lambda x, s: x / s)
+
+    def total(values: Column) -> Column:
+        return F.aggregate(values, F.lit(0.0), lambda a, x: a + x)
+
+    distances = F.array(
+        total(F.transform(z, lambda x: x * x)),
+        total(F.transform(z, lambda x: F.tanh(x) * F.tanh(x))),
+        F.array_max(F.transform(z, lambda x: x * x)),
+        total(F.zip_with("_off", least, lambda x, f: (x / f) * (x / f))),
+    )
+    return rows.select("group", *FEATURES, F.posexplode(distances).alias("start", "d"))
+
+
+def concentrate(sound: DataFrame, model: DataFrame | None, share: float, small: bool) -> DataFrame:
+    """A concentration step of every group and start: the model of the share of the points nearest to the one before."""
+    if model is None:
+        near = starts(sound, small)
+    else:
+        near = with_model(sound, model, small).select("group", "start", *FEATURES, distance().alias("d"))
+    by = ["group", "start"]
+    edge = materialize(edges(near, by, share), "edges")
+    core = near.join(F.broadcast(edge) if small else edge, by).filter(F.col("d") <= F.col("edge"))
+    out = materialize(estimate(core), "model")
+    discard(edge)
+    return out
+
+
 def distance() -> Column:
     """Squared Mahalanobis distance to the joined model."""
     d = len(FEATURES)
@@ -193,40 +274,39 @@ def judge_quality(
     docs: DataFrame,
     carry: tuple[str, ...] = (),
     share: float = SHARE,
-    steps: int = STEPS,
     least_group: int = LEAST_GROUP,
     tail: float = TAIL,
 ) -> DataFrame:
     """One row per row of ``docs(doc_id, text, lang, source)`` with its statistics, base_failed, distance and kept.
 
-    A null or empty text has no words and fails the base rules. Null languages
-    and sources are groups of their own; groups of fewer than ``least_group``
-    rows are pooled by language, then together; a group whose every row fails
-    the base rules has no estimate, and its rows no distance. Repeated rows are
-    judged row by row; an empty table gives an empty result. Columns other than
-    these and ``carry`` are not read.
+    A null or empty text has no words and fails the base rules; a very long one
+    is counted whole in one task. Null languages and sources are groups of their
+    own; groups of fewer than ``least_group`` rows are pooled by language, then
+    together; a group whose every row fails the base rules has no estimate, and
+    its rows no distance. Repeated rows are judged row by row; an empty table
+    gives an empty result. Columns other than these and ``carry`` are not read.
     """
     stats = statistics(docs, carry).withColumn("base_failed", base_failed()).withColumns(vector())
     stats = materialize(stats, "statistics")
     grouped, small = groups(stats, least_group)
     sound = grouped.filter(~F.col("base_failed")).select("group", *FEATURES)
-    center = sound.groupBy("group").agg(*(F.percentile_approx(x, 0.5, 2000).alias(f"med_{x}") for x in FEATURES))
-    near = with_model(sound, center, small)
-    spread = sum(
-        (((F.col(x) - F.col(f"med_{x}")) / F.lit(floor)) ** 2 for x, floor in FEATURES.items()), F.lit(0.0)
-    )
-    near = materialize(near.select("group", *FEATURES, spread.alias("d")), "near")
-    for _ in range(steps):
-        edge = near.groupBy("group").agg(F.percentile_approx("d", share, 2000).alias("edge"))
-        core = with_model(near, edge, small).filter(F.col("d") <= F.col("edge"))
-        model = materialize(estimate(core), "model")
-        near = with_model(sound, model, small).select("group", *FEATURES, distance().alias("d"))
-        near = materialize(near, "near")
+    model = None
+    for _ in range(FIRST_STEPS):
+        model = concentrate(sound, model, share, small)
+    picked = F.min_by(F.struct("start", "center", "precision", "logdet"), F.struct("logdet", "start"))
+    model = materialize(model.groupBy("group").agg(picked.alias("_m")).select("group", "_m.*"), "picked")
+    for _ in range(FIRST_STEPS, MOST_STEPS):
+        new = concentrate(sound, model, share, small)
+        before = model.select("group", F.col("logdet").alias("_before"))
+        fall = new.join(before, "group").agg(F.max(F.col("_before") - F.col("logdet"))).first()[0]
+        discard(model)
+        model = new
+        if fall is None or fall <= FALL:
+            break
     typical = chi2_quantile(0.5, len(FEATURES))
-    scale = near.groupBy("group").agg(
-        F.greatest(F.percentile_approx("d", 0.5, 2000) / F.lit(typical), F.lit(1.0)).alias("scale")
-    )
-    model = materialize(model.join(scale, "group"), "scaled")
+    near = with_model(sound, model, small).select("group", distance().alias("d"))
+    scale = edges(near, ["group"], 0.5).select("group", F.greatest(F.col("edge") / F.lit(typical), F.lit(1.0)).alias("scale"))
+    model = materialize(model.select("group", "center", "precision").join(scale, "group"), "scaled")
     far = chi2_quantile(1 - tail, len(FEATURES))
     judged = with_model(grouped, model, small).withColumn("distance", distance() / F.col("scale"))
     return judged.select(
