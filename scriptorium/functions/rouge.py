@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -21,19 +22,26 @@ def unigram_overlap(a: Column, b: Column) -> Column:
     return F.aggregate(F.array_distinct(a), F.lit(0), lambda s, t: s + least(t))
 
 
+def _common_length(a: list[str], b: list[str]) -> int:
+    """Longest common subsequence: a bit vector as wide as ``b`` takes one step for each token of ``a``."""
+    places: dict[str, int] = {}
+    for j, t in enumerate(b):
+        places[t] = places.get(t, 0) | 1 << j
+    whole = row = (1 << len(b)) - 1
+    for t in a:
+        met = row & places.get(t, 0)
+        row = (row + met | row - met) & whole
+    return len(b) - row.bit_count()
+
+
 def lcs_length(a: Column, b: Column) -> Column:
-    """Longest common subsequence by one row of the table after another."""
-    def next_row(row: Column, t: Column) -> Column:
-        def cell(done: Column, j: Column) -> Column:
-            step = F.when(F.get(b, j - 1) == t, F.get(row, j - 1) + 1).otherwise(
-                F.greatest(F.get(row, j), F.get(done, j - 1))
-            )
-            return F.concat(done, F.array(step))
-
-        return F.aggregate(F.sequence(F.lit(1), F.size(b)), F.array(F.lit(0)), cell)
-
-    table = F.aggregate(a, F.array_repeat(F.lit(0), F.size(b) + 1), next_row)
-    return F.when((F.size(a) == 0) | (F.size(b) == 0), 0).otherwise(F.get(table, F.size(b)))
+    """Longest common subsequence of two token arrays, over Arrow batches: Spark's functions would copy a table row for each cell."""
+
+    def lengths(left: pd.Series, right: pd.Series) -> pd.Series:
+        return pd.Series([_common_length(list(x), list(y)) for x, y in zip(left, right, strict=True)], dtype="int64")
+
+    none = F.array().cast("array<string>")
+    return F.pandas_udf(lengths, "long")(F.coalesce(a, none), F.coalesce(b, none))
 
 
 def rouge_1(prediction: Column, reference: Column) -> Column:

@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from scriptorium.functions.rouge import rouge_l
 from scriptorium.functions.text import tokens
 
 
@@ -57,31 +55,9 @@ def ranker_pairs(scored: DataFrame, strategy: str, margin: float = 0.02, most: i
 
 
 def reward_rollouts(rollouts: DataFrame) -> DataFrame:
-    """ROUGE-L reward of every whole response against the rollout's whole target.
-
-    The longest common subsequence takes one step of a bit vector as wide as the
-    target for each token of the response, over Arrow batches.
-    """
-
-    def reward(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rewards = []
-            for a, b in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                places: dict[str, int] = {}
-                for j, t in enumerate(b):
-                    places[t] = places.get(t, 0) | 1 << j
-                whole = (1 << len(b)) - 1
-                row = whole
-                for t in a:
-                    met = row & places.get(t, 0)
-                    row = (row + met | row - met) & whole
-                common = len(b) - row.bit_count()
-                rewards.append(2.0 * common / (len(a) + len(b)) if common else 0.0)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(rewards, pa.float64())], ["rollout_id", "response_id", "reward"])
-
-    rows = rollouts.select("rollout_id", "response_id", tokens("output").alias("a"), tokens("target").alias("b"))
-    scored = rows.mapInArrow(reward, "rollout_id string, response_id string, reward double")
-    return scored.withColumn("reward", F.round("reward", 8))
+    """ROUGE-L reward of every whole response against the rollout's whole target."""
+    reward = rouge_l(tokens("output"), tokens("target"))
+    return rollouts.select("rollout_id", "response_id", F.round(reward, 8).alias("reward"))
 
 
 def gold_preferences(rewards: DataFrame, least_responses: int = 2, margin: float = 0.03) -> DataFrame:

@@ -99,7 +99,7 @@ CTE = {
     "prs": "(SELECT a.id, a.score - b.score AS ds, a.label - b.label AS dl FROM sc a JOIN sc b ON a.id = b.id AND a.pos < b.pos)",
     "roll": """(SELECT 'c' || c.conv_id AS rollout_id, 'r' || c.turn AS response_id, c.text AS output, t.target FROM conversations c
         JOIN (SELECT conv_id, arg_max(text, turn) AS target FROM conversations WHERE role = 'user' GROUP BY conv_id) t USING (conv_id) WHERE role = 'assistant')""",
-    "rew": f"(SELECT rollout_id, response_id, round({rouge_l('a', 'b')}, 8) AS reward FROM (SELECT *, {tok('output')}[1:32] AS a, {tok('target')}[1:32] AS b FROM roll))",
+    "rew": f"(SELECT rollout_id, response_id, round({rouge_l('a', 'b')}, 8) AS reward FROM (SELECT *, {tok('output')} AS a, {tok('target')} AS b FROM roll))",
     "pref": """(SELECT rollout_id, n AS responses, c.response_id AS chosen_id, r.response_id AS rejected_id, c.reward AS chosen_reward, r.reward AS rejected_reward,
         round(c.reward - r.reward, 8) AS margin, CASE WHEN n < 2 THEN 'insufficient_responses' WHEN c.response_id = r.response_id OR round(c.reward - r.reward, 8) < 3e-2 THEN 'low_margin' ELSE 'accepted' END AS status
         FROM (SELECT rollout_id, count(*) AS n, max({'reward': reward, 'response_id': response_id}) AS c, min({'reward': reward, 'response_id': response_id}) AS r FROM rew GROUP BY rollout_id))""",
