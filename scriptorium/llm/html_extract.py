@@ -4,15 +4,17 @@ A page is cut into text blocks with their DOM paths. A linear classifier over
 the path, link share, length and punctuation gives each block a score: its
 positive part is the capacity from the source (content), its negative part the
 capacity to the sink (boilerplate). Neighbours in page order and blocks near in
-the DOM are joined by smoothness edges, stronger the more of their paths they
-share. The minimum cut labels the blocks.
+the DOM are joined by smoothness edges, stronger the nearer they are in the
+DOM. The minimum cut labels the blocks. Blocks whose own capacity exceeds all
+their edges are labelled at once, one after another; max-flow by blocking flows
+labels what is left.
 """
 
 from __future__ import annotations
 
 import html
 import re
-from collections import deque
+from collections import Counter, deque
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -51,18 +53,26 @@ NAMES = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)
 ENDS = re.compile(r"[.!?,;:…](?:\s|$)")
 CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 INVISIBLE = re.compile(r"display\s*:\s*none|(?:^|\s)hidden(?:\s|=|$)|aria-hidden\s*=\s*[\"']?true", re.I)
-SMOOTH, NEAR = 0.4, 1.2
+SMOOTH, NEAR, EPSILON = 0.3, 0.6, 1e-9
+
+
+class Node:
+    """A block element: its parent and its depth."""
+
+    __slots__ = ("depth", "tag", "up")
+
+    def __init__(self, tag: str, up: Node | None):
+        self.tag, self.up, self.depth = tag, up, up.depth + 1 if up else 0
 
 
 @dataclass
 class Block:
-    """A text block: its text, the share of it inside links, its DOM path (node numbers) and the path's weight."""
+    """A text block: its text, the share of it inside links, its element, and the weight of the path to it."""
 
     text: str
     links: float
-    path: tuple[int, ...]
+    node: Node
     weight: float
-    tag: str
 
 
 def own_weight(tag: str, attributes: str, inside: float) -> float:
@@ -83,11 +93,13 @@ def own_weight(tag: str, attributes: str, inside: float) -> float:
 
 
 def blocks_of(page: str) -> list[Block]:
-    """Text blocks in page order."""
-    stack: list[tuple[str, int, float]] = [("", 0, 0.0)]  # element, node number, weight of the path
+    """Text blocks in page order, in time that grows with the page."""
+    root = Node("", None)
+    stack: list[tuple[str, Node, float]] = [("", root, 0.0)]  # element, block element around it, weight of the path
+    opened: Counter[str] = Counter()
     out: list[Block] = []
     parts: list[str] = []
-    nodes = linked = links = 0
+    linked = 0
 
     def close() -> None:
         nonlocal linked
@@ -95,17 +107,21 @@ def blocks_of(page: str) -> list[Block]:
             raw = "".join(parts)
             text = " ".join((html.unescape(raw) if "&" in raw else raw).split())
             if text:
-                path = [s for s in stack if s[0] not in INLINE]
                 share = min(1.0, linked / max(1, len(raw)))
-                out.append(Block(text, share, tuple(s[1] for s in path), stack[-1][2], path[-1][0]))
+                out.append(Block(text, share, stack[-1][1], stack[-1][2]))
             parts.clear()
         linked = 0
 
+    def leave(k: int) -> None:
+        for name, _, _ in stack[k:]:
+            opened[name] -= 1
+        del stack[k:]
+
     for m in PIECE.finditer(page):
         text = m[8]
         if text is not None:
             parts.append(text)
-            if links:
+            if opened["a"]:
                 linked += len(text)
             continue
         tag = m[3] or m[6]
@@ -119,31 +135,31 @@ def blocks_of(page: str) -> list[Block]:
         if not inline:
             close()
         if ending:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k][0] == tag:
-                    links -= sum(1 for s in stack[k:] if s[0] == "a")
-                    del stack[k:]
-                    break
-                if inline and stack[k][0] not in INLINE:
-                    break
+            if opened[tag]:
+                for k in range(len(stack) - 1, 0, -1):
+                    if stack[k][0] == tag:
+                        leave(k)
+                        break
+                    if inline and stack[k][0] not in INLINE:
+                        break
             continue
         if not inline and stack[-1][0] in INLINE:  # a block ends the inline elements left open before it
-            while stack[-1][0] in INLINE:
-                links -= stack.pop()[0] == "a"
+            k = len(stack)
+            while stack[k - 1][0] in INLINE:
+                k -= 1
+            leave(k)
         for other in SELF_CLOSING.get(tag, "").split():
-            for k in range(len(stack) - 1, 0, -1):
+            for k in range(len(stack) - 1, 0, -1) if opened[other] else ():
                 if stack[k][0] == other:
-                    links -= sum(1 for s in stack[k:] if s[0] == "a")
-                    del stack[k:]
+                    leave(k)
                     break
                 if stack[k][0] in SCOPES:
                     break
         if tag in VOID:
             continue
-        nodes += 1
-        links += tag == "a"
-        inside = stack[-1][2]
-        stack.append((tag, nodes, inside + own_weight(tag, m[4] or m[7] or "", inside)))
+        opened[tag] += 1
+        _, node, inside = stack[-1]
+        stack.append((tag, node if inline else Node(tag, node), inside + own_weight(tag, m[4] or m[7] or "", inside)))
     close()
     return out
 
@@ -153,7 +169,7 @@ def score_block(b: Block) -> float:
     size = len(b.text)
     score = b.weight - 4.0 * b.links - 0.6
     score += min(2.5, size / 80) + min(1.0, 0.25 * len(ENDS.findall(b.text)))
-    if b.tag in ("p", "h1", "h2", "h3", "blockquote", "pre"):
+    if b.node.tag in ("p", "h1", "h2", "h3", "blockquote", "pre"):
         score += 1.0
     if b.text[0] == "©" or "All rights reserved" in b.text[:200] and size < 200:
         score -= 2.0
@@ -161,64 +177,121 @@ def score_block(b: Block) -> float:
 
 
 def minimum_cut(gain: list[float], edges: list[tuple[int, int, float]]) -> list[bool]:
-    """Which nodes lie on the source's side of a minimum cut; shortest augmenting paths.
+    """Which nodes lie on the source's side of a minimum cut (of several, of the one with the fewest).
 
-    ``gain`` above 0 is a capacity from the source, below 0 one to the sink.
+    ``gain`` above 0 is a capacity from the source, below 0 one to the sink. A
+    node whose capacity exceeds those of all its edges has its side, and its
+    edges become capacities of its neighbours.
     """
     n = len(gain)
-    out: list[dict[int, float]] = [{} for _ in range(n)]
+    near: list[dict[int, float]] = [{} for _ in range(n)]
     for a, b, c in edges:
-        out[a][b] = out[a].get(b, 0.0) + c
-        out[b][a] = out[b].get(a, 0.0) + c
-    supply = [max(0.0, g) for g in gain]
-    demand = [max(0.0, -g) for g in gain]
+        near[a][b] = near[a].get(b, 0.0) + c
+        near[b][a] = near[b].get(a, 0.0) + c
+    own, bound = list(gain), [sum(x.values()) for x in near]
+    side: list[bool | None] = [None] * n
+    todo = list(range(n))
+    while todo:
+        i = todo.pop()
+        if side[i] is not None or -bound[i] + EPSILON < own[i] <= bound[i] + EPSILON:
+            continue
+        side[i] = own[i] > 0
+        for j, c in near[i].items():
+            if side[j] is None:
+                own[j] += c if side[i] else -c
+                bound[j] -= c
+                todo.append(j)
+    rest = [i for i in range(n) if side[i] is None]
+    if rest:
+        place = {x: i for i, x in enumerate(rest)}
+        between = [(place[a], place[b], c) for a in rest for b, c in near[a].items() if a < b and b in place]
+        for i, content in zip(rest, maximum_flow([own[i] for i in rest], between), strict=True):
+            side[i] = content
+    return [bool(x) for x in side]
+
+
+def maximum_flow(gain: list[float], edges: list[tuple[int, int, float]]) -> list[bool]:
+    """The nodes that the source still reaches beside a maximum flow, found by blocking flows in layers."""
+    n = len(gain)
+    source, sink = n, n + 1
+    heads: list[int] = []
+    room: list[float] = []
+    out: list[list[int]] = [[] for _ in range(n + 2)]
+
+    def join(a: int, b: int, there: float, back: float) -> None:
+        out[a].append(len(heads))
+        out[b].append(len(heads) + 1)
+        heads.extend((b, a))
+        room.extend((there, back))
+
+    for i, g in enumerate(gain):
+        if g > 0:
+            join(source, i, g, 0.0)
+        elif g < 0:
+            join(i, sink, -g, 0.0)
+    for a, b, c in edges:
+        join(a, b, c, c)
     while True:
-        before = {i: -1 for i in range(n) if supply[i] > 1e-9}
-        queue, end = deque(before), -1
+        layer = [-1] * (n + 2)
+        layer[source] = 0
+        queue = deque([source])
         while queue:
             a = queue.popleft()
-            if demand[a] > 1e-9:
-                end = a
+            for e in out[a]:
+                if room[e] > EPSILON and layer[heads[e]] < 0:
+                    layer[heads[e]] = layer[a] + 1
+                    queue.append(heads[e])
+        if layer[sink] < 0:
+            return [x >= 0 for x in layer[:n]]
+        turn = [0] * (n + 2)
+        path: list[int] = []
+        at = source
+        while True:
+            if at == sink:
+                flow = min(room[e] for e in path)
+                for e in path:
+                    room[e] -= flow
+                    room[e ^ 1] += flow
+                cut = next(k for k, e in enumerate(path) if room[e] <= EPSILON)
+                at = heads[path[cut] ^ 1]
+                del path[cut:]
+                continue
+            while turn[at] < len(out[at]):
+                e = out[at][turn[at]]
+                if room[e] > EPSILON and layer[heads[e]] == layer[at] + 1:
+                    break
+                turn[at] += 1
+            if turn[at] < len(out[at]):
+                path.append(out[at][turn[at]])
+                at = heads[path[-1]]
+            elif path:  # a dead end
+                layer[at] = -1
+                at = heads[path.pop() ^ 1]
+            else:
                 break
-            for b, c in out[a].items():
-                if c > 1e-9 and b not in before:
-                    before[b] = a
-                    queue.append(b)
-        if end < 0:
-            return [i in before for i in range(n)]
-        path, flow, at = [], demand[end], end
-        while before[at] >= 0:
-            path.append((before[at], at))
-            flow = min(flow, out[before[at]][at])
-            at = before[at]
-        flow = min(flow, supply[at])
-        supply[at] -= flow
-        demand[end] -= flow
-        for a, b in path:
-            out[a][b] -= flow
-            out[b][a] += flow
-
-
-def shared_depth(a: tuple[int, ...], b: tuple[int, ...]) -> int:
-    depth = 0
-    for x, y in zip(a, b, strict=False):
-        if x != y:
-            break
-        depth += 1
-    return depth
+
+
+def apart(a: Node, b: Node) -> int:
+    """Steps from one element to the other along the tree."""
+    steps = 0
+    while a is not b:
+        if a.depth >= b.depth:
+            a = a.up
+        else:
+            b = b.up
+        steps += 1
+    return steps
 
 
 def smoothness(blocks: list[Block]) -> list[tuple[int, int, float]]:
     """Edges between neighbours in page order, and between each block and the next of the same parent."""
     edges = []
-    last: dict[tuple[int, ...], int] = {}
+    last: dict[Node | None, int] = {}
     for i, b in enumerate(blocks):
         if i:
-            a = blocks[i - 1]
-            apart = len(a.path) + len(b.path) - 2 * shared_depth(a.path, b.path)
-            edges.append((i - 1, i, SMOOTH + NEAR / (1 + apart)))
-        parent = b.path[:-1]
-        if parent in last and last[parent] != i - 1:
+            edges.append((i - 1, i, SMOOTH + NEAR / (1 + apart(blocks[i - 1].node, b.node))))
+        parent = b.node.up
+        if last.get(parent, i - 1) != i - 1:
             edges.append((last[parent], i, NEAR / 2))
         last[parent] = i
     return edges
@@ -238,8 +311,10 @@ def main_text(page: str | None) -> str:
 def extract_pages(pages: DataFrame) -> DataFrame:
     """page_id, url, text and n_chars for every row of ``pages(page_id, url, html)``.
 
-    A null or empty html gives an empty text; repeated rows are extracted row
-    by row; an empty table gives an empty result; other columns are not read.
+    A null or empty html gives an empty text; a very long or deeply nested page
+    is read whole by one task, in time that grows with its length; repeated rows
+    are extracted row by row; an empty table gives an empty result; other
+    columns are not read.
     """
     ship_package(pages.sparkSession)
 

@@ -1,4 +1,5 @@
 import random
+import time
 
 import pytest
 
@@ -64,3 +65,46 @@ def test_cut_is_minimal(seed):
 
     best = min(cost([bool(m >> i & 1) for i in range(n)]) for m in range(1 << n))
     assert cost(H.minimum_cut(gain, edges)) == pytest.approx(best)
+
+
+@pytest.mark.parametrize("seed", range(10))
+def test_whole_pages_against_all_labellings(seed):
+    """The kept blocks of a small page are those of a labelling that no other undercuts."""
+    r = random.Random(seed)
+    parts = []
+    for k in range(9):
+        tag, name = r.choice(["p", "div", "li", "td"]), r.choice(["", "", " class=nav", " class=entry"])
+        inside = f"{k} " + "word " * r.choice([1, 8, 20]) + r.choice(["", ".", "?"])
+        parts.append(f"<{tag}{name}>{f'<a href=x>{inside}</a>' if r.random() < 0.3 else inside}</{tag}>")
+    page = "<div>" + "</div><div>".join(" ".join(parts[i : i + 3]) for i in range(0, 9, 3)) + "</div>"
+    blocks = H.blocks_of(page)
+    gain, edges = [H.score_block(b) for b in blocks], H.smoothness(blocks)
+
+    def cost(mask):
+        own = sum(max(0, -g) if mask >> i & 1 else max(0, g) for i, g in enumerate(gain))
+        return own + sum(c for a, b, c in edges if (mask >> a & 1) != (mask >> b & 1))
+
+    kept = {int(line.split()[0]) for line in H.main_text(page).split("\n") if line}
+    mask = sum(1 << i for i, b in enumerate(blocks) if int(b.text.split()[0]) in kept)
+    assert len(blocks) == 9 and cost(mask) == pytest.approx(min(map(cost, range(1 << 9))))
+
+
+def test_the_cut_turns_a_short_block_between_paragraphs():
+    page = f"<div><div><p>{P1}</p></div><div><div>Yes it does indeed</div></div><div><p>{P2}</p></div></div>"
+    blocks = H.blocks_of(page)
+    gain = [H.score_block(b) for b in blocks]
+    assert [g > 0 for g in gain] == [True, False, True] and all(H.minimum_cut(gain, H.smoothness(blocks)))
+
+
+def test_long_and_deep_pages_take_seconds():
+    begin = time.monotonic()
+    many = "".join(f"<div><p>Paragraph {i} has some words, and ends.</p><li><a href=x>link {i}</a></li><td>{i}</td></div>" for i in range(20_000))
+    assert H.main_text(many).count("Paragraph") == 20_000
+    deep = "<div>" * 50_000 + f"<p>{P1}</p>" + "</div></b></i>" * 50_000 + f"<p>{P2}</p>"
+    assert H.main_text(deep) == f"{P1}\n{P2}"
+    inline = "<b><x>" * 30_000 + f"<p>{P1}" + "</q></x>" * 30_000
+    assert H.main_text(inline) == P1
+    n = 30_000  # nothing decides by itself: one long chain for the flow
+    r = random.Random(1)
+    H.minimum_cut([r.uniform(-1, 1) for _ in range(n)], [(i, i + 1, 1.0) for i in range(n - 1)])
+    assert time.monotonic() - begin < 40
