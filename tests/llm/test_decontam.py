@@ -1,4 +1,5 @@
 import hashlib
+import random
 import re
 
 import pytest
@@ -61,3 +62,31 @@ def test_as_brute_force(spark, width, block):
 
 def test_digest():
     assert D.items_digest(["1", "10"]) == hashlib.sha256(b"1,10").hexdigest()
+
+
+@pytest.mark.parametrize("seed", range(5))
+def test_windows_of_a_small_vocabulary(seed, monkeypatch):
+    """Repeated windows, items in several blocks, and hashes that collide."""
+    r = random.Random(seed)
+    text = lambda n: " ".join(r.choice("abc") for _ in range(n))
+    items = [(str(i), text(r.choice([0, 1, 2, 4, 9, 30]))) for i in range(8)]
+    docs = [(i, text(r.choice([0, 3, 40]))) for i in range(12)]
+    monkeypatch.setattr(D.WindowSet, "rolling", lambda self, ids, size: (ids[: max(0, len(ids) - size + 1)] % 2).astype("uint64"))
+    one = D.WindowSet([(i, D.words_of(t)) for i, t in items], 4)
+    got = []
+    for doc, t in docs:
+        hit, named = one.scan(D.words_of(t))
+        got.append((doc, len(hit), int(hit.sum()), sorted(named)))
+    assert sorted(got, key=str) == brute(docs, items, 4)
+
+
+def test_many_blocks_and_buffers(spark, monkeypatch):
+    monkeypatch.setattr(D, "BUFFER", 2000)
+    monkeypatch.setattr(D, "HELD", 1)
+    r = random.Random(9)
+    text = lambda n: " ".join(r.choice(["red", "green", "blue", "cyan"]) for _ in range(n))
+    items = [(i, text(r.choice([3, 12, 60]))) for i in range(15)]
+    docs = [(i, text(r.choice([0, 5, 80]))) for i in range(60)]
+    frame = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    got = D.find_contamination(frame, spark.createDataFrame(items, "item_id long, text string"), 6, 20).collect()
+    assert sorted(((x["doc_id"], x["n_words"], x["n_hit"], list(x["items"])) for x in got), key=str) == brute(docs, items, 6)
