@@ -73,6 +73,13 @@ def discard(*tables: DataFrame) -> None:
             file_system.delete(folder.getParent(), True)
 
 
+def exchange_parts(df: DataFrame, bytes_each: int = 256 << 20) -> int:
+    """Partitions for an exchange of ``df``: the session's number, more where the planner's size of the input asks for it."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    wanted = min(-(-size // bytes_each), 1_000_000)  # a planner without statistics may name any size
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), wanted, 1)
+
+
 def number_parts(rows: DataFrame, *order: str) -> DataFrame:
     """The rows in ranges of ``order``, with the number ``_part`` of their range and their place ``_place`` in it."""
     spark, names = rows.sparkSession, rows.columns
@@ -86,7 +93,7 @@ def number_parts(rows: DataFrame, *order: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns, parts, places], [*names, "_part", "_place"])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
-    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
+    tasks = exchange_parts(rows)
     keys = [F.col(c).asc_nulls_first() for c in order]
     ranged = rows.repartitionByRange(tasks, *keys).sortWithinPartitions(*keys)
     return materialize(ranged.mapInArrow(number, f"{fields}, _part int, _place long"), "numbered")
