@@ -8,9 +8,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scriptorium.sources import tables
-from scriptorium.sources.tables import discard, materialize, shared_dir
+from scriptorium.sources.tables import discard, exchange_parts, materialize, shared_dir
 
-__all__ = ["crc_of_id", "discard", "documents", "materialize", "shared_dir", "ship_package", "text_or_empty", "tidy"]
+__all__ = ["crc_of_id", "discard", "documents", "exchange_parts", "materialize", "shared_dir", "ship_package", "text_or_empty", "tidy"]
 
 #: Rows in an Arrow batch where the session leaves that unset: texts are long, and a worker holds whole batches.
 BATCH_ROWS = 1000

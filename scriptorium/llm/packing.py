@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, materialize, ship_package, text_or_empty
+from .common import discard, exchange_parts, materialize, ship_package, text_or_empty
 from .tokens import CACHE_SIZE, public_path, tokenizer
 
 #: A sequence's tokens, the most rounds of the program, lengths priced in one.
@@ -332,7 +332,7 @@ def pack_pieces(pieces: DataFrame, capacity: int = CAPACITY, rounds: int = ROUND
             yield pa.RecordBatch.from_arrays([*batch.columns, parts, pa.array(ranks)], [*names, "_part", "_rank"])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema.fields)
-    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
+    tasks = exchange_parts(pieces)
     order = ["length", F.col("doc_id").asc_nulls_first(), "piece"]
     ranked = materialize(
         pieces.repartitionByRange(tasks, *order).sortWithinPartitions(*order).mapInArrow(number, f"{fields}, _part int, _rank long"),

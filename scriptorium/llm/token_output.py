@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shared_dir, ship_package, text_or_empty
+from .common import exchange_parts, shared_dir, ship_package, text_or_empty
 from .tokens import public_path, tokenizer
 
 MAGIC = b"SCPL"
@@ -116,9 +116,9 @@ def write_tokens(
 
     One range exchange sorts the texts; each task then tokenises its range once
     and writes its shard. Null ids come first, a null or empty text has only
-    the end id, equal doc_ids stay neighbours in any order, an empty table
-    gives an empty file set, and columns other than doc_id and text are not
-    read.
+    the end id, a very long one fills a segment of its own, equal doc_ids stay
+    neighbours in any order, an empty table gives an empty file set, and columns
+    other than doc_id and text are not read.
     """
     spark = docs.sparkSession
     ship_package(spark)
@@ -156,10 +156,9 @@ def write_tokens(
         if doc_ids:
             yield flush()
 
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
     (
-        docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
-        .repartitionByRange(parts, F.col("doc_id").asc_nulls_first())
+        texts.repartitionByRange(exchange_parts(texts), F.col("doc_id").asc_nulls_first())
         .sortWithinPartitions(F.col("doc_id").asc_nulls_first())
         .mapInArrow(encode, SEGMENT_SCHEMA)
         .write.mode("overwrite")
@@ -168,7 +167,11 @@ def write_tokens(
 
 
 def read_tokens(spark: SparkSession, path: str, with_ids: bool = True) -> DataFrame:
-    """Read segments back: doc_id, start (ids of all documents before), n_tokens, ids_crc32 and, if asked, ids."""
+    """Read segments back: doc_id, start (ids of all documents before), n_tokens, ids_crc32 and, if asked, ids.
+
+    A row for each row that was written, null and repeated ids too; a file set
+    without segments gives an empty result.
+    """
     ship_package(spark)
     segments = spark.read.schema(SEGMENT_SCHEMA).parquet(path)
     totals = segments.groupBy("shard").agg(F.sum("n_ids").alias("n")).collect()  # a row for each task of the writer
