@@ -6,8 +6,8 @@ steps: keep the 75 % of the group that lie nearest, take their mean and
 covariance, and repeat. Vectors standardised by medians and median absolute
 deviations give four starts (their length, the length of their bounded values,
 their largest entry, and the length by fixed deviations); after two steps each
-group goes on from the start of the least determinant, until no determinant
-falls any more. A document is rejected when its squared Mahalanobis distance,
+group goes on from the start of the least determinant, until its determinant
+falls by less than 2 %, twelve steps at most. A document is rejected when its squared Mahalanobis distance,
 rescaled so that the group's median is that of the chi-square law, is beyond a
 far quantile.
 
@@ -18,6 +18,7 @@ before they are shuffled, so no task sees all rows of a large group.
 from __future__ import annotations
 
 import math
+from functools import reduce
 from statistics import NormalDist
 
 from pyspark.sql import Column, DataFrame
@@ -42,7 +43,7 @@ FEATURES = {
 }
 SHARE, LEAST_GROUP, TAIL = 0.75, 200, 1e-6
 #: Starts of the estimate, the steps of each, the most steps in all, and a fall of the determinant's logarithm that counts.
-STARTS, FIRST_STEPS, MOST_STEPS, FALL = 4, 2, 30, 1e-3
+STARTS, FIRST_STEPS, MOST_STEPS, FALL = 4, 2, 12, 0.02
 #: Bins of a quantile: of a feature's least deviation, and of a factor e in distances.
 FINE, FINE_LOG = 50, 500
 #: From a median absolute deviation to a standard deviation, for the normal law.
@@ -182,20 +183,27 @@ def edges(points: DataFrame, by: list[str], share: float) -> DataFrame:
     return found.select(*by, F.exp((F.col("bin") + 1) / F.lit(float(FINE_LOG))).alias("edge"))
 
 
-def estimate(points: DataFrame) -> DataFrame:
+def estimate(points: DataFrame, origins: DataFrame, small: bool) -> DataFrame:
     """Of each group and start the mean (array ``center``), inverse covariance (array ``precision``, row by row) and its log determinant.
 
-    A variance counts for no less than that of the feature's least deviation.
+    ``points`` carry the array ``origin`` of their group and start, which
+    ``origins`` lists too; sums are taken from there, so that products stay
+    small. A variance counts for no less than that of the feature's least
+    deviation.
     """
     names, d = list(FEATURES), len(FEATURES)
     floors = list(FEATURES.values())
-    sums = points.groupBy("group", "start").agg(
-        *(F.avg(x).alias(f"m{i}") for i, x in enumerate(names)),
-        *(F.covar_pop(x, names[j]).alias(f"c{i}_{j}") for i, x in enumerate(names) for j in range(i + 1)),
+    by = ["group", "start"]
+    near = points.select(*by, *((F.col(x) - F.get("origin", F.lit(i))).alias(f"y{i}") for i, x in enumerate(names)))
+    sums = near.groupBy(*by).agg(
+        F.count("*").alias("n"),
+        *(F.sum(f"y{i}").alias(f"s{i}") for i in range(d)),
+        *(F.sum(F.col(f"y{i}") * F.col(f"y{j}")).alias(f"s{i}_{j}") for i in range(d) for j in range(i + 1)),
     )
 
     def entry(i: int, j: int) -> Column:
-        c = F.col(f"c{max(i, j)}_{min(i, j)}")
+        a, b = max(i, j), min(i, j)
+        c = F.col(f"s{a}_{b}") / F.col("n") - F.col(f"s{a}") / F.col("n") * F.col(f"s{b}") / F.col("n")
         # a little more on the diagonal, so that features that go together leave an inverse
         return F.greatest(c, F.lit(floors[i] ** 2)) * 1.001 if i == j else c
 
@@ -216,50 +224,75 @@ def estimate(points: DataFrame) -> DataFrame:
     matrix = F.array(*(entry(i, j) for i in range(d) for j in range(d)))
     begin = F.struct(matrix.alias("m"), F.lit(0.0).alias("logdet"))
     swept = F.aggregate(F.sequence(F.lit(0), F.lit(d - 1)), begin, sweep)
-    return sums.select("group", "start", F.array(*(F.col(f"m{i}") for i in range(d))).alias("center"), swept.alias("_s")).select(
-        "group", "start", "center", F.transform("_s.m", lambda v: -v).alias("precision"), F.col("_s.logdet").alias("logdet")
+    center = F.array(*(F.get("origin", F.lit(i)) + F.col(f"s{i}") / F.col("n") for i in range(d)))
+    joined = sums.join(F.broadcast(origins) if small else origins, by)
+    return joined.select(*by, center.alias("center"), swept.alias("_s")).select(
+        *by, "center", F.transform("_s.m", lambda v: -v).alias("precision"), F.col("_s.logdet").alias("logdet")
     )
 
 
-def starts(sound: DataFrame, small: bool) -> DataFrame:
-    """group, start, the features and the distances of the four starts."""
-    points = sound.select("group", F.array(*FEATURES).alias("v"))
-    center = materialize(medians(points, "med"), "medians")
-    away = with_model(points, center, small).select("group", F.zip_with("v", "med", lambda x, m: F.abs(x - m)).alias("v"))
-    spread = medians(away, "mad")
-    model = materialize(center.join(spread, "group"), "spreads")
-    least = F.array(*(F.lit(x) for x in FEATURES.values()))
-    scale = F.zip_with("mad", least, lambda m, f: F.greatest(m * NORMAL, f))
-    off = F.zip_with(F.array(*FEATURES), "med", lambda x, m: x - m)
-    rows = with_model(sound, model, small).withColumns({"_off": off, "_scale": scale})
-    z = F.zip_with("_off", "_scale", lambda x, s: x / s)
-
-    def total(values: Column) -> Column:
-        return F.aggregate(values, F.lit(0.0), lambda a, x: a + x)
-
+def starts(sound: DataFrame, spreads: DataFrame, small: bool) -> DataFrame:
+    """group, start, origin, the features and the distances of the four starts, from medians and their deviations."""
+    off = [F.col(x) - F.get("med", F.lit(i)) for i, x in enumerate(FEATURES)]
+    least = list(FEATURES.values())
+    z = [o / F.greatest(F.get("mad", F.lit(i)) * NORMAL, F.lit(f)) for i, (o, f) in enumerate(zip(off, least, strict=True))]
     distances = F.array(
-        total(F.transform(z, lambda x: x * x)),
-        total(F.transform(z, lambda x: F.tanh(x) * F.tanh(x))),
-        F.array_max(F.transform(z, lambda x: x * x)),
-        total(F.zip_with("_off", least, lambda x, f: (x / f) * (x / f))),
+        sum((x * x for x in z), F.lit(0.0)),
+        sum((F.tanh(x) * F.tanh(x) for x in z), F.lit(0.0)),
+        F.greatest(*(x * x for x in z)),
+        sum(((o / F.lit(f)) ** 2 for o, f in zip(off, least, strict=True)), F.lit(0.0)),
     )
-    return rows.select("group", *FEATURES, F.posexplode(distances).alias("start", "d"))
+    rows = sound.join(F.broadcast(spreads) if small else spreads, "group")
+    return rows.select("group", F.col("med").alias("origin"), *FEATURES, F.posexplode(distances).alias("start", "d"))
 
 
-def concentrate(sound: DataFrame, model: DataFrame | None, share: float, small: bool) -> DataFrame:
-    """A concentration step of every group and start: the model of the share of the points nearest to the one before."""
-    if model is None:
-        near = starts(sound, small)
-    else:
-        near = with_model(sound, model, small).select("group", "start", *FEATURES, distance().alias("d"))
+def concentrate(near: DataFrame, origins: DataFrame, share: float, small: bool) -> DataFrame:
+    """A concentration step of every group and start: the model of the share of the points nearest by ``d``."""
     by = ["group", "start"]
     edge = materialize(edges(near, by, share), "edges")
     core = near.join(F.broadcast(edge) if small else edge, by).filter(F.col("d") <= F.col("edge"))
-    out = materialize(estimate(core), "model")
+    out = materialize(estimate(core, origins, small), "model")
     discard(edge)
     return out
 
 
+def measured(sound: DataFrame, model: DataFrame, small: bool) -> DataFrame:
+    """The points of the model's groups with their distances by it; its centers are the origins of the next sums."""
+    rows = sound.join(F.broadcast(model) if small else model, "group")
+    return rows.select("group", "start", F.col("center").alias("origin"), *FEATURES, distance().alias("d"))
+
+
+def determinant_estimates(sound: DataFrame, share: float, small: bool) -> DataFrame:
+    """group, center and precision of the minimum-covariance-determinant estimate of every group of ``sound``."""
+    points = sound.select("group", F.array(*FEATURES).alias("v"))
+    center = materialize(medians(points, "med"), "medians")
+    away = with_model(points, center, small).select("group", F.zip_with("v", "med", lambda x, m: F.abs(x - m)).alias("v"))
+    spreads = materialize(center.join(medians(away, "mad"), "group"), "spreads")
+    every = F.explode(F.sequence(F.lit(0), F.lit(STARTS - 1))).alias("start")
+    origins = spreads.select("group", every, F.col("med").alias("origin"))
+    model = concentrate(starts(sound, spreads, small), origins, share, small)
+    for _ in range(1, FIRST_STEPS):
+        model = step(sound, model, share, small)
+    picked = F.min_by(F.struct("start", "center", "precision", "logdet"), F.struct("logdet", "start"))
+    model = materialize(model.groupBy("group").agg(picked.alias("_m")).select("group", "_m.*"), "picked")
+    done = []
+    for k in range(FIRST_STEPS, MOST_STEPS):
+        new = step(sound, model, share, small)
+        before = model.select("group", F.col("logdet").alias("_before"))
+        judged = materialize(new.join(before, "group").withColumn("falls", F.col("_before") - F.col("logdet") > FALL), "judged")
+        last = k == MOST_STEPS - 1
+        done.append((judged if last else judged.filter("not falls")).select("group", "center", "precision"))
+        if last or judged.filter("falls").isEmpty():
+            break
+        model = judged.filter("falls").select("group", "start", "center", "precision", "logdet")  # only these go on
+    return reduce(DataFrame.union, done)
+
+
+def step(sound: DataFrame, model: DataFrame, share: float, small: bool) -> DataFrame:
+    origins = model.select("group", "start", F.col("center").alias("origin"))
+    return concentrate(measured(sound, model, small), origins, share, small)
+
+
 def distance() -> Column:
     """Squared Mahalanobis distance to the joined model."""
     d = len(FEATURES)
@@ -289,24 +322,13 @@ def judge_quality(
     stats = statistics(docs, carry).withColumn("base_failed", base_failed()).withColumns(vector())
     stats = materialize(stats, "statistics")
     grouped, small = groups(stats, least_group)
-    sound = grouped.filter(~F.col("base_failed")).select("group", *FEATURES)
-    model = None
-    for _ in range(FIRST_STEPS):
-        model = concentrate(sound, model, share, small)
-    picked = F.min_by(F.struct("start", "center", "precision", "logdet"), F.struct("logdet", "start"))
-    model = materialize(model.groupBy("group").agg(picked.alias("_m")).select("group", "_m.*"), "picked")
-    for _ in range(FIRST_STEPS, MOST_STEPS):
-        new = concentrate(sound, model, share, small)
-        before = model.select("group", F.col("logdet").alias("_before"))
-        fall = new.join(before, "group").agg(F.max(F.col("_before") - F.col("logdet"))).first()[0]
-        discard(model)
-        model = new
-        if fall is None or fall <= FALL:
-            break
+    sound = materialize(grouped.filter(~F.col("base_failed")).select("group", *FEATURES), "sound")
+    model = materialize(determinant_estimates(sound, share, small), "estimates")
     typical = chi2_quantile(0.5, len(FEATURES))
     near = with_model(sound, model, small).select("group", distance().alias("d"))
     scale = edges(near, ["group"], 0.5).select("group", F.greatest(F.col("edge") / F.lit(typical), F.lit(1.0)).alias("scale"))
-    model = materialize(model.select("group", "center", "precision").join(scale, "group"), "scaled")
+    model = materialize(model.join(scale, "group"), "scaled")
+    discard(sound)
     far = chi2_quantile(1 - tail, len(FEATURES))
     judged = with_model(grouped, model, small).withColumn("distance", distance() / F.col("scale"))
     return judged.select(

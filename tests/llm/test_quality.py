@@ -66,13 +66,14 @@ def covariance(x):
 def test_estimate_inverts_the_covariance(spark):
     names = list(Q.FEATURES)
     x = np.random.default_rng(0).normal(size=(400, len(names))) @ np.random.default_rng(1).normal(size=(len(names), len(names)))
-    frame = spark.createDataFrame([("g", 0, *map(float, row)) for row in x], ["group", "start", *names])
-    model = Q.estimate(frame).first()
+    frame = spark.createDataFrame([("g", 0, [0.5] * len(names), *map(float, row)) for row in x], ["group", "start", "origin", *names])
+    models = Q.estimate(frame, frame.select("group", "start", "origin").distinct(), True)
+    model = models.first()
     cov = covariance(x)
     assert np.allclose(model["center"], x.mean(axis=0))
     assert np.allclose(np.array(model["precision"]).reshape(len(names), -1), np.linalg.inv(cov), rtol=1e-6)
     assert np.isclose(model["logdet"], np.linalg.slogdet(cov)[1])
-    got = Q.with_model(frame.drop("start"), Q.estimate(frame), True).select(Q.distance().alias("d")).collect()
+    got = Q.with_model(frame.drop("start"), models, True).select(Q.distance().alias("d")).collect()
     off = x - x.mean(axis=0)
     assert np.allclose(sorted(r["d"] for r in got), sorted(np.einsum("ij,jk,ik->i", off, np.linalg.inv(cov), off)))
 
@@ -106,7 +107,7 @@ def brute_distances(x):
 
     states = [step(step(d)[0]) for d in begins]
     d, det = min(states, key=lambda s: s[1])
-    for _ in range(30):
+    for _ in range(Q.MOST_STEPS - Q.FIRST_STEPS):
         d, new = step(d)
         if det - new <= Q.FALL:
             break
