@@ -2,18 +2,21 @@
 
 Pieces are at most ``capacity`` long, so their histogram has at most
 ``capacity`` bins however many pieces there are; only it comes to the driver.
-A greedy fill of whole patterns and best fit give a first plan. Unless a lower
-bound shows it to be within ``GAP`` (and less than one sequence more), the
-covering program (patterns of lengths that fit a sequence; use as few as
-possible so that every length is covered) is solved over all lengths by column
-generation: the simplex method's dual weights price the lengths, an exact
-knapsack finds the best new pattern, and its value bounds the optimum from
-below. The solution is rounded down to whole patterns, the rest of the
-histogram is packed like the first plan, and the shorter plan holds. Best fit
-packs the longest first, many
-equal sequences at a time. Pieces then take the plan's slots by their rank
-among all pieces of their length, found by one range exchange over (length,
-id), so no length, however common, meets in one task.
+The covering program (patterns of lengths that fit a sequence; use as few as
+possible so that every length is covered) is solved by multiplicative weights:
+a length's price falls by a factor with its coverage, and a knapsack gives the
+best pattern at these prices. A first run uses every pattern as often as it
+can and prices some lengths at a time. Unless a lower bound shows the plan that
+comes of it to be within ``GAP`` (and less than one sequence more), a second
+run prices all lengths and uses patterns in small steps, so that weights
+accumulate; its prices bound the optimum from below, and its patterns start a
+simplex over all lengths, which closes the last percent, for which weights
+alone would take some ln(m) / GAP^2 rounds. The solution is rounded down to
+whole patterns, the rest of the histogram is packed like the first plan, and
+the shorter plan holds. Best fit packs the longest first, many equal sequences
+at a time. Pieces then take the plan's slots by their rank among all pieces of
+their length, found by one range exchange over (length, id), so no length,
+however common, meets in one task.
 """
 
 from __future__ import annotations
@@ -40,6 +43,8 @@ RATE, STEP = 0.1, 1.0
 #: Prices grow a little faster than sizes, so that of equally full patterns the one with larger pieces wins; a pattern
 #: must fill this share of a sequence; after so many worse ones in a row the rest is left to best fit.
 POWER, FILL, MISSES = 1.2, 0.99, 20
+#: The second run: how strongly prices fall with coverage, the share of a length that a step covers, and its most rounds.
+WEIGHT, SHORT, SECOND = 4.0, 0.05, 1000
 Pattern = tuple[dict[int, int], int]
 
 
@@ -81,7 +86,7 @@ def solve_program(
     step: float = STEP,
     spread: int = PRICED,
 ) -> list[tuple[dict[int, int], float]]:
-    """A first cover by a greedy fill: full patterns and how often each is used, until few are left.
+    """The first run: full patterns and how often each is used, until few are left.
 
     A length's price is a power of its size times exp(-rate * covered share), so
     lengths that lag behind grow dear and steer the patterns. Every round prices
@@ -120,8 +125,40 @@ def solve_program(
     return [(dict(key), amount) for key, amount in out.items()]
 
 
+def weigh_configurations(
+    histogram: dict[int, int], capacity: int = CAPACITY, rounds: int = SECOND, rate: float = WEIGHT, step: float = SHORT
+) -> tuple[list[tuple[dict[int, int], float]], float]:
+    """Multiplicative weights over all lengths: patterns with amounts that cover what each round has reached, and a lower bound.
+
+    The weight of a length begins with its share of a sequence and is
+    multiplied by exp(-rate * share) whenever that share of its demand is
+    covered. The rounds' weights, each divided by its best pattern's worth, are
+    averaged; their sum over the demand, divided by the worth of the best
+    pattern at them, is no more than the optimum. Amounts are scaled to cover
+    every length once where all have been met.
+    """
+    lengths = np.array(sorted(histogram), dtype=np.int64)
+    counts = np.array([histogram[x] for x in lengths.tolist()], dtype=np.int64)
+    place = {x: i for i, x in enumerate(lengths.tolist())}
+    covered, mean = np.zeros(len(lengths)), np.zeros(len(lengths))
+    amounts: dict[tuple[tuple[int, int], ...], float] = {}
+    for _ in range(rounds):
+        weights = lengths / capacity * np.exp(-rate * (covered - covered.min()))
+        pattern = price_pattern(lengths, counts, weights, capacity)
+        mean += weights / sum(k * weights[place[x]] for x, k in pattern.items())
+        amount = step * min(counts[place[x]] / k for x, k in pattern.items())
+        key = tuple(sorted(pattern.items()))
+        amounts[key] = amounts.get(key, 0.0) + amount
+        for x, k in pattern.items():
+            covered[place[x]] += amount * k / counts[place[x]]
+    scale = 1 / covered.min() if covered.min() > 0 else 1.0
+    best = price_pattern(lengths, counts, mean, capacity)
+    bound = float(mean @ counts) / sum(k * mean[place[x]] for x, k in best.items())
+    return [(dict(key), amount * scale) for key, amount in amounts.items()], bound
+
+
 def solve_configurations(
-    histogram: dict[int, int], pool: list[dict[int, int]], capacity: int = CAPACITY, gap: float = GAP
+    histogram: dict[int, int], pool: list[dict[int, int]], capacity: int = CAPACITY, gap: float = GAP, bound: float = 0.0
 ) -> tuple[list[tuple[dict[int, int], float]], float]:
     """The covering program over all lengths: patterns with their amounts, and a lower bound on any plan's sequences.
 
@@ -132,7 +169,7 @@ def solve_configurations(
     lengths = np.array(sorted(histogram), dtype=np.int64)
     counts = np.array([histogram[x] for x in lengths.tolist()], dtype=np.int64)
     m, place = len(lengths), {x: i for i, x in enumerate(lengths.tolist())}
-    bound = float(lengths @ counts) / capacity
+    bound = max(bound, float(lengths @ counts) / capacity)
 
     def column(pattern: dict[int, int]) -> np.ndarray:
         out = np.zeros(m)
@@ -239,7 +276,8 @@ def plan_sequences(histogram: dict[int, int], capacity: int = CAPACITY, rounds:
     plan = fill(histogram)
     if sequences(plan) <= math.ceil(sum(x * n for x, n in histogram.items()) / capacity * (1 + GAP) - 1e-9):
         return plan
-    solution, _ = solve_configurations(histogram, [p for p, _ in plan], capacity)
+    weighed, bound = weigh_configurations(histogram, capacity)
+    solution, _ = solve_configurations(histogram, [p for p, _ in [*plan, *weighed]], capacity, bound=bound)
     whole, left = round_down(solution, histogram)
     return min(plan, whole + fill(left), key=sequences)
 

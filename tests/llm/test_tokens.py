@@ -147,3 +147,53 @@ def step(best, size, count, value):
             if w + k * size <= 40:
                 out[w + k * size] = max(out.get(w + k * size, -1.0), x + k * value)
     return out
+
+
+def least_sequences(histogram, capacity):
+    """The fewest sequences, by trying every pattern for the longest piece that is left."""
+    best: dict = {}
+
+    def patterns(left, room, top):
+        yield {}
+        for x in sorted(left, reverse=True):
+            if x <= min(room, top) and left[x]:
+                for rest in patterns({**left, x: left[x] - 1}, room - x, x):
+                    yield {**rest, x: rest.get(x, 0) + 1}
+
+    def solve(left):
+        key = tuple(sorted((x, n) for x, n in left.items() if n))
+        if not key:
+            return 0
+        if key not in best:
+            x = key[-1][0]
+            rest = {**left, x: left[x] - 1}
+            best[key] = 1 + min(solve({y: n - p.get(y, 0) for y, n in rest.items()}) for p in patterns(rest, capacity - x, x))
+        return best[key]
+
+    return solve(histogram)
+
+
+@pytest.mark.parametrize("seed", range(12))
+def test_plans_of_few_pieces_against_all_plans(seed):
+    rng = np.random.default_rng(seed)
+    sizes, counts = np.unique(rng.integers(8, 40, 9), return_counts=True)
+    histogram = dict(zip(sizes.tolist(), counts.tolist(), strict=True))
+    least = least_sequences(histogram, 60)
+    assert least <= sum(n for _, n in P.plan_sequences(histogram, 60)) <= least + 1
+
+
+@pytest.mark.parametrize("seed", range(5))
+def test_weights_and_simplex_bracket_the_program(seed):
+    rng = np.random.default_rng(seed)
+    histogram = {int(x): int(n) for x, n in zip(rng.integers(600, 2100, 25), rng.integers(50, 900, 25), strict=True)}
+    weighed, low = P.weigh_configurations(histogram)
+    covered = dict.fromkeys(histogram, 0.0)
+    for pattern, amount in weighed:
+        assert sum(x * k for x, k in pattern.items()) <= 4096
+        for x, k in pattern.items():
+            covered[x] += amount * k
+    assert all(covered[x] >= n - 1e-6 for x, n in histogram.items())
+    solution, bound = P.solve_configurations(histogram, [p for p, _ in weighed], gap=0.0)
+    optimum = sum(a for _, a in solution)
+    assert bound == pytest.approx(optimum, rel=1e-5)
+    assert 0.85 * optimum <= low <= optimum * (1 + 1e-9) <= (1 + 1e-6) * sum(a for _, a in weighed) <= 1.1 * optimum
