@@ -22,23 +22,24 @@ def unigram_overlap(a: Column, b: Column) -> Column:
     return F.aggregate(F.array_distinct(a), F.lit(0), lambda s, t: s + least(t))
 
 
-def _common_length(a: list[str], b: list[str]) -> int:
-    """Longest common subsequence: a bit vector as wide as ``b`` takes one step for each token of ``a``."""
-    places: dict[str, int] = {}
-    for j, t in enumerate(b):
-        places[t] = places.get(t, 0) | 1 << j
-    whole = row = (1 << len(b)) - 1
-    for t in a:
-        met = row & places.get(t, 0)
-        row = (row + met | row - met) & whole
-    return len(b) - row.bit_count()
-
-
 def lcs_length(a: Column, b: Column) -> Column:
-    """Longest common subsequence of two token arrays, over Arrow batches: Spark's functions would copy a table row for each cell."""
+    """Longest common subsequence of two token arrays, over Arrow batches: Spark's functions would copy a table row for each cell.
+
+    A bit vector as wide as ``b`` takes one step for each token of ``a``.
+    """
 
     def lengths(left: pd.Series, right: pd.Series) -> pd.Series:
-        return pd.Series([_common_length(list(x), list(y)) for x, y in zip(left, right, strict=True)], dtype="int64")
+        found = []
+        for x, y in zip(left, right, strict=True):
+            places: dict[str, int] = {}
+            for j, t in enumerate(y):
+                places[t] = places.get(t, 0) | 1 << j
+            whole = row = (1 << len(y)) - 1
+            for t in x:
+                met = row & places.get(t, 0)
+                row = (row + met | row - met) & whole
+            found.append(len(y) - row.bit_count())
+        return pd.Series(found, dtype="int64")
 
     none = F.array().cast("array<string>")
     return F.pandas_udf(lengths, "long")(F.coalesce(a, none), F.coalesce(b, none))

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import WindowSpec
 from pyspark.sql import functions as F
 
-from scriptorium.functions.text import hash_index
-from scriptorium.sources.tables import materialize, number_rows
 
 EPSILON = 1e-12
 
@@ -186,16 +186,16 @@ def select_alpha(first: DataFrame, second: DataFrame, labels: DataFrame, grid: t
 
 
 def summary(rows: DataFrame, value: str, by: tuple[str, ...] = ()) -> DataFrame:
-    """count, mean, median, population deviation, 90th percentile, minimum and maximum."""
-    return rows.groupBy(*by).agg(
-        F.count(value).alias("n"),
-        F.round(F.avg(value), 6).alias("mean"),
-        F.round(F.percentile(value, F.lit(0.5)), 6).alias("median"),
-        F.round(F.stddev_pop(value), 6).alias("std"),
-        F.round(F.percentile(value, F.lit(0.9)), 6).alias("p90"),
-        F.round(F.min(value), 6).alias("least"),
-        F.round(F.max(value), 6).alias("most"),
-    )
+    """count, mean, median, population deviation, 90th percentile, minimum and maximum; zeros where there is no value."""
+    found = {
+        "mean": F.avg(value),
+        "median": F.percentile(value, F.lit(0.5)),
+        "std": F.stddev_pop(value),
+        "p90": F.percentile(value, F.lit(0.9)),
+        "least": F.min(value),
+        "most": F.max(value),
+    }
+    return rows.groupBy(*by).agg(F.count(value).alias("n"), *(F.round(F.coalesce(c, F.lit(0.0)), 6).alias(n) for n, c in found.items()))
 
 
 def win_tie_loss(rows: DataFrame, delta: str, significant: float, by: tuple[str, ...] = ()) -> DataFrame:
@@ -212,25 +212,35 @@ def win_tie_loss(rows: DataFrame, delta: str, significant: float, by: tuple[str,
     )
 
 
-def paired_bootstrap(rows: DataFrame, delta: str, order: str, draws: int, seed: str) -> DataFrame:
-    """Mean delta with the 2.5 and 97.5 percentiles of the means of ``draws`` resamples.
+#: Steps of the Poisson(1) distribution; beyond the last the chance is below one in 10^9.
+POISSON = tuple(sum(math.exp(-1) / math.factorial(j) for j in range(k + 1)) for k in range(12))
+
+
+def multiplicity(*parts: Column) -> Column:
+    """How often a row counts in a draw: Poisson(1) of the first 32 bits of the md5 of the joined parts."""
+    u = F.conv(F.substring(F.md5(F.concat_ws(":", *parts)), 1, 8), 16, 10).cast("long") / F.lit(4294967296.0)
+    return sum(((u >= F.lit(x)).cast("int") for x in POISSON), F.lit(0))
 
-    Draw b takes for its j-th place the row whose number is the md5 of
-    seed:b:j modulo n: the statistic of the usual bootstrap, with draws that
-    any engine can repeat. Only the deltas and their numbers are resampled.
+
+def bootstrap_means(rows: DataFrame, values: tuple[str, ...], key: str, draws: int, seed: str, by: tuple[str, ...] = ()) -> DataFrame:
+    """Means of ``values`` in ``draws`` resamples: ``by``, draw ``b`` and the means, rounded to 9 digits.
+
+    Every row tells how often it counts in each draw by the hash of seed, draw
+    and key, independently of all others (Poisson(1), what drawing n of n rows
+    tends to), so that draws are summed up before the shuffle and any engine
+    can repeat them.
     """
-    spark = rows.sparkSession
-    rows = materialize(rows.select(order, delta), "deltas")
-    numbered = number_rows(rows.select(order, F.col(delta).cast("double").alias("d")), order).select("d", F.col("number").alias("k"))
-    n = rows.agg(F.count("*").alias("n"))
-    drawn = (
-        spark.range(draws).withColumnRenamed("id", "b").crossJoin(F.broadcast(n))
-        .withColumn("j", F.explode(F.sequence(F.lit(0), F.col("n").cast("int") - 1)))
-        .select("b", hash_index(F.col("n"), F.lit(seed), F.col("b").cast("string"), F.col("j").cast("string")).alias("k"))
-    )
-    means = drawn.join(numbered, "k").groupBy("b").agg(F.round(F.avg("d"), 9).alias("m"))
+    drawn = rows.select(*by, key, *values, F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("b"))
+    weighed = drawn.withColumn("_w", multiplicity(F.lit(seed), F.col("b").cast("string"), F.col(key).cast("string")))
+    sums = weighed.groupBy(*by, "b").agg(F.sum("_w").alias("_n"), *(F.sum(F.col("_w") * F.col(v)).alias(v) for v in values))
+    return sums.filter("_n > 0").select(*by, "b", *(F.round(F.col(v) / F.col("_n"), 9).alias(v) for v in values))
+
+
+def paired_bootstrap(rows: DataFrame, delta: str, order: str, draws: int, seed: str) -> DataFrame:
+    """Mean delta with the 2.5 and 97.5 percentiles of the means of ``draws`` resamples."""
+    means = bootstrap_means(rows, (delta,), order, draws, seed)
     limits = means.agg(
-        F.round(F.percentile("m", F.lit(0.025)), 6).alias("ci_low"), F.round(F.percentile("m", F.lit(0.975)), 6).alias("ci_high")
+        F.round(F.percentile(delta, F.lit(0.025)), 6).alias("ci_low"), F.round(F.percentile(delta, F.lit(0.975)), 6).alias("ci_high")
     )
     return rows.agg(F.count("*").alias("n"), F.round(F.avg(delta), 6).alias("mean_delta")).crossJoin(limits)
 

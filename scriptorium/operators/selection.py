@@ -7,8 +7,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from scriptorium.functions.rouge import rouge_1, rouge_l
-from scriptorium.functions.text import hash_index, jaccard, spaced_key, title_tokens, tokens
-from scriptorium.sources.tables import materialize
+from scriptorium.functions.text import jaccard, spaced_key, title_tokens, tokens
+from scriptorium.operators.ranking import bootstrap_means
 
 
 def hash_sample(rows: DataFrame, identifier: str, count: int, seed: str) -> DataFrame:
@@ -95,24 +95,10 @@ def context_text(mode: str, source: Column, titles: Column, factors: Column) ->
 
 
 def corpus_rouge(rows: DataFrame, prediction: str, target: str, draws: int, seed: str) -> DataFrame:
-    """Mean ROUGE with the 2.5, 50 and 97.5 percentiles of resampled means.
-
-    The j-th pick of draw b is the row numbered by the md5 of seed:b:j; rows
-    are numbered by id.
-    """
-    from scriptorium.sources.tables import number_rows
-
-    spark = rows.sparkSession
+    """Mean ROUGE with the 2.5, 50 and 97.5 percentiles of resampled means."""
     words = rows.select("id", tokens(prediction).alias("p"), tokens(target).alias("t"))
     scored = words.select("id", F.round(rouge_1(F.col("p"), F.col("t")), 8).alias("r1"), F.round(rouge_l(F.col("p"), F.col("t")), 8).alias("rl"))
-    numbered = materialize(number_rows(scored, "id"), "scored")
-    n = numbered.agg(F.count("*").alias("n"))
-    drawn = (
-        spark.range(draws).withColumnRenamed("id", "b").crossJoin(F.broadcast(n))
-        .withColumn("j", F.explode(F.sequence(F.lit(0), F.col("n").cast("int") - 1)))
-        .select("b", hash_index(F.col("n"), F.lit(seed), F.col("b").cast("string"), F.col("j").cast("string")).alias("number"))
-    )
-    means = drawn.join(numbered, "number").groupBy("b").agg(F.round(F.avg("r1"), 9).alias("r1"), F.round(F.avg("rl"), 9).alias("rl"))
+    means = bootstrap_means(scored, ("r1", "rl"), "id", draws, seed)
     limits = [
         F.round(F.percentile(c, F.lit(q)), 6).alias(f"{c}_{name}") for c in ("r1", "rl") for name, q in (("low", 0.025), ("mid", 0.5), ("high", 0.975))
     ]

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 TOK = "regexp_extract_all(lower(coalesce({}, '')), '[a-z0-9]+')"
 STOP = "'a','an','and','are','as','at','be','by','for','from','in','is','of','on','or','the','to','using','via','we','with'"
 TITLE_TOK = (
@@ -176,6 +178,20 @@ def _ngram(n: int) -> str:
         (SELECT coalesce(sum(greatest(len(p) - {n - 1}, 0)), 0) AS all_ FROM texts) a{n}"""
 
 
+#: Steps of the Poisson(1) distribution, by its own recurrence.
+_STEPS = [math.exp(-1)]
+_TERM = math.exp(-1)
+for _k in range(1, 12):
+    _TERM /= _k
+    _STEPS.append(_STEPS[-1] + _TERM)
+
+
+def drawn(seed: str, key: str = "k") -> str:
+    """How often a row counts in draw ``b``: Poisson(1) of a hash of seed, draw and key."""
+    u = f"('0x' || substr(md5('{seed}:' || b || ':' || {key}), 1, 8))::BIGINT / 4294967296e0"
+    return f"list_sum(list_transform([{', '.join(map(repr, _STEPS))}], lambda x: CASE WHEN {u} >= x THEN 1 ELSE 0 END))"
+
+
 def oracle_sql() -> dict[str, str]:
     out = {
         "bm25_topk": sql("retr", "SELECT id, pos, CAST(rank AS INT) AS rank, score FROM retr"),
@@ -408,9 +424,9 @@ def oracle_sql() -> dict[str, str]:
         "win_tie_loss": sql("deltas", f"SELECT {_WTL.format('delta')} FROM deltas"),
         "paired_bootstrap": sql(
             "deltas",
-            """, r AS (SELECT row_number() OVER (ORDER BY k) - 1 AS k, delta FROM (SELECT id || ':' || candidate_id AS k, delta FROM deltas)), n AS (SELECT count(*) AS n FROM r),
-            m AS (SELECT b, round(avg(delta), 9) AS m FROM (SELECT b, ('0x' || substr(md5('11:' || b || ':' || j), 1, 8))::BIGINT % n AS k FROM range(200) t(b), n, range((SELECT n FROM n)) u(j)) JOIN r USING (k) GROUP BY b)
-            SELECT (SELECT n FROM n) AS n, (SELECT round(avg(delta), 6) FROM r) AS mean_delta, round(quantile_cont(m, 0.025), 6) AS ci_low, round(quantile_cont(m, 0.975), 6) AS ci_high FROM m""",
+            f""", r AS (SELECT id || ':' || candidate_id AS k, delta FROM deltas),
+            m AS (SELECT b, round(sum(w * delta) / sum(w), 9) AS m FROM (SELECT b, delta, {drawn('11')} AS w FROM r, range(5000) t(b)) GROUP BY b HAVING sum(w) > 0)
+            SELECT (SELECT count(*) FROM r) AS n, (SELECT round(avg(delta), 6) FROM r) AS mean_delta, round(quantile_cont(m, 0.025), 6) AS ci_low, round(quantile_cont(m, 0.975), 6) AS ci_high FROM m""",
         ),
         "corpus_bleu": sql(
             "retr samp hist",
@@ -471,9 +487,9 @@ def oracle_sql() -> dict[str, str]:
         ),
         "corpus_rouge_ci": sql(
             "retr samp hist",
-            f""", r AS (SELECT row_number() OVER (ORDER BY id) - 1 AS k, round({rouge_1('a', 'b')}, 8) AS r1, round({rouge_l('a', 'b')}, 8) AS rl FROM (SELECT s.id, {tok('h.title')} AS a, {tok('s.target')} AS b FROM samp s
-            LEFT JOIN (SELECT * FROM retr WHERE rank = 1) t ON t.id = s.id LEFT JOIN hist h ON h.user_id = t.user_id AND h.pos = t.pos)), n AS (SELECT count(*) AS n FROM r),
-            m AS (SELECT b, round(avg(r1), 9) AS r1, round(avg(rl), 9) AS rl FROM (SELECT b, ('0x' || substr(md5('13:' || b || ':' || j), 1, 8))::BIGINT % n AS k FROM range(100) t(b), n, range((SELECT n FROM n)) u(j)) JOIN r USING (k) GROUP BY b)
+            f""", r AS (SELECT id AS k, round({rouge_1('a', 'b')}, 8) AS r1, round({rouge_l('a', 'b')}, 8) AS rl FROM (SELECT s.id, {tok('h.title')} AS a, {tok('s.target')} AS b FROM samp s
+            LEFT JOIN (SELECT * FROM retr WHERE rank = 1) t ON t.id = s.id LEFT JOIN hist h ON h.user_id = t.user_id AND h.pos = t.pos)),
+            m AS (SELECT b, round(sum(w * r1) / sum(w), 9) AS r1, round(sum(w * rl) / sum(w), 9) AS rl FROM (SELECT b, r1, rl, {drawn('13')} AS w FROM r, range(1000) t(b)) GROUP BY b HAVING sum(w) > 0)
             SELECT {', '.join(f"round(quantile_cont({c}, {q}), 6) AS {c}_{name}" for c in ('r1', 'rl') for name, q in (('low', 0.025), ('mid', 0.5), ('high', 0.975)))} FROM m""",
         ),
         "head_soup": "SELECT CAST(place - 1 AS INT) AS place, round(avg(w), 6) AS weight FROM (SELECT unnest(range(1, len(embedding) + 1)) AS place, unnest(embedding)::DOUBLE AS w FROM embeddings) GROUP BY place",

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from scriptorium.functions import rouge, similarity, text
 from scriptorium.operators import datasets, factors, heads, pools, preferences, profiles, ranking, retrieval, selection, validate
 from scriptorium.plans import fixtures
+from scriptorium.sources.tables import ship_package
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -19,6 +20,7 @@ class Frames:
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.dir = spark, sf_dir
+        ship_package(spark)
         self.items = fixtures.history(spark, sf_dir)
         self.samples = fixtures.samples(spark, sf_dir)
 
@@ -227,6 +229,8 @@ def loo_bm25(f: Frames) -> DataFrame:
 
 #: Smaller histories are not searched.
 LEAST_HISTORY = 10
+#: Resamples of paired differences and of corpus ROUGE.
+DRAWS, ROUGE_DRAWS = 5000, 1000
 GRID = (0.0, 0.25, 0.5, 0.75, 1.0)
 
 QUERIES: dict[str, Callable[[Frames], DataFrame]] = {
@@ -306,7 +310,7 @@ QUERIES: dict[str, Callable[[Frames], DataFrame]] = {
     "score_summary": lambda f: ranking.summary(f.scored, "rouge_l"),
     "win_tie_loss": lambda f: ranking.win_tie_loss(f.deltas, "delta", 0.02),
     "paired_bootstrap": lambda f: ranking.paired_bootstrap(
-        f.deltas.select(F.concat_ws(":", "id", "candidate_id").alias("k"), "delta"), "delta", "k", 200, "11"
+        f.deltas.select(F.concat_ws(":", "id", "candidate_id").alias("k"), "delta"), "delta", "k", DRAWS, "11"
     ),
     "corpus_bleu": corpus_bleu,
     "style_summary": style_summary,
@@ -328,10 +332,13 @@ QUERIES: dict[str, Callable[[Frames], DataFrame]] = {
     "slate": lambda f: selection.slate(f.pool, {"profile_seed": 2, "task_seed": 1, "crossover": 1, "mutation": 3}),
     "complementary_pair": lambda f: selection.complementary_pair(f.seeds, f.samples),
     "pair_gate": lambda f: selection.pair_gate(selection.complementary_pair(f.seeds, f.samples)),
-    "corpus_rouge_ci": lambda f: selection.corpus_rouge(f.top_titles, "title", "target", 100, "13"),
+    "corpus_rouge_ci": lambda f: selection.corpus_rouge(f.top_titles, "title", "target", ROUGE_DRAWS, "13"),
     "head_soup": lambda f: ranking.average_heads(f.embeddings.select(F.transform("embedding", lambda x: x.cast("double")).alias("weights"))),
 }
 
 
 def queries() -> dict[str, Query]:
-    return {name: (lambda spark, sf_dir, build=build: build(Frames(spark, sf_dir))) for name, build in QUERIES.items()}
+    from scriptorium.plans import evaluation
+
+    every = QUERIES | evaluation.QUERIES
+    return {name: (lambda spark, sf_dir, build=build: build(Frames(spark, sf_dir))) for name, build in every.items()}
