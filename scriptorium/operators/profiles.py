@@ -154,3 +154,25 @@ def contrast_rows(rows: DataFrame, user: str, order: str) -> DataFrame:
     kind = rows.schema[user].dataType.simpleString()
     found = placed.groupBy("_part").applyInPandas(lambda f: next(follow(iter([f]))), f"order long, user {kind}, contrast long")
     return found.select(F.col("order").alias(order), F.col("user").alias(user), "contrast")
+
+
+def style_summary(rows: DataFrame, user: str, title: str) -> DataFrame:
+    """Per user the number of non-empty titles, their median words, and how many have a colon, a question mark, an acronym; as a text too."""
+    clean = rows.select(user, F.trim(title).alias("_t")).filter(F.length("_t") > 0)
+    words = F.regexp_extract_all("_t", F.lit("[A-Za-z0-9]+(?:[-'][A-Za-z0-9]+)?"), 0)
+    acronym = F.exists(words, lambda w: (F.length(w) >= 2) & (F.upper(w) == w) & w.rlike("[A-Z]"))
+    rate = {"colon": F.contains("_t", F.lit(":")), "question": F.contains("_t", F.lit("?")), "acronym": acronym}
+    found = clean.groupBy(user).agg(
+        F.count("*").alias("titles"),
+        F.round(F.percentile(F.size(words), F.lit(0.5)), 6).alias("median_words"),
+        *(F.round(F.avg(c.cast("double")), 6).alias(f"{n}_rate") for n, c in rate.items()),
+    )
+    percent = {n: F.round(F.col(f"{n}_rate") * 100).cast("int").cast("string") for n in rate}
+    median = F.regexp_replace(F.col("median_words").cast("string"), r"\.0$", "")
+    return found.withColumn(
+        "summary",
+        F.concat(
+            F.lit("Historical titles typically contain "), median, F.lit(" words; "), percent["colon"], F.lit("% use a colon, "),
+            percent["question"], F.lit("% are questions, and "), percent["acronym"], F.lit("% contain an uppercase acronym."),
+        ),
+    )

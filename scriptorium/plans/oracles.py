@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import re
 
 TOK = "regexp_extract_all(lower(coalesce({}, '')), '[a-z0-9]+')"
 STOP = "'a','an','and','are','as','at','be','by','for','from','in','is','of','on','or','the','to','using','via','we','with'"
@@ -192,6 +193,14 @@ def drawn(seed: str, key: str = "k") -> str:
     return f"list_sum(list_transform([{', '.join(map(repr, _STEPS))}], lambda x: CASE WHEN {u} >= x THEN 1 ELSE 0 END))"
 
 
+def _tokens_13a(x: str) -> str:
+    t = f"replace(replace(replace(replace(replace(replace(replace({x}, '<skipped>', ''), '-' || chr(10), ''), chr(10), ' '), '&quot;', '\"'), '&amp;', '&'), '&lt;', '<'), '&gt;', '>')"
+    t = f"' ' || {t} || ' '"
+    for pattern, new in ((r"([\{-~\[-` -&\(-\+:-@/])", r" \1 "), (r"([^0-9])([.,])", r"\1 \2 "), (r"([.,])([^0-9])", r" \1 \2"), (r"([0-9])(-)", r"\1 \2 ")):
+        t = f"regexp_replace({t}, '{pattern}', '{new}', 'g')"
+    return f"list_filter(string_split_regex({t}, '[ \\t\\r\\x0b\\x0c]+'), lambda x: x <> '')"
+
+
 def oracle_sql() -> dict[str, str]:
     out = {
         "bm25_topk": sql("retr", "SELECT id, pos, CAST(rank AS INT) AS rank, score FROM retr"),
@@ -224,13 +233,18 @@ def oracle_sql() -> dict[str, str]:
             WHERE k <> '') WHERE n = 1""",
         ),
         "loo_bm25": sql(
-            "hist lens stats post df",
-            """SELECT user_id, held, pos, CAST(rank AS INT) AS rank, score FROM (SELECT *, row_number() OVER (PARTITION BY held ORDER BY score DESC, pos) AS rank FROM (
-            SELECT user_id, held, pos, round(sum(qtf * ln(1e0 + (n - 1 - (df - 1) + 5e-1) / (df - 1 + 5e-1)) * (tf * 25e-1 / (tf + 15e-1 * (25e-2 + 75e-2 * l.len /
-              CASE WHEN (total - o.len) / (n - 1) = 0 THEN 1e0 ELSE (total - o.len) / (n - 1) END)))), 6) AS score
-            FROM (SELECT user_id, held, term, count(*)::DOUBLE AS qtf FROM (SELECT user_id, pos AS held, unnest(words[1:8]) AS term FROM hist) GROUP BY ALL) q
-            JOIN df USING (user_id, term) JOIN post USING (user_id, term) JOIN lens l USING (user_id, pos) JOIN (SELECT user_id, pos AS held, len FROM lens) o USING (user_id, held)
-            JOIN stats USING (user_id) WHERE held <> pos GROUP BY user_id, held, pos)) WHERE rank <= 8""",
+            "hist",
+            f""", keyed AS (SELECT user_id, list({{'pos': pos, 'a': {key('abstract')}, 't': {key('title')}}} ORDER BY pos) AS l FROM hist WHERE {key('abstract')} <> '' AND {key('title')} <> '' GROUP BY user_id),
+            firsts AS (SELECT user_id, list_reduce(l, lambda acc, x: CASE WHEN len(list_filter(acc, lambda y: y.a = x.a OR y.t = x.t)) > 0 THEN acc ELSE list_append(acc, x) END, l[1:0]) AS k FROM keyed),
+            it AS (SELECT h.user_id, h.pos, h.words, len(h.words)::DOUBLE AS len FROM hist h JOIN (SELECT user_id, unnest(k) AS k FROM firsts WHERE len(k) >= 10) f ON f.user_id = h.user_id AND f.k.pos = h.pos),
+            po AS (SELECT user_id, pos, term, count(*)::DOUBLE AS tf FROM (SELECT user_id, pos, unnest(words) AS term FROM it) GROUP BY ALL),
+            dn AS (SELECT user_id, term, count(*)::DOUBLE AS df FROM po GROUP BY ALL), un AS (SELECT user_id, count(*)::DOUBLE AS n, sum(len) AS total FROM it GROUP BY user_id),
+            ask AS (SELECT user_id, held, term, count(*)::DOUBLE AS qtf FROM (SELECT user_id, pos AS held, unnest(words[9:]) AS term FROM it) GROUP BY ALL),
+            met AS (SELECT user_id, held, pos, round(sum(qtf * ln(1e0 + ((n - 1) - (df - 1) + 5e-1) / ((df - 1) + 5e-1)) * (tf * 25e-1 / (tf + 15e-1 * (25e-2 + 75e-2 * i.len /
+              CASE WHEN (total - o.len) / greatest(n - 1, 1e0) = 0 THEN 1e0 ELSE (total - o.len) / greatest(n - 1, 1e0) END)))), 6) AS score FROM ask JOIN dn USING (user_id, term) JOIN po USING (user_id, term) JOIN it i USING (user_id, pos)
+              JOIN (SELECT user_id, pos AS held, len FROM it) o USING (user_id, held) JOIN un USING (user_id) WHERE held <> pos GROUP BY user_id, held, pos)
+            SELECT user_id, held, pos, CAST(rank AS INT) AS rank, score FROM (SELECT *, row_number() OVER (PARTITION BY user_id, held ORDER BY score DESC, pos) AS rank FROM (
+              SELECT a.user_id, a.pos AS held, b.pos, coalesce(score, 0e0) AS score FROM it a JOIN it b ON a.user_id = b.user_id AND a.pos <> b.pos LEFT JOIN met m ON m.user_id = a.user_id AND m.held = a.pos AND m.pos = b.pos)) WHERE rank <= 8""",
         ),
         "jaccard_profile_rank": sql(
             "hist samp",
@@ -430,14 +444,21 @@ def oracle_sql() -> dict[str, str]:
         ),
         "corpus_bleu": sql(
             "retr samp hist",
-            f""", texts AS (SELECT s.id, {tok('h.title')} AS p, {tok('s.target')} AS t FROM samp s LEFT JOIN (SELECT * FROM retr WHERE rank = 1) r ON r.id = s.id LEFT JOIN hist h ON h.user_id = r.user_id AND h.pos = r.pos)
-            SELECT CAST(h1.hit AS BIGINT) AS hit_1, CAST(h2.hit AS BIGINT) AS hit_2, CAST(h3.hit AS BIGINT) AS hit_3, CAST(h4.hit AS BIGINT) AS hit_4, CAST(a1.all_ AS BIGINT) AS all_1, CAST(a2.all_ AS BIGINT) AS all_2, CAST(a3.all_ AS BIGINT) AS all_3, CAST(a4.all_ AS BIGINT) AS all_4,
-            (SELECT CAST(sum(len(t)) AS BIGINT) FROM texts) AS reference_length FROM {', '.join(_ngram(n) for n in (1, 2, 3, 4))}""",
-        ),
-        "style_summary": sql(
-            "hist",
-            """SELECT user_id, count(*) AS titles, round(quantile_cont(len(words[1:8]), 0.5), 6) AS median_words, round(avg(CASE WHEN regexp_matches(abstract, '[0-9]') THEN 1e0 ELSE 0e0 END), 6) AS digit_share FROM hist GROUP BY user_id""",
-        ),
+            rf""", raw AS (SELECT s.id, trim(coalesce(h.title, '')) AS p, trim(s.target) AS t FROM samp s LEFT JOIN (SELECT * FROM retr WHERE rank = 1) r ON r.id = s.id LEFT JOIN hist h ON h.user_id = r.user_id AND h.pos = r.pos),
+            texts AS (SELECT id, {_tokens_13a('p')} AS p, {_tokens_13a('t')} AS t FROM raw), n AS (SELECT CAST(h1.hit AS BIGINT) AS hit_1, CAST(h2.hit AS BIGINT) AS hit_2, CAST(h3.hit AS BIGINT) AS hit_3, CAST(h4.hit AS BIGINT) AS hit_4,
+            CAST(a1.all_ AS BIGINT) AS all_1, CAST(a2.all_ AS BIGINT) AS all_2, CAST(a3.all_ AS BIGINT) AS all_3, CAST(a4.all_ AS BIGINT) AS all_4, (SELECT CAST(sum(len(p)) AS BIGINT) FROM texts) AS sys_len,
+            (SELECT CAST(sum(len(t)) AS BIGINT) FROM texts) AS ref_len FROM {', '.join(_ngram(k) for k in (1, 2, 3, 4))}),
+            z AS (SELECT *, {', '.join(f'(CASE WHEN hit_{k} = 0 AND all_{k} > 0 THEN 1 ELSE 0 END)' + (f' + z{k - 1}' if k > 1 else '') + f' AS z{k}' for k in (1, 2, 3, 4))} FROM n),
+            p AS (SELECT *, {', '.join(f'CASE WHEN all_{k} = 0 THEN 0e0 ELSE 1e2 * CASE WHEN hit_{k} > 0 THEN hit_{k}::DOUBLE ELSE 1 / pow(2e0, z{k}) END / all_{k} END AS p{k}' for k in (1, 2, 3, 4))},
+              CASE WHEN sys_len = 0 THEN 0e0 WHEN sys_len >= ref_len THEN 1e0 ELSE exp(1 - ref_len / sys_len::DOUBLE) END AS b FROM z)
+            SELECT hit_1, hit_2, hit_3, hit_4, all_1, all_2, all_3, all_4, {', '.join(f'round(p{k}, 6) AS precision_{k}' for k in (1, 2, 3, 4))}, round(b, 6) AS brevity, sys_len, ref_len,
+            round(CASE WHEN hit_1 + hit_2 + hit_3 + hit_4 = 0 OR least(p1, p2, p3, p4) = 0 THEN 0e0 ELSE b * exp((ln(greatest(p1, 1e-300)) + ln(greatest(p2, 1e-300)) + ln(greatest(p3, 1e-300)) + ln(greatest(p4, 1e-300))) / 4) END, 6) AS score FROM p""",
+        ),
+        "style_summary": r"""SELECT user_id, titles, median_words, colon_rate, question_rate, acronym_rate, 'Historical titles typically contain ' || regexp_replace(CAST(median_words AS VARCHAR), '\.0$', '') || ' words; '
+            || CAST(CAST(round(colon_rate * 100) AS INT) AS VARCHAR) || '% use a colon, ' || CAST(CAST(round(question_rate * 100) AS INT) AS VARCHAR) || '% are questions, and ' || CAST(CAST(round(acronym_rate * 100) AS INT) AS VARCHAR) || '% contain an uppercase acronym.' AS summary
+            FROM (SELECT user_id, count(*) AS titles, round(quantile_cont(len(w), 5e-1), 6) AS median_words, round(avg(CASE WHEN contains(t, ':') THEN 1e0 ELSE 0e0 END), 6) AS colon_rate,
+            round(avg(CASE WHEN contains(t, '?') THEN 1e0 ELSE 0e0 END), 6) AS question_rate, round(avg(CASE WHEN len(list_filter(w, lambda x: len(x) >= 2 AND upper(x) = x AND regexp_matches(x, '[A-Z]'))) > 0 THEN 1e0 ELSE 0e0 END), 6) AS acronym_rate
+            FROM (SELECT user_id, t, regexp_extract_all(t, '[A-Za-z0-9]+(?:[-''][A-Za-z0-9]+)?') AS w FROM (SELECT coalesce(source, '') AS user_id, trim(substr(text, 1, 80)) AS t FROM documents) WHERE len(t) > 0) GROUP BY user_id)""",
         "factor_statistics": sql(
             "tf",
             """SELECT id, factor, support, round(support / items::DOUBLE, 6) AS share, mean_tokens, examples FROM (
@@ -494,4 +515,4 @@ def oracle_sql() -> dict[str, str]:
         ),
         "head_soup": "SELECT CAST(place - 1 AS INT) AS place, round(avg(w), 6) AS weight FROM (SELECT unnest(range(1, len(embedding) + 1)) AS place, unnest(embedding)::DOUBLE AS w FROM embeddings) GROUP BY place",
     }
-    return {name: text.replace("  ", " ") for name, text in out.items()}
+    return {name: re.sub(r"\n\s+", "\n", text) for name, text in out.items()}

@@ -148,26 +148,13 @@ def gap_closure(f: Frames) -> DataFrame:
 
 
 def corpus_bleu(f: Frames) -> DataFrame:
-    """Clipped n-gram hits and totals for n of 1 to 4 over all samples, and the reference length."""
-    rows = f.top_titles.select("id", text.tokens("title").alias("p"), text.tokens("target").alias("t"))
-    parts = [rows.agg(F.sum(F.size("t")).cast("long").alias("reference_length"))]
-    for n in range(1, 5):
-        ours = rows.select("id", F.explode(rouge.ngrams(F.col("p"), n)).alias("g")).groupBy("id", "g").agg(F.count("*").alias("c"))
-        theirs = rows.select("id", F.explode(rouge.ngrams(F.col("t"), n)).alias("g")).groupBy("id", "g").agg(F.count("*").alias("r"))
-        hits = ours.join(theirs, ["id", "g"]).agg(F.coalesce(F.sum(F.least("c", "r")), F.lit(0)).cast("long").alias(f"hit_{n}"))
-        parts += [hits, rows.agg(F.sum(F.greatest(F.size("p") - (n - 1), F.lit(0))).cast("long").alias(f"all_{n}"))]
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.crossJoin(part)  # one row each
-    return out
+    return rouge.corpus_bleu(f.top_titles.select("id", F.col("title").alias("prediction"), F.col("target").alias("reference")))
 
 
 def style_summary(f: Frames) -> DataFrame:
-    return f.items.groupBy("user_id").agg(
-        F.count("*").alias("titles"),
-        F.round(F.percentile(F.size(F.slice("words", 1, fixtures.TITLE_TOKENS)), F.lit(0.5)), 6).alias("median_words"),
-        F.round(F.avg(F.col("abstract").rlike("[0-9]").cast("double")), 6).alias("digit_share"),
-    )
+    """The style of the raw first 80 characters of every document, by source."""
+    raw = f.documents.select(F.coalesce("source", F.lit("")).alias("user_id"), F.substring("text", 1, 80).alias("title"))
+    return profiles.style_summary(raw, "user_id", "title")
 
 
 def warmup_balance(f: Frames) -> DataFrame:
