@@ -33,7 +33,8 @@ def bm25(queries: DataFrame, items: DataFrame, top_k: int = TOP_K, k1: float = K
     ``queries(id, user_id, terms)``, ``items(user_id, pos, words)``. A repeated
     query term counts each time; items without any query term score 0 and fill
     the ranks; ties go to the lower pos. Only postings of queried terms are
-    joined, and a user's items are read once more only for the zero scores.
+    joined; zero scores come from the first 2 top_k items of a user, for fewer
+    than top_k of them have a score where ranks are to be filled.
     """
     lengths = items.select("user_id", "pos", F.size("words").cast("double").alias("len"))
     stats = lengths.groupBy("user_id").agg(
@@ -52,10 +53,19 @@ def bm25(queries: DataFrame, items: DataFrame, top_k: int = TOP_K, k1: float = K
         .join(stats, "user_id")
     )
     part = F.col("qtf") * _idf(F.col("n"), F.col("df")) * _weight(F.col("tf"), F.col("len"), F.col("average"), k1, b)
-    scored = matched.groupBy("id", "user_id", "pos").agg(F.sum(part).alias("score"))
-    every = queries.select("id", "user_id").join(lengths.select("user_id", "pos"), "user_id")
-    filled = every.join(scored, ["id", "user_id", "pos"], "left").fillna(0.0, ["score"])
-    return best(filled.withColumn("score", F.round("score", 6)), top_k)
+    scored = matched.groupBy("id", "user_id", "pos").agg(F.round(F.sum(part), 6).alias("score")).filter("score > 0")
+    found = materialize(best(scored, top_k).drop("rank"), "matched")
+    counts = found.groupBy("id").agg(F.count("*").alias("matches"))
+    few = queries.select("id", "user_id").distinct().join(counts, "id", "left").filter(F.coalesce("matches", F.lit(0)) < top_k)
+    zeros = few.join(first_items(items, 2 * top_k), "user_id").join(found.select("id", "pos"), ["id", "pos"], "left_anti")
+    filled = found.select("id", "user_id", "pos", "score").unionByName(zeros.select("id", "user_id", "pos", F.lit(0.0).alias("score")))
+    return best(filled, top_k)
+
+
+def first_items(items: DataFrame, count: int) -> DataFrame:
+    """user_id and pos of the first ``count`` items of each user."""
+    n = F.row_number().over(W.partitionBy("user_id").orderBy("pos"))
+    return items.select("user_id", "pos").withColumn("_n", n).filter(F.col("_n") <= count).drop("_n")
 
 
 def best(scored: DataFrame, top_k: int) -> DataFrame:
@@ -103,7 +113,7 @@ def leave_one_out(items: DataFrame, query: Column, top_k: int = TOP_K, k1: float
     matches = found.groupBy("user_id", "held").agg(F.count("*").alias("matches"))
     every = lengths.select("user_id", F.col("pos").alias("held"))
     few = every.join(matches, ["user_id", "held"], "left").filter(F.coalesce("matches", F.lit(0)) < top_k)
-    zeros = few.join(lengths, "user_id").filter("held <> pos").join(found, ["user_id", "held", "pos"], "left_anti")
+    zeros = few.join(first_items(items, 2 * top_k), "user_id").filter("held <> pos").join(found, ["user_id", "held", "pos"], "left_anti")
     filled = found.unionByName(zeros.select(own, "user_id", "held", "pos", F.lit(0.0).alias("score")))
     return best(filled, top_k).select("user_id", "held", "pos", "rank", "score")
 
@@ -117,19 +127,30 @@ def jaccard_rank(queries: DataFrame, items: DataFrame, top_k: int = TOP_K) -> Da
     return best(scored, top_k).select("id", "pos", "rank", "score")
 
 
+#: Queries of a dense search that are broadcast at a time.
+QUERY_BLOCK = 1000
+
+
 def dense_top(vectors: DataFrame, queries: DataFrame, top_k: int = TOP_K) -> DataFrame:
     """Best vectors by dot product for each query: ``vectors(vec_id, embedding)``, ``queries(query_id, query)``.
 
-    The query set is a small fixed one, stated by the caller, and is broadcast
-    against the vectors.
+    A stated query set against all vectors, in blocks of about ``QUERY_BLOCK``
+    queries that are broadcast one after another; each task keeps its best
+    top_k of a query before the exchange.
     """
     dot = F.aggregate(
         F.zip_with("embedding", "query", lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, v: s + v
     )
-    scored = vectors.crossJoin(F.broadcast(queries)).select(
-        F.col("query_id").alias("id"), F.col("vec_id").alias("pos"), F.round(dot, 6).alias("score")
-    )
-    return best(scored, top_k)
+    blocks = max(1, -(-queries.count() // QUERY_BLOCK))
+    out: DataFrame | None = None
+    for k in range(blocks):
+        block = queries.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == k) if blocks > 1 else queries
+        scored = vectors.crossJoin(F.broadcast(block)).select(
+            F.col("query_id").alias("id"), F.col("vec_id").alias("pos"), F.round(dot, 6).alias("score")
+        )
+        found = best(scored, top_k)
+        out = found if out is None else out.unionByName(found)
+    return out
 
 
 def content_negatives(queries: DataFrame, titles: DataFrame, count: int = 2) -> DataFrame:
