@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from scriptorium.functions.rouge import rouge_l
 from scriptorium.functions.text import compact_key, jaccard, join_tokens, spaced_key, title_tokens, tokens
 from scriptorium.operators.profiles import greedy_dedup
+from scriptorium.sources.tables import number_rows
 
 # Words that do not show content beside the title stop words' own kind.
 CONTENT_STOP_WORDS = (
@@ -269,3 +270,97 @@ def json_output(text: Column | str) -> Column:
     column = F.col(text) if isinstance(text, str) else text
     body = F.regexp_extract(F.coalesce(column, F.lit("")), r"(?s)(\{.*\})", 1)
     return F.get_json_object(F.regexp_replace(body, r",\s*([}\]])", "$1"), "$.output")
+
+
+def pair_annotations(pairs: DataFrame, queries: DataFrame) -> DataFrame:
+    """A plain judgement of each pair: merge where both texts have target words that the other lacks, else keep the better one (A where equal)."""
+    rows = pairs.join(queries.select("id", tokens("target").alias("gold")), "id")
+    a, b = tokens("a_text"), tokens("b_text")
+    own = lambda x, y: F.size(F.array_except(F.array_intersect(x, F.col("gold")), y))
+    merge = (own(a, b) > 0) & (own(b, a) > 0)
+    score = lambda x: F.round(rouge_l(x, F.col("gold")), 8)
+    scored = rows.withColumns({"a_score": score(a), "b_score": score(b), "merge": merge})
+    decision = F.when(F.col("merge"), "merge").when(F.col("a_score") >= F.col("b_score"), "keep_a").otherwise("keep_b")
+    return scored.select("id", "a_candidate_id", "b_candidate_id", decision.alias("decision"), "a_score", "b_score")
+
+
+def eligible_preferences(rewards: DataFrame, responses: DataFrame, margin: float = 0.03) -> DataFrame:
+    """The best against the worst of a rollout's eligible responses, as pairs with a prompt; one response alone is no pair.
+
+    ``rewards(rollout_id, response_id, reward)``, ``responses(rollout_id,
+    response_id, output, prompt, eligible)``. How many responses there are is
+    not checked here.
+    """
+    rows = rewards.join(responses.filter("eligible"), ["rollout_id", "response_id"])
+    order = F.struct("reward", "response_id", "output", "prompt")
+    ends = rows.groupBy("rollout_id").agg(F.max(order).alias("c"), F.min(order).alias("r"))
+    gap = F.round(F.col("c.reward") - F.col("r.reward"), 8)
+    kept = ends.filter((F.col("c.response_id") != F.col("r.response_id")) & (gap >= margin) & (F.coalesce("c.prompt", F.lit("")) != ""))
+    return kept.select(
+        F.concat("rollout_id", F.lit(":"), "c.response_id", F.lit(">"), "r.response_id").alias("pair_id"),
+        F.col("c.output").alias("chosen"),
+        F.col("r.output").alias("rejected"),
+        gap.alias("margin"),
+    )
+
+
+def size_check(rows: DataFrame, users: int, queries: int) -> DataFrame:
+    """Different users (empty names left out) and rows, and whether both are the expected numbers."""
+    found = rows.agg(F.countDistinct(F.when(F.trim("user_id") != "", F.trim("user_id"))).alias("users"), F.count("*").alias("queries"))
+    return found.withColumn("as_expected", (F.col("users") == users) & (F.col("queries") == queries))
+
+
+def case_selections(rows: DataFrame, value: str, order: str, each: int = 3) -> DataFrame:
+    """The lowest, the middle and the highest rows by value, ``each`` of them, a row once: part and place."""
+    numbered = number_rows(rows, value, order).withColumnRenamed("number", "_n").withColumn("_n", F.col("_n") + 1)
+    ranked = numbered.crossJoin(F.broadcast(rows.agg(F.count("*").alias("_all"))))
+    middle = F.floor((F.col("_all") - each) / 2)
+    part = F.when(F.col("_n") <= each, "bottom").when(F.col("_n") > F.col("_all") - each, "top")
+    part = part.when((F.col("_n") > middle) & (F.col("_n") <= middle + each), "middle")
+    place = F.row_number().over(W.partitionBy("part").orderBy("_n"))
+    return ranked.withColumn("part", part).filter(F.col("part").isNotNull()).withColumn("place", place).drop("_n", "_all")
+
+
+def evidence_lost(visible: DataFrame, most: int) -> DataFrame:
+    """Per id the tokens of its history in rank order, and how many of its items lie wholly or partly beyond ``most`` of them."""
+    sizes = visible.select("id", "rank", F.size(tokens(F.concat_ws(" ", "input", "output"))).alias("n"))
+    ends = sizes.withColumn("end", F.sum("n").over(W.partitionBy("id").orderBy("rank")))
+    return ends.groupBy("id").agg(
+        F.sum("n").alias("tokens"), F.count_if(F.col("end") > most).alias("cut"), F.count_if(F.col("end") - F.col("n") >= most).alias("lost")
+    )
+
+
+def payload_errors(kind: str, payload: Column) -> Column:
+    """What is missing in a JSON payload of a stage, comma-joined: features with name and context, factors, assignments, reasoning, a predicted title."""
+    some = lambda path: F.length(F.trim(F.coalesce(F.get_json_object(payload, path), F.lit("")))) > 0
+    features = F.from_json(F.get_json_object(payload, "$.features"), "array<struct<feature_name:string,context:string>>")
+    factors = F.from_json(F.get_json_object(payload, "$.factors"), "array<string>")
+    tests = {
+        "features": {
+            "object": features.isNull(),
+            "empty": F.size(features) == 0,
+            "name": F.exists(features, lambda x: F.length(F.trim(F.coalesce(x["feature_name"], F.lit("")))) == 0),
+            "context": F.exists(features, lambda x: x["context"].isNull()),
+        },
+        "factors": {"object": factors.isNull(), "empty": F.size(F.filter(factors, lambda x: F.length(F.trim(x)) > 0)) == 0},
+        "assignment": {"assignments": F.get_json_object(payload, "$.assignments").isNull()},
+        "reasoning": {"reasoning": ~some("$.reasoning")},
+        "prediction": {"predicted_title": ~some("$.predicted_title")},
+    }[kind]
+    return F.array_join(F.array_compact(F.array(*(F.when(t, F.lit(n)) for n, t in tests.items()))), ",")
+
+
+def proposal_errors(factors: Column, visible: Column, types: tuple[str, ...], least: int, most: int, evidence: int = 1) -> Column:
+    """What is wrong with a list of proposed factors (factor_id, type, evidence_ids, direction), comma-joined."""
+    low = lambda x: F.lower(F.trim(F.coalesce(x["direction"], F.lit(""))))
+    ids = F.transform(factors, lambda x: x["factor_id"])
+    tests = {
+        "count": ~F.size(factors).between(least, most),
+        "type": F.exists(factors, lambda x: ~x["type"].isin(*types)),
+        "evidence": F.exists(
+            factors, lambda x: (F.size(F.array_distinct(x["evidence_ids"])) < evidence) | (F.size(F.array_except(x["evidence_ids"], visible)) > 0)
+        ),
+        "direction": F.exists(factors, lambda x: low(x).isin("", "high", "medium", "low")),
+        "repeated": F.size(F.array_distinct(ids)) < F.size(ids),
+    }
+    return F.array_join(F.array_compact(F.array(*(F.when(t, F.lit(n)) for n, t in tests.items()))), ",")

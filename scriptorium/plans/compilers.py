@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from scriptorium.functions.text import compact_key
 from scriptorium.operators import compilers as co
-from scriptorium.operators import pools, retrieval, validate
+from scriptorium.operators import evaluation as ev
+from scriptorium.operators import pools, preferences, ranking, retrieval, validate
 from scriptorium.plans import fixtures
+from scriptorium.plans.evaluation import oracle_sql as reports_sql
 from scriptorium.plans.oracles import TITLE_TOK, jac, key, rouge_l, sql, tok
 from scriptorium.sources.tables import shared_dir
 
@@ -77,7 +79,62 @@ def stage_files(f) -> DataFrame:
     return back.select("id", F.md5(F.concat_ws("|", *(F.coalesce(c, F.lit("")) for c in ("id", "user_id", "source_text", "target")))).alias("digest"))
 
 
+def eligible_pairs(f) -> DataFrame:
+    """Rollouts of whose responses every third turn is not eligible, and one in seven has no prompt."""
+    turn = F.substring("response_id", 2, 20).cast("long")
+    n = F.substring("rollout_id", 2, 20).cast("long")
+    rows = f.rollouts.select("rollout_id", "response_id", "output", F.when(n % 7 != 0, F.lit("p")).alias("prompt"), (turn % 3 != 0).alias("eligible"))
+    return co.eligible_preferences(preferences.reward_rollouts(f.rollouts), rows).select("pair_id", "margin")
+
+
+def tier_counts(f) -> DataFrame:
+    """How many responses could be read in each way, the first that holds."""
+    tier = F.when(F.col("json").isNotNull(), "json").when(F.col("plain").isNotNull(), "plain").when(F.col("trace").isNotNull(), "trace").otherwise("none")
+    return parsed(f).select(tier.alias("tier")).groupBy("tier").agg(F.count("*").alias("responses"))
+
+
+def best_method(f) -> DataFrame:
+    """The method of the highest ROUGE-L, then ROUGE-1, then name."""
+    return ev.method_table(f.scores, f.scored).orderBy(F.desc("rouge_l"), F.desc("rouge_1"), "method").limit(1).select("method", "rouge_l")
+
+
+def stage_payloads(f) -> DataFrame:
+    """Payloads of every stage, whole and spoiled by the number of the sample."""
+    n = F.substring("id", 2, 20).cast("long") % 4
+    feature = F.when(n == 0, '{"features": [{"feature_name": "a", "context": "b"}]}').when(n == 1, '{"features": []}').when(n == 2, '{"features": [{"feature_name": " "}]}').otherwise("{}")
+    factor = F.when(n == 0, '{"factors": ["x", ""]}').when(n == 1, '{"factors": [" "]}').otherwise("{}")
+    rest = F.when(n == 0, '{"assignments": {"a": 1}, "reasoning": "because", "predicted_title": "t"}').when(n == 1, '{"reasoning": " "}').otherwise("[]")
+    kinds = {"features": feature, "factors": factor, "assignment": rest, "reasoning": rest, "prediction": rest}
+    return f.samples.select("id", *(co.payload_errors(k, c).alias(k) for k, c in kinds.items()))
+
+
+def factor_proposals(f) -> DataFrame:
+    """Factors proposed from the visible titles of each sample, some of them spoiled."""
+    seen = f.visible.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("rank", F.col("item").cast("string").alias("i"), "output"))).alias("h"))
+    n = F.substring("id", 2, 20).cast("long") % 5
+    made = F.transform(
+        F.slice("h", 1, 3),
+        lambda x, k: F.struct(
+            F.when(n == 1, "same").otherwise(k.cast("string")).alias("factor_id"), F.when((n == 2) & (k == 0), "odd").otherwise("style").alias("type"),
+            F.when(n == 3, F.array(x["i"], F.lit("none"))).otherwise(F.array(x["i"])).alias("evidence_ids"), F.when(n == 4, " High ").otherwise(x["output"]).alias("direction"),
+        ),
+    )
+    return seen.select("id", co.proposal_errors(made, F.transform("h", lambda x: x["i"]), ("style", "content"), 2, 3).alias("errors"))
+
+
 QUERIES = {
+    "pair_annotations": lambda f: co.pair_annotations(pools.crossover_pairs(f.seeds, 2), f.samples),
+    "eligible_pairs": eligible_pairs,
+    "size_check": lambda f: co.size_check(f.samples, 20, 100),
+    "case_selections": lambda f: co.case_selections(ranking.regrets(f.scores).select("id", "regret"), "regret", "id"),
+    "evidence_lost": lambda f: co.evidence_lost(f.visible, 300),
+    "tier_counts": tier_counts,
+    "best_method": best_method,
+    "stage_payloads": stage_payloads,
+    "factor_proposals": factor_proposals,
+    "parent_lists": lambda f: f.pool.filter("parent_a IS NULL").groupBy("id").agg(
+        F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", "candidate_id", "text"))), lambda x: F.concat(x["candidate_id"], F.lit("="), x["text"])), "|").alias("parents")
+    ),
     "group_views": lambda f: co.group_views(f.samples, f.retrieved, f.items, f.pool),
     "listwise_views": lambda f: co.listwise_views(f.scored).select("id", F.array_join("candidate_ids", "|").alias("candidates"), F.round(F.aggregate("label_scores", F.lit(0.0), lambda a, x: a * 2 + x), 6).alias("labels")),
     "isolated_profiles": lambda f: co.isolated_profiles(f.samples, keyed_items(f)),
@@ -143,6 +200,40 @@ def oracle_sql() -> dict[str, str]:
     stop = "'a','an','and','are','as','at','based','by','for','from','in','into','is','of','on','or','the','to','using','via','with','approach','method','novel','paper','study','new','results'"
     content = f"list_sort(list_distinct(list_filter({tok('text')}, lambda t: len(t) >= 3 AND t NOT IN ({stop}))))"
     out = {
+        "pair_annotations": sql(
+            "cpairs samp",
+            f"""SELECT id, a_candidate_id, b_candidate_id, CASE WHEN len(list_filter(list_intersect(a, g), lambda x: NOT list_contains(b, x))) > 0 AND len(list_filter(list_intersect(b, g), lambda x: NOT list_contains(a, x))) > 0 THEN 'merge'
+            WHEN a_score >= b_score THEN 'keep_a' ELSE 'keep_b' END AS decision, a_score, b_score FROM (SELECT *, round({rouge_l('a', 'g')}, 8) AS a_score, round({rouge_l('b', 'g')}, 8) AS b_score FROM (
+            SELECT id, a_candidate_id, b_candidate_id, {tok('a_text')} AS a, {tok('b_text')} AS b, {tok('target')} AS g FROM cpairs JOIN samp USING (id)))""",
+        ),
+        "eligible_pairs": sql(
+            "rew",
+            """SELECT rollout_id || ':' || c.response_id || '>' || r.response_id AS pair_id, round(c.reward - r.reward, 8) AS margin FROM (SELECT rollout_id, max({'reward': reward, 'response_id': response_id}) AS c, min({'reward': reward, 'response_id': response_id}) AS r
+            FROM rew WHERE CAST(substr(response_id, 2) AS BIGINT) % 3 <> 0 GROUP BY rollout_id) WHERE c.response_id <> r.response_id AND round(c.reward - r.reward, 8) >= 3e-2 AND CAST(substr(rollout_id, 2) AS BIGINT) % 7 <> 0""",
+        ),
+        "size_check": sql("samp", "SELECT count(DISTINCT trim(user_id)) FILTER (trim(user_id) <> '') AS users, count(*) AS queries, count(DISTINCT trim(user_id)) FILTER (trim(user_id) <> '') = 20 AND count(*) = 100 AS as_expected FROM samp"),
+        "case_selections": sql(
+            "ranked",
+            """, g AS (SELECT id, round(max(label) - arg_min(label, rank), 6) AS regret FROM ranked GROUP BY id), o AS (SELECT *, row_number() OVER (ORDER BY regret, id) AS n, count(*) OVER () AS k FROM g)
+            SELECT id, regret, part, CAST(row_number() OVER (PARTITION BY part ORDER BY n) AS INT) AS place FROM (SELECT *, CASE WHEN n <= 3 THEN 'bottom' WHEN n > k - 3 THEN 'top' WHEN n > floor((k - 3) / 2e0) AND n <= floor((k - 3) / 2e0) + 3 THEN 'middle' END AS part FROM o) WHERE part IS NOT NULL""",
+        ),
+        "evidence_lost": sql(
+            "vis",
+            f"""SELECT id, CAST(sum(n) AS BIGINT) AS tokens, count(*) FILTER (e > 300) AS cut, count(*) FILTER (e - n >= 300) AS lost FROM (SELECT id, n, sum(n) OVER (PARTITION BY id ORDER BY rank) AS e FROM (SELECT id, rank, len({tok("input || ' ' || output")}) AS n FROM vis)) GROUP BY id""",
+        ),
+        "tier_counts": sql("samp", f"SELECT tier, count(*) AS responses FROM (SELECT CASE {number} % 5 WHEN 0 THEN 'json' WHEN 1 THEN 'json' WHEN 2 THEN CASE WHEN target <> '' THEN 'plain' ELSE 'none' END WHEN 3 THEN CASE WHEN target <> '' THEN 'trace' ELSE 'none' END ELSE 'none' END AS tier FROM samp) GROUP BY tier"),
+        "best_method": f"SELECT method, rouge_l FROM ({reports_sql()['method_table']}) ORDER BY rouge_l DESC, rouge_1 DESC, method LIMIT 1",
+        "stage_payloads": sql(
+            "samp",
+            f"""SELECT id, ['', 'empty', 'name,context', 'object'][n + 1] AS features, ['', 'empty', 'object', 'object'][n + 1] AS factors, CASE WHEN n = 0 THEN '' ELSE 'assignments' END AS assignment,
+            CASE WHEN n = 0 THEN '' ELSE 'reasoning' END AS reasoning, CASE WHEN n = 0 THEN '' ELSE 'predicted_title' END AS prediction FROM (SELECT id, {number} % 4 AS n FROM samp)""",
+        ),
+        "factor_proposals": sql(
+            "vis",
+            f"""SELECT id, {named("[CASE WHEN k NOT BETWEEN 2 AND 3 THEN 'count' END, CASE WHEN n = 2 THEN 'type' END, CASE WHEN n = 3 THEN 'evidence' END, CASE WHEN n = 4 OR bad > 0 THEN 'direction' END, CASE WHEN n = 1 AND k > 1 THEN 'repeated' END]")} AS errors FROM (
+            SELECT id, {number} % 5 AS n, least(count(*), 3) AS k, count(*) FILTER (r <= 3 AND lower(trim(output)) IN ('', 'high', 'medium', 'low')) AS bad FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY rank) AS r FROM vis) GROUP BY id)""",
+        ),
+        "parent_lists": sql("seeds", "SELECT id, string_agg(candidate_id || '=' || text, '|' ORDER BY pos) AS parents FROM seeds GROUP BY id"),
         "group_views": sql(
             "samp retr hist pool",
             f"""SELECT s.id, s.user_id, coalesce(t, '') AS profile_titles, coalesce(n, 0) AS filtered, coalesce(c, '') AS candidates FROM samp s LEFT JOIN (
