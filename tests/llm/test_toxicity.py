@@ -1,5 +1,8 @@
 import itertools
+import math
 import random
+import time
+import zlib
 
 import pytest
 
@@ -77,3 +80,37 @@ def test_nothing_to_learn_from(spark, docs, none):
     assert T.score_toxicity(none, model).count() == 0
     one = spark.createDataFrame([(0, 1, 1), (6, 1, 1)], "doc_id long, quality int, toxic int")
     assert T.score_toxicity(docs, T.learn_toxicity(docs, one)).count() == docs.count()
+
+
+def test_every_segment_counts():
+    m = T.ToxicityModel({}, -0.2, 1.0, -7.0, (0.0,) * 8)
+    scores = [3.0 + (k % 5) / 10 for k in range(400)]
+    best, space = sorted(scores, reverse=True), -7.0 + math.log(5001)
+    want = max(sum(best[:r]) - r * space + math.lgamma(r + 1) for r in range(1, 401))
+    got = m.evidence(5000, 3, scores)
+    assert got[0] == pytest.approx(want / math.log(10)) and got[2] == 400
+    assert got[0] > m.evidence(5000, 3, scores[:50])[0]
+
+
+def test_segments_take_time_that_grows_with_their_number():
+    def seconds(n):
+        values = [(7 * i, 1.0 + i / n) for i in range(n)]  # each starts lower and ends lower than the next search goes
+        falling = [(3 * i, 0.3) for i in range(n)]
+        begin = time.perf_counter()
+        T.maximal_segments(values, -0.2)
+        T.maximal_segments(falling, -0.2)
+        return time.perf_counter() - begin
+
+    seconds(20_000)
+    assert seconds(80_000) < 12 * max(seconds(20_000), 0.01)
+
+
+def test_common_opening_lines_do_not_hide_texts(spark):
+    r = random.Random(6)
+    line = " ".join("".join(r.choice("aeiou") for _ in range(6)) for _ in range(12))
+    docs, labels = corpus(300)
+    docs = [(i, line + " " + t, *rest) for i, t, *rest in docs]
+    frame = spark.createDataFrame(docs, SCHEMA)
+    kept = T.training_rows(frame, spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).count()
+    learned = sum(zlib.crc32(str(i).encode()) % 4 != 2 for i, *_ in docs)
+    assert kept > 0.85 * learned
