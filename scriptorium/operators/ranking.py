@@ -216,24 +216,36 @@ def win_tie_loss(rows: DataFrame, delta: str, significant: float, by: tuple[str,
 POISSON = tuple(sum(math.exp(-1) / math.factorial(j) for j in range(k + 1)) for k in range(12))
 
 
-def multiplicity(*parts: Column) -> Column:
-    """How often a row counts in a draw: Poisson(1) of the first 32 bits of the md5 of the joined parts."""
-    u = F.conv(F.substring(F.md5(F.concat_ws(":", *parts)), 1, 8), 16, 10).cast("long") / F.lit(4294967296.0)
-    return sum(((u >= F.lit(x)).cast("int") for x in POISSON), F.lit(0))
+def multiplicities(*parts: Column) -> list[Column]:
+    """How often a row counts in four draws: Poisson(1) of the 32-bit words of the md5 of the joined parts."""
+    digest = F.md5(F.concat_ws(":", *parts))
+
+    def count(k: int) -> Column:
+        u = F.conv(F.substring(digest, 8 * k + 1, 8), 16, 10).cast("long") / F.lit(4294967296.0)
+        return sum(((u >= F.lit(x)).cast("int") for x in POISSON), F.lit(0))
+
+    return [count(k) for k in range(4)]
 
 
 def bootstrap_means(rows: DataFrame, values: tuple[str, ...], key: str, draws: int, seed: str, by: tuple[str, ...] = ()) -> DataFrame:
     """Means of ``values`` in ``draws`` resamples: ``by``, draw ``b`` and the means, rounded to 9 digits.
 
-    Every row tells how often it counts in each draw by the hash of seed, draw
-    and key, independently of all others (Poisson(1), what drawing n of n rows
-    tends to), so that draws are summed up before the shuffle and any engine
-    can repeat them.
+    Every row tells how often it counts in each draw by the hash of seed, four
+    draws and key, independently of all others (Poisson(1), what drawing n of n
+    rows tends to), so that draws are summed up before the shuffle and any
+    engine can repeat them.
     """
-    drawn = rows.select(*by, key, *values, F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("b"))
-    weighed = drawn.withColumn("_w", multiplicity(F.lit(seed), F.col("b").cast("string"), F.col(key).cast("string")))
-    sums = weighed.groupBy(*by, "b").agg(F.sum("_w").alias("_n"), *(F.sum(F.col("_w") * F.col(v)).alias(v) for v in values))
-    return sums.filter("_n > 0").select(*by, "b", *(F.round(F.col(v) / F.col("_n"), 9).alias(v) for v in values))
+    drawn = rows.select(*by, key, *values, F.explode(F.sequence(F.lit(0), F.lit((draws - 1) // 4))).alias("_q"))
+    weights = multiplicities(F.lit(seed), F.col("_q").cast("string"), F.col(key).cast("string"))
+    weighed = drawn.select(*by, *values, "_q", *(w.alias(f"_w{k}") for k, w in enumerate(weights)))
+    sums = weighed.groupBy(*by, "_q").agg(
+        *(F.sum(f"_w{k}").alias(f"_n{k}") for k in range(4)), *(F.sum(F.col(f"_w{k}") * F.col(v)).alias(f"_{v}{k}") for v in values for k in range(4))
+    )
+    four = F.array(
+        *(F.struct((F.col("_q") * 4 + k).alias("b"), F.col(f"_n{k}").alias("_n"), *(F.col(f"_{v}{k}").alias(v) for v in values)) for k in range(4))
+    )
+    each = sums.select(*by, F.explode(four).alias("_d")).select(*by, "_d.*").filter((F.col("b") < draws) & (F.col("_n") > 0))
+    return each.select(*by, "b", *(F.round(F.col(v) / F.col("_n"), 9).alias(v) for v in values))
 
 
 def paired_bootstrap(rows: DataFrame, delta: str, order: str, draws: int, seed: str) -> DataFrame:

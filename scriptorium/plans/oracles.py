@@ -188,8 +188,8 @@ for _k in range(1, 12):
 
 
 def drawn(seed: str, key: str = "k") -> str:
-    """How often a row counts in draw ``b``: Poisson(1) of a hash of seed, draw and key."""
-    u = f"('0x' || substr(md5('{seed}:' || b || ':' || {key}), 1, 8))::BIGINT / 4294967296e0"
+    """How often a row counts in draw ``b``: Poisson(1) of a word of a hash of seed, four draws and key."""
+    u = f"('0x' || substr(md5('{seed}:' || (b // 4) || ':' || {key}), 8 * (b % 4) + 1, 8))::BIGINT / 4294967296e0"
     return f"list_sum(list_transform([{', '.join(map(repr, _STEPS))}], lambda x: CASE WHEN {u} >= x THEN 1 ELSE 0 END))"
 
 
