@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontam, html_extract, jaccard_join, langid, packing, quality, token_output, toxicity, url_filter, whitening
+from . import chat_format, decontam, html_extract, jaccard_join, langid, packing, quality, sharding, token_output, toxicity, url_filter, whitening
 from .common import crc_of_id, documents
 
 
@@ -86,6 +86,11 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.link_documents(documents(spark, sf_dir))
 
 
+def op11_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = sharding.shard_documents(documents(spark, sf_dir), 16)
+    return placed.withColumns({"law": F.lit("bytes"), "grown_shard": F.lit(None).cast("int")})
+
+
 def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     white = whitening.whiten(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
     return white.withColumn("deviation", F.expr("try_cast(deviation AS BIGINT)"))
@@ -194,6 +199,7 @@ def queries() -> dict:
         "op8_packing": op8_packing,
         "op9_quality": op9_quality,
         "op10_jaccard_join": op10_jaccard_join,
+        "op11_sharding": op11_sharding,
         "op13_whitening": op13_whitening,
     }
 
