@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontam, html_extract, jaccard_join, langid, packing, quality, sharding, token_output, toxicity, url_filter, whitening
+from . import alignment, chat_format, decontam, html_extract, jaccard_join, langid, packing, quality, sharding, token_output, toxicity, url_filter, whitening
 from .common import crc_of_id, documents
 
 
@@ -91,6 +91,10 @@ def op11_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.withColumns({"law": F.lit("bytes"), "grown_shard": F.lit(None).cast("int")})
 
 
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align_documents(documents(spark, sf_dir))
+
+
 def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     white = whitening.whiten(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
     return white.withColumn("deviation", F.expr("try_cast(deviation AS BIGINT)"))
@@ -200,6 +204,7 @@ def queries() -> dict:
         "op9_quality": op9_quality,
         "op10_jaccard_join": op10_jaccard_join,
         "op11_sharding": op11_sharding,
+        "op12_alignment": op12_alignment,
         "op13_whitening": op13_whitening,
     }
 

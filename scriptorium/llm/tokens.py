@@ -48,14 +48,15 @@ def byte_level(text: str) -> str:
 class FastTokenizer:
     """Ids of whole texts as little-endian unsigned 32-bit bytes, equal to the library's own."""
 
-    def __init__(self, path: str, cache_size: int = CACHE_SIZE):
+    def __init__(self, path: str, cache_size: int = CACHE_SIZE, plain_added: bool = False):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         os.environ.setdefault("RAYON_NUM_THREADS", "1")
         from tokenizers import Tokenizer, pre_tokenizers
 
-        self.path, self.cache_size = path, cache_size
+        self.path, self.cache_size, self.plain_added = path, cache_size, plain_added
         self.pieces = Tokenizer.from_file(path)
-        self.added = [t.content for t in self.pieces.get_added_tokens_decoder().values()]
+        self.pieces.encode_special_tokens = plain_added
+        self.added = [] if plain_added else [t.content for t in self.pieces.get_added_tokens_decoder().values()]
         self.words = self.pieces.normalizer is not None
         if self.words:
             self.pieces.normalizer = None  # given lower-case plain text only; nothing is left to normalise
@@ -67,10 +68,12 @@ class FastTokenizer:
 
     @cached_property
     def library(self):
-        """The library's own tokenizer, unchanged, for texts that are not plain."""
+        """The library's own tokenizer for texts that are not plain, told only whether added tokens' names are plain text."""
         from tokenizers import Tokenizer
 
-        return Tokenizer.from_file(self.path)
+        library = Tokenizer.from_file(self.path)
+        library.encode_special_tokens = self.plain_added
+        return library
 
     def encode(self, texts: list[str]) -> list[bytes]:
         out: list[bytes] = []
@@ -104,14 +107,14 @@ class FastTokenizer:
         self.cache.update(zip(parts, (raw[a:b] for a, b in zip(starts, stops, strict=True)), strict=True))
 
 
-_LOADED: dict[tuple[str, int], FastTokenizer] = {}
+_LOADED: dict[tuple[str, int, bool], FastTokenizer] = {}
 
 
-def tokenizer(path: str, cache_size: int = CACHE_SIZE) -> FastTokenizer:
-    """The tokenizer of a file, loaded once per worker."""
-    key = (path, cache_size)
+def tokenizer(path: str, cache_size: int = CACHE_SIZE, plain_added: bool = False) -> FastTokenizer:
+    """The tokenizer of a file, loaded once per worker; with ``plain_added`` added tokens' names in a text are plain text."""
+    key = (path, cache_size, plain_added)
     if key not in _LOADED:
-        _LOADED[key] = FastTokenizer(path, cache_size)
+        _LOADED[key] = FastTokenizer(path, cache_size, plain_added)
     return _LOADED[key]
 
 
