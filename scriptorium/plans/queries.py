@@ -325,7 +325,7 @@ QUERIES: dict[str, Callable[[Frames], DataFrame]] = {
 
 
 def queries() -> dict[str, Query]:
-    from scriptorium.plans import compilers, evaluation
+    from scriptorium.plans import compilers, construction, evaluation
 
-    every = QUERIES | evaluation.QUERIES | compilers.QUERIES
+    every = QUERIES | evaluation.QUERIES | compilers.QUERIES | construction.QUERIES
     return {name: (lambda spark, sf_dir, build=build: build(Frames(spark, sf_dir))) for name, build in every.items()}

@@ -7,11 +7,11 @@ import duckdb
 import pytest
 
 from scriptorium.operators import evaluation, ranking
-from scriptorium.plans import compilers, oracles, queries
+from scriptorium.plans import compilers, construction, oracles, queries
 from scriptorium.plans import evaluation as reports
 
 DATA = Path("/root/testdata/sf0.001")
-NAMES = sorted({*reports.QUERIES, *compilers.QUERIES, "loo_bm25", "corpus_bleu", "style_summary", "bm25_topk", "dense_topk", "gold_preferences"} - {"checkpoint_choice"})
+NAMES = sorted({*reports.QUERIES, *compilers.QUERIES, *construction.QUERIES, "loo_bm25", "corpus_bleu", "style_summary", "bm25_topk", "dense_topk", "gold_preferences"} - {"checkpoint_choice"})
 
 
 def plain(x):
@@ -32,7 +32,7 @@ def duck():
 
 @pytest.mark.parametrize("name", NAMES)
 def test_query_equals_its_statement(spark, duck, name):
-    statements = oracles.oracle_sql() | reports.oracle_sql() | compilers.oracle_sql()
+    statements = oracles.oracle_sql() | reports.oracle_sql() | compilers.oracle_sql() | construction.oracle_sql()
     found = queries.queries()[name](spark, str(DATA))
     columns = sorted(found.columns)
     got = sorted((tuple(plain(r[c]) for c in columns) for r in found.collect()), key=str)
