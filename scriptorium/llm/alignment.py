@@ -2,10 +2,9 @@
 
 Python only turns a text into the ids and the end offsets of its tokens under
 both vocabularies. All else is array functions: ends that both share
-(array_intersect) cut the tokens into groups; a merge of both end arrays tells
-for each token of one side which tokens of the other its bytes overlap, and
-sequences over these ranges are the links. How many documents hold a pair of
-ids linked is counted over the exploded pairs.
+(array_intersect) cut the tokens into groups, and both end arrays sorted into
+one cut the text into stretches, each of one token of either side: a link. How
+many documents hold a pair of ids linked is counted over the exploded pairs.
 """
 
 from __future__ import annotations
@@ -20,49 +19,69 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import discard, materialize, ship_package, text_or_empty
-from .tokens import byte_alphabet, public_path, tokenizer
+from .tokens import PLAIN, byte_alphabet, public_path, tokenizer
 
-#: Pieces end with a word: none of the vocabulary's has a blank after another letter, so words are encoded by themselves.
-SEGMENT = re.compile(r" +[^ ]*|[^ ]+")
-#: Longer segments are not remembered; as many are as make up at most CACHED.
-REMEMBERED, CACHED = 40, 500_000
+#: A text of the plain alphabet is cut before each blank that follows a word: no token of either side crosses such a place, for
+#: the byte-level cut starts anew there and none of the pieces has a blank after another letter.
+SEGMENT = re.compile(r"[ \t\n\r]*[^ \t\n\r]+(?:[\t\n\r][ \t\n\r]*[^ \t\n\r]+)*(?:[\t\n\r][ \t\n\r]*)?|[ \t\n\r]+")
+#: Segments remembered by a worker, none of them longer than LONGEST.
+CACHED, LONGEST = 300_000, 64
 #: Pairs of ids, at most so many, that are sent to every task; beyond it only frequent ones are, fewer than FREQUENT.
 BROADCAST_PAIRS, FREQUENT = 1_000_000, 100_000
 
 
-class PieceTokenizer:
-    """Ids of a sentencepiece model as little-endian unsigned 32-bit bytes, equal to the library's own."""
+class BothTokenizers:
+    """Ids under a byte-level vocabulary and a sentencepiece model, as little-endian unsigned 32-bit bytes, equal to the libraries' own."""
 
-    def __init__(self, path: str):
+    def __init__(self, byte_level: str, pieces: str):
         import sentencepiece
 
-        self.model = sentencepiece.SentencePieceProcessor(model_file=path)
-        self.pieces = [self.model.id_to_piece(k) for k in range(self.model.get_piece_size())]
-        self.separable = not any(re.search("[^▁]▁", p) for p in self.pieces) and self.model.encode("a b") == [
-            *self.model.encode("a"),
-            *self.model.encode("b"),
-        ]
-        self.blank = np.array([self.model.piece_to_id("▁")], dtype="<u4").tobytes()
-        self.cache: dict[str, bytes] = {" ": self.blank}
-
-    def token_bytes(self) -> list[bytes]:
+        self.a = tokenizer(byte_level, cache_size=CACHED, plain_added=True)
+        self.b = sentencepiece.SentencePieceProcessor(model_file=pieces)
+        names = [self.b.id_to_piece(k) for k in range(self.b.get_piece_size())]
         byte = re.compile("<0x([0-9A-F]{2})>")
-        found = [byte.fullmatch(p) for p in self.pieces]
-        return [bytes([int(m[1], 16)]) if m else p.replace("▁", " ").encode() for m, p in zip(found, self.pieces, strict=True)]
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        if not self.separable:
-            return [np.array(ids, dtype="<u4").tobytes() for ids in self.model.encode(texts, num_threads=1)]
-        cut = [SEGMENT.findall(f" {text}") if text else [] for text in texts]
-        missing = list({s for parts in cut for s in parts}.difference(self.cache))
-        ids = self.model.encode([s[1:] for s in missing], num_threads=1)
-        new = {s: np.array(x, dtype="<u4").tobytes() for s, x in zip(missing, ids, strict=True)}
+        found = [byte.fullmatch(n) for n in names]
+        piece_bytes = [bytes([int(m[1], 16)]) if m else n.replace("▁", " ").encode() for m, n in zip(found, names, strict=True)]
+        self.bytes = (byte_level_bytes(byte_level), piece_bytes)
+        self.lengths = [np.array([len(t) for t in table], dtype=np.int32) for table in self.bytes]
+        apart = self.b.encode("a b") == [*self.b.encode("a"), *self.b.encode("b")]
+        self.separable = apart and not any(re.search("[^▁]▁", n) for n in names) and not self.a.words
+        self.blank = np.array([self.b.piece_to_id("▁")], dtype="<u4").tobytes()
+        self.cache: dict[str, tuple[bytes, bytes] | None] = {}
+
+    def sound(self, text: str, ids: tuple[bytes, bytes]) -> bool:
+        plain = text.encode()
+        sides = ([table[k] for k in np.frombuffer(raw, dtype="<u4").tolist()] for table, raw in zip(self.bytes, ids, strict=True))
+        return all(b"".join(tokens) == plain for tokens in sides)
+
+    def encode_apart(self, texts: list[str]) -> list[tuple[bytes, bytes] | None]:
+        """Ids of texts that begin with a blank, each for itself; nothing for one whose tokens do not give its bytes."""
+        pieces = self.b.encode([t[1:] for t in texts], num_threads=1)
+        b = [np.array(ids, dtype="<u4").tobytes() if t != " " else self.blank for t, ids in zip(texts, pieces, strict=True)]
+        both = list(zip(self.a.encode(texts), b, strict=True))
+        return [ids if self.sound(t, ids) else None for t, ids in zip(texts, both, strict=True)]
+
+    def encode(self, text: str) -> tuple[bytes, bytes] | None:
+        """Ids of a blank and ``text`` on both sides; nothing where there is no text or it cannot be told from its tokens."""
+        if not text:
+            return None
+        spaced = f" {text}"
+        if not (self.separable and PLAIN.fullmatch(text)):
+            return self.encode_apart([spaced])[0]
+        parts = SEGMENT.findall(spaced)
         cache = self.cache
-        out = [b"".join([cache[s] if s in cache else new[s] for s in parts]) for parts in cut]
-        if len(cache) > CACHED:
-            self.cache = cache = {" ": self.blank}
-        cache.update((s, x) for s, x in new.items() if len(s) <= REMEMBERED)
-        return out
+        try:
+            found = [cache[s] for s in parts]
+        except KeyError:
+            missing = list(set(parts).difference(cache))
+            new = dict(zip(missing, self.encode_apart(missing), strict=True))
+            found = [cache[s] if s in cache else new[s] for s in parts]
+            if len(cache) > CACHED:
+                self.cache = cache = {}
+            cache.update((s, ids) for s, ids in new.items() if len(s) <= LONGEST)
+        if None in found:
+            return None
+        return b"".join([ids[0] for ids in found]), b"".join([ids[1] for ids in found])
 
 
 def byte_level_bytes(path: str) -> list[bytes]:
@@ -75,25 +94,17 @@ def byte_level_bytes(path: str) -> list[bytes]:
     return [bytes(byte[c] for c in t) if t is not None and all(c in byte for c in t) else b"" for t in tokens]
 
 
-_LOADED: dict[tuple, tuple] = {}
+_LOADED: dict[tuple[str, str], BothTokenizers] = {}
 
 
-def _both(byte_level: str, pieces: str) -> tuple:
-    """Encoders, token bytes and their lengths of both vocabularies, loaded once per worker."""
+def both_tokenizers(byte_level: str, pieces: str) -> BothTokenizers:
+    """Loaded once per worker."""
     key = (byte_level, pieces)
     if key not in _LOADED:
-        a, b = tokenizer(byte_level, plain_added=True), PieceTokenizer(pieces)
-        tables = byte_level_bytes(byte_level), b.token_bytes()
-        _LOADED[key] = (a, b, tables, [np.array([len(t) for t in table], dtype=np.int32) for table in tables])
+        _LOADED[key] = BothTokenizers(byte_level, pieces)
     return _LOADED[key]
 
 
-def _lists(values: list[np.ndarray]) -> pa.Array:
-    offsets = np.concatenate(([0], np.cumsum([len(v) for v in values]))).astype(np.int32)
-    flat = np.concatenate(values) if values else np.zeros(0, np.int32)
-    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat.astype(np.int32)))
-
-
 def tokenise_both(docs: DataFrame, byte_level: str | None = None, pieces: str | None = None) -> DataFrame:
     """``_row, doc_id, a_ids, a_ends, b_ids, b_ends`` of every row of ``docs(doc_id, text)``.
 
@@ -106,29 +117,24 @@ def tokenise_both(docs: DataFrame, byte_level: str | None = None, pieces: str |
     byte_level, pieces = byte_level or public_path("byte_bpe_50k.json"), pieces or public_path("piece_bpe_32k.model")
     schema = "_row long, doc_id long, a_ids array<int>, a_ends array<int>, b_ids array<int>, b_ends array<int>"
     names = [f.split()[0] for f in schema.split(", ")]
-    nothing = np.zeros(0, dtype=np.int32)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        a, b, (a_bytes, b_bytes), lengths = _both(byte_level, pieces)
+        tokenizers = both_tokenizers(byte_level, pieces)
         row = TaskContext.get().partitionId() << 33
         for batch in batches:
             for begin in range(0, batch.num_rows, 128):
                 part = batch.slice(begin, 128)
-                texts = part.column(1).to_pylist()
-                columns: list[list[np.ndarray]] = [[], [], [], []]
-                spaced = [f" {t}" if t else "" for t in texts]
-                for text, *raw in zip(spaced, a.encode(spaced), b.encode(texts), strict=True):
-                    ids = [np.frombuffer(x, dtype="<u4") for x in raw]
-                    plain = text.encode()
-                    sound = text and all(
-                        b"".join(map(table.__getitem__, x.tolist())) == plain for table, x in zip((a_bytes, b_bytes), ids, strict=True)
-                    )
-                    for side in (0, 1):
-                        columns[2 * side].append(ids[side] if sound else nothing)
-                        columns[2 * side + 1].append(np.cumsum(lengths[side][ids[side]]) if sound else nothing)
+                raw = [x or (b"", b"") for x in map(tokenizers.encode, part.column(1).to_pylist())]
+                columns = []
+                for side, lengths in enumerate(tokenizers.lengths):
+                    ids = np.frombuffer(b"".join([x[side] for x in raw]), dtype="<u4").astype(np.int32)
+                    offsets = np.concatenate(([0], np.cumsum([len(x[side]) // 4 for x in raw])))
+                    ends = np.concatenate(([0], np.cumsum(lengths[ids], dtype=np.int64)))
+                    own = (ends[1:] - np.repeat(ends[offsets[:-1]], np.diff(offsets))).astype(np.int32)
+                    columns += [pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(x)) for x in (ids, own)]
                 rows = pa.array(np.arange(row, row + part.num_rows))
                 row += part.num_rows
-                yield pa.RecordBatch.from_arrays([rows, part.column(0), *map(_lists, columns)], names)
+                yield pa.RecordBatch.from_arrays([rows, part.column(0), *columns], names)
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).mapInArrow(encode, schema)
 
@@ -138,74 +144,73 @@ def _with(values: dict[str, Column], use: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(F.struct(*(v.alias(k) for k, v in values.items()))), use)[0]
 
 
-def _places(n: Column) -> Column:
-    return F.sequence(F.lit(0), n - 1)
-
-
-def align(tokens: DataFrame, wide: int, kind: str = "long") -> DataFrame:
+def align(tokens: DataFrame, wide: int) -> DataFrame:
     """Groups and links of ``tokens``, as tokenise_both() gives them, by array functions only.
 
     Adds n_a, n_b, n_groups, n_links, ``groups`` (the text of all groups) and
     ``pairs``, an entry ``a * wide + b`` for each overlapping pair of token
-    occurrences, in order; ``wide`` is the number of B's ids, ``kind`` the type
-    that holds them all. A row without tokens has zeros, no pairs and an empty
-    text.
+    occurrences; ``wide`` is the number of B's ids. A row without tokens has
+    zeros, no pairs and an empty text.
     """
-    n_a, n_b = F.size("a_ids"), F.size("b_ids")
-    # ends of both sides in one order, A's even and B's odd: an A end's place less its rank is the number of B ends before it,
-    # and so the place of the B token that holds the A token's last byte
-    merged = F.sort_array(F.concat(F.transform("a_ends", lambda e: e * F.lit(2).cast("long")), F.transform("b_ends", lambda e: e * F.lit(2).cast("long") + 1)))
-
-    def last_of(s: Column) -> Column:
-        own = F.filter(_places(F.size(s["merged"])), lambda p: F.get(s["merged"], p) % 2 == 0)
-        return F.transform(own, lambda p, i: p - i)
-
-    def shared(s: Column, i: Column) -> Column:
-        return F.get(F.col("b_ends"), F.get(s["last"], i)) == F.get(F.col("a_ends"), i)
-
-    def linked(s: Column) -> Column:
-        def of_token(a: Column, i: Column) -> Column:
-            before = F.get(s["last"], i - 1)
-            first = F.when(i == 0, F.lit(0)).when(shared(s, i - 1), before + 1).otherwise(before)
-            return F.transform(F.sequence(first, F.get(s["last"], i)), lambda j: a.cast(kind) * F.lit(wide) + F.get(F.col("b_ids"), j))
-
-        return F.flatten(F.transform("a_ids", of_token))
+    low, side = F.lit((1 << 31) - 1).cast("long"), F.lit(1 << 31).cast("long")
+    # all ends in one order: the end above, B's mark (so A's comes first of equal ends) and the token's place below
+    a_marks = F.transform("a_ends", lambda e, i: F.shiftleft(e.cast("long"), 32).bitwiseOR(i.cast("long")))
+    b_marks = F.transform("b_ends", lambda e, j: F.shiftleft(e.cast("long"), 32).bitwiseOR(side).bitwiseOR(j.cast("long")))
+    sides = {c: F.col(c) for c in ("a_ids", "a_ends", "b_ids", "b_ends")}
+
+    def link(a: Column, b: Column) -> Column:
+        return a.cast("long") * F.lit(wide).cast("long") + b
+
+    def scanned(s: Column) -> Column:
+        """Every end closes a stretch of bytes of one token of each side, which is a link; of two equal ends the second closes a group."""
+
+        def of_end(m: Column, p: Column) -> Column:
+            own = m.bitwiseAND(low).cast("int")
+            other = p - own  # so many ends of the other side come before
+            closing = (other > 0) & (F.get(s["a_ends"], other - 1) == F.get(s["b_ends"], own))
+            cut = -F.shiftleft(other.cast("long"), 32).bitwiseOR(own.cast("long")) - 1  # one more than A's place, B's place
+            return (
+                F.when(m.bitwiseAND(side) == 0, link(F.get(s["a_ids"], own), F.get(s["b_ids"], other)))
+                .when(closing, cut)
+                .otherwise(link(F.get(s["a_ids"], other), F.get(s["b_ids"], own)))
+            )
+
+        return F.transform(s["marks"], of_end)
 
     def grouped(s: Column) -> Column:
-        def of_cut(i: Column, k: Column) -> Column:
-            start = F.when(k == 0, F.lit(-1)).otherwise(F.get(s["cuts"], k - 1))
-            return _with({"i": i, "i0": start, "j": F.get(s["last"], i), "j0": F.when(k == 0, F.lit(-1)).otherwise(F.get(s["last"], start))}, text_of)
-
-        def text_of(g: Column) -> Column:
-            single = (g["i"] - g["i0"] == 1) & (g["j"] - g["j0"] == 1)
-            one = F.concat(F.get(F.col("a_ids"), g["i"]).cast("string"), F.lit("|"), F.get(F.col("b_ids"), g["j"]).cast("string"))
-            sides = [
-                F.array_join(F.slice(ids, g[low] + 2, g[high] - g[low]).cast("array<string>"), ",")
-                for ids, low, high in (("a_ids", "i0", "i"), ("b_ids", "j0", "j"))
+        def of_cut(c: Column, k: Column) -> Column:
+            before = F.when(k == 0, F.lit(-1).cast("long")).otherwise(F.get(s["cuts"], k - 1))
+            return text_of(*ends_of(c), *ends_of(before, first=k == 0))
+
+        def ends_of(c: Column, first: Column | None = None) -> tuple[Column, Column]:
+            plain = -(c + 1)
+            i, j = F.shiftright(plain, 32).cast("int") - 1, plain.bitwiseAND(low).cast("int")
+            return (i, j) if first is None else (i, F.when(first, F.lit(-1)).otherwise(j))
+
+        def text_of(i: Column, j: Column, i0: Column, j0: Column) -> Column:
+            one = F.concat(F.get(s["a_ids"], i).cast("string"), F.lit("|"), F.get(s["b_ids"], j).cast("string"))
+            runs = [
+                F.array_join(F.slice(ids, start + 2, end - start).cast("array<string>"), ",")
+                for ids, start, end in ((s["a_ids"], i0, i), (s["b_ids"], j0, j))
             ]
-            return F.when(single, one).otherwise(F.concat(sides[0], F.lit("|"), sides[1]))
+            return F.when((i - i0 == 1) & (j - j0 == 1), one).otherwise(F.concat(runs[0], F.lit("|"), runs[1]))
 
         return F.array_join(F.transform(s["cuts"], of_cut), ";")
 
-    def with_cuts(s: Column) -> Column:
-        cuts = F.filter(_places(n_a), lambda i: shared(s, i))
-        return _with({"last": s["last"], "cuts": cuts}, lambda t: F.struct(linked(t).alias("pairs"), grouped(t).alias("groups")))
-
-    both = _with({"merged": merged}, lambda s: _with({"last": last_of(s)}, with_cuts))
-    found = F.when(n_a > 0, both)  # a sequence from 0 to -1 would not be empty
-    held = tokens.select(
-        "_row",
-        "doc_id",
-        n_a.cast("long").alias("n_a"),
-        n_b.cast("long").alias("n_b"),
-        F.size(F.array_intersect("a_ends", "b_ends")).cast("long").alias("n_groups"),
-        found.alias("_found"),
-    )
-    pairs = F.coalesce(F.col("_found.pairs"), F.array().cast(f"array<{kind}>"))
-    return held.select(
-        "_row", "doc_id", "n_a", "n_b", "n_groups", F.size(pairs).cast("long").alias("n_links"),
-        F.coalesce("_found.groups", F.lit("")).alias("groups"), pairs.alias("pairs"),
-    )
+    def found_of(t: Column) -> Column:
+        kept = {c: t[c] for c in ("a_ids", "b_ids")} | {"cuts": F.filter(t["scanned"], lambda x: x < 0)}
+        return F.struct(F.filter(t["scanned"], lambda x: x >= 0).alias("pairs"), _with(kept, grouped).alias("groups"))
+
+    def in_order(s: Column) -> Column:
+        return _with({"a_ids": s["a_ids"], "b_ids": s["b_ids"], "scanned": scanned(s)}, found_of)
+
+    found = _with(sides | {"marks": F.sort_array(F.concat(a_marks, b_marks))}, in_order)
+    n_a, n_b = F.size("a_ids").cast("long"), F.size("b_ids").cast("long")
+    n_groups = F.size(F.array_intersect("a_ends", "b_ends")).cast("long")
+    held = tokens.select("_row", "doc_id", n_a.alias("n_a"), n_b.alias("n_b"), n_groups.alias("n_groups"), found.alias("_found"))
+    n_links = F.col("n_a") + F.col("n_b") - F.col("n_groups")  # as many as there are stretches
+    pairs, groups = F.col("_found.pairs").alias("pairs"), F.col("_found.groups").alias("groups")
+    return held.select("_row", "doc_id", "n_a", "n_b", "n_groups", n_links.alias("n_links"), groups, pairs)
 
 
 def count_pairs(aligned: DataFrame, wide: int) -> DataFrame:
@@ -251,12 +256,10 @@ def align_documents(docs: DataFrame, byte_level: str | None = None, pieces: str
     doc_id and text are not read.
     """
     from sentencepiece import SentencePieceProcessor
-    from tokenizers import Tokenizer
 
     byte_level, pieces = byte_level or public_path("byte_bpe_50k.json"), pieces or public_path("piece_bpe_32k.model")
     wide = SentencePieceProcessor(model_file=pieces).get_piece_size()
-    kind = "int" if wide * Tokenizer.from_file(byte_level).get_vocab_size(True) < 1 << 31 else "long"
-    found = align(tokenise_both(docs, byte_level, pieces), wide, kind)
+    found = align(tokenise_both(docs, byte_level, pieces), wide)
     digest = F.when(F.col("n_a") > 0, F.sha2("groups", 256)).otherwise("").alias("groups_sha256")
     sizes = ("n_a", "n_b", "n_groups", "n_links")
     aligned = materialize(found.select("_row", "doc_id", *sizes, digest, "pairs"), "aligned")
