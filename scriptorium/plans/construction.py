@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from scriptorium.functions import repair
 from scriptorium.operators import merging
 from scriptorium.plans.oracles import sql
 
@@ -32,15 +33,103 @@ def merged_factors(f) -> DataFrame:
     return made.join(sums, ["owner", "factor_id"])
 
 
+def answered(f) -> DataFrame:
+    """id, n (its number), t (a title), w (a word) of every sample, for answers made of them."""
+    number = F.substring("id", 2, 20).cast("long")
+    return f.samples.select("id", number.alias("n"), F.concat(F.lit("on "), "target", F.lit(" as told")).alias("t"), F.concat(F.lit("w"), number.cast("string")).alias("w"))
+
+
+def _filled(template: str):
+    """A template with the title, word and number of a row for T, W and N."""
+    out = F.lit(template)
+    for sign, column in (("<T>", F.col("t")), ("<W>", F.col("w")), ("<N>", F.col("n").cast("string"))):
+        out = F.replace(out, F.lit(sign), column)
+    return out
+
+
+#: Answers damaged in one way each.
+DAMAGED = (
+    '{"output":"<T>","words":["<W>","z"],"n":<N>}',
+    '```json\n{"output":"<T>","words":["<W>","z"],"n":<N>}\n```',
+    'Here it is: {"output":"<T>","words":["<W>","z"],"n":<N>} I hope it helps.',
+    '{"output":"<T>","words":["<W>","z",],"n":<N>,}',
+    '[{ {"output":"<T>","words":["<W>","z"],"n":<N>}]',
+    '{"output":"<T>\\_","words":["<W>"]}',
+    '{"output":"<T>\n","words":["<W>"]}',
+    '{"output":"<T>","words":["<W>","z"',
+    '{"output":"<T>","words":["<W>","z"},"n":<N>}',
+    "{'output':'<T>','words':['<W>','it's'],'n':<N>}",
+    "{output: <T>, words: [<W> z], n: <N>, ok: True}",
+    "<T>",
+    '{"output":"<T>',
+    '{"output" "<T>" "n" <N>}',
+    "<T>\nand <W>",
+    "",
+)
+#: Answers of an editor, by how far they are from what was asked for.
+EDITED = (
+    '{"output":"<T>","n":<N>}',
+    '{"output":"<T>" ]',
+    "Title: <T>",
+    '"<T>"\nbecause of <W>',
+    "{'output': '<T>', 'n': <N>}",
+    '{"output": <T>}',
+    '```\n{"n":<N>,}\n```',
+)
+
+
+def _made(f, templates: tuple[str, ...]) -> DataFrame:
+    rows = answered(f).withColumn("kind", F.pmod("n", F.lit(len(templates) + 1)))
+    answer = F.lit(None).cast("string")  # the last kind has no answer
+    for k, template in enumerate(templates):
+        answer = F.when(F.col("kind") == k, _filled(template)).otherwise(answer)
+    return rows.withColumn("answer", answer)
+
+
+def repaired_answers(f) -> DataFrame:
+    """What is read of answers damaged in every way, without and with single lines of words."""
+    return _made(f, DAMAGED).select("id", "kind", repair.repaired_json(F.col("answer")).alias("value"), repair.repaired_json(F.col("answer"), True).alias("scalar"))
+
+
+def edited_answers(f) -> DataFrame:
+    """An editor's answers in all four readings, and why those fail that do."""
+    rows = _made(f, EDITED)
+    read = rows.select("id", "kind", *(repair.editor_answer(F.col("answer"), m).alias(m) for m in repair.EDITOR_MODES))
+    errors = F.concat_ws(",", *(F.when(F.col(f"{m}.error").isNotNull(), F.lit(m)) for m in repair.EDITOR_MODES))
+    return read.select("id", "kind", *(F.col(f"{m}.value").alias(m) for m in repair.EDITOR_MODES), errors.alias("failed"))
+
+
 QUERIES = {
     "merged_factors": merged_factors,
+    "repaired_answers": repaired_answers,
+    "edited_answers": edited_answers,
 }
 
 
 def oracle_sql() -> dict[str, str]:
     kinds = ", ".join(f"'{k}'" for k in merging.OPERATION_TYPES)
     words = lambda x: f"len(list_filter(string_split({x}, ' '), lambda w: w <> ''))"
+    made = "SELECT id, CAST(substr(id, 2) AS BIGINT) AS n, 'on ' || target || ' as told' AS t, 'w' || substr(id, 2) AS w FROM samp"
+    whole = """'{"output":"' || t || '","words":["' || w || '","z"],"n":' || n || '}'"""
+    short = """'{"output":"' || t || '","words":["' || w || '","z"]}'"""
+    value = f"""CASE WHEN kind IN (0, 1, 2, 3) THEN {whole} WHEN kind = 4 THEN '[' || {whole} || ']'
+            WHEN kind = 5 THEN '{{"output":"' || t || '\\\\_","words":["' || w || '"]}}' WHEN kind = 6 THEN '{{"output":"' || t || '\\n","words":["' || w || '"]}}'
+            WHEN kind IN (7, 8) THEN {short} WHEN kind = 9 THEN '{{"output":"' || t || '","words":["' || w || '","it''s"],"n":' || n || '}}'
+            WHEN kind = 10 THEN '{{"output":"' || t || '","words":["' || w || ' z"],"n":' || n || ',"ok":true}}'
+            WHEN kind = 12 THEN '{{"output":"' || t || '"}}' WHEN kind = 13 THEN '{{"output":"' || t || '","n":' || n || '}}' END"""
+    titled = """'{"output":"' || t || '"}'"""
     return {
+        "repaired_answers": sql(
+            "samp", f"SELECT id, kind, {value} AS value, CASE WHEN kind = 11 THEN '\"' || t || '\"' ELSE {value} END AS scalar FROM (SELECT *, n % 17 AS kind FROM ({made}))"
+        ),
+        "edited_answers": sql(
+            "samp",
+            f"""SELECT id, kind, CASE kind WHEN 0 THEN '{{"output":"' || t || '","n":' || n || '}}' WHEN 6 THEN '{{"n":' || n || '}}' END AS object,
+            CASE WHEN kind = 0 THEN '{{"output":"' || t || '","n":' || n || '}}' WHEN kind IN (1, 4, 5) THEN {titled} WHEN kind = 2 THEN '{{"output":"Title: ' || t || '"}}' WHEN kind = 6 THEN '{{"output":"{{\\"n\\":' || n || ',}}"}}' END AS output_only,
+            CASE kind WHEN 2 THEN '{{"output":"Title: ' || t || '"}}' END AS plain, CASE WHEN kind IN (2, 3) THEN {titled} END AS base_text,
+            ['plain,base_text', 'object,plain,base_text', 'object', 'object,output_only,plain', 'object,plain,base_text', 'object,plain,base_text', 'plain,base_text', 'object,output_only,plain,base_text'][kind + 1] AS failed
+            FROM (SELECT *, n % 8 AS kind FROM ({made}))""",
+        ),
         "merged_factors": sql(
             "hist",
             f"""SELECT owner, 'f' || row_number() OVER (PARTITION BY owner ORDER BY first) AS factor_id, operation_type,
