@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import difflib
-import json
 import re
 import unicodedata
 
@@ -74,37 +73,6 @@ def grounded(span: pd.Series, text: pd.Series, threshold: pd.Series) -> pd.Serie
     return pd.Series([found(list(q), list(s), t) for q, s, t in zip(span, text, threshold, strict=True)])
 
 
-def repair(text: str | None) -> str | None:
-    """The JSON value inside a chatty answer as compact JSON; null if none can be read.
-
-    Fences go, the outermost brackets are taken, doubled braces, trailing
-    commas and lone backslashes are mended, one after another.
-    """
-    t = re.sub(r"^\s*```(?:json)?|```\s*$", "", text or "").strip()
-    starts = [i for i in (t.find("{"), t.find("[")) if i >= 0]
-    if starts:
-        first = min(starts)
-        t = t[first : max(t.rfind("}"), t.rfind("]")) + 1]
-    steps = (
-        lambda x: x,
-        lambda x: x.replace("{{", "{").replace("}}", "}"),
-        lambda x: re.sub(r",\s*([}\]])", r"\1", x),
-        lambda x: re.sub(r'\\(?!["\\/bfnrtu])', r"\\\\", x),
-    )
-    for step in steps:
-        t = step(t)
-        try:
-            return json.dumps(json.loads(t), ensure_ascii=False, separators=(",", ":"))
-        except ValueError:
-            continue
-    return None
-
-
-@F.pandas_udf(T.StringType())
-def repaired_json(text: pd.Series) -> pd.Series:
-    return pd.Series([repair(t) for t in text])
-
-
 TITLE_FIELDS = ("title", "output", "text", "data", "result", "response")
 
 

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from scriptorium.functions import repair
 from scriptorium.operators import merging
 from scriptorium.plans.oracles import sql
+from scriptorium.sources import rounds
+from scriptorium.sources.tables import shared_dir
 
 
 def proposals(f) -> DataFrame:
@@ -99,7 +101,17 @@ def edited_answers(f) -> DataFrame:
     return read.select("id", "kind", *(F.col(f"{m}.value").alias(m) for m in repair.EDITOR_MODES), errors.alias("failed"))
 
 
+def asked_in_rounds(f) -> DataFrame:
+    """Every sample's source text sent to a primary endpoint with faults and its fallback; the log is new for each run."""
+    prompt = F.concat_ws(" ", F.substring("id", 2, 20), "source_text")
+    requests = f.samples.select("id", F.lit("title").alias("task"), prompt.alias("prompt"))
+    endpoints = [rounds.Endpoint("primary", rounds.faulty_primary), rounds.Endpoint("fallback", rounds.faulty_fallback)]
+    policy = rounds.Policy(unreadable=3, cooldown=10)
+    return rounds.ask_in_rounds(requests, endpoints, f"{shared_dir(f.spark)}/log", policy).drop("key")
+
+
 QUERIES = {
+    "asked_in_rounds": asked_in_rounds,
     "merged_factors": merged_factors,
     "repaired_answers": repaired_answers,
     "edited_answers": edited_answers,
@@ -119,6 +131,13 @@ def oracle_sql() -> dict[str, str]:
             WHEN kind = 12 THEN '{{"output":"' || t || '"}}' WHEN kind = 13 THEN '{{"output":"' || t || '","n":' || n || '}}' END"""
     titled = """'{"output":"' || t || '"}'"""
     return {
+        "asked_in_rounds": sql(
+            "samp",
+            """SELECT id, CASE WHEN n % 35 = 0 THEN 'unreadable' ELSE 'answered' END AS status, CASE WHEN n % 5 = 0 OR n % 3 = 0 THEN 'fallback' ELSE 'primary' END AS endpoint,
+            CASE WHEN n % 35 = 0 THEN 4 WHEN n % 5 = 0 OR n % 3 = 0 THEN 2 ELSE 1 END AS attempts,
+            CASE WHEN n % 35 = 0 THEN NULL WHEN n % 5 = 0 OR n % 3 = 0 THEN '{"output":"' || n || ' again"}' ELSE '{"output":"' || n || '"}' END AS value
+            FROM (SELECT id, CAST(substr(id, 2) AS BIGINT) AS n FROM samp)""",
+        ),
         "repaired_answers": sql(
             "samp", f"SELECT id, kind, {value} AS value, CASE WHEN kind = 11 THEN '\"' || t || '\"' ELSE {value} END AS scalar FROM (SELECT *, n % 17 AS kind FROM ({made}))"
         ),
