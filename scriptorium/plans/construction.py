@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scriptorium.functions import repair
-from scriptorium.operators import merging
+from scriptorium.operators import construction, merging
 from scriptorium.plans.oracles import sql
 from scriptorium.sources import rounds
 from scriptorium.sources.tables import shared_dir
@@ -110,7 +110,17 @@ def asked_in_rounds(f) -> DataFrame:
     return rounds.ask_in_rounds(requests, endpoints, f"{shared_dir(f.spark)}/log", policy).drop("key")
 
 
+def built_factors(f) -> DataFrame:
+    """Factors of every user's titles built in rounds, with how many titles each holds; the empty one has those that none does."""
+    titles = f.items.filter("title <> ''").select(F.col("user_id").alias("id"), F.col("pos").alias("place"), F.col("title").alias("feature"))
+    held, chosen = construction.build_factors(titles, construction.mock_proposer, construction.mock_assigner)
+    factor = F.explode(F.when(F.size("factors") > 0, F.col("factors")).otherwise(F.array(F.lit(""))))
+    counts = held.select("id", "place", factor.alias("factor")).groupBy("id", "factor").agg(F.count("*").alias("titles"), F.sum("place").alias("places"))
+    return counts.join(chosen, ["id", "factor"], "left").select("id", "factor", "rank", "titles", "places")
+
+
 QUERIES = {
+    "built_factors": built_factors,
     "asked_in_rounds": asked_in_rounds,
     "merged_factors": merged_factors,
     "repaired_answers": repaired_answers,
