@@ -21,11 +21,11 @@ from pyspark.sql import functions as F
 from .common import discard, materialize, ship_package, text_or_empty
 from .tokens import PLAIN, byte_alphabet, public_path, tokenizer
 
-#: A text of the plain alphabet is cut before each blank that follows a word: no token of either side crosses such a place, for
-#: the byte-level cut starts anew there and none of the pieces has a blank after another letter.
-SEGMENT = re.compile(r"[ \t\n\r]*[^ \t\n\r]+(?:[\t\n\r][ \t\n\r]*[^ \t\n\r]+)*(?:[\t\n\r][ \t\n\r]*)?|[ \t\n\r]+")
+#: None of the pieces has a blank after another letter, so no piece crosses the place before a run of blanks: what lies
+#: between two of these is encoded by itself, with its blanks.
+SEGMENT = re.compile(r" +[^ ]*|[^ ]+")
 #: Segments remembered by a worker, none of them longer than LONGEST.
-CACHED, LONGEST = 300_000, 64
+CACHED, LONGEST = 300_000, 40
 #: Pairs of ids, at most so many, that are sent to every task; beyond it only frequent ones are, fewer than FREQUENT.
 BROADCAST_PAIRS, FREQUENT = 1_000_000, 100_000
 
@@ -45,43 +45,46 @@ class BothTokenizers:
         self.bytes = (byte_level_bytes(byte_level), piece_bytes)
         self.lengths = [np.array([len(t) for t in table], dtype=np.int32) for table in self.bytes]
         apart = self.b.encode("a b") == [*self.b.encode("a"), *self.b.encode("b")]
-        self.separable = apart and not any(re.search("[^▁]▁", n) for n in names) and not self.a.words
+        self.separable = apart and not any(re.search("[^▁]▁", n) for n in names)
+        #: With a token for each byte no byte of a plain text can get lost on the byte-level side.
+        self.whole = {t for t in self.bytes[0] if len(t) == 1} == {bytes([b]) for b in range(256)} and not self.a.words
         self.blank = np.array([self.b.piece_to_id("▁")], dtype="<u4").tobytes()
-        self.cache: dict[str, tuple[bytes, bytes] | None] = {}
-
-    def sound(self, text: str, ids: tuple[bytes, bytes]) -> bool:
-        plain = text.encode()
-        sides = ([table[k] for k in np.frombuffer(raw, dtype="<u4").tolist()] for table, raw in zip(self.bytes, ids, strict=True))
-        return all(b"".join(tokens) == plain for tokens in sides)
-
-    def encode_apart(self, texts: list[str]) -> list[tuple[bytes, bytes] | None]:
-        """Ids of texts that begin with a blank, each for itself; nothing for one whose tokens do not give its bytes."""
-        pieces = self.b.encode([t[1:] for t in texts], num_threads=1)
-        b = [np.array(ids, dtype="<u4").tobytes() if t != " " else self.blank for t, ids in zip(texts, pieces, strict=True)]
-        both = list(zip(self.a.encode(texts), b, strict=True))
-        return [ids if self.sound(t, ids) else None for t, ids in zip(texts, both, strict=True)]
-
-    def encode(self, text: str) -> tuple[bytes, bytes] | None:
-        """Ids of a blank and ``text`` on both sides; nothing where there is no text or it cannot be told from its tokens."""
-        if not text:
-            return None
-        spaced = f" {text}"
-        if not (self.separable and PLAIN.fullmatch(text)):
-            return self.encode_apart([spaced])[0]
-        parts = SEGMENT.findall(spaced)
+        self.cache: dict[str, bytes | None] = {" ": self.blank}
+
+    def sound(self, side: int, text: str, raw: bytes) -> bool:
+        return b"".join(map(self.bytes[side].__getitem__, np.frombuffer(raw, dtype="<u4").tolist())) == text.encode()
+
+    def pieces(self, spaced: list[str]) -> list[bytes]:
+        """Side B's ids of texts that begin with a blank, each for itself."""
+        found = self.b.encode([t[1:] for t in spaced], num_threads=1)
+        return [np.array(ids, dtype="<u4").tobytes() if t != " " else self.blank for t, ids in zip(spaced, found, strict=True)]
+
+    def encode_b(self, spaced: str) -> bytes | None:
+        """Side B's ids of a text that begins with a blank; nothing if its pieces do not give its bytes."""
+        parts = SEGMENT.findall(spaced) if self.separable else [spaced]
         cache = self.cache
         try:
-            found = [cache[s] for s in parts]
+            return b"".join([cache[s] for s in parts])
         except KeyError:
             missing = list(set(parts).difference(cache))
-            new = dict(zip(missing, self.encode_apart(missing), strict=True))
+            new = {s: x if self.sound(1, s, x) else None for s, x in zip(missing, self.pieces(missing), strict=True)}
             found = [cache[s] if s in cache else new[s] for s in parts]
             if len(cache) > CACHED:
-                self.cache = cache = {}
-            cache.update((s, ids) for s, ids in new.items() if len(s) <= LONGEST)
-        if None in found:
+                self.cache = cache = {" ": self.blank}
+            cache.update((s, x) for s, x in new.items() if len(s) <= LONGEST)
+            return None if None in found else b"".join(found)
+        except TypeError:  # a segment that does not come back
             return None
-        return b"".join([ids[0] for ids in found]), b"".join([ids[1] for ids in found])
+
+    def encode(self, texts: list[str | None]) -> list[tuple[bytes, bytes]]:
+        """Ids of a blank and each text on both sides; none where there is no text or it cannot be told from its tokens."""
+        spaced = [f" {t}" if t else "" for t in texts]
+        out = []
+        for text, a in zip(spaced, self.a.encode(spaced), strict=True):
+            b = self.encode_b(text) if text else None
+            exact = b is not None and (self.whole and PLAIN.fullmatch(text) is not None or self.sound(0, text, a))
+            out.append((a, b) if exact else (b"", b""))
+        return out
 
 
 def byte_level_bytes(path: str) -> list[bytes]:
@@ -124,7 +127,7 @@ def tokenise_both(docs: DataFrame, byte_level: str | None = None, pieces: str |
         for batch in batches:
             for begin in range(0, batch.num_rows, 128):
                 part = batch.slice(begin, 128)
-                raw = [x or (b"", b"") for x in map(tokenizers.encode, part.column(1).to_pylist())]
+                raw = tokenizers.encode(part.column(1).to_pylist())
                 columns = []
                 for side, lengths in enumerate(tokenizers.lengths):
                     ids = np.frombuffer(b"".join([x[side] for x in raw]), dtype="<u4").astype(np.int32)
@@ -178,33 +181,36 @@ def align(tokens: DataFrame, wide: int) -> DataFrame:
         return F.transform(s["marks"], of_end)
 
     def grouped(s: Column) -> Column:
-        def of_cut(c: Column, k: Column) -> Column:
-            before = F.when(k == 0, F.lit(-1).cast("long")).otherwise(F.get(s["cuts"], k - 1))
-            return text_of(*ends_of(c), *ends_of(before, first=k == 0))
-
-        def ends_of(c: Column, first: Column | None = None) -> tuple[Column, Column]:
-            plain = -(c + 1)
-            i, j = F.shiftright(plain, 32).cast("int") - 1, plain.bitwiseAND(low).cast("int")
-            return (i, j) if first is None else (i, F.when(first, F.lit(-1)).otherwise(j))
+        def of_group(c: Column, k: Column) -> Column:
+            i, j = F.shiftright(c, 32).cast("int"), c.bitwiseAND(low).cast("int")
+            before = F.get(s["ends"], k)
+            i0, j0 = F.shiftright(before, 32).cast("int"), before.bitwiseAND(low).cast("int")
+            one = F.concat(F.get(s["a"], i - 1), F.lit("|"), F.get(s["b"], j - 1))
+            return F.when((i - i0 == 1) & (j - j0 == 1), one).otherwise(F.concat(run(s["a"], i0, i), F.lit("|"), run(s["b"], j0, j)))
 
-        def text_of(i: Column, j: Column, i0: Column, j0: Column) -> Column:
-            one = F.concat(F.get(s["a_ids"], i).cast("string"), F.lit("|"), F.get(s["b_ids"], j).cast("string"))
-            runs = [
-                F.array_join(F.slice(ids, start + 2, end - start).cast("array<string>"), ",")
-                for ids, start, end in ((s["a_ids"], i0, i), (s["b_ids"], j0, j))
-            ]
-            return F.when((i - i0 == 1) & (j - j0 == 1), one).otherwise(F.concat(runs[0], F.lit("|"), runs[1]))
+        def run(ids: Column, start: Column, end: Column) -> Column:
+            # not slice(), which goes through the whole array
+            return F.array_join(F.transform(F.sequence(start, end - 1), lambda x: F.get(ids, x)), ",")
 
-        return F.array_join(F.transform(s["cuts"], of_cut), ";")
+        return F.array_join(F.transform(s["cuts"], of_group), ";")
 
     def found_of(t: Column) -> Column:
-        kept = {c: t[c] for c in ("a_ids", "b_ids")} | {"cuts": F.filter(t["scanned"], lambda x: x < 0)}
-        return F.struct(F.filter(t["scanned"], lambda x: x >= 0).alias("pairs"), _with(kept, grouped).alias("groups"))
+        cuts = F.filter(t["scanned"], lambda x: x < 0)
+        return F.struct(F.filter(t["scanned"], lambda x: x >= 0).alias("pairs"), _with({"a": t["a"], "b": t["b"], "cuts": cuts}, counted).alias("groups"))
+
+    def counted(s: Column) -> Column:
+        # how many tokens of A (above) and of B (below) end with each group
+        ends = F.transform(s["cuts"], lambda c: -(c + 1) + 1)
+        return _with({"a": s["a"], "b": s["b"], "cuts": ends}, shifted)
+
+    def shifted(s: Column) -> Column:
+        return _with({"a": s["a"], "b": s["b"], "cuts": s["cuts"], "ends": F.concat(F.array(F.lit(0).cast("long")), s["cuts"])}, grouped)
 
     def in_order(s: Column) -> Column:
-        return _with({"a_ids": s["a_ids"], "b_ids": s["b_ids"], "scanned": scanned(s)}, found_of)
+        return _with({"a": s["a"], "b": s["b"], "scanned": scanned(s)}, found_of)
 
-    found = _with(sides | {"marks": F.sort_array(F.concat(a_marks, b_marks))}, in_order)
+    strings = {"a": F.col("a_ids").cast("array<string>"), "b": F.col("b_ids").cast("array<string>")}
+    found = _with(sides | strings | {"marks": F.sort_array(F.concat(a_marks, b_marks))}, in_order)
     n_a, n_b = F.size("a_ids").cast("long"), F.size("b_ids").cast("long")
     n_groups = F.size(F.array_intersect("a_ends", "b_ends")).cast("long")
     held = tokens.select("_row", "doc_id", n_a.alias("n_a"), n_b.alias("n_b"), n_groups.alias("n_groups"), found.alias("_found"))

@@ -97,10 +97,10 @@ BOTH = A.BothTokenizers(public_path("byte_bpe_50k.json"), public_path("piece_bpe
 @given(TEXTS)
 def test_tokens_are_the_libraries(text):
     """From the libraries, then remembered; added tokens' names are plain text."""
-    assert BOTH.separable
+    assert BOTH.separable and BOTH.whole
     expected = [[k for k, _ in side] for side in tokens_of(text)]
     for _ in range(2):
-        found = BOTH.encode(text) or (b"", b"")
+        found = BOTH.encode([text])[0]
         assert [np.frombuffer(x, dtype="<u4").tolist() for x in found] == expected
 
 
