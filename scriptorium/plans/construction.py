@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from scriptorium.functions import repair
 from scriptorium.operators import construction, merging
 from scriptorium.plans.oracles import sql
-from scriptorium.sources import rounds
+from scriptorium.sources import arrays, rounds
 from scriptorium.sources.tables import shared_dir
 
 
@@ -119,7 +119,20 @@ def built_factors(f) -> DataFrame:
     return counts.join(chosen, ["id", "factor"], "left").select("id", "factor", "rank", "titles", "places")
 
 
+def scanned_arrays(f) -> DataFrame:
+    """Samples written as JSON arrays and read back in splits, each with its target: the first of the target keys that it has."""
+    path = f"{shared_dir(f.spark)}/arrays"
+    number = F.substring("id", 2, 20).cast("long")
+    named = F.when(number % 2 == 0, F.to_json(F.struct(F.array("target").alias("target"), F.lit("no").alias("gold")))).otherwise(
+        F.to_json(F.struct(F.col("target").alias("answer"), F.lit("no").alias("gold")))
+    )
+    arrays.write_arrays(f.samples.select("id", "user_id", "source_text", named.alias("labels")), path)
+    read = arrays.read_array(f.spark, path, "id string, user_id string, source_text string, labels string")
+    return read.select("id", "user_id", F.md5("source_text").alias("text"), arrays.present_target(F.col("labels")).alias("target"))
+
+
 QUERIES = {
+    "scanned_arrays": scanned_arrays,
     "built_factors": built_factors,
     "asked_in_rounds": asked_in_rounds,
     "merged_factors": merged_factors,
@@ -141,6 +154,7 @@ def oracle_sql() -> dict[str, str]:
             WHEN kind = 12 THEN '{{"output":"' || t || '"}}' WHEN kind = 13 THEN '{{"output":"' || t || '","n":' || n || '}}' END"""
     titled = """'{"output":"' || t || '"}'"""
     return {
+        "scanned_arrays": sql("samp", "SELECT id, user_id, md5(source_text) AS text, target FROM samp"),
         "asked_in_rounds": sql(
             "samp",
             """SELECT id, CASE WHEN n % 35 = 0 THEN 'unreadable' ELSE 'answered' END AS status, CASE WHEN n % 5 = 0 OR n % 3 = 0 THEN 'fallback' ELSE 'primary' END AS endpoint,
