@@ -85,19 +85,22 @@ def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield batch.slice(begin, SLICE)
 
 
-def pack_sorted(keys: np.ndarray) -> bytes:
-    """Sorted 32-bit keys as byte planes of their differences, compressed."""
-    steps = np.diff(keys, prepend=keys[:1] * 0).astype("<u4")
+def pack_counts(keys: np.ndarray) -> bytes:
+    """Sorted 32-bit keys, any of them repeated, as byte planes of the differences and counts of the distinct ones, compressed."""
+    starts = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
+    distinct = keys[starts]
+    steps = np.concatenate((np.diff(distinct, prepend=distinct[:1] * 0), np.diff(np.append(starts, len(keys))) - 1)).astype("<u4")
     return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(steps.view(np.uint8).reshape(-1, 4).T).tobytes())
 
 
-def unpack_sorted(blob: bytes) -> np.ndarray:
+def unpack_counts(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
     planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), dtype=np.uint8).reshape(4, -1)
-    return np.cumsum(np.ascontiguousarray(planes.T).view("<u4").reshape(-1), dtype=np.uint64)
+    steps, less = np.split(np.ascontiguousarray(planes.T).view("<u4").reshape(-1), 2)
+    return np.cumsum(steps, dtype=np.uint64), less.astype(np.int64) + 1
 
 
 def describe(docs: DataFrame, bits: int) -> DataFrame:
-    """For every row doc_id, n_shingles and the set's fingerprint; and for each range of hashes its tokens."""
+    """For every row doc_id, n_shingles and the set's fingerprint; and for each range of hashes its tokens with their counts."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
@@ -109,7 +112,7 @@ def describe(docs: DataFrame, bits: int) -> DataFrame:
             ranges = (tokens >> np.uint64(64 - bits)).astype(np.int64)
             keys = (tokens >> np.uint64(32 - bits)) & np.uint64(0xFFFFFFFF)
             there, first = np.unique(ranges, return_index=True)
-            blobs = [pack_sorted(part) for part in np.split(keys, first[1:])]
+            blobs = [pack_counts(part) for part in np.split(keys, first[1:])]
             none = [None] * len(there)
             columns = [none, none, none, there.tolist(), blobs]
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
@@ -148,9 +151,12 @@ def frequent_tokens(blobs: DataFrame, bits: int) -> tuple[np.ndarray, np.ndarray
 
     def count(table: pa.Table) -> pa.Table:
         at = table.column("range")[0].as_py()
-        keys = np.sort(np.concatenate([unpack_sorted(b) for b in table.column("blob").to_pylist()]))
+        # a token comes once from each flush of a task, however many documents hold it
+        keys, counts = (np.concatenate(x) for x in zip(*map(unpack_counts, table.column("blob").to_pylist()), strict=True))
+        order = np.argsort(keys, kind="stable")
+        keys = keys[order]
         starts = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
-        n = np.diff(np.append(starts, len(keys)))
+        n = np.add.reduceat(counts[order], starts)
         often = n > FREQUENT
         full = (np.uint64(at) << np.uint64(32)) | keys[starts[often]]
         return pa.table({"token": pa.array(full.view(np.int64)), "n": pa.array(n[often])})

@@ -145,4 +145,16 @@ def test_rows_stay_by_their_own_text(spark, none):
 
 def test_packed_tokens_come_back():
     keys = np.sort(np.random.default_rng(0).integers(0, 2**32, 1000, dtype=np.uint64))
-    assert (J.unpack_sorted(J.pack_sorted(np.concatenate((keys, keys[-1:])))) == np.concatenate((keys, keys[-1:]))).all()
+    distinct, counts = J.unpack_counts(J.pack_counts(np.concatenate((keys, keys[-1:]))))
+    assert (np.repeat(distinct, counts) == np.concatenate((keys, keys[-1:]))).all()
+
+
+def test_counts_of_tokens_that_every_document_holds_stay_small():
+    """A token comes to its range once from each flush: as many bytes for a thousand holders as for a million."""
+    rng = np.random.default_rng(2)
+    for keys in (np.sort(rng.integers(0, 1 << 32, 5000, dtype=np.uint64)), np.sort(rng.integers(0, 50, 5000).astype(np.uint64)), np.array([7], dtype=np.uint64)):
+        distinct, counts = np.unique(keys, return_counts=True)
+        got = J.unpack_counts(J.pack_counts(keys))
+        assert (got[0] == distinct).all() and (got[1] == counts).all()
+    hot = [J.unpack_counts(J.pack_counts(np.full(n, 9, dtype=np.uint64))) for n in (1000, 1_000_000)]
+    assert [len(keys) for keys, _ in hot] == [1, 1] and [int(c[0]) for _, c in hot] == [1000, 1_000_000]
