@@ -203,17 +203,20 @@ def compact_json(**fields: Column) -> Column:
     return F.to_json(F.struct(*(c.alias(n) for n, c in fields.items())))
 
 
-def editor_examples(pool: DataFrame, queries: DataFrame, kind: str, most: int = 4) -> DataFrame:
+def editor_examples(pool: DataFrame, queries: DataFrame, kind: str, most: int = 5) -> DataFrame:
     """Seed to target examples of one kind: the trace part and the output part of the response that is trained on.
 
+    An id with more than ``most`` parents fails the query.
+
     ``output_only`` has no trace and a JSON output, ``plain`` the bare title,
     ``gold_aware`` a decision before the output, ``atomic`` the operations
     (the words that the target adds), ``conditional`` a trace only where the
     target adds a word to the parent, otherwise the plain kind of response.
     """
     by = W.partitionBy("id")
-    parents = pool.filter("parent_a IS NULL").withColumn("n", F.row_number().over(by.orderBy("pos"))).filter(F.col("n") <= most)
-    rows = parents.join(queries.select("id", "target"), "id").filter("target <> ''")
+    parents = pool.filter("parent_a IS NULL").withColumn("n", F.count("*").over(by))
+    many = F.assert_true(F.col("n") <= most, F.concat(F.lit(f"more than {most} parents: "), "id")).isNull()
+    rows = parents.withColumn("_ok", many).filter("_ok").join(queries.select("id", "target"), "id").filter("target <> ''")
     added = F.array_except(tokens("target"), tokens("text"))
     output = compact_json(output=F.col("target"))
     rest = F.concat(F.substring(output, 11, 1 << 30))

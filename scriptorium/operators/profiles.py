@@ -12,6 +12,10 @@ from pyspark.sql import functions as F
 from scriptorium.functions.text import MISSING_ABSTRACTS, compact_key, hash_split, spaced_key
 from scriptorium.sources.tables import materialize, number_parts
 
+# The end of a style summary, and the summary of a history without titles.
+STYLE_ADVICE = "Preserve these structural tendencies only when they fit the current abstract."
+NO_STYLE = "No reliable historical-title style statistics are available."
+
 
 def clean(items: DataFrame, drop_missing_abstracts: bool = True) -> DataFrame:
     """Items with a title and, if asked, a real abstract; id falls back to the position in the history."""
@@ -157,22 +161,26 @@ def contrast_rows(rows: DataFrame, user: str, order: str) -> DataFrame:
 
 
 def style_summary(rows: DataFrame, user: str, title: str) -> DataFrame:
-    """Per user the number of non-empty titles, their median words, and how many have a colon, a question mark, an acronym; as a text too."""
-    clean = rows.select(user, F.trim(title).alias("_t")).filter(F.length("_t") > 0)
+    """Per user the number of non-empty titles, their median words, and how many have a colon, a question mark, an acronym; as a text too.
+
+    A user of empty titles only has zeros, no median and a text that says so.
+    """
+    clean = rows.select(user, F.trim(F.coalesce(F.col(title), F.lit(""))).alias("_t"))
     words = F.regexp_extract_all("_t", F.lit("[A-Za-z0-9]+(?:[-'][A-Za-z0-9]+)?"), 0)
     acronym = F.exists(words, lambda w: (F.length(w) >= 2) & (F.upper(w) == w) & w.rlike("[A-Z]"))
     rate = {"colon": F.contains("_t", F.lit(":")), "question": F.contains("_t", F.lit("?")), "acronym": acronym}
+    there = F.length("_t") > 0
+    share = {n: F.coalesce(F.avg(F.when(there, c.cast("double"))), F.lit(0.0)) for n, c in rate.items()}
     found = clean.groupBy(user).agg(
-        F.count("*").alias("titles"),
-        F.round(F.percentile(F.size(words), F.lit(0.5)), 6).alias("median_words"),
-        *(F.round(F.avg(c.cast("double")), 6).alias(f"{n}_rate") for n, c in rate.items()),
+        F.count(F.when(there, 1)).alias("titles"),
+        F.round(F.percentile(F.when(there, F.size(words)), F.lit(0.5)), 6).alias("median_words"),
+        *(c.alias(f"_{n}") for n, c in share.items()),
     )
-    percent = {n: F.round(F.col(f"{n}_rate") * 100).cast("int").cast("string") for n in rate}
+    percent = {n: F.bround(F.col(f"_{n}") * 100).cast("int").cast("string") for n in rate}
     median = F.regexp_replace(F.col("median_words").cast("string"), r"\.0$", "")
-    return found.withColumn(
-        "summary",
-        F.concat(
-            F.lit("Historical titles typically contain "), median, F.lit(" words; "), percent["colon"], F.lit("% use a colon, "),
-            percent["question"], F.lit("% are questions, and "), percent["acronym"], F.lit("% contain an uppercase acronym."),
-        ),
+    text = F.concat(
+        F.lit("Historical titles typically contain "), median, F.lit(" words; "), percent["colon"], F.lit("% use a colon, "), percent["question"],
+        F.lit("% are questions, and "), percent["acronym"], F.lit("% contain an uppercase acronym. " + STYLE_ADVICE),
     )
+    rates = [F.round(F.col(f"_{n}"), 6).alias(f"{n}_rate") for n in rate]
+    return found.select(user, "titles", "median_words", *rates, F.when(F.col("titles") > 0, text).otherwise(NO_STYLE).alias("summary"))

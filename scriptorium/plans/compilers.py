@@ -176,7 +176,7 @@ def sft_sql(trace: str, output: str, kind: str) -> str:
         "pool samp",
         rf"""SELECT id || ':' || candidate_id || ':{kind}' AS example_id, {trace} AS trace_text, {output} AS output_text, round(1e0 / count(*) OVER (PARTITION BY id), 8) AS sample_weight FROM (
         SELECT p.id, candidate_id, target, list_filter(list_distinct({tok('target')}), lambda x: NOT list_contains({tok('text')}, x)) AS un, {tok('target')} AS tt, {tok('text')} AS pt
-        FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY pos) AS n FROM pool WHERE parent_a IS NULL) p JOIN samp USING (id) WHERE n <= 4 AND target <> '')""".replace(
+        FROM pool p JOIN samp USING (id) WHERE parent_a IS NULL AND target <> '')""".replace(
             f"list_filter(list_distinct({tok('target')}), lambda x: NOT list_contains({tok('text')}, x)) AS un",
             f"list_filter(list_filter({tok('target')}, lambda x, i: list_position({tok('target')}, x) = i), lambda x: NOT list_contains({tok('text')}, x)) AS added",
         ),

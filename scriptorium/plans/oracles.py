@@ -454,11 +454,13 @@ def oracle_sql() -> dict[str, str]:
             SELECT hit_1, hit_2, hit_3, hit_4, all_1, all_2, all_3, all_4, {', '.join(f'round(p{k}, 6) AS precision_{k}' for k in (1, 2, 3, 4))}, round(b, 6) AS brevity, sys_len, ref_len,
             round(CASE WHEN hit_1 + hit_2 + hit_3 + hit_4 = 0 OR least(p1, p2, p3, p4) = 0 THEN 0e0 ELSE b * exp((ln(greatest(p1, 1e-300)) + ln(greatest(p2, 1e-300)) + ln(greatest(p3, 1e-300)) + ln(greatest(p4, 1e-300))) / 4) END, 6) AS score FROM p""",
         ),
-        "style_summary": r"""SELECT user_id, titles, median_words, colon_rate, question_rate, acronym_rate, 'Historical titles typically contain ' || regexp_replace(CAST(median_words AS VARCHAR), '\.0$', '') || ' words; '
-            || CAST(CAST(round(colon_rate * 100) AS INT) AS VARCHAR) || '% use a colon, ' || CAST(CAST(round(question_rate * 100) AS INT) AS VARCHAR) || '% are questions, and ' || CAST(CAST(round(acronym_rate * 100) AS INT) AS VARCHAR) || '% contain an uppercase acronym.' AS summary
-            FROM (SELECT user_id, count(*) AS titles, round(quantile_cont(len(w), 5e-1), 6) AS median_words, round(avg(CASE WHEN contains(t, ':') THEN 1e0 ELSE 0e0 END), 6) AS colon_rate,
-            round(avg(CASE WHEN contains(t, '?') THEN 1e0 ELSE 0e0 END), 6) AS question_rate, round(avg(CASE WHEN len(list_filter(w, lambda x: len(x) >= 2 AND upper(x) = x AND regexp_matches(x, '[A-Z]'))) > 0 THEN 1e0 ELSE 0e0 END), 6) AS acronym_rate
-            FROM (SELECT user_id, t, regexp_extract_all(t, '[A-Za-z0-9]+(?:[-''][A-Za-z0-9]+)?') AS w FROM (SELECT coalesce(source, '') AS user_id, trim(substr(text, 1, 80)) AS t FROM documents) WHERE len(t) > 0) GROUP BY user_id)""",
+        "style_summary": r"""SELECT user_id, titles, median_words, round(c, 6) AS colon_rate, round(q, 6) AS question_rate, round(a, 6) AS acronym_rate,
+            CASE WHEN titles = 0 THEN 'No reliable historical-title style statistics are available.' ELSE
+            'Historical titles typically contain ' || regexp_replace(CAST(median_words AS VARCHAR), '\.0$', '') || ' words; ' || CAST(CAST(round_even(c * 100, 0) AS INT) AS VARCHAR) || '% use a colon, '
+            || CAST(CAST(round_even(q * 100, 0) AS INT) AS VARCHAR) || '% are questions, and ' || CAST(CAST(round_even(a * 100, 0) AS INT) AS VARCHAR) || '% contain an uppercase acronym. Preserve these structural tendencies only when they fit the current abstract.' END AS summary
+            FROM (SELECT user_id, count(*) FILTER (len(t) > 0) AS titles, round(quantile_cont(len(w), 5e-1) FILTER (len(t) > 0), 6) AS median_words, coalesce(avg(CASE WHEN contains(t, ':') THEN 1e0 ELSE 0e0 END) FILTER (len(t) > 0), 0e0) AS c,
+            coalesce(avg(CASE WHEN contains(t, '?') THEN 1e0 ELSE 0e0 END) FILTER (len(t) > 0), 0e0) AS q, coalesce(avg(CASE WHEN len(list_filter(w, lambda x: len(x) >= 2 AND upper(x) = x AND regexp_matches(x, '[A-Z]'))) > 0 THEN 1e0 ELSE 0e0 END) FILTER (len(t) > 0), 0e0) AS a
+            FROM (SELECT user_id, t, regexp_extract_all(t, '[A-Za-z0-9]+(?:[-''][A-Za-z0-9]+)?') AS w FROM (SELECT coalesce(source, '') AS user_id, trim(string_split(coalesce(text, ''), chr(10))[1]) AS t FROM documents)) GROUP BY user_id)""",
         "factor_statistics": sql(
             "tf",
             """SELECT id, factor, support, round(support / items::DOUBLE, 6) AS share, mean_tokens, examples FROM (

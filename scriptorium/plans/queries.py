@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,7 +17,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 
 class Frames:
-    """The domain frames of one data folder."""
+    """The domain frames of one data folder, each built once."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.dir = spark, sf_dir
@@ -24,39 +25,39 @@ class Frames:
         self.items = fixtures.history(spark, sf_dir)
         self.samples = fixtures.samples(spark, sf_dir)
 
-    @property
+    @cached_property
     def documents(self) -> DataFrame:
         return fixtures.table(self.spark, self.dir, "documents")
 
-    @property
+    @cached_property
     def embeddings(self) -> DataFrame:
         return fixtures.table(self.spark, self.dir, "embeddings")
 
-    @property
+    @cached_property
     def rollouts(self) -> DataFrame:
         return fixtures.rollouts(self.spark, self.dir)
 
-    @property
+    @cached_property
     def retrieved(self) -> DataFrame:
         return retrieval.bm25(self.samples.withColumn("terms", F.col("source")), self.items)
 
-    @property
+    @cached_property
     def seeds(self) -> DataFrame:
         return pools.seeds(self.samples, self.retrieved, self.items)
 
-    @property
+    @cached_property
     def pool(self) -> DataFrame:
         return pools.candidate_pool(self.samples, self.retrieved, self.items)
 
-    @property
+    @cached_property
     def scored(self) -> DataFrame:
         return pools.score_pool(self.pool, self.samples)
 
-    @property
+    @cached_property
     def deltas(self) -> DataFrame:
         return pools.parent_deltas(self.scored)
 
-    @property
+    @cached_property
     def scores(self) -> DataFrame:
         """The lexical ranker: similarity of candidate and source text against the hidden label."""
         rows = self.scored.join(self.samples.select("id", F.array_distinct("source").alias("s")), "id")
@@ -65,30 +66,30 @@ class Frames:
             F.round(text.jaccard(text.tokens("text"), F.col("s"), 1.0), 6).alias("score"),
         )
 
-    @property
+    @cached_property
     def lengths(self) -> DataFrame:
         """The second ranker: the number of words."""
         return self.pool.select("id", "candidate_id", F.size(text.tokens("text")).cast("double").alias("score"))
 
-    @property
+    @cached_property
     def visible(self) -> DataFrame:
         return profiles.visible_history(self.retrieved, self.samples, self.items, retrieval.TOP_K)
 
-    @property
+    @cached_property
     def preferences(self) -> DataFrame:
         return preferences.gold_preferences(preferences.reward_rollouts(self.rollouts))
 
-    @property
+    @cached_property
     def top_titles(self) -> DataFrame:
         best = self.retrieved.filter("rank = 1").select("id", "user_id", "pos")
         titled = best.join(self.items.select("user_id", "pos", "title"), ["user_id", "pos"]).select("id", "title")
         return self.samples.select("id", "target").join(titled, "id", "left").withColumn("title", F.coalesce("title", F.lit("")))
 
-    @property
+    @cached_property
     def sft(self) -> DataFrame:
         return datasets.output_only(self.pool, self.samples)
 
-    @property
+    @cached_property
     def crossover_sft(self) -> DataFrame:
         return datasets.crossover_examples(pools.crossover_pairs(self.seeds, 2), self.samples)
 
@@ -152,8 +153,8 @@ def corpus_bleu(f: Frames) -> DataFrame:
 
 
 def style_summary(f: Frames) -> DataFrame:
-    """The style of the raw first 80 characters of every document, by source."""
-    raw = f.documents.select(F.coalesce("source", F.lit("")).alias("user_id"), F.substring("text", 1, 80).alias("title"))
+    """The style of the first line of every whole document, by source."""
+    raw = f.documents.select(F.coalesce("source", F.lit("")).alias("user_id"), F.substring_index(F.coalesce("text", F.lit("")), "\n", 1).alias("title"))
     return profiles.style_summary(raw, "user_id", "title")
 
 
