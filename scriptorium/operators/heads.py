@@ -1,10 +1,8 @@
-"""Per-user heads on frozen features, pooling, and resampled corpus scores."""
+"""Pooling of frozen features."""
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
@@ -15,22 +13,3 @@ def masked_mean(vectors: Column, mask: Column) -> Column:
         kept, F.transform(F.get(vectors, F.lit(0)), lambda _: F.lit(0.0)), lambda s, x: F.zip_with(s, x["v"], lambda a, b: a + b.cast("double"))
     )
     return F.transform(total, lambda x: x / F.greatest(F.size(kept), F.lit(1)))
-
-
-def fit_linear_heads(pairs: DataFrame, epochs: int = 50, rate: float = 0.1, anchor: float = 0.01) -> DataFrame:
-    """One linear head per user by gradient steps on softplus(-w (chosen - rejected)), pulled to zero.
-
-    ``pairs(user_id, difference array<double>)``. A user's pairs are bounded by
-    its preferences; the model is a vector per user.
-    """
-
-    def fit(frame: pd.DataFrame) -> pd.DataFrame:
-        x = np.stack(frame["difference"].to_numpy()).astype(float)
-        x = x[np.lexsort(x.T)]  # row order must not show in the last digits
-        w = np.zeros(x.shape[1])
-        for _ in range(epochs):
-            w -= rate * (-(x / (1 + np.exp(np.clip(x @ w, -30, 30)))[:, None]).mean(axis=0) + anchor * w)
-        accuracy = float((x @ w > 0).mean())
-        return pd.DataFrame({"user_id": [frame["user_id"].iloc[0]], "pairs": [len(x)], "accuracy": [round(accuracy, 6)], "weights": [w.tolist()]})
-
-    return pairs.groupBy("user_id").applyInPandas(fit, "user_id string, pairs long, accuracy double, weights array<double>")

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scriptorium.functions import rouge, similarity, text
-from scriptorium.operators import datasets, factors, heads, pools, preferences, profiles, ranking, retrieval, selection, validate
+from scriptorium.operators import datasets, factors, pools, preferences, profiles, ranking, retrieval, selection, user_heads, validate
 from scriptorium.plans import fixtures
 from scriptorium.sources.tables import ship_package
 
@@ -187,17 +187,35 @@ def rewrite_categories(f: Frames) -> DataFrame:
     return rows.withColumn("category", similarity.rewrite_category(F.col("p"), F.col("t"))).groupBy("type", "category").agg(F.count("*").alias("n"))
 
 
+def head_pairs(f: Frames) -> DataFrame:
+    """Each vector is preferred, by the user that its label names, to the mean vector of all other labels; a fifth validates."""
+    vectors = f.embeddings.select(F.col("label").cast("string").alias("user_id"), "vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("chosen"))
+    rows = vectors.select("user_id", F.posexplode("chosen").alias("i", "v"))
+    own = rows.groupBy("user_id", "i").agg(F.sum("v").alias("os"), F.count("*").alias("on"))
+    sums = own.groupBy("i").agg(F.sum("os").alias("s"), F.sum("on").alias("n"))
+    gap = ((F.col("s") - F.col("os")) / F.greatest(F.col("n") - F.col("on"), F.lit(1))).alias("m")
+    others = own.join(sums, "i").select("user_id", "i", gap).groupBy("user_id").agg(F.sort_array(F.collect_list(F.struct("i", "m"))).alias("o"))
+    part = F.when(F.pmod("vec_id", F.lit(5)) == 0, "validation").otherwise("train").alias("part")
+    return vectors.join(others, "user_id").select("user_id", part, "chosen", F.transform("o", lambda x: x["m"]).alias("rejected"), F.lit(1.0).alias("weight"))
+
+
+def _heads(f: Frames, training: user_heads.Training) -> DataFrame:
+    pairs = head_pairs(f)
+    size = f.embeddings.select(F.max(F.size("embedding"))).first()[0] or 0
+    start = [0.0 if training.kind == "linear" else 1.0 / (k + 1) for k in range(size)] + [0.0]
+    return user_heads.fit_user_heads(pairs, start, training)
+
+
 def linear_heads(f: Frames) -> DataFrame:
-    """A head for each label, from the difference of each of its vectors and the mean vector of all others."""
-    rows = f.embeddings.select(F.col("label").cast("string").alias("user_id"), "vec_id", F.posexplode("embedding").alias("i", "v"))
-    sums = rows.groupBy("i").agg(F.sum(F.col("v").cast("double")).alias("s"), F.count("*").alias("n"))
-    own = rows.groupBy("user_id", "i").agg(F.sum(F.col("v").cast("double")).alias("os"), F.count("*").alias("on"))
-    others = own.join(F.broadcast(sums), "i").select("user_id", "i", ((F.col("s") - F.col("os")) / F.greatest(F.col("n") - F.col("on"), F.lit(1))).alias("m"))
-    gaps = rows.join(others, ["user_id", "i"]).groupBy("user_id", "vec_id").agg(
-        F.sort_array(F.collect_list(F.struct("i", (F.col("v") - F.col("m")).alias("d")))).alias("x")
-    )
-    fitted = heads.fit_linear_heads(gaps.select("user_id", F.transform("x", lambda x: x["d"]).alias("difference")))
-    return fitted.select("user_id", "pairs", "accuracy")
+    """A head for each label, from zero."""
+    fitted = _heads(f, user_heads.Training(steps=10))
+    return fitted.select("user_id", "pairs", "validation", F.round("loss", 4).alias("loss"), F.round("accuracy", 4).alias("accuracy"))
+
+
+def adapter_heads(f: Frames) -> DataFrame:
+    """An adapter for each label on a given head, with the state that validates best."""
+    fitted = _heads(f, user_heads.Training("adapter", steps=8, patience=3))
+    return fitted.select("user_id", "pairs", F.round("first_loss", 4).alias("first_loss"), F.round("loss", 4).alias("loss"), F.round("accuracy", 4).alias("accuracy"))
 
 
 def completed_rankings(f: Frames) -> DataFrame:
@@ -309,6 +327,7 @@ QUERIES: dict[str, Callable[[Frames], DataFrame]] = {
     ),
     "rewrite_categories": rewrite_categories,
     "linear_heads": linear_heads,
+    "adapter_heads": adapter_heads,
     "completed_rankings": completed_rankings,
     "clean_titles": lambda f: f.documents.select("doc_id", F.md5(text.clean_title("text")).alias("title")),
     "contrast_rows": lambda f: profiles.contrast_rows(f.items, "user_id", "pos").select("user_id", "pos", "contrast"),
