@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from scriptorium.functions import repair
 from scriptorium.operators import construction, merging
 from scriptorium.plans.oracles import sql
-from scriptorium.sources import arrays, rounds
+from scriptorium.sources import arrays, manifests, rounds
 from scriptorium.sources.tables import shared_dir
 
 
@@ -131,7 +131,18 @@ def scanned_arrays(f) -> DataFrame:
     return read.select("id", "user_id", F.md5("source_text").alias("text"), arrays.present_target(F.col("labels")).alias("target"))
 
 
+def shared_parents(f) -> DataFrame:
+    """The parents of every sample published as a pool with its manifest, and the first one of each read back through its gates."""
+    path = f"{shared_dir(f.spark)}/pool"
+    listed = F.transform(F.sort_array(F.collect_list(F.struct("pos", "candidate_id", "text"))), lambda x: F.struct(x["candidate_id"].alias("candidate_id"), x["text"].alias("text")))
+    pools = f.pool.filter("parent_a IS NULL").groupBy("id").agg(listed.alias("parent_pool"))
+    manifests.publish(pools, path, {"seed_parent_used": False, "history_used": True})
+    read = manifests.shared_parents(f.spark, path)
+    return read.select("id", F.size("parent_pool").cast("long").alias("width"), "parent", "parent_source")
+
+
 QUERIES = {
+    "shared_parents": shared_parents,
     "scanned_arrays": scanned_arrays,
     "built_factors": built_factors,
     "asked_in_rounds": asked_in_rounds,
@@ -154,6 +165,9 @@ def oracle_sql() -> dict[str, str]:
             WHEN kind = 12 THEN '{{"output":"' || t || '"}}' WHEN kind = 13 THEN '{{"output":"' || t || '","n":' || n || '}}' END"""
     titled = """'{"output":"' || t || '"}'"""
     return {
+        "shared_parents": sql(
+            "pool", "SELECT id, count(*) AS width, left(arg_min(text, pos), 300) AS parent, 'shared_parent_pool_greedy' AS parent_source FROM pool WHERE parent_a IS NULL GROUP BY id"
+        ),
         "scanned_arrays": sql("samp", "SELECT id, user_id, md5(source_text) AS text, target FROM samp"),
         "asked_in_rounds": sql(
             "samp",
