@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scriptorium.functions import repair
-from scriptorium.operators import construction, merging
+from scriptorium.functions.text import tokens
+from scriptorium.operators import construction, families, merging
 from scriptorium.plans.oracles import sql
 from scriptorium.sources import arrays, manifests, rounds
 from scriptorium.sources.tables import shared_dir
@@ -141,7 +142,15 @@ def shared_parents(f) -> DataFrame:
     return read.select("id", F.size("parent_pool").cast("long").alias("width"), "parent", "parent_source")
 
 
+def complementary_pairs(f) -> DataFrame:
+    """A first parent of every sample and the one that adds most to it; seeds stand for parents, their places for log-probabilities."""
+    chance = F.when(F.pmod(F.length("text"), F.lit(7)) == 0, None).otherwise(-0.3 * F.col("pos"))
+    issues = F.when(F.size(tokens("text")) < 2, "short").otherwise("")
+    return families.complementary_pairs(f.seeds.withColumns({"mean_logprob": chance, "issues": issues}), f.samples)
+
+
 QUERIES = {
+    "complementary_pairs": complementary_pairs,
     "shared_parents": shared_parents,
     "scanned_arrays": scanned_arrays,
     "built_factors": built_factors,

@@ -11,7 +11,7 @@ from scriptorium.plans import compilers, construction, oracles, queries
 from scriptorium.plans import evaluation as reports
 
 DATA = Path("/root/testdata/sf0.001")
-NAMES = sorted({*reports.QUERIES, *compilers.QUERIES, *construction.QUERIES, "loo_bm25", "corpus_bleu", "style_summary", "bm25_topk", "dense_topk", "gold_preferences"} - {"checkpoint_choice", "built_factors"})
+NAMES = sorted({*reports.QUERIES, *compilers.QUERIES, *construction.QUERIES, "loo_bm25", "corpus_bleu", "style_summary", "bm25_topk", "dense_topk", "gold_preferences"} - {"checkpoint_choice", "built_factors", "complementary_pairs"})
 
 
 def plain(x):
