@@ -73,7 +73,7 @@ def run(spark, proposals, merger, limits):
     return out
 
 
-def proposals_of(seed, owners=3, most=40):
+def proposals_of(seed, owners=3, most=14):
     rng = random.Random(seed)
     out = []
     for owner in range(owners):
@@ -97,7 +97,7 @@ def stubborn(mode, items):
     ("seed", "merger", "limits"),
     [
         (1, M.mock_merger, M.Limits()),
-        (2, M.mock_merger, M.Limits(chunk_size=7, min_support=2)),
+        (2, M.mock_merger, M.Limits(chunk_size=5, min_support=2)),
         (3, M.mock_merger, M.Limits(budget=1500, max_factors=3)),
         (4, stubborn, M.Limits(chunk_size=10, budget=1500, min_support=3, retries=1)),
     ],
@@ -111,9 +111,9 @@ def test_equals_recursion(spark, seed, merger, limits):
 def test_blocks_and_rounds(spark, monkeypatch):
     """Lists longer than a block are packed block by block; the rounds grow with the logarithm of the list."""
     monkeypatch.setattr(M, "BLOCK", 16)
-    proposals = [("u", k, M.OPERATION_TYPES[k % 3], "name the main method first", "c", "plain", [f"d{k}"]) for k in range(300)]
+    proposals = [("u", k, M.OPERATION_TYPES[k % 3], "name the main method first", "c", "plain", [f"d{k}"]) for k in range(120)]
     found = run(spark, proposals, M.mock_merger, M.Limits(budget=1200))
-    assert {k: len(v[3]) for k, v in found.items()} == {("u", f"f{k}"): 100 for k in (1, 2, 3)}
+    assert {k: len(v[3]) for k, v in found.items()} == {("u", f"f{k}"): 40 for k in (1, 2, 3)}
 
 
 def test_nothing_and_a_merger_that_does_not_shrink(spark, monkeypatch):
