@@ -36,9 +36,11 @@ from .common import discard, materialize, ship_package, tidy
 #: A-Z lowered; bytes.split() then cuts at exactly space and \x09 to \x0d.
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 WIDTH, SHARE, BASE = 3, 90, 100
-#: Tokens in more documents than this count as frequent. Where there are more than MAX_FREQUENT of them, only those of
-#: the highest counts do: lists of single tokens are then longer, but nothing is lost.
-FREQUENT, MAX_FREQUENT = 16, 1_000_000
+#: Tokens in more documents than this count as frequent. Where there are more than MAX_FREQUENT of them (at 5 bytes in
+#: every worker), only those of the highest classes do: lists of single tokens are then longer, but nothing is lost.
+FREQUENT, MAX_FREQUENT = 16, 1 << 24
+#: Longs of a sketch: the parities of how many tokens of a set fall on each of its bits.
+SKETCH = 16
 FLUSH, SLICE, BROADCAST_IDS, SEEN = 1_000_000, 256, 2_000_000, 100_000
 #: Members and tokens of a block of a bundle, and tokens compared at a time.
 BLOCK, TOKENS, COLUMNS = 1024, 1 << 20, 2048
@@ -147,7 +149,10 @@ def signed(x: int) -> int:
 
 
 def frequent_tokens(blobs: DataFrame, bits: int) -> tuple[np.ndarray, np.ndarray, bool]:
-    """Leading ``bits`` + 32 bits of frequent tokens, sorted, the class (log2 of the count) of each, and whether these are all."""
+    """Leading 32 bits of frequent tokens, sorted, the class (log2 of the count) of each, and whether these are all.
+
+    A token that shares these bits with a frequent one counts as frequent too, in every task alike.
+    """
 
     def count(table: pa.Table) -> pa.Table:
         at = table.column("range")[0].as_py()
@@ -158,15 +163,28 @@ def frequent_tokens(blobs: DataFrame, bits: int) -> tuple[np.ndarray, np.ndarray
         starts = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
         n = np.add.reduceat(counts[order], starts)
         often = n > FREQUENT
-        full = (np.uint64(at) << np.uint64(32)) | keys[starts[often]]
-        return pa.table({"token": pa.array(full.view(np.int64)), "n": pa.array(n[often])})
-
-    counted = blobs.groupBy("range").applyInArrow(count, "token long, n long")
-    found = counted.orderBy(F.desc("n"), "token").limit(MAX_FREQUENT).toPandas()
-    tokens = found["token"].to_numpy(dtype=np.int64).view(np.uint64)
-    order = np.argsort(tokens)
-    classes = np.floor(np.log2(found["n"].to_numpy(dtype=np.float64)[order])).astype(np.int8)
-    return tokens[order], classes, len(tokens) < MAX_FREQUENT
+        leading = (np.uint64(at) << np.uint64(32 - bits)) | (keys[starts[often]] >> np.uint64(bits))
+        classes = np.floor(np.log2(n[often].astype(np.float64))).astype(np.int32)
+        there = np.unique(classes)
+        parts = [leading[classes == c].astype("<u4") for c in there]
+        columns = [pa.array(there, pa.int32()), pa.array([len(x) for x in parts], pa.int64()), pa.array([x.tobytes() for x in parts], pa.binary())]
+        return pa.table(columns, ["class", "n", "tokens"])
+
+    counted = materialize(blobs.groupBy("range").applyInArrow(count, "class int, n long, tokens binary"), "frequent")
+    least, total = 64, 0
+    for r in sorted(counted.groupBy("class").agg(F.sum("n").alias("n")).collect(), key=lambda r: -r["class"]):
+        total += r["n"]
+        if total > MAX_FREQUENT:
+            break
+        least = r["class"]
+    found = counted.filter(F.col("class") >= least).select("class", "tokens").collect()
+    discard(counted)
+    tokens = np.concatenate([np.empty(0, "<u4"), *(np.frombuffer(r["tokens"], "<u4") for r in found)])
+    classes = np.repeat([r["class"] for r in found], [len(r["tokens"]) // 4 for r in found]).astype(np.int8)
+    order = np.lexsort((-classes, tokens))
+    tokens, classes = tokens[order], classes[order]
+    first = np.concatenate(([True], tokens[1:] != tokens[:-1])) if len(tokens) else np.empty(0, dtype=bool)
+    return tokens[first], classes[first], total <= MAX_FREQUENT
 
 
 def alone(n: int) -> bool:
@@ -205,14 +223,20 @@ def index_keys(tokens: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, int]:
     return np.concatenate((singles, mixed | np.uint64(1))), len(singles)
 
 
-def keyed_sets(docs: DataFrame, shared, bits: int) -> DataFrame:
-    """node, n, number of single keys and keys of every set that another may be similar to; equal sets of a task once."""
+def sketch(tokens: np.ndarray) -> np.ndarray:
+    """The set's parities as longs: bits that differ in two sketches are owed to as many tokens in one set only."""
+    odd = np.bincount((tokens >> np.uint64(7)).astype(np.int64) & (64 * SKETCH - 1), minlength=64 * SKETCH) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
+def keyed_sets(docs: DataFrame, shared) -> DataFrame:
+    """node, n, number of single keys, keys and sketch of every set that another may be similar to; equal sets of a task once."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hot, classes = shared.value
         seen: set[int] = set()
         for batch in slices(batches):
-            nodes, sizes, singles, found = [], [], [], []
+            nodes, sizes, singles, found, sketches = [], [], [], [], []
             for text in batch.column(0).to_pylist():
                 tokens = shingle_set(text)
                 n = len(tokens)
@@ -225,7 +249,7 @@ def keyed_sets(docs: DataFrame, shared, bits: int) -> DataFrame:
                     seen.add(node)
                 rank = np.zeros(n, dtype=np.int8)
                 if len(hot):
-                    keys = tokens >> np.uint64(32 - bits)
+                    keys = (tokens >> np.uint64(32)).astype(np.uint32)
                     at = np.searchsorted(hot, keys)
                     at[at == len(hot)] = 0
                     rank = np.where(hot[at] == keys, classes[at], 0)
@@ -234,11 +258,13 @@ def keyed_sets(docs: DataFrame, shared, bits: int) -> DataFrame:
                 sizes.append(n)
                 singles.append(single)
                 found.append(keys.view(np.int64))
-            columns = [pa.array(nodes, pa.int64()), pa.array(sizes, pa.int32()), pa.array(singles, pa.int32()), pa.array(found, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(columns, ["node", "n", "s", "keys"])
+                sketches.append(sketch(tokens))
+            columns = [pa.array(nodes, pa.int64()), pa.array(sizes, pa.int32()), pa.array(singles, pa.int32())]
+            columns += [pa.array(x, pa.list_(pa.int64())) for x in (found, sketches)]
+            yield pa.RecordBatch.from_arrays(columns, ["node", "n", "s", "keys", "sketch"])
         forget_words()
 
-    return docs.select("text").mapInArrow(scan, "node long, n int, s int, keys array<long>")
+    return docs.select("text").mapInArrow(scan, "node long, n int, s int, keys array<long>, sketch array<long>")
 
 
 def sets_of(docs: DataFrame, wanted: DataFrame, once: bool) -> DataFrame:
@@ -262,6 +288,26 @@ def sets_of(docs: DataFrame, wanted: DataFrame, once: bool) -> DataFrame:
     return found if once else found.dropDuplicates(["node"])
 
 
+def plausible(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose sizes and sketches let their sets be similar: whole sets travel for no others.
+
+    Bits that differ are at most the tokens in one set only, so common tokens
+    are at most half of what both sizes exceed them by. No similar pair goes.
+    """
+    a = nodes.select(F.col("node").alias("a"), F.col("n").alias("_m"), F.col("sketch").alias("_x"))
+    b = nodes.select(F.col("node").alias("b"), F.col("n").alias("_n"), F.col("sketch").alias("_y"))
+    differ = sum((F.bit_count(F.get("_x", F.lit(k)).bitwiseXOR(F.get("_y", F.lit(k)))) for k in range(SKETCH)), F.lit(0))
+    both = F.col("_m") + F.col("_n")
+    return (
+        pairs.select("a", "b")
+        .join(b, "b")
+        .join(a, "a")
+        .filter(BASE * F.least("_m", "_n") >= SHARE * F.greatest("_m", "_n"))
+        .filter((BASE + SHARE) * (both - differ) >= 2 * SHARE * both)
+        .select("a", "b")
+    )
+
+
 def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs (a, b) whose whole sets are similar."""
     a = sets.select(F.col("node").alias("a"), F.col("tokens").alias("_x"))
@@ -449,28 +495,35 @@ def link_rows(docs: DataFrame) -> DataFrame:
     once = rows.filter(F.col("node").isNotNull()).groupBy("doc_id").count().filter(doubtful).isEmpty()
 
     shared = spark.sparkContext.broadcast((hot, classes))
-    nodes = keyed_sets(docs, shared, bits).groupBy("node", "n", "s").agg(F.first("keys").alias("keys"))
-    entries = materialize(nodes.select("node", "n", "s", F.explode("keys").alias("key")), "entries")
+    distinct = keyed_sets(docs, shared).groupBy("node", "n", "s").agg(F.first("keys").alias("keys"), F.first("sketch").alias("sketch"))
+    nodes = materialize(distinct, "nodes")
+    entries = nodes.select("node", "n", "s", F.explode("keys").alias("key"))
     lists = entries.groupBy("key").agg(F.count("*").alias("c"), F.min("node").alias("chief")).filter("c > 1")
     index = materialize(entries.join(lists, "key"), "index")
-    discard(entries)
     short = pairs_of_short_lists(index.filter(F.col("c") <= FREQUENT), counted)
     # long lists: every member with the list's chief; the lists of one chief are one bundle
     star = materialize(
         index.filter((F.col("c") > FREQUENT) & (F.col("node") != F.col("chief"))).select("chief", "node", "n").distinct(), "star"
     )
-    pairs = materialize(short.union(star.select(F.col("chief").alias("a"), F.col("node").alias("b"))).distinct(), "pairs")
+    both = short.union(star.select(F.col("chief").alias("a"), F.col("node").alias("b"))).distinct()
+    pairs = materialize(plausible(both, nodes), "pairs")
     discard(index)
-    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).union(star.select("node")).distinct()
+    discard(nodes)
+    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
     sets = materialize(sets_of(docs, wanted.join(reps, "node"), once), "sets")
     edges = materialize(verify(pairs, sets), "edges")
     discard(pairs)
+    discard(sets)
     found = components(edges)
     if not star.isEmpty():  # then the members of a bundle with one another, where they are not joined yet
         found = materialize(found, "components")
-        more = materialize(edges_of_bundles(deal_bundles(star, found).join(sets, "node")), "more")
+        dealt = materialize(deal_bundles(star, found), "dealt")
+        members = materialize(sets_of(docs, dealt.select("node").distinct().join(reps, "node"), once), "members")
+        more = materialize(edges_of_bundles(dealt.join(members, "node")), "more")
+        discard(dealt)
+        discard(members)
         found = components(found.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more))
-    discard(sets)
+    discard(star)
     named = reps.join(found, "node", "left").select("node", "rep", F.coalesce("root", "node").alias("root"))
     named = materialize(named, "named")
     smallest = named.groupBy("root").agg(F.min("rep").alias("component"))

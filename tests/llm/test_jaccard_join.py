@@ -158,3 +158,32 @@ def test_counts_of_tokens_that_every_document_holds_stay_small():
         assert (got[0] == distinct).all() and (got[1] == counts).all()
     hot = [J.unpack_counts(J.pack_counts(np.full(n, 9, dtype=np.uint64))) for n in (1000, 1_000_000)]
     assert [len(keys) for keys, _ in hot] == [1, 1] and [int(c[0]) for _, c in hot] == [1000, 1_000_000]
+
+
+def test_whole_sets_travel_for_plausible_pairs_only(spark, monkeypatch):
+    # no token counts as frequent: 40 texts with one passage meet in long lists of single tokens
+    monkeypatch.setattr(J, "FREQUENT", 4)
+    monkeypatch.setattr(J, "MAX_FREQUENT", 0)
+    r = random.Random(8)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(5))
+    passage = [word() for _ in range(60)]
+    rows = [(i, " ".join([word() for _ in range(120)] + passage)) for i in range(40)]
+    rows.append((40, rows[7][1] + " more"))
+    asked, verify = [], J.verify
+    monkeypatch.setattr(J, "verify", lambda pairs, sets: asked.append(pairs.count()) or verify(pairs, sets))
+    assert linked(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)) == brute(rows)
+    assert asked == [1] or asked == [0]  # the near copy meets the other or their list's chief alone
+
+
+def test_sketches_drop_no_similar_pair(spark):
+    r = random.Random(9)
+    sets = []
+    for n in (9, 30, 400, 3000):
+        base = [r.getrandbits(64) for _ in range(n)]
+        sets += [base, base[: -(n // 10)], base[n // 20 :] + [r.getrandbits(64) for _ in range(n // 25)], [r.getrandbits(64) for _ in range(n)]]
+    arrays = [np.sort(np.array(x, dtype=np.uint64)) for x in sets]
+    nodes = spark.createDataFrame([(i, len(x), J.sketch(x).tolist()) for i, x in enumerate(arrays)], "node long, n int, sketch array<long>")
+    every = [(i, j) for i in range(len(sets)) for j in range(i + 1, len(sets))]
+    kept = {tuple(p) for p in J.plausible(spark.createDataFrame(every, "a long, b long"), nodes).collect()}
+    similar = {(i, j) for i, j in every if 100 * len({*sets[i]} & {*sets[j]}) >= 90 * len({*sets[i]} | {*sets[j]})}
+    assert len(similar) >= 7 and similar <= kept and not kept & {(8, 11), (4, 7), (0, 3)}
