@@ -3,6 +3,7 @@ import math
 import random
 from types import SimpleNamespace
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -301,3 +302,49 @@ def test_coverage_slates_and_pairs(spark):
     assert tuple(context) == ("s\nt\nf", "")
     with pytest.raises(ValueError):
         selection.context_text("other", F.lit(""), F.lit(""), F.lit(""))
+
+
+def test_cells_of_any_size_find_the_same(spark, monkeypatch):
+    from scriptorium.operators import cells
+
+    r = random.Random(3)
+    word = lambda: r.choice("abcdefgh") + r.choice("xyz")
+    items = spark.createDataFrame(
+        [(r.choice("uv"), i, [word() for _ in range(r.randint(0, 12))], " ".join(word() for _ in range(3))) for i in range(90)],
+        "user_id string, pos long, words array<string>, title string",
+    )
+    asked = [(f"q{i}", r.choice("uv"), [word() for _ in range(5)], " ".join(word() for _ in range(4)), " ".join(word() for _ in range(3))) for i in range(40)]
+    queries_ = spark.createDataFrame(asked, "id string, user_id string, terms array<string>, source_text string, target string")
+    runs = {
+        "bm25": lambda: retrieval.bm25(queries_, items, 5).select("id", "pos", "rank", "score"),
+        "jaccard": lambda: retrieval.jaccard_rank(queries_, items, 5),
+        "negatives": lambda: retrieval.content_negatives(queries_, items).select("id", "pos", "rank", "score"),
+    }
+    whole = {n: sorted(tuple(x) for x in f().collect()) for n, f in runs.items()}
+    for name, value in {"QUERIES": 7, "WEIGHT": 60, "ROWS": 3, "COLUMNS": 4, "DENSE": 6, "SLAB": 2}.items():
+        monkeypatch.setattr(cells, name, value)
+    monkeypatch.setattr(retrieval, "ROWS", 3)
+    monkeypatch.setattr(retrieval, "COLUMNS", 4)
+    monkeypatch.setattr(cells.best_in_cells, "__defaults__", (11,))
+    assert {n: sorted(tuple(x) for x in f().collect()) for n, f in runs.items()} == whole
+    plan = runs["bm25"]()._jdf.queryExecution().optimizedPlan().toString()
+    assert "tf" not in plan  # no row for a term of an item
+
+
+def test_micros_round_like_spark(spark):
+    from scriptorium.operators.cells import micros
+
+    r = random.Random(5)
+    values = [r.uniform(-20, 20) for _ in range(200)] + [k / 2e6 for k in range(-40, 41)] + [1.0000005, 2.0000015, 1 / 3, -0.0000005, 123.4567895]
+    got = [x[0] for x in spark.createDataFrame([(v,) for v in values], "v double").select(F.round("v", 6)).collect()]
+    assert (micros(np.array(values)) / 1e6).tolist() == [g + 0.0 for g in got]
+
+
+def test_dense_search_with_odd_vectors_and_ties(spark):
+    rows = [(i, [float(i % 3), 1.0]) for i in range(30)] + [(30, None), (31, [1.0]), (32, [None, 1.0]), (33, [float("nan"), 1.0]), (34, [float("inf"), 0.5])]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    asking = spark.createDataFrame([(1, [1.0, 0.25]), (2, [0.0, 1.0]), (3, [2.0])], "query_id long, query array<double>")
+    dot = F.aggregate(F.zip_with("embedding", "query", lambda x, y: x * y), F.lit(0.0), lambda s, v: s + v)
+    every = vectors.crossJoin(asking).select(F.col("query_id").alias("id"), F.col("vec_id").alias("pos"), F.round(dot, 6).alias("score"))
+    plain = lambda d: sorted(str(tuple(x)) for x in d.select("id", "pos", "rank", "score").collect())
+    assert plain(retrieval.dense_top(vectors, asking, 4)) == plain(retrieval.best(every, 4))
