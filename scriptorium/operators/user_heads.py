@@ -30,8 +30,8 @@ STATE = (
     "user_id string, theta array<double>, mean array<double>, square array<double>, best array<double>, best_loss double, best_step int,"
     " first_loss double, first_accuracy double, loss double, accuracy double, pairs long, validation long, done boolean"
 )
-#: Users whose sums a task holds before it hands them on.
-HELD = 4096
+#: Users whose sums a task holds before it hands them on, and pairs that it unpacks at a time.
+HELD, ROWS = 4096, 1024
 
 
 @dataclass(frozen=True)
@@ -115,6 +115,12 @@ def next_weights(state: dict, total: np.ndarray, pairs: int, start: np.ndarray,
     return {"theta": theta.tolist(), "mean": mean.tolist(), "square": square.tolist()}
 
 
+def _matrix(column: pa.ListArray) -> np.ndarray:
+    """Equally long vectors as rows, without an object for each number; nulls become no number."""
+    flat = column.flatten().to_numpy(zero_copy_only=False).astype(float, copy=False)
+    return flat.reshape(len(column), -1)
+
+
 def _sums(pairs: DataFrame, states: DataFrame, initial: np.ndarray, t: Training) -> DataFrame:
     """Sums of each task over the pairs of users that are not done, by user and part."""
     names = [f.split()[0] for f in SUMS.split(", ")]
@@ -128,16 +134,16 @@ def _sums(pairs: DataFrame, states: DataFrame, initial: np.ndarray, t: Training)
             kinds = [pa.string(), pa.string(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.list_(pa.float64())]
             return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], names)
 
-        for batch in batches:
+        for batch in (b.slice(k, ROWS) for b in batches for k in range(0, b.num_rows, ROWS)):
             users, parts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            chosen, rejected, thetas = (batch.column(k).to_pylist() for k in (2, 3, 5))
+            chosen, rejected = (_matrix(batch.column(k)) for k in (2, 3))
             weights = np.array(batch.column(4).to_pylist(), dtype=float)
             places: dict[tuple[str, str], list[int]] = {}
             for k, key in enumerate(zip(users, parts, strict=True)):
                 places.setdefault(key, []).append(k)
             for key, own in places.items():
-                theta = np.array(thetas[own[0]])
-                a, b, w = np.array([chosen[k] for k in own], dtype=float), np.array([rejected[k] for k in own], dtype=float), weights[own]
+                theta = np.array(batch.column(5)[own[0]].as_py())  # a user's rows carry the same
+                a, b, w = chosen[own], rejected[own], weights[own]
                 gap = scores(theta, initial, a, t) - scores(theta, initial, b, t)
                 slope = -w / (1 + np.exp(np.clip(gap, -500, 500)))
                 made = [len(own), w.sum(), float((np.logaddexp(0, -gap) * w).sum()), float((gap > 0).sum())]

@@ -93,3 +93,17 @@ def test_gradients_are_the_derivatives(kind):
         up[k] += 1e-6
         down[k] -= 1e-6
         assert got[k] == pytest.approx((slope * (H.scores(up, base, x, t) - H.scores(down, base, x, t))).sum() / 2e-6, abs=1e-6)
+
+
+def test_pairs_are_unpacked_without_an_object_for_each_number():
+    import tracemalloc
+
+    import numpy as np
+    import pyarrow as pa
+
+    column = pa.array(np.arange(640_000.0).reshape(10_000, 64).tolist(), pa.list_(pa.float64()))
+    tracemalloc.start()
+    found = H._matrix(column.slice(1000, H.ROWS))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert found.shape == (H.ROWS, 64) and found[0, 0] == 64_000 and peak < 2_000_000
