@@ -1,19 +1,25 @@
 """Alignment of two tokenizers' ids over the same bytes.
 
-Python only turns a text into the ids and the end offsets of its tokens under
-both vocabularies. All else is array functions: ends that both share
-(array_intersect) cut the tokens into groups, and both end arrays sorted into
-one cut the text into stretches, each of one token of either side: a link. How
-many documents hold a pair of ids linked is counted over the exploded pairs.
+Ends that both sides share cut the tokens into groups, and both sides' ends in
+one order cut the text into stretches, each of one token of either side: a
+link. No token crosses the place before a blank that follows a word, so texts
+are cut there, and groups and links of each different segment are found once
+per worker; a document adds up those of its segments. How many documents hold
+a pair of ids linked is counted over the exploded pairs. tokenise_both() and
+align() do the same for whole tables of tokens, by Spark's array functions.
 """
 
 from __future__ import annotations
 
+import hashlib
+import json
 import re
 from collections.abc import Callable, Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -46,6 +52,10 @@ class BothTokenizers:
         self.lengths = [np.array([len(t) for t in table], dtype=np.int32) for table in self.bytes]
         apart = self.b.encode("a b") == [*self.b.encode("a"), *self.b.encode("b")]
         self.separable = apart and not any(re.search("[^▁]▁", n) for n in names)
+        file = json.loads(Path(byte_level).read_text(encoding="utf-8"))
+        usual = file["normalizer"] is None and (file["pre_tokenizer"] or {}).get("type") == "ByteLevel" and file["pre_tokenizer"].get("use_regex", True)
+        #: Whether the same holds of both sides before a blank after what is no white space.
+        self.both_separable = self.separable and usual and all(t["special"] for t in file["added_tokens"])
         #: With a token for each byte no byte of a plain text can get lost on the byte-level side.
         self.whole = {t for t in self.bytes[0] if len(t) == 1} == {bytes([b]) for b in range(256)} and not self.a.words
         self.blank = np.array([self.b.piece_to_id("▁")], dtype="<u4").tobytes()
@@ -54,6 +64,10 @@ class BothTokenizers:
     def sound(self, side: int, text: str, raw: bytes) -> bool:
         return b"".join(map(self.bytes[side].__getitem__, np.frombuffer(raw, dtype="<u4").tolist())) == text.encode()
 
+    def exact(self, text: str, a: bytes, b: bytes | None) -> bool:
+        """Whether side A's ids give the text's bytes; ``b`` is nothing where side B's do not."""
+        return b is not None and (self.whole and PLAIN.fullmatch(text) is not None or self.sound(0, text, a))
+
     def pieces(self, spaced: list[str]) -> list[bytes]:
         """Side B's ids of texts that begin with a blank, each for itself."""
         found = self.b.encode([t[1:] for t in spaced], num_threads=1)
@@ -82,8 +96,7 @@ class BothTokenizers:
         out = []
         for text, a in zip(spaced, self.a.encode(spaced), strict=True):
             b = self.encode_b(text) if text else None
-            exact = b is not None and (self.whole and PLAIN.fullmatch(text) is not None or self.sound(0, text, a))
-            out.append((a, b) if exact else (b"", b""))
+            out.append((a, b) if self.exact(text, a, b) else (b"", b""))
         return out
 
 
@@ -142,6 +155,141 @@ def tokenise_both(docs: DataFrame, byte_level: str | None = None, pieces: str |
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).mapInArrow(encode, schema)
 
 
+class Growing:
+    """Whole numbers that are added to without a copy of all each time."""
+
+    def __init__(self) -> None:
+        self.held, self.size = np.zeros(1024, dtype=np.int64), 0
+
+    def add(self, more: np.ndarray) -> None:
+        size = self.size + len(more)
+        if size > len(self.held):
+            self.held = np.concatenate((self.held[: self.size], np.zeros(2 * size - self.size, dtype=np.int64)))
+        self.held[self.size : size] = more
+        self.size = size
+
+
+class AlignedSegments:
+    """Texts aligned by their segments, each different one of which is encoded and aligned once, while it is remembered."""
+
+    def __init__(self, tokenizers: BothTokenizers, wide: int):
+        self.tokenizers, self.wide = tokenizers, wide
+        self.forget()
+
+    def forget(self) -> None:
+        self.number: dict[str, int] = {}  # of a segment without its first blank
+        self.groups: list[str] = []
+        self.letters = 0
+        #: Of each segment: A's tokens (-1 where they do not give its bytes), B's tokens, groups, links, place of its first pair.
+        self.n_a, self.n_b, self.n_groups, self.n_links, self.first = (Growing() for _ in range(5))
+        self.pairs = Growing()
+
+    def learn(self, segments: list[str]) -> None:
+        t, spaced = self.tokenizers, [f" {s}" for s in segments]
+        raw = []
+        # side A meets all new words in one call, as one text: its own cache gives them apart
+        t.a.encode(["".join(s for s in spaced if not s[-1].isspace() and PLAIN.fullmatch(s))])
+        for text, a, b in zip(spaced, t.a.encode(spaced), t.pieces(spaced), strict=True):
+            raw.append((a, b) if t.sound(1, text, b) and t.exact(text, a, b) else (b"", b""))
+        ids = [np.frombuffer(b"".join([x[side] for x in raw]), dtype="<u4").astype(np.int64) for side in (0, 1)]
+        last = [np.concatenate(([0], np.cumsum([len(x[side]) // 4 for x in raw]))) for side in (0, 1)]
+        ends = [np.cumsum(lengths[x], dtype=np.int64) for lengths, x in zip(t.lengths, ids, strict=True)]
+        stretches = np.union1d(*ends)
+        i, j = (np.searchsorted(e, stretches) for e in ends)
+        cut = (ends[0][i] == stretches) & (ends[1][j] == stretches)
+        bounds = np.searchsorted(stretches, np.concatenate(([0], ends[0]))[last[0]], side="right")  # stretches before the end of each segment
+        closed = np.concatenate(([0], np.cumsum(cut)))[bounds]
+        a, b = ([str(k) for k in x.tolist()] for x in ids)
+        to_a, to_b = ([0, *(x[cut] + 1).tolist()] for x in (i, j))
+        texts = [f"{','.join(a[to_a[g]:to_a[g + 1]])}|{','.join(b[to_b[g]:to_b[g + 1]])}" for g in range(len(to_a) - 1)]
+        self.groups += [";".join(texts[x:y]) for x, y in zip(closed.tolist(), closed[1:].tolist(), strict=False)]
+        unsound = np.array([not x for x, _ in raw])
+        self.first.add(self.pairs.size + bounds[:-1])
+        for held, sums in ((self.n_a, last[0]), (self.n_b, last[1]), (self.n_groups, closed), (self.n_links, bounds)):
+            held.add(np.where(unsound, -1, np.diff(sums)) if held is self.n_a else np.diff(sums))
+        self.pairs.add(ids[0][i] * self.wide + ids[1][j])
+        self.number.update(zip(segments, range(len(self.number), len(self.number) + len(segments)), strict=True))
+        self.letters += sum(map(len, segments))
+
+    def cut(self, texts: pa.Array) -> tuple[np.ndarray, pa.Array]:
+        """Offsets of each text's segments, and the segments without their first blanks."""
+        if not self.tokenizers.both_separable:
+            return np.arange(len(texts) + 1), texts
+        words = pc.split_pattern(texts, " ")
+        offsets, flat = words.offsets.to_numpy().astype(np.int64), words.flatten()
+        # a blank after white space begins no segment: an open word goes on behind it
+        coded = flat.dictionary_encode()
+        open_ = np.array([not w or w[-1].isspace() for w in coded.dictionary.to_pylist()], dtype=bool)[coded.indices.to_numpy()]
+        open_[offsets[1:] - 1] = False
+        if not open_.any():
+            return offsets, flat
+        held, joined, sizes = flat.to_pylist(), [], []
+        some = np.add.reduceat(open_, offsets[:-1]) > 0
+        for begin, end, mend in zip(offsets.tolist(), offsets[1:].tolist(), some.tolist(), strict=False):
+            parts = held[begin:end]
+            if mend:
+                parts, waiting = [], ""
+                for word, on in zip(held[begin:end], open_[begin:end].tolist(), strict=True):
+                    if on:
+                        waiting += f"{word} "
+                    else:
+                        parts.append(waiting + word)
+                        waiting = ""
+            joined += parts
+            sizes.append(len(parts))
+        return np.concatenate(([0], np.cumsum(sizes))), pa.array(joined, pa.string())
+
+    def align(self, texts: pa.Array) -> list[pa.Array]:
+        """n_a, n_b, n_groups, n_links, groups_sha256 and pairs of each text: zeros and nothing where it has no tokens."""
+        offsets, flat = self.cut(texts)
+        coded = flat.dictionary_encode()
+        codes, distinct = coded.indices.to_numpy(), coded.dictionary.to_pylist()
+        missing = [s for s in distinct if s not in self.number]
+        if missing:
+            self.learn(missing)
+        known = np.array([self.number[s] for s in distinct], dtype=np.int64)
+        starts = offsets[:-1]
+        exact = (np.minimum.reduceat(self.n_a.held[known][codes], starts) >= 0) & (pc.binary_length(texts).to_numpy() > 0)
+        sums = [np.where(exact, np.add.reduceat(x.held[known][codes], starts), 0) for x in (self.n_a, self.n_b, self.n_groups, self.n_links)]
+        groups = pa.array([self.groups[k] for k in known.tolist()], pa.string()).take(coded.indices)
+        joined = pc.binary_join(pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), groups), ";").cast(pa.binary())
+        digests = [hashlib.sha256(g).hexdigest() if x else "" for g, x in zip(joined.to_pylist(), exact.tolist(), strict=True)]
+        links = np.where(np.repeat(exact, np.diff(offsets)), self.n_links.held[known][codes], 0)
+        before = np.cumsum(links) - links
+        pairs = self.pairs.held[np.repeat(self.first.held[known][codes] - before, links) + np.arange(int(links.sum()))]
+        ends = np.concatenate(([0], np.cumsum(sums[3]))).astype(np.int32)
+        if len(self.number) > CACHED or self.letters > CACHED * LONGEST:
+            self.forget()
+        return [*map(pa.array, sums), pa.array(digests, pa.string()), pa.ListArray.from_arrays(pa.array(ends), pa.array(pairs))]
+
+
+_SEGMENTS: dict[tuple[str, str], AlignedSegments] = {}
+
+
+def align_texts(docs: DataFrame, byte_level: str, pieces: str, wide: int) -> DataFrame:
+    """``_row, doc_id, n_a, n_b, n_groups, n_links, groups_sha256, pairs`` of every row of ``docs(doc_id, text)``.
+
+    What align() finds of tokenise_both()'s tokens, found by segments.
+    """
+    ship_package(docs.sparkSession)
+    schema = "_row long, doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, pairs array<long>"
+    names = [f.split()[0] for f in schema.split(", ")]
+
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key = (byte_level, pieces)
+        if key not in _SEGMENTS:
+            _SEGMENTS[key] = AlignedSegments(both_tokenizers(*key), wide)
+        row = TaskContext.get().partitionId() << 33
+        for batch in batches:
+            for begin in range(0, batch.num_rows, 128):
+                part = batch.slice(begin, 128)
+                rows = pa.array(np.arange(row, row + part.num_rows))
+                row += part.num_rows
+                yield pa.RecordBatch.from_arrays([rows, part.column(0), *_SEGMENTS[key].align(part.column(1))], names)
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).mapInArrow(found, schema)
+
+
 def _with(values: dict[str, Column], use: Callable[[Column], Column]) -> Column:
     """``use`` of a struct of ``values``, each computed once and not again for each element of a lambda that names it."""
     return F.transform(F.array(F.struct(*(v.alias(k) for k, v in values.items()))), use)[0]
@@ -265,10 +413,8 @@ def align_documents(docs: DataFrame, byte_level: str | None = None, pieces: str
 
     byte_level, pieces = byte_level or public_path("byte_bpe_50k.json"), pieces or public_path("piece_bpe_32k.model")
     wide = SentencePieceProcessor(model_file=pieces).get_piece_size()
-    found = align(tokenise_both(docs, byte_level, pieces), wide)
-    digest = F.when(F.col("n_a") > 0, F.sha2("groups", 256)).otherwise("").alias("groups_sha256")
     sizes = ("n_a", "n_b", "n_groups", "n_links")
-    aligned = materialize(found.select("_row", "doc_id", *sizes, digest, "pairs"), "aligned")
+    aligned = materialize(align_texts(docs, byte_level, pieces, wide), "aligned")
     counts = materialize(count_pairs(aligned, wide), "pairs")
     sums = materialize(sum_counts(aligned, counts), "sums")
     discard(counts)

@@ -159,3 +159,41 @@ def test_the_query_on_the_drivers_documents(spark):
         pytest.skip("the driver's tables are not here")
     rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{folder}/documents.parquet").collect()]
     assert result(queries.queries()["op12_alignment"](spark, folder)) == brute(rows)
+
+
+def test_segments_give_what_array_functions_give(spark, rows, monkeypatch):
+    """Also where they are forgotten after every few rows, and where a vocabulary lets nothing be cut."""
+    plain = [(r[0], r[1]) for r in rows] + ROWS + [(90 + k, t) for k, t in enumerate(["a \n b", "x\n y", "  lead", "trail \t ", "a\x1c b", "a\u3000 b\xa0c", "don't  'll", "日本 語  x"])]
+    frame = spark.createDataFrame(plain, "doc_id long, text string").coalesce(2)
+    byte_level, pieces = public_path("byte_bpe_50k.json"), public_path("piece_bpe_32k.model")
+    wide = PIECES.get_piece_size()
+
+    def held(found):
+        columns = ("_row", "doc_id", "n_a", "n_b", "n_groups", "n_links", "groups_sha256")
+        return sorted(((*(r[c] for c in columns), sorted(r["pairs"])) for r in found.collect()), key=str)
+
+    digest = A.F.when(A.F.col("n_a") > 0, A.F.sha2("groups", 256)).otherwise("")
+    expected = held(A.align(A.tokenise_both(frame), wide).withColumn("groups_sha256", digest))
+    assert held(A.align_texts(frame, byte_level, pieces, wide)) == expected
+    texts = A.pa.array([t or "" for _, t in plain], A.pa.string())
+    whole = [c.to_pylist() for c in A.AlignedSegments(BOTH, wide).align(texts)]
+    monkeypatch.setattr(A, "CACHED", 3)
+    short = A.AlignedSegments(BOTH, wide)
+    parts = [[c.to_pylist() for c in short.align(texts.slice(k, 2))] for k in range(0, len(texts), 2)]
+    assert [sum(cs, []) for cs in zip(*parts, strict=True)] == whole and not short.number
+    monkeypatch.setattr(BOTH, "both_separable", False)
+    uncut = [c.to_pylist() for c in A.AlignedSegments(BOTH, wide).align(texts)]
+    assert uncut[:5] == whole[:5] and [sorted(p) for p in uncut[5]] == [sorted(p) for p in whole[5]]
+
+
+@settings(max_examples=600, deadline=None)
+@given(st.lists(st.one_of(TEXTS, st.text(alphabet="a.'s1é日 \n\t\xa0\x1c", max_size=14)), min_size=1, max_size=5))
+def test_groups_of_segments_are_those_of_the_libraries_tokens(texts):
+    n_a, n_b, n_groups, n_links, digests, pairs = (c.to_pylist() for c in SEGMENTS.align(A.pa.array(texts, A.pa.string())))
+    for k, (_, a, b, groups, links, *_, digest) in enumerate(brute([(0, t)])[0] for t in texts):
+        assert (n_a[k], n_b[k], n_groups[k], n_links[k], digests[k]) == (a, b, groups, links, digest)
+        sides = [spans(side) for side in tokens_of(texts[k])]
+        assert sorted(divmod(p, 10**6) for p in pairs[k]) == sorted((x, y) for x, s, e in sides[0] for y, s2, e2 in sides[1] if s < e2 and s2 < e)
+
+
+SEGMENTS = A.AlignedSegments(BOTH, 10**6)
