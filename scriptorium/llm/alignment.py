@@ -15,6 +15,7 @@ import hashlib
 import json
 import re
 from collections.abc import Callable, Iterator
+from itertools import chain
 from pathlib import Path
 
 import numpy as np
@@ -58,6 +59,8 @@ class BothTokenizers:
         self.both_separable = self.separable and usual and all(t["special"] for t in file["added_tokens"])
         #: With a token for each byte no byte of a plain text can get lost on the byte-level side.
         self.whole = {t for t in self.bytes[0] if len(t) == 1} == {bytes([b]) for b in range(256)} and not self.a.words
+        #: Whether the byte-level side's ids of plain texts can be had in one call for many.
+        self.joint = usual and self.whole and self.a.mark is not None and not self.a.added
         self.blank = np.array([self.b.piece_to_id("▁")], dtype="<u4").tobytes()
         self.cache: dict[str, bytes | None] = {" ": self.blank}
 
@@ -90,6 +93,39 @@ class BothTokenizers:
         except TypeError:  # a segment that does not come back
             return None
 
+    def ids_a(self, spaced: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Side A's ids of segments, one after the other, and how many each has; plain ones are encoded as one text."""
+        plain = [s for s in spaced if not s[-1].isspace() and PLAIN.fullmatch(s)] if self.joint else []
+        if plain:
+            raw, letters, sizes = self.a.encode_parts("".join(plain))
+            parts, ends = np.cumsum(letters), np.cumsum([len(s) for s in plain])
+            at = np.searchsorted(parts, ends)
+            if np.array_equal(parts[at], ends):
+                n = np.diff(np.concatenate(([0], np.cumsum(sizes)[at])))
+                ids = np.frombuffer(raw, dtype="<u4").astype(np.int64)
+                if len(plain) == len(spaced):
+                    return ids, n
+                own = np.array([not s[-1].isspace() and PLAIN.fullmatch(s) is not None for s in spaced])
+                other = [x for x, mine in zip(spaced, own.tolist(), strict=True) if not mine]
+                rest = self.a.encode(other)
+                count = np.empty(len(spaced), dtype=np.int64)
+                count[own], count[~own] = n, [len(x) // 4 for x in rest]
+                out = np.empty(int(count.sum()), dtype=np.int64)
+                mine = np.repeat(own, count)
+                out[mine], out[~mine] = ids, np.frombuffer(b"".join(rest), dtype="<u4")
+                return out, count
+        found = self.a.encode(spaced)
+        return np.frombuffer(b"".join(found), dtype="<u4").astype(np.int64), np.array([len(x) // 4 for x in found], dtype=np.int64)
+
+    def ids_b(self, spaced: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Side B's ids of segments, one after the other, and how many each has."""
+        found = self.b.encode([t[1:] for t in spaced], num_threads=1)
+        for k, text in enumerate(spaced):
+            if text == " ":
+                found[k] = np.frombuffer(self.blank, dtype="<u4").tolist()
+        n = np.fromiter(map(len, found), dtype=np.int64, count=len(found))
+        return np.fromiter(chain.from_iterable(found), dtype=np.int64, count=int(n.sum())), n
+
     def encode(self, texts: list[str | None]) -> list[tuple[bytes, bytes]]:
         """Ids of a blank and each text on both sides; none where there is no text or it cannot be told from its tokens."""
         spaced = [f" {t}" if t else "" for t in texts]
@@ -155,6 +191,10 @@ def tokenise_both(docs: DataFrame, byte_level: str | None = None, pieces: str |
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).mapInArrow(encode, schema)
 
 
+def _lists(sizes: np.ndarray, values: pa.Array) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)), values)
+
+
 class Growing:
     """Whole numbers that are added to without a copy of all each time."""
 
@@ -174,6 +214,10 @@ class AlignedSegments:
 
     def __init__(self, tokenizers: BothTokenizers, wide: int):
         self.tokenizers, self.wide = tokenizers, wide
+        self.bytes = [pa.array(x, pa.binary()) for x in tokenizers.bytes]
+        a, b = (range(len(x)) for x in tokenizers.lengths)
+        #: Ids as they stand within and at the end of a group, B's also at the end of all.
+        self.names = pa.array([*(f"{k}{c}" for c in ",|" for k in a), *(f"{k}{c}" for c in (",", ";", "") for k in b)], pa.string())
         self.forget()
 
     def forget(self) -> None:
@@ -186,31 +230,39 @@ class AlignedSegments:
 
     def learn(self, segments: list[str]) -> None:
         t, spaced = self.tokenizers, [f" {s}" for s in segments]
-        raw = []
-        # side A meets all new words in one call, as one text: its own cache gives them apart
-        t.a.encode(["".join(s for s in spaced if not s[-1].isspace() and PLAIN.fullmatch(s))])
-        for text, a, b in zip(spaced, t.a.encode(spaced), t.pieces(spaced), strict=True):
-            raw.append((a, b) if t.sound(1, text, b) and t.exact(text, a, b) else (b"", b""))
-        ids = [np.frombuffer(b"".join([x[side] for x in raw]), dtype="<u4").astype(np.int64) for side in (0, 1)]
-        last = [np.concatenate(([0], np.cumsum([len(x[side]) // 4 for x in raw]))) for side in (0, 1)]
+        texts = pa.array(spaced, pa.string()).cast(pa.binary())
+        sides = [t.ids_a(spaced), t.ids_b(spaced)]
+        sound = np.ones(len(spaced), dtype=bool)
+        for (x, n), table in zip(sides, self.bytes, strict=True):
+            sound &= pc.equal(pc.binary_join(_lists(n, table.take(pa.array(x))), b""), texts).to_numpy(zero_copy_only=False)
+        ids = [x[np.repeat(sound, n)] for x, n in sides]
+        last = [np.concatenate(([0], np.cumsum(np.where(sound, n, 0)))) for _, n in sides]
         ends = [np.cumsum(lengths[x], dtype=np.int64) for lengths, x in zip(t.lengths, ids, strict=True)]
         stretches = np.union1d(*ends)
         i, j = (np.searchsorted(e, stretches) for e in ends)
         cut = (ends[0][i] == stretches) & (ends[1][j] == stretches)
         bounds = np.searchsorted(stretches, np.concatenate(([0], ends[0]))[last[0]], side="right")  # stretches before the end of each segment
         closed = np.concatenate(([0], np.cumsum(cut)))[bounds]
-        a, b = ([str(k) for k in x.tolist()] for x in ids)
-        to_a, to_b = ([0, *(x[cut] + 1).tolist()] for x in (i, j))
-        texts = [f"{','.join(a[to_a[g]:to_a[g + 1]])}|{','.join(b[to_b[g]:to_b[g + 1]])}" for g in range(len(to_a) - 1)]
-        self.groups += [";".join(texts[x:y]) for x, y in zip(closed.tolist(), closed[1:].tolist(), strict=False)]
-        unsound = np.array([not x for x, _ in raw])
+        self.groups += self._texts(ids, last, i[cut], j[cut])
         self.first.add(self.pairs.size + bounds[:-1])
         for held, sums in ((self.n_a, last[0]), (self.n_b, last[1]), (self.n_groups, closed), (self.n_links, bounds)):
-            held.add(np.where(unsound, -1, np.diff(sums)) if held is self.n_a else np.diff(sums))
+            held.add(np.where(sound, np.diff(sums), -1) if held is self.n_a else np.diff(sums))
         self.pairs.add(ids[0][i] * self.wide + ids[1][j])
         self.number.update(zip(segments, range(len(self.number), len(self.number) + len(segments)), strict=True))
         self.letters += sum(map(len, segments))
 
+    def _texts(self, ids: list[np.ndarray], last: list[np.ndarray], i: np.ndarray, j: np.ndarray) -> list[str]:
+        """The text of each segment's groups, of which ``i`` and ``j`` are the last tokens: every id takes what follows it along."""
+        closing = [np.zeros(len(x), dtype=np.int64) for x in ids]
+        closing[0][i] = closing[1][j] = 1
+        a, b = (np.cumsum(x) - x for x in closing)  # the group of each token
+        closing[1][last[1][1:][np.diff(last[1]) > 0] - 1] = 2
+        n_a, n_b = (len(x) for x in self.tokenizers.lengths)
+        code = np.empty(len(a) + len(b), dtype=np.int64)
+        code[np.arange(len(a)) + np.concatenate(([0], j + 1))[a]] = ids[0] + n_a * closing[0]
+        code[np.arange(len(b)) + (i + 1)[b]] = 2 * n_a + ids[1] + n_b * closing[1]
+        return pc.binary_join(_lists(np.diff(last[0] + last[1]), self.names.take(pa.array(code))), "").to_pylist()
+
     def cut(self, texts: pa.Array) -> tuple[np.ndarray, pa.Array]:
         """Offsets of each text's segments, and the segments without their first blanks."""
         if not self.tokenizers.both_separable:
@@ -219,7 +271,8 @@ class AlignedSegments:
         offsets, flat = words.offsets.to_numpy().astype(np.int64), words.flatten()
         # a blank after white space begins no segment: an open word goes on behind it
         coded = flat.dictionary_encode()
-        open_ = np.array([not w or w[-1].isspace() for w in coded.dictionary.to_pylist()], dtype=bool)[coded.indices.to_numpy()]
+        letters = pc.utf8_slice_codeunits(coded.dictionary, -1).dictionary_encode()
+        open_ = np.array([not x or x.isspace() for x in letters.dictionary.to_pylist()], dtype=bool)[letters.indices.to_numpy()][coded.indices.to_numpy()]
         open_[offsets[1:] - 1] = False
         if not open_.any():
             return offsets, flat

@@ -91,6 +91,18 @@ class FastTokenizer:
                 self._forget()
         return out
 
+    def encode_parts(self, text: str) -> tuple[bytes, np.ndarray, np.ndarray]:
+        """Ids of a plain text without added tokens, and how many letters and ids each of its pre-tokens has."""
+        parts = self.cut(text)
+        missing = set(parts).difference(self.cache)
+        if missing:
+            self._learn(list(missing))
+        found = list(map(self.cache.__getitem__, parts))
+        if len(self.cache) > self.cache_size:
+            self._forget()
+        letters, size = (np.fromiter(map(len, x), dtype=np.int64, count=len(parts)) for x in (parts, found))
+        return b"".join(found), letters, size // 4
+
     def _forget(self) -> None:
         """Drop the longest pre-tokens, down to half the cache: short ones come again sooner."""
         lengths = sorted(map(len, self.cache))

@@ -197,3 +197,13 @@ def test_groups_of_segments_are_those_of_the_libraries_tokens(texts):
 
 
 SEGMENTS = A.AlignedSegments(BOTH, 10**6)
+
+
+def test_new_plain_segments_reach_the_byte_level_side_as_one_text(monkeypatch):
+    alone, encode = [], BOTH.a.encode
+    monkeypatch.setattr(BOTH.a, "encode", lambda texts: alone.extend(texts) or encode(texts))
+    texts = [" ".join(f"zq{k}x{k % 7}" for k in range(n)) + tail for n, tail in ((300, ""), (1, " 日本 \n end"), (0, ""), (40, "  two \x1c"), (5, " <0x41> don't </s>"))]
+    n_a, n_b, n_groups, n_links, digests, _ = (c.to_pylist() for c in A.AlignedSegments(BOTH, 10**6).align(A.pa.array(texts, A.pa.string())))
+    assert len(alone) < 10 and " zq5x5" not in alone
+    for k, (_, a, b, groups, links, *_, digest) in enumerate(brute([(0, t)])[0] for t in texts):
+        assert (n_a[k], n_b[k], n_groups[k], n_links[k], digests[k]) == (a, b, groups, links, digest)
