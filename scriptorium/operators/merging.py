@@ -3,12 +3,15 @@
 A merger (a teacher, or a mock) reads a bounded list of proposals and gives a
 few factors, each with the aliases of the proposals it stands for. Longer lists
 are cut into chunks, each merged by itself, and the factors that come out are
-the proposals of the next list, until one list is left. All open lists of all
-owners are merged in the same round, a row for each chunk; an answer that cannot
-be read halves its list. What a factor stands for is kept in a table of its own,
-(alias, evidence), which every round maps one step further, so a factor may rest
-on any number of records and no request or row grows with it. Everything a
-round leaves is a table in the shared folder.
+the proposals of the next list, until one list is left. All chunks of all owners
+are merged in the same round, a row for each. What follows from a row alone is
+done where the row is: an answer that cannot be read halves its list, factors
+of halves and of several requests are merged again, an answer without a sound
+factor is asked for again. So rounds grow with the number of blocks of a list,
+not with the depth of its tree. An item carries as many of its records as a
+factor needs, which tells whether a union has so many, however large the sets
+are; all records of a factor are found in the end, through the members that each
+round has left in the shared folder, so no request or row grows with them.
 """
 
 from __future__ import annotations
@@ -16,12 +19,13 @@ from __future__ import annotations
 import json
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scriptorium.sources.tables import discard, materialize, number_rows, ship_package
+from scriptorium.sources.tables import materialize, number_rows, ship_package
 
 # The kinds of operation that a factor may ask for.
 OPERATION_TYPES = ("content_select", "content_omit", "structure", "compression", "lexicalization", "ordering")
@@ -31,21 +35,19 @@ INTERMEDIATE = "Intermediate factor from hierarchical full-profile merge."
 
 #: Items of an open list that one row may hold; longer lists are packed block by block.
 BLOCK = 4096
-#: Rounds after which a merger that does not shrink its lists is given up.
+#: Rounds, and requests one above another within a row, after which a merger that does not shrink its lists is given up.
 ROUNDS = 60
+SHRINK = "the merger does not shrink its lists"
 
 Merger = Callable[[str, list[dict]], list[dict]]
+TEXTS = ("operation_type", "direction", "condition", "reason")
 CALLS = (
-    "owner string, parent string, ord long, node string, attempt int, aliases array<string>, failed boolean,"
-    " factors array<struct<k:int,operation_type:string,direction:string,condition:string,members:array<string>>>"
-)
-
-_FACTOR = pa.struct(
-    [("k", pa.int32()), *((f, pa.string()) for f in ("operation_type", "direction", "condition")), ("members", pa.list_(pa.string()))]
+    "owner string, node string, block long, place int, above string, operation_type string, direction string, condition string,"
+    " proof array<string>, members array<string>, open boolean, stuck boolean"
 )
 ARROW_CALLS = pa.schema(
-    [("owner", pa.string()), ("parent", pa.string()), ("ord", pa.int64()), ("node", pa.string()), ("attempt", pa.int32()),
-     ("aliases", pa.list_(pa.string())), ("failed", pa.bool_()), ("factors", pa.list_(_FACTOR))]
+    [("owner", pa.string()), ("node", pa.string()), ("block", pa.int64()), ("place", pa.int32()), *((f, pa.string()) for f in ("above", *TEXTS[:3])),
+     ("proof", pa.list_(pa.string())), ("members", pa.list_(pa.string())), ("open", pa.bool_()), ("stuck", pa.bool_())]
 )
 
 
@@ -65,14 +67,17 @@ class UnreadableAnswer(ValueError):
     """The merger's answer is not the JSON that was asked for (most often it was cut off)."""
 
 
+class _Stuck(Exception):
+    """A list within a row is not shrunk."""
+
+
 def request_chars(items: list[dict]) -> int:
     return len(json.dumps(items, ensure_ascii=False))
 
 
 def shown(items: list[dict]) -> list[dict]:
     """Items as the merger sees them: under short aliases, which it can copy without error."""
-    fields = ("operation_type", "direction", "condition", "reason")
-    return [{"alias": f"r{k + 1}", **{f: x[f] for f in fields}} for k, x in enumerate(items)]
+    return [{"alias": f"r{k + 1}", **{f: x[f] for f in TEXTS}} for k, x in enumerate(items)]
 
 
 def pack(items: list[dict], budget: int) -> list[list[dict]]:
@@ -93,12 +98,11 @@ def pack(items: list[dict], budget: int) -> list[list[dict]]:
     return runs
 
 
-def sound_factors(answer: list[dict], aliases: dict[str, str], limits: Limits) -> list[dict]:
-    """Factors of an answer with a known kind, a direction and a condition, members by the items' own aliases.
+def sound_factors(answer: list[dict], aliases: dict[str, int], limits: Limits) -> list[dict]:
+    """Factors of an answer with a known kind, a direction and a condition, members by the items' numbers.
 
     Where the direction is a mere word and the condition a whole sentence, the
-    sentence is the direction. What a factor rests on is tested later, when its
-    records are counted.
+    sentence is the direction. What a factor rests on is tested later.
     """
     out = []
     for k, value in enumerate(answer[: limits.max_factors]):
@@ -111,28 +115,68 @@ def sound_factors(answer: list[dict], aliases: dict[str, str], limits: Limits) -
     return out
 
 
-def _called(lists: DataFrame, merger: Merger, limits: Limits) -> DataFrame:
-    """A row for each chunk of ``lists(owner, node, attempt, block, blocks, items)`` with the merger's factors."""
+class _Lists:
+    """Lists of one row, merged as far as the row alone decides; a made item knows the row's ``members`` and a ``proof``."""
+
+    def __init__(self, merger: Merger, limits: Limits, rounds: int):
+        self.merger, self.limits, self.rounds = merger, limits, rounds
+        self.need = max(limits.min_support, 1)
+
+    def asked(self, run: list[dict], depth: int = 0) -> list[dict]:
+        """Factors of one request, or of its halves where the answer cannot be read."""
+        own = shown(run)
+        for attempt in range(self.limits.retries + 1):
+            try:
+                answer = self.merger(f"merge_repair_{attempt}" if attempt else "merge", own)
+            except UnreadableAnswer:
+                half = len(run) // 2
+                if not half:
+                    raise
+                return self.merged([f for part in (run[:half], run[half:]) for f in self.asked(part, depth)], depth + 1)
+            made: dict[str, dict] = {}
+            for f in sound_factors(answer, {x["alias"]: k for k, x in enumerate(own)}, self.limits):
+                proof = list({e: None for k in f["members"] for e in run[k]["proof"]})[: self.need]
+                if len(proof) == self.need and f["operation_type"] not in made:
+                    members = list({a: None for k in f["members"] for a in run[k]["members"]})
+                    made[f["operation_type"]] = f | {"reason": INTERMEDIATE, "proof": proof, "members": members}
+            if made:
+                return list(made.values())
+        return []
+
+    def merged(self, items: list[dict], depth: int = 0) -> list[dict]:
+        """Factors of a list that one row holds."""
+        while items:
+            if depth > self.rounds:
+                raise _Stuck
+            runs = pack(items, self.limits.budget)
+            items = [f for run in runs for f in self.asked(run, depth)]
+            if len(runs) == 1:
+                break
+            depth += 1
+        return items
+
+
+def _called(items: DataFrame, merger: Merger, limits: Limits, number: int) -> DataFrame:
+    """Factors of round ``number`` for items(owner, node, pos, alias, ..., proof): final ones of lists within a block, else a next list (open)."""
+    entry = F.struct("pos", "alias", *TEXTS, "proof")
+    lists = items.groupBy("owner", "node", F.floor(F.col("pos") / BLOCK).alias("block")).agg(F.sort_array(F.collect_list(entry)).alias("items"))
+    blocks = items.groupBy("owner", "node").agg((F.floor(F.max("pos") / BLOCK) + 1).alias("blocks"))
+    lists = lists.join(blocks, ["owner", "node"]).select("owner", "node", "block", "blocks", "items")
+    rounds = ROUNDS
 
     def call(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        work = _Lists(merger, limits, rounds)
         for batch in batches:
-            out = []
-            for row in batch.to_pylist():
-                runs = pack(row["items"], limits.budget)
-                alone = len(runs) == 1 and row["blocks"] == 1
-                for number, run in enumerate(runs):
-                    order = row["block"] * BLOCK + number
-                    aliases = {x["alias"]: y["alias"] for x, y in zip(shown(run), run, strict=True)}
-                    made = {"owner": row["owner"], "parent": None if alone else row["node"], "ord": order, "attempt": row["attempt"]}
-                    made |= {"node": row["node"] if alone else f"{row['node']}.{order}", "aliases": list(aliases.values())}
-                    mode = f"merge_repair_{row['attempt']}" if row["attempt"] else "merge"
-                    try:
-                        out.append(made | {"factors": sound_factors(merger(mode, shown(run)), aliases, limits), "failed": False})
-                    except UnreadableAnswer:
-                        if len(run) < 2:
-                            raise
-                        out.append(made | {"factors": [], "failed": True})
-            yield pa.RecordBatch.from_pylist(out, ARROW_CALLS)
+            for k in range(batch.num_rows):
+                row = batch.slice(k, 1).to_pylist()[0]
+                own = [x | {"members": [x["alias"]]} for x in row["items"]]
+                base = {"owner": row["owner"], "node": row["node"], "block": row["block"], "open": row["blocks"] > 1, "stuck": False}
+                try:
+                    made = [f for run in pack(own, limits.budget) for f in work.asked(run)] if base["open"] else work.merged(own)
+                except _Stuck:
+                    base, made = base | {"stuck": True}, [{}]
+                out = [base | f | {"place": n, "above": f"{row['node']}#{number}.{row['block']}.{n}"} for n, f in enumerate(made)]
+                yield pa.RecordBatch.from_pylist(out, ARROW_CALLS)
 
     return lists.mapInArrow(call, CALLS)
 
@@ -161,110 +205,55 @@ def merge_proposals(proposals: DataFrame, merger: Merger, limits: Limits = Limit
 def merge_with_records(proposals: DataFrame, merger: Merger, limits: Limits = Limits()) -> tuple[DataFrame, DataFrame]:
     """merge_proposals(), and owner, factor_id, evidence_id of all records that each factor rests on."""
     ship_package(proposals.sparkSession)
-    texts = ("operation_type", "direction", "condition", "reason")
-    start = proposals.select(
-        F.col("owner"), F.lit("r").alias("node"), F.col("seq"), F.concat(F.lit("p"), F.col("seq").cast("string")).alias("alias"), *texts, "evidence_ids"
-    )
-    whole = materialize(_ranked(start, "seq"), "proposals")
-    records = materialize(whole.select("owner", "alias", F.explode("evidence_ids").alias("evidence_id")).distinct(), "records")
-    items = whole.select("owner", "node", "pos", "alias", *texts, F.lit(0).alias("attempt"))
-    edges = items.select("owner", F.col("node").alias("parent"), F.col("pos").alias("ord"), "node").limit(0)
+    alias = F.concat(F.lit("p"), F.col("seq").cast("string")).alias("alias")
+    # numbering reads its rows twice, so what they are made of is written first
+    whole = materialize(proposals.filter("owner IS NOT NULL").select("owner", F.lit("r").alias("node"), "seq", alias, *TEXTS, "evidence_ids"), "proposals")
+    proof = F.slice(F.coalesce(F.array_distinct("evidence_ids"), F.array()), 1, max(limits.min_support, 1)).alias("proof")
+    items = _ranked(whole.select("owner", "node", "seq", "alias", *TEXTS, proof), "seq")
     if limits.chunk_size > 0:
         longest = items.groupBy("owner").agg(F.max("pos").alias("_last"))
         cut = F.col("_last") >= limits.chunk_size
-        number = F.floor(F.col("pos") / limits.chunk_size)
-        marked = items.join(longest, "owner").withColumn("ord", number)
-        marked = marked.withColumn("node", F.when(cut, F.concat(F.lit("r."), number.cast("string"))).otherwise(F.col("node")))
-        marked = marked.withColumn("pos", F.when(cut, F.col("pos") % limits.chunk_size).otherwise(F.col("pos")))
-        edges = marked.filter(cut).select("owner", F.lit("r").alias("parent"), "ord", "node").distinct()
-        items = marked.drop("_last", "ord")
-    items, edges = materialize(items, "items"), materialize(edges, "edges")
-    discard(whole)
-    found = None  # factors of finished lists that no later list has taken up
-    finished = None
-
-    for _ in range(ROUNDS):
-        if items.isEmpty() and edges.isEmpty():
-            break
-        block = F.floor(F.col("pos") / BLOCK).alias("block")
-        entry = F.struct("pos", "alias", *texts)
-        lists = items.groupBy("owner", "node", "attempt", block).agg(F.sort_array(F.collect_list(entry)).alias("items"))
-        blocks = items.groupBy("owner", "node").agg((F.floor(F.max("pos") / BLOCK) + 1).alias("blocks"))
-        lists = lists.join(blocks, ["owner", "node"]).select("owner", "node", "attempt", "block", "blocks", "items")
-        calls = materialize(_called(lists, merger, limits), "calls")
-
-        # records of each factor, through the aliases of its members
-        read = calls.filter("NOT failed")
-        asked = read.select("owner", "node", "attempt", F.explode("aliases").alias("alias"))
-        drafts = read.select("owner", "node", F.explode("factors").alias("f")).select("owner", "node", "f.*")
-        drafts = drafts.withColumn("above", F.concat("node", F.lit("#"), F.col("k").cast("string")))
-        reach = drafts.select("owner", "node", "k", "above", "operation_type", F.explode("members").alias("alias"))
-        mapped = materialize(
-            records.join(reach.select("owner", "alias", "above"), ["owner", "alias"]).select("owner", F.col("above").alias("alias"), "evidence_id").distinct(), "mapped"
-        )
-        support = mapped.groupBy("owner", "alias").agg(F.count("*").alias("support_count")).withColumnRenamed("alias", "above")
-        enough = drafts.join(support, ["owner", "above"]).filter(F.col("support_count") >= limits.min_support)
-        kinds = enough.groupBy("owner", "node", "operation_type").agg(F.min("k").alias("k"))
-        kept = materialize(enough.join(kinds, ["owner", "node", "operation_type", "k"]).drop("members"), "kept")
-
-        # lists without a sound factor are asked for again while they may be, halves of failed ones are new lists
-        held = kept.select("owner", "node").distinct()
-        barren = read.join(held, ["owner", "node"], "left_anti").filter(F.col("attempt") < limits.retries).select("owner", "node")
-        again = asked.join(barren, ["owner", "node"])
-        places = calls.filter("failed").select("owner", "node", F.posexplode("aliases").alias("place", "alias"), F.size("aliases").alias("n"))
-        half = (F.col("place") >= F.floor(F.col("n") / 2)).cast("long")
-        halved = places.withColumn("ord", half).withColumn("parent", F.col("node")).withColumn("node", F.concat("node", F.lit(".h"), half.cast("string")))
-        known = items.select("owner", "alias", "pos", *texts)
-        reopened = again.select("owner", "alias", "node", (F.col("attempt") + 1).alias("attempt")).unionByName(
-            halved.select("owner", "alias", "node", F.lit(0).alias("attempt"))
-        )
-        reopened = reopened.join(known, ["owner", "alias"])
-        first = reopened.groupBy("owner", "node").agg(F.min("pos").alias("_first"))
-        reopened = reopened.join(first, ["owner", "node"]).withColumn("pos", F.col("pos") - F.col("_first")).drop("_first")
-
-        new_edges = calls.filter("parent IS NOT NULL AND attempt = 0").select("owner", "parent", "ord", "node")
-        new_edges = new_edges.unionByName(halved.select("owner", "parent", "ord", "node").distinct())
-        all_edges = edges.unionByName(new_edges)
-        ended = read.join(barren, ["owner", "node"], "left_anti").select("owner", "node")
-        ended = materialize(ended if finished is None else ended.unionByName(finished), "ended")
-        fields = ("owner", "node", "k", "above", *texts[:3], "support_count")
-        ready_factors = kept.select(*fields) if found is None else kept.select(*fields).unionByName(found)
-        ready_factors = materialize(ready_factors, "found")
-
-        # a list whose chunks have all ended is open again, with their factors as its items
-        state = all_edges.join(ended.withColumn("_ended", F.lit(1)), ["owner", "node"], "left")
-        ready = state.groupBy("owner", "parent").agg(F.min(F.coalesce("_ended", F.lit(0))).alias("all")).filter("all = 1")
-        ready = materialize(ready.select("owner", "parent"), "ready")
-        opened = all_edges.join(ready, ["owner", "parent"])
-        taken = opened.join(ready_factors, ["owner", "node"]).select(
-            "owner", F.col("parent").alias("node"), "ord", "k", F.col("above").alias("alias"), *texts[:3], F.lit(INTERMEDIATE).alias("reason"), F.lit(0).alias("attempt")
-        )
-        taken = _ranked(taken, "ord", "k")
-        bare = ready.withColumnRenamed("parent", "node").join(taken.select("owner", "node").distinct(), ["owner", "node"], "left_anti")
-        columns = ("owner", "node", "pos", "alias", *texts, "attempt")
-        next_items = materialize(taken.select(*columns).unionByName(reopened.select(*columns)), "items")
-        next_edges = materialize(all_edges.join(ready, ["owner", "parent"], "left_anti").select("owner", "parent", "ord", "node"), "edges")
-        gone = opened.select("owner", "node").distinct()
-        next_found = materialize(ready_factors.join(gone, ["owner", "node"], "left_anti"), "found")
-        next_ended = materialize(ended.join(gone, ["owner", "node"], "left_anti").unionByName(bare.select("owner", "node")), "ended")
-
-        # records of what was not asked for stay, those of a list that is asked for again or halved too
-        still = asked.join(barren, ["owner", "node"], "left_anti").select("owner", "alias").distinct()
-        valid = kept.select("owner", F.col("above").alias("alias"))
-        next_records = materialize(
-            records.join(still, ["owner", "alias"], "left_anti").unionByName(mapped.join(valid, ["owner", "alias"])).select("owner", "alias", "evidence_id"), "records"
-        )
-        discard(items, edges, records, calls, mapped, kept, ended, ready_factors, ready, *([found, finished] if found is not None else []))
-        items, edges, records, found, finished = next_items, next_edges, next_records, next_found, next_ended
-    else:
-        raise ValueError("the merger does not shrink its lists")
-
-    if found is None:
-        found = proposals.sparkSession.createDataFrame([], "owner string, node string, k int, above string, operation_type string, direction string, condition string, support_count long")
-    rank = F.row_number().over(Window.partitionBy("owner").orderBy("k"))  # at most ``max_factors`` rows of an owner
-    named = found.filter("node = 'r'").withColumn("factor_id", F.concat(F.lit("f"), rank.cast("string")))
-    factors = named.select("owner", "factor_id", *texts[:3], "support_count")
-    return factors, records.join(named.select("owner", F.col("above").alias("alias"), "factor_id"), ["owner", "alias"]).select("owner", "factor_id", "evidence_id")
+        chunk = F.concat(F.lit("r."), F.floor(F.col("pos") / limits.chunk_size).cast("string"))
+        items = items.join(longest, "owner").withColumn("node", F.when(cut, chunk).otherwise(F.col("node")))
+        items = items.withColumn("pos", F.when(cut, F.col("pos") % limits.chunk_size).otherwise(F.col("pos"))).drop("_last")
+    made: list[DataFrame] = []  # the factors of each round
+
+    def listed(rows: DataFrame, *order: str) -> DataFrame:
+        """Factors as the items of a next list."""
+        return _ranked(rows.select("owner", "node", *order, F.col("above").alias("alias"), *TEXTS[:3], F.lit(INTERMEDIATE).alias("reason"), "proof"), *order)
+
+    def ended(items: DataFrame) -> DataFrame:
+        """Final factors of all lists."""
+        out = []
+        while True:
+            if len(made) >= ROUNDS:
+                raise ValueError(SHRINK)
+            calls = materialize(_called(items, merger, limits, len(made)), "calls")
+            made.append(calls)
+            state = calls.agg(F.max("stuck").alias("stuck"), F.max("open").alias("open")).first()
+            if state["stuck"]:
+                raise ValueError(SHRINK)
+            out.append(calls.filter("NOT open"))
+            if not state["open"]:
+                return reduce(DataFrame.unionByName, out)
+            items = listed(calls.filter("open"), "block", "place")
+
+    found = ended(items)
+    chunks = found.filter("node <> 'r'")
+    if limits.chunk_size > 0 and not chunks.isEmpty():
+        ordered = chunks.withColumn("ord", F.substring("node", 3, 20).cast("long")).withColumn("node", F.lit("r"))
+        found = found.filter("node = 'r'").unionByName(ended(listed(ordered, "ord", "place")))
+    named = found.withColumn("factor_id", F.concat(F.lit("f"), (F.col("place") + 1).cast("string")))
+
+    # from the factors down to the proposals: an owner's lists end in different rounds, and what a round has not made is passed on
+    reach = named.select("owner", "above", "factor_id")
+    for calls in reversed(made):
+        members = calls.select("owner", "above", F.explode("members").alias("member"))
+        reach = reach.join(members, ["owner", "above"], "left").select("owner", F.coalesce("member", "above").alias("above"), "factor_id").distinct()
+    evidence = whole.select("owner", F.col("alias").alias("above"), F.explode("evidence_ids").alias("evidence_id"))
+    records = materialize(evidence.join(reach, ["owner", "above"]).select("owner", "factor_id", "evidence_id").distinct(), "records")
+    support = records.groupBy("owner", "factor_id").agg(F.count("*").alias("support_count"))
+    return named.select("owner", "factor_id", *TEXTS[:3]).join(support, ["owner", "factor_id"]), records
 
 
 def mock_merger(mode: str, items: list[dict]) -> list[dict]:

@@ -128,3 +128,15 @@ def test_nothing_and_a_merger_that_does_not_shrink(spark, monkeypatch):
 
 def always_cut(mode, items):
     raise M.UnreadableAnswer("the answer was cut off")
+
+
+def test_rounds_do_not_grow_with_halves_and_requests(spark, monkeypatch):
+    """Unreadable answers and several requests of a list are settled within a round: one for chunks, one for their factors."""
+    names = []
+    write = M.materialize
+    monkeypatch.setattr(M, "materialize", lambda df, name: (names.append(name), write(df, name))[1])
+    kinds = M.OPERATION_TYPES
+    proposals = [("u", k, kinds[k % 6], "name the main method first", "c", "long" if k % 9 == 0 else "plain", [f"d{k}"]) for k in range(60)]
+    found = run(spark, proposals, M.mock_merger, M.Limits(chunk_size=12, budget=1500))
+    assert {k: len(v[3]) for k, v in found.items()} == {("u", f"f{k}"): 10 for k in range(1, 7)}
+    assert names.count("calls") == 2 and len(names) <= 5
