@@ -10,7 +10,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from scriptorium.functions import rouge, similarity, text
-from scriptorium.operators import datasets, factors, heads, pools, preferences, profiles, ranking, retrieval, selection, validate
+from scriptorium.operators import cells, datasets, factors, heads, pools, preferences, profiles, ranking, retrieval, selection, validate
 from scriptorium.plans import queries
 from scriptorium.sources.tables import number_rows
 
@@ -443,3 +443,34 @@ def test_asked_words_travel_as_numbers(spark, monkeypatch):
     assert len(known) == 40 and {k: v for k, v in df.items() if k in asked} == {
         (u, t): n for u, t in asked if (n := sum(x[0] == u and x[2] is not None and t in x[2] for x in items))
     }
+
+
+def test_leave_one_out_in_bands_and_blocks(spark, monkeypatch):
+    """The best of each item where averages differ much, texts repeat and cells have several blocks: as all pairs in turn; pairs are scored in cells."""
+    r = random.Random(11)
+    sizes = [r.randint(1, 12) for _ in range(40)] + [400, 900]
+    words = {("u:1" if i % 3 else "v", i): [r.choice("abcdefgh") + str(int(r.random() ** 3 * 9)) for _ in range(n)] for i, n in enumerate(sizes)}
+    words |= {("u:1", 100 + i): words["u:1", 4] for i in range(12)} | {("v", 200): [], ("v", 201): ["only"]}
+    items = spark.createDataFrame([(u, i, w) for (u, i), w in words.items()], "user_id string, pos long, words array<string>")
+    monkeypatch.setattr(cells, "QUERIES", 16)
+    monkeypatch.setattr(cells, "WEIGHT", 150)
+    scored = []
+    monkeypatch.setattr(retrieval, "best_in_cells", lambda *a, **k: (scored.append(a), cells.best_in_cells(*a, **k))[1])
+    found = retrieval.leave_one_out(items, F.slice("words", 2, 1000), 5)
+    got = {}
+    for x in found.collect():
+        got.setdefault((x["user_id"], x["held"]), []).append((x["rank"], x["pos"], x["score"]))
+    assert set(got) == set(words) and len(scored) == 1
+    for (user, held), own in words.items():
+        rest = {p: w for (u, p), w in words.items() if u == user and p != held}
+        average = sum(map(len, rest.values())) / len(rest)
+        want = []
+        for p, w in rest.items():
+            total = 0.0
+            for t in own[1:]:
+                df, tf = sum(t in y for y in rest.values()), w.count(t)
+                if tf:
+                    total += math.log(1 + (len(rest) - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * len(w) / average))
+            want.append((-round(total, 6), p))
+        for (rank, p, score), (k, (s, q)) in zip(sorted(got[user, held]), enumerate(sorted(want)[:5], 1), strict=True):
+            assert (rank, p) == (k, q) and score == pytest.approx(-s, abs=2e-6)
