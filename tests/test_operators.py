@@ -1,6 +1,7 @@
 import difflib
 import math
 import random
+import re
 from types import SimpleNamespace
 
 import numpy as np
@@ -10,7 +11,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from scriptorium.functions import rouge, similarity, text
-from scriptorium.operators import cells, datasets, factors, heads, pools, preferences, profiles, ranking, retrieval, selection, validate
+from scriptorium.operators import cells, compilers, datasets, factors, heads, pools, preferences, profiles, ranking, retrieval, selection, validate
 from scriptorium.plans import queries
 from scriptorium.sources.tables import number_rows
 
@@ -474,3 +475,27 @@ def test_leave_one_out_in_bands_and_blocks(spark, monkeypatch):
             want.append((-round(total, 6), p))
         for (rank, p, score), (k, (s, q)) in zip(sorted(got[user, held]), enumerate(sorted(want)[:5], 1), strict=True):
             assert (rank, p) == (k, q) and score == pytest.approx(-s, abs=2e-6)
+
+
+def test_warmup_negatives_of_the_profile_are_found_in_cells(spark, monkeypatch):
+    """Titles of one key cut into other tokens by hyphens, copies, and the target itself, for several queries of a user."""
+    scored = []
+    monkeypatch.setattr(compilers, "best_in_cells", lambda *a, **k: (scored.append(a), cells.best_in_cells(*a, **k))[1], raising=False)
+    titles = ["Deep-net maps", "deep net maps", "deep net maps", "graph maps", "Deep, net", "the-target maps", "maps", "", "zz yy"]
+    items = spark.createDataFrame([("u", k, x) for k, x in enumerate(titles)] + [("v", 50, "deep net")], "user_id string, pos long, title string")
+    asked = [("a", "deep net graph"), ("b", "deep-net"), ("c", "nothing here"), ("d", "maps zz")]
+    samples = spark.createDataFrame([(i, "u", x, "The target maps") for i, x in asked], "id string, user_id string, source_text string, target string")
+    none = spark.createDataFrame([], "id string, rank int, title string")
+    got = {}
+    for r in compilers.warmup_groups(samples, items, none).filter("type = 'profile_negative'").collect():
+        got.setdefault(r["id"], []).append((r["place"], r["text"]))
+    cut = lambda x: {t for t in re.findall("[a-z0-9]+(?:-[a-z0-9]+)?", x.lower()) if len(t) > 1 and t not in text.TITLE_STOP_WORDS}
+    key = lambda x: " ".join(re.findall("[a-z0-9]+", x.lower()))
+    for i, source in asked:
+        keyed = {}
+        for k, x in enumerate(titles):
+            if key(x) not in ("", "the target maps"):
+                s = round(len(cut(source) & cut(x)) / max(len(cut(source) | cut(x)), 1), 6)
+                keyed[key(x)] = min(keyed.get(key(x), (9, 9, "")), (-s, k, x))
+        assert sorted(got[i]) == [(n, x) for n, (_, _, x) in enumerate(sorted(keyed.values())[:2], 1)]
+    assert len(scored) == 1
